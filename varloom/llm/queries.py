@@ -26,6 +26,13 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varloom.llm.quality_classifier import quality_classifier
+
+    d = quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return d.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varloom.llm._common import written
     from varloom.llm.quality_rules import GRID, measured, quality_rules
@@ -50,6 +57,20 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varloom.llm.toxicity import toxicity
+
+    d = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return d.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varloom.llm.line_dedup import line_dedup
+
+    d = line_dedup(_table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varloom.llm.substring_dedup import substring_dedup
 

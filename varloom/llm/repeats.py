@@ -10,7 +10,9 @@ the same offset. Only anchors met twice or more are looked at again:
   digest and an aggregation with map-side combine finds its first start; no group meets in a task.
 
 Both ways are exact, whatever the group's size. Later copies of a whole text are settled up front
-by one aggregation over digests. Work per document is bounded by its own length.
+by one aggregation over digests. Windows that repeat within their own document (periodic text has an
+anchor per period) are settled by the document's task, and only its first ones are indexed. Work
+per document is bounded by its own length.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm._common import CHUNK, chunks, keyed, mix, prefix_sums, slice_hash, sliding, text_buffers, word_bounds
+from varloom.llm._common import CHUNK, chunks, keyed, powers, prefix_sums, slice_hash, sliding, text_buffers, word_bounds
 
 #: Occurrences of an anchor that meet in one group; an exact way takes the anchors with more.
 MOST_ROWS = 64
@@ -33,15 +35,72 @@ MOST_ROWS = 64
 Resolver = Callable[[list[tuple[bytes, ...] | bytes], list], list[list[tuple[int, int]]]]
 
 
-def _anchors(g: np.ndarray, k: int, m: int) -> np.ndarray:
-    """Positions whose m-gram hash is the least in some window of k symbols. g: hashes of all m-grams of one text."""
+def _anchors(g: np.ndarray, k: int, m: int, first: np.ndarray | None) -> np.ndarray:
+    """Positions whose m-gram hash is the least in some window of k symbols (of those marked in first).
+    g: hashes of all m-grams of one text."""
     w = k - m + 1
     low = sliding(np.minimum, g, w)
+    if first is not None:
+        low[~first] = 0
     pad = np.zeros(w - 1, np.uint64)
     high = sliding(np.maximum, np.concatenate([pad, low, pad]), w)
     return np.flatnonzero(high == g)
 
 
+def firsts(g: np.ndarray, windows: Callable[[], np.ndarray]) -> np.ndarray | None:
+    """Which windows start first in their text; None where a sample of its m-grams hardly repeats."""
+    if len(g) < 256:
+        return None
+    sample = g[(g & np.uint64(31)) == 0]
+    if len(sample) * 128 >= len(g) and len(np.unique(sample)) >= 0.8 * len(sample):
+        return None
+    x = windows()
+    out = np.zeros(len(x), bool)
+    out[np.unique(x, return_index=True)[1]] = True
+    return out
+
+
+def _word_sums(x: np.ndarray) -> np.ndarray:
+    c = np.empty(len(x) + 1, np.uint64)
+    c[0] = 0
+    np.cumsum(x * powers(len(x) + 1)[1][: len(x)], out=c[1:])
+    return c
+
+
+def word_grams(x: np.ndarray, m: int) -> np.ndarray:
+    """Hashes of all runs of m words. x: hashes of the words."""
+    if len(x) < m:
+        return x[:0]
+    c = _word_sums(x)
+    at = np.arange(len(x) - m + 1)
+    return slice_hash(c, at, at + m)
+
+
+def local_spans(text: bytes, k: int, m: int, words: bool) -> list[tuple[int, int]]:
+    """Windows that also start earlier in the text, where firsts() leaves them out of the index."""
+    data = np.frombuffer(text, np.uint8)
+    out: list[tuple[int, int]] = []
+    if words:
+        starts, ends, _ = word_bounds(data, np.zeros(1, np.int64))
+        if len(starts) < 256 + m:
+            return out
+        x = slice_hash(prefix_sums(data), starts, ends)
+        parts = [(0, word_grams(x, m), lambda: word_grams(x, k))]
+    else:
+        parts = []
+        for lo in range(0, len(data), CHUNK):
+            part = data[lo : lo + CHUNK + k - 1]
+            if len(part) >= max(k, 256 + m - 1):
+                c = prefix_sums(part)
+                at = np.arange(len(part) - m + 1)
+                parts.append((lo, slice_hash(c, at, at + m), lambda c=c, n=len(part) - k + 1: slice_hash(c, np.arange(n), np.arange(n) + k)))
+    for lo, g, windows in parts:
+        if (first := firsts(g, windows)) is not None:
+            gone = np.flatnonzero(np.diff(np.concatenate([[0], (~first).astype(np.int8), [0]])))
+            out += [(int(s) + lo, int(e) + lo + k - 1) for s, e in zip(gone[::2], gone[1::2], strict=True)]
+    return out
+
+
 def byte_anchors(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         off, data = text_buffers(b.column(2))
@@ -59,7 +118,8 @@ def byte_anchors(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[
                 for r in range(i, j):
                     s, e = max(int(off[r]), lo) - lo, min(int(off[r + 1]), hi) - lo
                     if e - s >= k:
-                        p = _anchors(g[s : e - m + 1], k, m) + s
+                        w = np.arange(s, e - k + 1)
+                        p = _anchors(g[s : e - m + 1], k, m, firsts(g[s : e - m + 1], lambda c=c, w=w: slice_hash(c, w, w + k))) + s
                         out.append((g[p], np.full(len(p), r), p + lo - off[r]))
                         held += len(p)
             if held > 100_000 or j == len(off) - 1:
@@ -79,15 +139,12 @@ def word_anchors(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[
             if not len(starts):
                 continue
             x = slice_hash(prefix_sums(part), starts, ends)
-            g = x[: max(0, len(x) - m + 1)].copy()
-            for q in range(1, m):
-                g = mix(g + np.uint64(q)) + x[q : len(x) - m + 1 + q]
-            g = mix(g)
+            g = word_grams(x, m)
             out = []
             for r in range(i, j):
                 s, e = int(first[r - i]), int(first[r - i + 1])
                 if e - s >= k:
-                    p = _anchors(g[s : e - m + 1], k, m)
+                    p = _anchors(g[s : e - m + 1], k, m, firsts(g[s : e - m + 1], lambda s=s, e=e: word_grams(x[s:e], k)))
                     out.append((g[p + s], np.full(len(p), r), p))
             if out:
                 a, r, p = (np.concatenate(v) for v in zip(*out, strict=True))
@@ -180,7 +237,7 @@ def _resolve(batches: Iterator[pa.RecordBatch], k: int, words: bool, resolver: C
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
-def merged(spans: list, k: int, n: int) -> list[tuple[int, int]]:
+def merged(spans: list) -> list[tuple[int, int]]:
     """Union of intervals, as maximal runs."""
     out: list[list[int]] = []
     for s, e in sorted(spans):

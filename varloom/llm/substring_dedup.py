@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from varloom.llm._common import with_id
-from varloom.llm.repeats import merged, repeated_spans, split_words
+from varloom.llm.repeats import local_spans, merged, repeated_spans, split_words
 
 
 def _reach(x: list[bytes], y: list[bytes]) -> int:
@@ -45,12 +45,13 @@ def factor_spans(lefts: list[bytes], rights: list[bytes], k: int) -> list[list[t
     return out
 
 
-def _finish(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _finish(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for d, h, t, spans, copy in zip(*(b.column(c).to_pylist() for c in ("_d", "_h", "text", "spans", "copy")), strict=True):
-            w = split_words(t.encode())
-            runs = [(0, len(w))] if copy and len(w) >= k else merged([(x["s"], x["e"]) for x in spans or ()], k, len(w))
+            t = t.encode()
+            w = split_words(t)
+            runs = [(0, len(w))] if copy and len(w) >= k else merged([*((x["s"], x["e"]) for x in spans or ()), *local_spans(t, k, m, True)])
             kept, at = [], 0
             for s, e in runs:
                 kept += w[at:s]
@@ -64,7 +65,7 @@ def _finish(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
 def substring_dedup(docs: DataFrame, min_words: int = 20, anchor_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the removed word spans of every row."""
-    k = min_words
-    found = repeated_spans(docs, k, min(anchor_words, k), True, factor_spans, id_col, text_col)
+    k, m = min_words, min(anchor_words, min_words)
+    found = repeated_spans(docs, k, m, True, factor_spans, id_col, text_col)
     spans = "array<struct<start:int,end:int>>"
-    return with_id(found.mapInArrow(lambda it: _finish(it, k), f"_d long, _h long, n_words long, n_removed long, kept_sha256 string, spans {spans}"))
+    return with_id(found.mapInArrow(lambda it: _finish(it, k, m), f"_d long, _h long, n_words long, n_removed long, kept_sha256 string, spans {spans}"))

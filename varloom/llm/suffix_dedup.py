@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from varloom.llm._common import BASE, with_id
-from varloom.llm.repeats import merged, repeated_spans
+from varloom.llm.repeats import local_spans, merged, repeated_spans
 
 _MASK = (1 << 64) - 1
 
@@ -73,12 +73,12 @@ def suffix_spans(lefts: list[bytes], rights: list[bytes], k: int) -> list[list[t
     return [sorted(x) for x in found]
 
 
-def _finish(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _finish(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for d, h, t, spans, copy in zip(*(b.column(c).to_pylist() for c in ("_d", "_h", "text", "spans", "copy")), strict=True):
             t = t.encode()
-            runs = [(0, len(t))] if copy and len(t) >= k else merged([(x["s"], x["e"]) for x in spans or ()], k, len(t))
+            runs = [(0, len(t))] if copy and len(t) >= k else merged([*((x["s"], x["e"]) for x in spans or ()), *local_spans(t, k, m, False)])
             kept, at = hashlib.sha256(), 0
             for s, e in runs:
                 kept.update(t[at:s])
@@ -92,7 +92,7 @@ def _finish(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
 def suffix_dedup(docs: DataFrame, min_bytes: int = 100, anchor_bytes: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte spans of every row."""
-    k = min_bytes
-    found = repeated_spans(docs, k, min(anchor_bytes, k), False, suffix_spans, id_col, text_col)
+    k, m = min_bytes, min(anchor_bytes, min_bytes)
+    found = repeated_spans(docs, k, m, False, suffix_spans, id_col, text_col)
     spans = "array<struct<start:int,end:int>>"
-    return with_id(found.mapInArrow(lambda it: _finish(it, k), f"_d long, _h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {spans}"))
+    return with_id(found.mapInArrow(lambda it: _finish(it, k, m), f"_d long, _h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {spans}"))
