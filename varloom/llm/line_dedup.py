@@ -7,8 +7,8 @@ line number). Lines shorter than `least` code points are kept as they are.
 Method: of `edits` + 1 segments of a line, one survives `edits` edits. Every line is indexed under
 (its length, segment number, segment); a line as long or up to `edits` longer probes with the
 substrings that a common segment could be: per segment only the starts that leave enough edits for
-either side. Equal keys are candidates, which a banded bit-parallel edit distance (one word of
-2 * edits + 1 bits slides along the diagonal) verifies. Keys are hashed; what they hold is only
+either side. Equal keys are candidates if letter counts allow for it, and a banded bit-parallel edit distance (one word of
+2 * edits + 1 bits slides along the diagonal) verifies them. Keys are hashed; what they hold is only
 the hash of the line, so a frequent line costs one row per key after the distinct.
 
 Equal lines go by an aggregation with map-side combine over a 128-bit key, so a line in a third of
@@ -99,16 +99,29 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return let(F.split(a, ""), lambda x: let(F.split(b, ""), lambda y: distance(x, y))) <= edits
 
 
-def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
-    """(a, b): hashes x of different lines that share a key; b is as long as a or longer. lines: x, line, n."""
+#: Letters that are counted one by one; an edit changes the counts by two at most. Fixed.
+COUNTED = "etanoirshldu cm"
+
+
+def shared_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """(k, x, own): the keys that different lines share, and the hashes of those lines. lines: x, line, n."""
     rows = lines.select("x", F.inline(keys(F.col("line"), F.col("n"), edits)))
     # most keys belong to one line: the least and the largest hash, combined on the map side, tell which don't
     shared = rows.groupBy("k").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.max("own").alias("own"))
     shared = written(shared.where("lo != hi and own").select("k"), "shared")
     few = shared.count() <= MOST_SENT
-    met = written(rows.join(F.broadcast(shared) if few else shared, "k", "left_semi").distinct(), "met")
-    own = met.where("own").select("k", F.col("x").alias("a"))
-    return own.join(met.select("k", F.col("x").alias("b")), "k").where("a != b").select("a", "b").distinct()
+    return written(rows.join(F.broadcast(shared) if few else shared, "k", "left_semi").distinct(), "met")
+
+
+def near_pairs(met: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """(a, b): hashes of different lines that share a key and whose letter counts are near enough; b is as long
+    as a or longer. The counts are compared inside the join, so what many long lines share makes no rows."""
+    counts = [(F.length("line") - F.length(F.translate("line", c, ""))).alias(f"c{i}") for i, c in enumerate(COUNTED)]
+    light = texts.groupBy("x").agg(F.first("line").alias("line")).select("x", *counts)
+    side = lambda rows, s: rows.join(light, "x").select("k", F.col("x").alias(s), *[F.col(f"c{i}").alias(f"{s}{i}") for i in range(len(COUNTED))])
+    apart = sum((F.abs(F.col(f"a{i}") - F.col(f"b{i}")) for i in range(1, len(COUNTED))), F.abs(F.col("a0") - F.col("b0")))
+    a, b = side(met.where("own"), "a"), side(met, "b")
+    return a.join(b, (a["k"] == b["k"]) & (F.col("a") != F.col("b")) & (apart <= 2 * edits)).select("a", "b").distinct()
 
 
 def line_dedup(docs: DataFrame, edits: int = 2, least: int = 24, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -118,14 +131,15 @@ def line_dedup(docs: DataFrame, edits: int = 2, least: int = 24, id_col: str = "
     ids = lines.withColumns({"x": F.xxhash64("line"), "y": F.xxhash64(F.lit("y"), "line")})
     first = ids.groupBy("x", "y").agg(F.min(F.struct("_d", "_h", "i")).alias("first"), F.count(F.lit(1)).alias("uses"))
 
-    pairs = written(near_pairs(ids.select("x", "line", "n"), edits), "pairs")
-    wanted = written(pairs.select(F.col("a").alias("x")).union(pairs.select(F.col("b").alias("x"))).distinct(), "wanted")
+    met = shared_keys(ids.select("x", "line", "n"), edits)
+    wanted = written(met.select("x").distinct(), "wanted")
     few = wanted.count() <= MOST_SENT
     texts = ids.join(F.broadcast(wanted) if few else wanted, "x", "left_semi")
     texts = written(texts.groupBy("x", "y", "line").agg(F.min(F.struct("_d", "_h", "i")).alias("first")), "lines")
+    pairs = near_pairs(met, texts, edits)
     side = lambda s: texts.select(*[F.col(c).alias(f"{c}{s}") for c in ("x", "y", "line", "first")])
-    met = pairs.join(side("1"), F.col("a") == F.col("x1")).join(side("2"), F.col("b") == F.col("x2"))
-    near = met.where(within(F.col("line1"), F.col("line2"), edits))
+    both = pairs.join(side("1"), F.col("a") == F.col("x1")).join(side("2"), F.col("b") == F.col("x2"))
+    near = both.where(within(F.col("line1"), F.col("line2"), edits))
     later = F.col("first1") > F.col("first2")
     gone = near.select(F.when(later, F.col("x1")).otherwise(F.col("x2")).alias("x"), F.when(later, F.col("y1")).otherwise(F.col("y2")).alias("y")).distinct()
 
