@@ -154,19 +154,15 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
 
 def _keys(batches: Iterator[pa.RecordBatch], n: int, t: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        d = b.column(0).to_numpy(zero_copy_only=False)
-        out, held = [], 0
-        for r, s in enumerate(shingle_sets(b.column(2), n)):
-            if len(s):
-                out.append((group_keys(s, t), r))
-                held += len(out[-1][0])
-            if out and (held > 200_000 or r == b.num_rows - 1):
-                at = np.repeat([r for _, r in out], [len(k) for k, _ in out])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in out]).view(np.int64)), pa.array(d[at])], ["k", "_d"])
-                out, held = [], 0
-        if out:
-            at = np.repeat([r for _, r in out], [len(k) for k, _ in out])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in out]).view(np.int64)), pa.array(d[at])], ["k", "_d"])
+        out, held, lo = [], 0, 0
+        for r, s in enumerate(shingle_sets(b.column(2), n), 1):
+            out.append(group_keys(s, t) if len(s) else s)
+            held += len(out[-1])
+            if held > 200_000 or r == b.num_rows:
+                ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+                ks = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, r - lo), ks], ["_d", "ks"])
+                out, held, lo = [], 0, r
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -217,9 +213,9 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = 4, percent: int = 85, id_
     # one node per document id and set; ids are unique unless a table repeats an id with another text
     same = sketch.where("n > 0").groupBy("n", "x", "y").agg(F.min("_d").alias("node"))
     copies = sketch.where("n > 0").join(same, ["n", "x", "y"]).where("_d != node").select(F.col("_d").alias("a"), F.col("node").alias("b"))
-    own = t.join(copies.select(F.col("a").alias("_d")).distinct(), "_d", "left_anti")
-
-    keys = own.mapInArrow(lambda it: _keys(it, shingle, share), "k long, _d long")
+    packed = t.mapInArrow(lambda it: _keys(it, shingle, share), "_d long, ks array<long>")
+    own = packed.join(copies.select(F.col("a").alias("_d")).distinct(), "_d", "left_anti")
+    keys = own.select(F.explode("ks").alias("k"), "_d").repartition("k")  # dealt once, for the aggregation and the join
     hubs = keys.groupBy("k").agg(F.min("_d").alias("hub"), F.max("_d").alias("most")).where("hub != most").select("k", "hub")
     near = keys.join(hubs, "k").where("_d != hub").select(F.col("_d").alias("a"), F.col("hub").alias("b")).distinct()
     cells = components(near)
