@@ -74,22 +74,24 @@ def removed_by_windows(corpus, k: int, words: bool) -> dict:
     return out
 
 
-@pytest.mark.parametrize("most_rows", [64, 1])
-def test_suffix_dedup(docs, corpus, most_rows, monkeypatch):
+@pytest.mark.parametrize(("most_rows", "most_paired"), [(20_000, 24), (20_000, 1), (1, 24)])
+def test_suffix_dedup(docs, corpus, most_rows, most_paired, monkeypatch):
     from varloom.llm import repeats
     from varloom.llm.suffix_dedup import suffix_dedup
 
     monkeypatch.setattr(repeats, "MOST_ROWS", most_rows)  # 1: everything the way of very frequent anchors
+    monkeypatch.setattr(repeats, "MOST_PAIRED", most_paired)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(docs).collect()}
     assert got == removed_by_windows(corpus, 100, False)
 
 
-@pytest.mark.parametrize("most_rows", [64, 1])
-def test_substring_dedup(docs, corpus, most_rows, monkeypatch):
+@pytest.mark.parametrize(("most_rows", "most_paired"), [(20_000, 24), (20_000, 1), (1, 24)])
+def test_substring_dedup(docs, corpus, most_rows, most_paired, monkeypatch):
     from varloom.llm import repeats
     from varloom.llm.substring_dedup import substring_dedup
 
     monkeypatch.setattr(repeats, "MOST_ROWS", most_rows)
+    monkeypatch.setattr(repeats, "MOST_PAIRED", most_paired)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(docs).collect()}
     assert got == {i: (n, m, h) for i, (n, m, _, h) in removed_by_windows(corpus, 20, True).items()}
 

@@ -32,11 +32,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: list[str] | None = None) -> DataFrame:
-    """(_d, _h, text): a null id counts as the smallest, a null text as empty. _h tells apart
+    """(_d, _h, text): a null id counts as the smallest, a null text as empty. _h (32 bits) tells apart
     different texts under one id; equal rows share a key and so a result."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    return docs.select(d.alias("_d"), F.xxhash64(text).alias("_h"), text.alias("text"), *(more or []))
+    return docs.select(d.alias("_d"), F.shiftright(F.xxhash64(text), 32).alias("_h"), text.alias("text"), *(more or []))
 
 
 def with_id(df: DataFrame) -> DataFrame:
