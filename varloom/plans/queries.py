@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.functions import scalars as S
-from varloom.operators import align, genotype, intervals, qc, reads, recalibrate, variants
+from varloom.operators import align, genotype, intervals, qc, reads, recalibrate, support, variants
 from varloom.plans.views import lengths, sql, table, view
 
 _QUERIES: dict[str, Callable] = {}
@@ -308,13 +308,13 @@ def _(spark, d):
     return hit.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("J07_first_at_or_after", """, a AS (SELECT event_id, chrom, pos + 7 AS pos FROM points WHERE event_type = 'error'), b AS (SELECT chrom, pos AS at, event_id AS v FROM points WHERE event_type = 'view'),
-h AS (SELECT DISTINCT chrom, pos FROM a), m AS (SELECT h.chrom, h.pos, min(at) AS at FROM h LEFT JOIN b ON b.chrom = h.chrom AND b.at >= h.pos GROUP BY h.chrom, h.pos)
-SELECT m.chrom, m.pos, m.at, min(v) AS v FROM m LEFT JOIN b ON b.chrom = m.chrom AND b.at = m.at GROUP BY m.chrom, m.pos, m.at""", "points")
+@_query("J07_first_at_or_after", """, a AS (SELECT event_id, chrom, pos + 7 AS pos FROM points WHERE event_type = 'error'), b AS (SELECT chrom, pos AS hit, event_id AS v FROM points WHERE event_type = 'view'),
+h AS (SELECT DISTINCT chrom, pos FROM a), m AS (SELECT h.chrom, h.pos, min(hit) AS hit FROM h LEFT JOIN b ON b.chrom = h.chrom AND b.hit >= h.pos GROUP BY h.chrom, h.pos)
+SELECT m.chrom, m.pos, m.hit, min(v) AS v FROM m LEFT JOIN b ON b.chrom = m.chrom AND b.hit = m.hit GROUP BY m.chrom, m.pos, m.hit""", "points")
 def _(spark, d):
     p = view(spark, d, "points")
     a = p.where("event_type = 'error'").select("chrom", (F.col("pos") + 7).alias("pos")).distinct()
-    return intervals.first_at_or_after(a, p.where("event_type = 'view'").select("chrom", F.col("pos").alias("at"), F.col("event_id").alias("v")), "chrom", "pos", "at", "v")
+    return intervals.first_at_or_after(a, p.where("event_type = 'view'").select("chrom", F.col("pos").alias("hit"), F.col("event_id").alias("v")), "chrom", "pos", "hit", "v")
 
 
 @_query("J08_training_flag", "SELECT o_orderkey, o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AS training FROM orders")
@@ -323,12 +323,12 @@ def _(spark, d):
     return table(spark, d, "orders").join(good, "o_custkey", "left").select("o_orderkey", F.coalesce("t", F.lit(False)).alias("training"))
 
 
-@_query("J15_merge_best", """, f AS (SELECT l_orderkey AS chrom, l_linenumber AS pos, 0 AS file_no, l_quantity AS qual, l_returnflag AS info FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 1, l_quantity + 10 - l_linenumber * 4, l_linestatus FROM lineitem),
-r AS (SELECT *, row_number() OVER (PARTITION BY chrom, pos ORDER BY qual DESC, file_no) AS k FROM f) SELECT chrom, CAST(pos AS INT) AS pos, 0 AS file_no, qual, info FROM r WHERE k = 1""", "points")
+@_query("J15_merge_best", """WITH f AS (SELECT o_custkey AS chrom, o_orderkey AS pos, 0 AS file_no, o_totalprice AS qual, o_orderstatus AS info FROM orders UNION ALL SELECT o_custkey, o_orderkey, 1, o_totalprice + (o_orderkey % 3 - 1) * 10, o_orderpriority FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY chrom, pos ORDER BY qual DESC, file_no) AS k FROM f) SELECT chrom, pos, 0 AS file_no, qual, info FROM r WHERE k = 1""")
 def _(spark, d):
-    t = table(spark, d, "lineitem")
-    one = t.select(F.col("l_orderkey").alias("chrom"), F.col("l_linenumber").alias("pos"), F.lit(0).alias("file_no"), F.col("l_quantity").alias("qual"), F.col("l_returnflag").alias("info"))
-    two = t.select(F.col("l_orderkey").alias("chrom"), F.col("l_linenumber").alias("pos"), F.lit(1).alias("file_no"), (F.col("l_quantity") + 10 - F.col("l_linenumber") * 4).alias("qual"), F.col("l_linestatus").alias("info"))
+    t = table(spark, d, "orders")
+    one = t.select(F.col("o_custkey").alias("chrom"), F.col("o_orderkey").alias("pos"), F.lit(0).alias("file_no"), F.col("o_totalprice").alias("qual"), F.col("o_orderstatus").alias("info"))
+    two = t.select(F.col("o_custkey").alias("chrom"), F.col("o_orderkey").alias("pos"), F.lit(1).alias("file_no"), (F.col("o_totalprice") + (F.col("o_orderkey") % 3 - 1) * 10).alias("qual"), F.col("o_orderpriority").alias("info"))
     return qc.merge_best(one.unionByName(two)).select("chrom", "pos", "file_no", "qual", "info")
 
 
@@ -584,3 +584,122 @@ def _(spark, d):
 def _(spark, d):
     v = view(spark, d, "aligned").select(F.col("q_id").alias("pair_id"), F.regexp_replace("t_seq", "-", "").alias("a"), F.regexp_replace("q_seq", "-", "").alias("b"))
     return align.smith_waterman(v)
+
+
+
+
+@_query("P20_alt_allele", """SELECT p_partkey, CASE p_size % 3 WHEN 2 THEN 'G' ELSE 'AC' END AS alt, p_size % 3 = 0 AS snp FROM part""")
+def _(spark, d):
+    t = table(spark, d, "part").withColumn("gt", F.concat(F.lit("0/"), (F.col("p_size") % 3).cast("string")))
+    alts = F.array(F.lit("AC"), F.lit("G"))
+    return t.select("p_partkey", support.alt_allele(alts, F.col("gt")).alias("alt"), support.is_snp(F.lit("A"), F.array(F.when(F.col("p_size") % 3 == 0, "C").otherwise("CC"))).alias("snp"))
+
+
+@_query("P22_collapse_gt", "SELECT p_partkey, CASE WHEN p_size % 12 > 1 THEN '0/1' ELSE '0/' || CAST(p_size % 12 AS VARCHAR) END AS gt, nullif(p_size % 12, 0) AS first FROM part")
+def _(spark, d):
+    gt = F.concat(F.lit("0/"), (F.col("p_size") % 12).cast("string"))
+    return table(spark, d, "part").select("p_partkey", S.collapse_gt(gt).alias("gt"), S.first_alt(gt).alias("first"))
+
+
+@_query("P23_borrowed", f""", g AS (SELECT site, sample, {_GT} AS gt, rr, aa FROM genotypes), r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY CASE gt WHEN './.' THEN 2 WHEN '0/0' THEN 1 ELSE 0 END, sample) AS k FROM g)
+SELECT site, rr, aa FROM r WHERE k = 1""", "genotypes")
+def _(spark, d):
+    g = view(spark, d, "genotypes").select("site", F.col("sample").alias("sample_ord"), F.expr(_GT).alias("gt"), "rr", "aa")
+    return support.borrowed(g, ["rr", "aa"])
+
+
+@_query("P33_34_site_genotypes", f""", g AS (SELECT site, {_GT} AS gt FROM genotypes) SELECT site, count(*) FILTER (gt NOT IN ('0/0', './.')) > 0 AS has, CAST(count(*) FILTER (gt <> './.') AS INT) AS present FROM g GROUP BY site""", "genotypes")
+def _(spark, d):
+    g = view(spark, d, "genotypes").groupBy("site").agg(F.collect_list(F.expr(_GT)).alias("gts"))  # a row per sample of the cohort
+    return g.select("site", support.has_genotype(F.col("gts")).alias("has"), F.size(support.present(F.col("gts"))).alias("present"))
+
+
+@_query("P32_shared_prefix", "SELECT q_id, CAST(list_max(list_transform(range(0, 21), lambda n: CASE WHEN substr(t_seq, 1, n) = substr(q_seq, 1, n) THEN n ELSE 0 END)) AS INT) AS n FROM aligned", "aligned")
+def _(spark, d):
+    return view(spark, d, "aligned").select("q_id", variants.shared_prefix(F.substring("t_seq", 1, 20), F.substring("q_seq", 1, 20)).alias("n"))
+
+
+@_query("P18_19_size_and_n_ratio", """SELECT q_id, CASE WHEN t_id % 2 = 0 THEN 9 ELSE length(q_seq) - length(t_seq) + 3 END AS size, round(length(regexp_replace(substr(q_seq, greatest(1, 20 - 5), least(length(q_seq), 30 + 5) - greatest(1, 20 - 5) + 1), '[^N]', '', 'g')) / (abs(-4) + 10), 6) AS n_ratio FROM aligned""", "aligned")
+def _(spark, d):
+    kind = F.when(F.col("t_id") % 2 == 0, "SNP").otherwise("INS")
+    size = variants.variant_size(kind, F.lit(9), F.col("t_seq"), F.concat("q_seq", F.lit("AAA")))
+    ratio = variants.n_ratio_around(F.col("q_seq"), F.lit(20), F.lit(30), F.lit(-4), 5)
+    return view(spark, d, "aligned").select("q_id", size.cast("long").alias("size"), F.round(ratio, 6).alias("n_ratio"))
+
+
+@_query("P47_concordance", f", g AS (SELECT {_GT} AS gt, CASE WHEN rr + aa > 0 THEN rr / (rr + aa) ELSE 1.0 END AS r FROM genotypes) SELECT gt, count(*) AS n, CAST(count(*) FILTER (CASE gt WHEN '1/1' THEN r > 0.4 WHEN '0/1' THEN r < 0.2 ELSE false END) AS BIGINT) AS errors FROM g GROUP BY gt", "genotypes")
+def _(spark, d):
+    g = genotype.reference_ratio(view(spark, d, "genotypes")).select(F.expr(_GT).alias("gt"), "ratio")
+    return g.groupBy("gt").agg(F.count(F.lit(1)).alias("n"), F.count_if(qc.concordance_error(F.col("gt"), F.col("ratio"))).alias("errors"))
+
+
+@_query("P52_random_reads")
+def _(spark, d):
+    r = _reads(spark, d).select("ref", F.col("pos").alias("at"), F.col("name_no").alias("read_no"))
+    return support.random_reads(support.random_points(spark, r.groupBy("ref").agg(F.max("at").alias("len")), 500, 7), r)
+
+
+@_query("J12_mates", """, a AS (SELECT q_id, q_start, q_end, max(t_start) AS s FROM intervals WHERE strand = '+' GROUP BY 1, 2, 3), e AS (SELECT q_id, q_start, q_end, max(t_start) AS s FROM intervals WHERE strand = '-' GROUP BY 1, 2, 3)
+SELECT q_id, q_start, q_end, a.s AS t_start_a, e.s AS t_start_e FROM a FULL JOIN e USING (q_id, q_start, q_end)""", "intervals")
+def _(spark, d):
+    v = view(spark, d, "intervals").groupBy("q_id", "q_start", "q_end", (F.col("strand") == "-").alias("expected")).agg(F.max("t_start").alias("t_start"), F.max("t_end").alias("t_end"), F.max("t_id").alias("t_id"))
+    return support.translocation_mates(v).select("q_id", "q_start", "q_end", "t_start_a", "t_start_e")
+
+
+@_query("J16_candidates", f"WITH r AS ({_READS}) SELECT rg, count(*) AS n FROM r WHERE (rg, name_no) IN (SELECT rg, name_no FROM r WHERE flag < 200) GROUP BY rg")
+def _(spark, d):
+    r = _reads(spark, d).withColumnRenamed("name_no", "name")
+    return support.candidates(r, r.where("flag < 200").select("rg", "name")).groupBy("rg").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("J09_with_lengths", "SELECT l_orderkey AS line, o_custkey AS len FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def _(spark, d):
+    rows = table(spark, d, "lineitem").select(F.lit("s").alias("sample"), F.col("l_orderkey").alias("scaffold"))
+    ln = table(spark, d, "orders").select(F.lit("s").alias("sample"), F.col("o_orderkey").alias("scaffold"), F.col("o_custkey").alias("len"))
+    return support.with_lengths(rows, ln).select(F.col("scaffold").alias("line"), "len")
+
+
+@_query("J06_overlap_semi", """SELECT t_id, q_id, t_start, line_no FROM intervals a WHERE EXISTS (SELECT 1 FROM intervals b WHERE b.line_no = 7 AND b.t_id = a.t_id AND a.t_start <= b.t_end AND a.t_end >= b.t_start)""", "intervals")
+def _(spark, d):
+    v = view(spark, d, "intervals")
+    out = intervals.interval_join(v, v.where("line_no = 7"), "t_id", ("t_start", "t_end"), ("t_start", "t_end"), bits=5, how="left_semi")
+    return out.select("t_id", "q_id", "t_start", "line_no")
+
+
+@_query("W03_furthest", _FURTHEST + " SELECT t_id, q_id, line_no, p.e AS prev_end, p.q AS prev_q FROM r WHERE p IS NOT NULL", "intervals")
+def _(spark, d):
+    return intervals.furthest(view(spark, d, "intervals")).where("prev is not null").select("t_id", "q_id", "line_no", F.col("prev.end").alias("prev_end"), F.col("prev.q_id").alias("prev_q"))
+
+
+@_query("A18_threshold_counts", "SELECT filter AS culprit, count(*) AS n, " + ", ".join(f"count(*) FILTER (size >= {t}) AS lod{t}" for t in range(5)) + " FROM sites GROUP BY filter", "sites")
+def _(spark, d):
+    return recalibrate.culprits(view(spark, d, "sites").select(F.col("filter").alias("culprit"), F.col("size").alias("lod")))
+
+
+@_query("A33_count_region", f"WITH r AS ({_READS}) SELECT count(*) AS n FROM r WHERE ref = '3' AND pos BETWEEN 100 AND 2000")
+def _(spark, d):
+    return _reads(spark, d).where("ref = '3' and pos between 100 and 2000").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("K11_histogram", "SELECT CAST(least(19, floor((vq - 0) * 20 / 100.0)) AS INT) AS bin, count(*) AS n FROM sites WHERE vq BETWEEN 0 AND 100 GROUP BY 1", "sites")
+def _(spark, d):
+    return support.histogram(view(spark, d, "sites"), "vq", 0, 100, 20)
+
+
+@_query("O05_fixed_order", "SELECT r_regionkey, r_name FROM region WHERE r_name IN ('EUROPE', 'ASIA', 'AFRICA')")
+def _(spark, d):
+    from varloom.sources.readers import in_order_of
+
+    return in_order_of(table(spark, d, "region").select("r_regionkey", "r_name"), "r_name", ["EUROPE", "ASIA", "AFRICA"])
+
+
+@_query("S21_full_merge", "SELECT user_id AS chrom, min(CAST(event_id AS BIGINT)) AS low, count(*) AS n FROM events GROUP BY user_id")
+def _(spark, d):
+    t = table(spark, d, "events").select(F.col("user_id").alias("chrom"), F.lit(1).alias("pos"), F.lit("A").alias("ref"), F.col("event_id").alias("sample_ord"), F.lit("0/1").alias("gt"), F.lit("C").alias("alt"))
+    parts = [t.where(F.col("sample_ord") % 3 == k) for k in range(3)]
+    return support.full_merge(parts).select("chrom", F.get("samples", 0)["sample_ord"].alias("low"), F.size("samples").cast("long").alias("n"))
+
+
+@_query("K13_bed_lines", f"""WITH r AS ({_READS}) SELECT ref || chr(9) || CAST(pos - 1 AS VARCHAR) || chr(9) || CAST(pos + 9 AS VARCHAR) || chr(9) || CAST(name_no AS VARCHAR) || chr(9) || CAST(mapq AS VARCHAR) || chr(9) || CASE WHEN {_BIT(16)} THEN '-' ELSE '+' END AS value FROM r""")
+def _(spark, d):
+    return reads.bed_line(_reads(spark, d).withColumn("cigar", reads.parse_cigar(F.lit("10M"))).withColumnRenamed("name_no", "name"))

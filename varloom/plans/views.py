@@ -27,8 +27,8 @@ FROM events GROUP BY user_id, event_type"""
 LETTERS, BASES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACNTACGTACGTA-"
 ALIGNED = f"""
 SELECT CAST(doc_id % 50 AS BIGINT) AS t_id, CAST(doc_id AS BIGINT) AS q_id, CAST(doc_id + 1 AS BIGINT) AS t_start, CAST(doc_id * 2 + 1 AS BIGINT) AS q_start,
-  translate(regexp_replace(upper(substr(text, 1, 60)), '[^A-Z]', 'Z'{{g}}), '{LETTERS}', '{BASES}') AS t_seq,
-  translate(regexp_replace(upper(substr(text, 2, 60)), '[^A-Z]', 'E'{{g}}), '{LETTERS}', '{BASES}') AS q_seq
+  translate(regexp_replace(translate(substr(text, 1, 60), '{LETTERS.lower()}', '{LETTERS}'), '[^A-Z]', 'Z'{{g}}), '{LETTERS}', '{BASES}') AS t_seq,
+  translate(regexp_replace(translate(substr(text, 2, 60), '{LETTERS.lower()}', '{LETTERS}'), '[^A-Z]', 'E'{{g}}), '{LETTERS}', '{BASES}') AS q_seq
 FROM documents WHERE length(text) > 61"""
 SPARK = {"days": "datediff(l_shipdate, DATE'1970-01-01')", "minutes": "timestampdiff(MINUTE, timestamp_ntz'2024-01-01 00:00:00', ts)", "g": ""}
 DUCK = {"days": "date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))", "minutes": "date_diff('minute', TIMESTAMP '2024-01-01 00:00:00', ts)", "g": ", 'g'"}
