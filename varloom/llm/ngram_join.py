@@ -8,8 +8,9 @@ on the sets. Links inside what is already joined need no verification, as only c
 
 Where to look: by the same grouping. Two sets linked at threshold t differ in at most d shingles,
 so of d + 1 groups at least one has equal contents. Each set emits a key per group (groups are as
-many as its size class needs; a class meets itself and the next). Sets that share a key are put
-into one cell by their components; cells hold near copies, as a whole group must agree. Every
+many as its size class needs; a class meets itself and the next; small sets with many empty groups
+emit prefixes too). Sets that share a key are put into one cell by their components; cells hold
+near copies, as a whole group must agree. Every
 cell is joined by an R-tree of its own. Cells of more than MOST_SETS are cut into blocks, and each
 pair of blocks is one task: exact, whatever the size. Nothing is sampled or dropped.
 
@@ -57,38 +58,43 @@ def shingle_sets(col, n: int) -> Iterator[np.ndarray]:
             yield np.unique(mix(g + np.uint64(m)))
 
 
-def size_class(n: np.ndarray | int, t: float):
-    """Sizes of one class differ by less than a factor 1 / t, so linked sets are of one class or of neighbours."""
-    return np.floor(np.log(n) / -np.log(t) + 1e-9).astype(np.int64)
+#: A size class spans a factor of t ** -SPAN.
+SPAN = 3
 
 
-def class_groups(c: int, t: float) -> int:
-    """One more than the shingles in which two linked sets can differ, the larger being of class c."""
-    top = np.ceil(t ** -(c + 1.0)) + 1
-    return int((1 - t) / (1 + t) * 2 * top) + 1
+def size_class(n: float, t: float) -> int:
+    """Linked sets differ in size by a factor of 1 / t at most, so they are of one class or of neighbours."""
+    return int(np.floor(np.log(n) / (-SPAN * np.log(t)) + 1e-9))
+
+
+def class_groups(c: int, t: float) -> tuple[int, int]:
+    """(groups, spare) of a class: as many groups as two linked sets can differ in shingles, the larger being of
+    this class, one more, and one for each of `spare` groups that may be empty."""
+    top = np.ceil(t ** (-SPAN * (c + 1.0))) + 1
+    least = int((1 - t) / (1 + t) * 2 * top) + 1
+    spare = 2 + least // 20
+    return least + spare, spare
 
 
 def group_keys(x: np.ndarray, t: float) -> np.ndarray:
-    """A key per group and class: the hash of the group's contents."""
-    c = int(size_class(len(x), t))
+    """A key per filled group, of the set's own class and of the next one if a larger set of it can be linked."""
+    c = size_class(len(x), t)
     out = []
-    for k in (c, c + 1):
-        g = class_groups(k, t)
+    for k in {c, size_class(int(len(x) / t) + 1, t)}:
+        g, spare = class_groups(k, t)
         at = (mix(x + np.uint64(k + 1)) % np.uint64(g)).astype(np.int64)
-        total = np.zeros(g, np.uint64)
-        np.add.at(total, at, mix(x ^ np.uint64(0x5851F42D4C957F2D)))
+        order = np.argsort(at, kind="stable")
         filled = np.bincount(at, minlength=g)
-        ids = np.arange(g)
-        # An empty group agrees with every empty one; it takes the number of shingles, which bounds the rest.
-        out.append(mix(mix(total + filled.astype(np.uint64)) + ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k))[filled > 0])
-        if (filled == 0).any():
-            out.append(empty_keys(x, k, t))
+        ids = np.flatnonzero(filled)
+        total = np.add.reduceat(mix(x ^ np.uint64(0x5851F42D4C957F2D))[order], np.cumsum(filled)[ids] - filled[ids])
+        out.append(mix(mix(total + filled[ids].astype(np.uint64)) + ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)))
+        if g - len(ids) > spare:  # of two such sets the groups that agree may all be empty
+            out.append(prefix_keys(x, t))
     return np.unique(np.concatenate(out))
 
 
-def empty_keys(x: np.ndarray, k: int, t: float) -> np.ndarray:
-    """For sets so small that groups may be empty: keys by prefix filter instead (of linked sets, the
-    first (1 - t) n + 1 shingles in hash order have one in common)."""
+def prefix_keys(x: np.ndarray, t: float) -> np.ndarray:
+    """For small sets: of the first (1 - t) n + 1 shingles in hash order, linked sets have one in common."""
     p = len(x) - int(np.ceil(t * len(x) - 1e-9)) + 1
     return mix(x[:p] + np.uint64(0xABCDEF))
 
@@ -145,24 +151,46 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
     for b in batches:
         rows = []
         for s in shingle_sets(b.column(2), n):
-            x = int(np.add.reduce(mix(s))) if len(s) else 0
-            y = int(np.bitwise_xor.reduce(mix(s + np.uint64(77)))) if len(s) else 0
-            rows.append((len(s), x, y))
+            rows.append((len(s), *digest(s)))
         k, x, y = (np.array(c, np.uint64) for c in zip(*rows, strict=True))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(k.astype(np.int64)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["_d", "_h", "n", "x", "y"])
 
 
+def digest(s: np.ndarray) -> tuple[int, int]:
+    return int(np.add.reduce(mix(s))), int(np.bitwise_xor.reduce(mix(s + np.uint64(77))))
+
+
 def _keys(batches: Iterator[pa.RecordBatch], n: int, t: float) -> Iterator[pa.RecordBatch]:
+    """(k, _d). Of equal sets, which are linked already, a task emits one only."""
+    seen: set[tuple[int, int, int]] = set()
     for b in batches:
-        out, held, lo = [], 0, 0
+        d = b.column(0).to_numpy(zero_copy_only=False)
+        out, held = [], 0
         for r, s in enumerate(shingle_sets(b.column(2), n), 1):
-            out.append(group_keys(s, t) if len(s) else s)
-            held += len(out[-1])
-            if held > 200_000 or r == b.num_rows:
-                ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
-                ks = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, r - lo), ks], ["_d", "ks"])
-                out, held, lo = [], 0, r
+            if len(s) and (x := (len(s), *digest(s))) not in seen:
+                seen.add(x)
+                out.append((group_keys(s, t), r - 1))
+                held += len(out[-1][0])
+            if out and (held > 200_000 or r == b.num_rows):
+                at = np.repeat([i for _, i in out], [len(k) for k, _ in out])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in out]).view(np.int64)), pa.array(d[at])], ["k", "_d"])
+                out, held = [], 0
+
+
+def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key and document: each document with the first one of its key, once per batch."""
+    last: tuple[int, int] | None = None
+    for b in batches:
+        k, d = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        if not len(k):
+            continue
+        new = np.concatenate([[last is None or last[0] != k[0]], k[1:] != k[:-1]])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+        hub = np.where(at >= 0, d[np.maximum(at, 0)], last[1] if last else 0)
+        last = int(k[-1]), int(hub[-1])
+        near = np.unique(np.stack([d, hub], 1)[d != hub], axis=0)
+        if len(near):
+            yield pa.RecordBatch.from_arrays([pa.array(near[:, 0]), pa.array(near[:, 1])], ["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -213,11 +241,8 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = 4, percent: int = 85, id_
     # one node per document id and set; ids are unique unless a table repeats an id with another text
     same = sketch.where("n > 0").groupBy("n", "x", "y").agg(F.min("_d").alias("node"))
     copies = sketch.where("n > 0").join(same, ["n", "x", "y"]).where("_d != node").select(F.col("_d").alias("a"), F.col("node").alias("b"))
-    packed = t.mapInArrow(lambda it: _keys(it, shingle, share), "_d long, ks array<long>")
-    own = packed.join(copies.select(F.col("a").alias("_d")).distinct(), "_d", "left_anti")
-    keys = own.select(F.explode("ks").alias("k"), "_d").repartition("k")  # dealt once, for the aggregation and the join
-    hubs = keys.groupBy("k").agg(F.min("_d").alias("hub"), F.max("_d").alias("most")).where("hub != most").select("k", "hub")
-    near = keys.join(hubs, "k").where("_d != hub").select(F.col("_d").alias("a"), F.col("hub").alias("b")).distinct()
+    keys = t.mapInArrow(lambda it: _keys(it, shingle, share), "k long, _d long")
+    near = keys.repartition("k").sortWithinPartitions("k", "_d").mapInArrow(_hubs, "a long, b long")
     cells = components(near)
     cells = cells.join(cells.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component").select(F.col("node").alias("_d"), F.col("component").alias("cell"), "members")
     held = t.join(cells, "_d").mapInArrow(lambda it: _sets(it, shingle), "cell long, part int, side int, _d long, s binary")
