@@ -158,11 +158,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
         return {}, [float(np.log((toxic + 0.5) / (clean + 0.5))), *[0.0] * CHANNELS]
     kind = "entry string, t long, c long"
     seen = own.where("_y = 1").mapInArrow(lambda it: _entries(it, None), kind).groupBy("entry").agg(F.sum("t").alias("t"))
-    least = max(3, toxic // 200)
+    least = max(4, toxic // 200)
     names = frozenset(r.entry for r in seen.where(F.col("t") >= least).orderBy(F.desc("t"), "entry").limit(10 * MAX_ENTRIES).collect())
     counts = own.mapInArrow(lambda it: _entries(it, names), kind).groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     weight = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
-    top = counts.select("entry", weight.alias("w")).where("w > 3").orderBy(F.desc("w"), "entry").limit(MAX_ENTRIES).collect()
+    # the same with either count two deviations towards the other class, so that chance makes no entry
+    t, c = F.col("t") - 2 * F.sqrt("t"), F.col("c") + 2 * F.sqrt(F.col("c") + 1) + 1
+    cautious = F.log(F.greatest(t, F.lit(0.1)) / (toxic + 1.0)) - F.log(c / (clean + 1.0))
+    top = counts.select("entry", weight.alias("w"), cautious.alias("least")).where("w > 3 and least > 0.6").orderBy(F.desc("w"), "entry").limit(MAX_ENTRIES).collect()
     lexicon = {r.entry: float(r.w) for r in top}
     rows = own.mapInArrow(lambda it: _channels(it, lexicon), "_y int, x array<double>").collect()  # at most max_rows
     x, y = np.array([r.x for r in rows]), np.array([r["_y"] for r in rows], float)
