@@ -94,9 +94,8 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
-#: DuckDB SQL where SQL can express an operator.
-ORACLE: dict[str, str] = {}
-
-
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    """DuckDB SQL where SQL can express an operator; the others are tested against brute force."""
+    from varloom.llm.oracle import SQL
+
+    return dict(SQL)
