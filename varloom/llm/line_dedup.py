@@ -31,26 +31,35 @@ from varloom.llm.quality_rules import let
 MOST_SENT = 500_000
 
 
-def segment(n: Column, j: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment j of a line of n code points; the last ones are one longer."""
-    base, extra = F.floor(n / parts).cast("int"), (n % parts).cast("int")
-    before = F.lit(j) * base + F.greatest(F.lit(0), F.lit(j) - (F.lit(parts) - extra))
-    return (before + 1).cast("int"), base + F.when(F.lit(j) >= F.lit(parts) - extra, 1).otherwise(0)
-
-
-def keys(line: Column, n: Column, edits: int) -> Column:
-    """array<struct<k, own>>: the keys a line is found under (own) or probes with."""
-    out = []
-    for less in range(edits + 1):  # the other line has so many code points less
-        m = n - less
-        for j in range(edits + 1):
-            start, size = segment(m, j, edits + 1)
-            lo = max(-j, less - (edits - j))
-            hi = min(j, less + (edits - j))
-            for shift in range(lo, hi + 1):
-                k = F.xxhash64(m, F.lit(j), F.substr(line, start + shift, size))
-                out.append(F.struct(k.alias("k"), F.lit(less == 0 and shift == 0).alias("own")))
-    return F.array(*out)
+def key_rows(lines: DataFrame, edits: int) -> DataFrame:
+    """(x, k, own): the keys that a line is found under (own) or probes with. lines: x, line, n.
+
+    A row per key with one short expression for all of them, which the JVM compiles; bytes stand for
+    code points where a line has one each, as these are found without a walk through the line."""
+    parts = edits + 1
+    probes = []
+    for less in range(parts):  # the other line has so many code points less
+        for j in range(parts):
+            for shift in range(max(-j, less - (edits - j)), min(j, less + (edits - j)) + 1):
+                probes.append(F.struct(F.lit(less).alias("less"), F.lit(j).alias("j"), F.lit(shift).alias("shift")))
+    plain = F.when(F.octet_length("line") == F.col("n"), F.col("line").cast("binary"))
+    rows = lines.withColumn("bytes", plain).select("x", "line", "bytes", "n", F.inline(F.array(*probes)))
+    m, j = F.col("n") - F.col("less"), F.col("j")
+    size, longer = F.expr(f"cast((n - less) div {parts} as int)"), F.lit(parts) - F.expr(f"(n - less) % {parts}")  # the last segments are one longer
+    start = (j * size + F.greatest(F.lit(0), j - longer) + 1 + F.col("shift")).cast("int")
+    size = (size + F.when(j >= longer, 1).otherwise(0)).cast("int")
+    k = F.when(F.col("bytes").isNotNull(), F.xxhash64(m, j, F.substr("bytes", start, size))).otherwise(F.xxhash64(m, j, F.substr("line", start, size)))
+    return rows.select("x", k.alias("k"), ((F.col("less") == 0) & (F.col("shift") == 0)).alias("own"))
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """Length of the common prefix, by doubling steps downwards."""
+    def of(x: Column) -> Column:
+        steps = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
+        most = F.least(F.length(x["a"]), F.length(x["b"]))
+        return let(most, lambda m: F.aggregate(F.filter(steps, lambda k: k <= m), F.lit(0), lambda n, k: F.when((n + k <= m) & (F.substr(x["a"], n + 1, k) == F.substr(x["b"], n + 1, k)), n + k).otherwise(n)))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -96,7 +105,16 @@ def within(a: Column, b: Column, edits: int) -> Column:
         start = F.struct(F.lit(full & (full << edits)).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("d"))
         return F.aggregate(F.sequence(F.lit(0), m - 1), start, step, lambda s: s["d"])
 
-    return let(F.split(a, ""), lambda x: let(F.split(b, ""), lambda y: distance(x, y))) <= edits
+    # what both begin and end with does not count, but for a band's width of it
+    p = F.greatest(F.lit(0), common_prefix(a, b) - (edits + 1))
+    ahead = let(p, lambda n: F.struct(F.substr(a, n + 1).alias("a"), F.substr(b, n + 1).alias("b")))
+
+    def both(x: Column) -> Column:
+        q = F.greatest(F.lit(0), common_prefix(F.reverse(x["a"]), F.reverse(x["b"])) - (edits + 1))
+        cut = let(q, lambda n: F.struct(F.left(x["a"], F.length(x["a"]) - n).alias("a"), F.left(x["b"], F.length(x["b"]) - n).alias("b")))
+        return let(cut, lambda y: let(F.split(y["a"], ""), lambda c: let(F.split(y["b"], ""), lambda d: distance(c, d))))
+
+    return let(ahead, both) <= edits
 
 
 #: Letters that are counted one by one; an edit changes the counts by two at most. Fixed.
@@ -105,7 +123,7 @@ COUNTED = "etanoirshldu cm"
 
 def shared_keys(lines: DataFrame, edits: int) -> DataFrame:
     """(k, x, own): the keys that different lines share, and the hashes of those lines. lines: x, line, n."""
-    rows = lines.select("x", F.inline(keys(F.col("line"), F.col("n"), edits)))
+    rows = key_rows(lines, edits)
     # most keys belong to one line: the least and the largest hash, combined on the map side, tell which don't
     shared = rows.groupBy("k").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.max("own").alias("own"))
     shared = written(shared.where("lo != hi and own").select("k"), "shared")
