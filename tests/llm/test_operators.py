@@ -235,10 +235,11 @@ def test_banded_distance(spark):
     assert len(got) > 200 and all(r.w2 == (edit_distance(r.a, r.b) <= 2) for r in got)
 
 
-@pytest.mark.parametrize("most_sets", [2000, 4])
-def test_ngram_join(docs, corpus, most_sets, monkeypatch):
+@pytest.mark.parametrize(("most_sets", "frequent"), [(2000, 64), (4, 64), (2000, 2)])
+def test_ngram_join(docs, corpus, most_sets, frequent, monkeypatch):
     from varloom.llm import ngram_join as op
 
+    monkeypatch.setattr(op, "FREQUENT", frequent)
     monkeypatch.setattr(op, "MOST_SETS", most_sets)
     sets = {}
     for i, t in corpus:

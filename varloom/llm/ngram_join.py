@@ -76,10 +76,11 @@ def class_groups(c: int, t: float) -> tuple[int, int]:
     return least + spare, spare
 
 
-def group_keys(x: np.ndarray, t: float) -> np.ndarray:
-    """A key per filled group, of the set's own class and of the next one if a larger set of it can be linked."""
+def group_keys(x: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """A key per filled group, of the set's own class and of the next one if a larger set of it can be linked;
+    with each key its class and how many more groups the set can do without (256 * class + that; -1 for none)."""
     c = size_class(len(x), t)
-    out = []
+    keys, marks = [], []
     for k in {c, size_class(int(len(x) / t) + 1, t)}:
         g, spare = class_groups(k, t)
         at = (mix(x + np.uint64(k + 1)) % np.uint64(g)).astype(np.int64)
@@ -87,10 +88,13 @@ def group_keys(x: np.ndarray, t: float) -> np.ndarray:
         filled = np.bincount(at, minlength=g)
         ids = np.flatnonzero(filled)
         total = np.add.reduceat(mix(x ^ np.uint64(0x5851F42D4C957F2D))[order], np.cumsum(filled)[ids] - filled[ids])
-        out.append(mix(mix(total + filled[ids].astype(np.uint64)) + ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)))
-        if g - len(ids) > spare:  # of two such sets the groups that agree may all be empty
-            out.append(prefix_keys(x, t))
-    return np.unique(np.concatenate(out))
+        keys.append(mix(mix(total + filled[ids].astype(np.uint64)) + ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)))
+        left = spare - (g - len(ids))
+        marks.append(np.full(len(ids), 256 * k + min(left, 255) if left >= 0 else -1))
+        if left < 0:  # of two such sets the groups that agree may all be empty
+            keys.append(prefix_keys(x, t))
+            marks.append(np.full(len(keys[-1]), -1))
+    return np.concatenate(keys), np.concatenate(marks)
 
 
 def prefix_keys(x: np.ndarray, t: float) -> np.ndarray:
@@ -161,7 +165,7 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch], n: int, t: float) -> Iterator[pa.RecordBatch]:
-    """(k, _d). Of equal sets, which are linked already, a task emits one only."""
+    """(k, _d, mark). Of equal sets, which are linked already, a task emits one only."""
     seen: set[tuple[int, int, int]] = set()
     for b in batches:
         d = b.column(0).to_numpy(zero_copy_only=False)
@@ -169,37 +173,78 @@ def _keys(batches: Iterator[pa.RecordBatch], n: int, t: float) -> Iterator[pa.Re
         for r, s in enumerate(shingle_sets(b.column(2), n), 1):
             if len(s) and (x := (len(s), *digest(s))) not in seen:
                 seen.add(x)
-                out.append((group_keys(s, t), r - 1))
+                out.append((*group_keys(s, t), r - 1))
                 held += len(out[-1][0])
             if out and (held > 200_000 or r == b.num_rows):
-                at = np.repeat([i for _, i in out], [len(k) for k, _ in out])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in out]).view(np.int64)), pa.array(d[at])], ["k", "_d"])
+                at = np.repeat([i for _, _, i in out], [len(k) for k, _, _ in out])
+                k, m = (np.concatenate([x[c] for x in out]) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(d[at]), pa.array(m.astype(np.int32))], ["k", "_d", "mark"])
                 out, held = [], 0
 
 
-def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key and document: each document with the first one of its key, once per batch."""
-    last: tuple[int, int] | None = None
-    for b in batches:
-        k, d = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-        if not len(k):
-            continue
-        new = np.concatenate([[last is None or last[0] != k[0]], k[1:] != k[:-1]])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-        hub = np.where(at >= 0, d[np.maximum(at, 0)], last[1] if last else 0)
-        last = int(k[-1]), int(hub[-1])
-        near = np.unique(np.stack([d, hub], 1)[d != hub], axis=0)
-        if len(near):
-            yield pa.RecordBatch.from_arrays([pa.array(near[:, 0]), pa.array(near[:, 1])], ["a", "b"])
+#: Sets under a key from which on it counts as frequent.
+FREQUENT = 64
+
+
+def _met(batches: Iterator[pa.RecordBatch], frequent: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key and document. (k, a, b): k null: a with the first document b of a key; else a row of a
+    frequent key, b its mark."""
+    held = [np.zeros(0, np.int64)] * 3
+    going = False  # whether the key that is held has given rows as a frequent one
 
+    def rows(k, d, m, going):
+        new = np.concatenate([[True], k[1:] != k[:-1]])
+        group = np.cumsum(new) - 1
+        size = np.bincount(group)
+        often = size[group] >= frequent
+        if going:
+            often |= group == 0
+        hub = d[np.flatnonzero(new)][group]
+        near = ~often & (d != hub)
+        pairs = np.unique(np.stack([d[near], hub[near]], 1), axis=0)
+        ks = pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(k[often])])
+        return pa.RecordBatch.from_arrays([ks, pa.array(np.concatenate([pairs[:, 0], d[often]])), pa.array(np.concatenate([pairs[:, 1], m[often]]))], ["k", "a", "b"])
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k, d, m = (np.concatenate([h, b.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for c, h in enumerate(held))
+        cut = int(np.searchsorted(k, k[-1], side="left"))  # the last key may go on
+        if cut:
+            yield rows(k[:cut], d[:cut], m[:cut], going)
+            going = False
+        elif len(k) > 1_000_000:
+            yield rows(k, d, m, True)
+            cut, going = len(k), True
+            held = [k[-1:][:0], d[:0], m[:0]]
+            continue
+        held = [k[cut:], d[cut:], m[cut:]]
+    if len(held[0]):
+        yield rows(*held, going)
+
+
+def candidate_links(t: DataFrame, n: int, share: float) -> DataFrame:
+    """(a, b): sets that share a key, as stars around the first one. Keys of FREQUENT or more sets (what a passage in
+    many documents leaves alone in a group) are left out for sets that can do without: linked sets agree in one group
+    more than are spare, so if for either the empty and frequent groups are no more than the spare ones, the two
+    share another key."""
+    keys = t.mapInArrow(lambda it: _keys(it, n, share), "k long, _d long, mark int")
+    met = written(keys.repartition("k").sortWithinPartitions("k", "_d").mapInArrow(lambda it, often=FREQUENT: _met(it, often), "k long, a long, b long"), "met")
+    often = met.where("k is not null").distinct()
+    need = often.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("b < 0 or n > pmod(b, 256)").select("a", "b")
+    kept = often.join(need, ["a", "b"]).select("k", "a")
+    hubs = kept.groupBy("k").agg(F.min("a").alias("hub"))
+    more = kept.join(hubs, "k").where("a != hub").select("a", F.col("hub").alias("b")).distinct()
+    return met.where("k is null").select("a", "b").union(more)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], n: int, most: int) -> Iterator[pa.RecordBatch]:
     """(cell, part, side, _d, set as bytes); a set of a cut cell goes to each pair of its block."""
     for b in batches:
         cols = [b.column(c).to_pylist() for c in ("_d", "cell", "members")]
         rows = []
         for d, cell, members, s in zip(*cols, shingle_sets(b.column(b.schema.get_field_index("text")), n), strict=True):
-            blocks = -(-members // MOST_SETS)
+            blocks = -(-members // most)
             own = d * 0x9E3779B1 % (1 << 61) % blocks
             rows += [(cell, min(own, o) * blocks + max(own, o), own, d, s.tobytes()) for o in range(blocks)]
             if len(rows) > 2000:
@@ -241,11 +286,10 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = 4, percent: int = 85, id_
     # one node per document id and set; ids are unique unless a table repeats an id with another text
     same = sketch.where("n > 0").groupBy("n", "x", "y").agg(F.min("_d").alias("node"))
     copies = sketch.where("n > 0").join(same, ["n", "x", "y"]).where("_d != node").select(F.col("_d").alias("a"), F.col("node").alias("b"))
-    keys = t.mapInArrow(lambda it: _keys(it, shingle, share), "k long, _d long")
-    near = keys.repartition("k").sortWithinPartitions("k", "_d").mapInArrow(_hubs, "a long, b long")
+    near = candidate_links(t, shingle, share)
     cells = components(near)
     cells = cells.join(cells.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component").select(F.col("node").alias("_d"), F.col("component").alias("cell"), "members")
-    held = t.join(cells, "_d").mapInArrow(lambda it: _sets(it, shingle), "cell long, part int, side int, _d long, s binary")
+    held = t.join(cells, "_d").mapInArrow(lambda it, most=MOST_SETS: _sets(it, shingle, most), "cell long, part int, side int, _d long, s binary")
     links = held.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(lambda it: _join(it, percent, 100), "a long, b long")
     found = components(links.union(copies))
     out = sketch.join(found, sketch["_d"] == found["node"], "left")
