@@ -245,7 +245,7 @@ def by_windows(lefts: list, rights: list, k: int) -> list[list[tuple[int, int]]]
     return found
 
 
-def _resolve(batches: Iterator[pa.RecordBatch], k: int, words: bool, resolver: Callable) -> Iterator[pa.RecordBatch]:
+def _resolve(batches: Iterator[pa.RecordBatch], k: int, words: bool, resolver: Callable, paired: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by anchor, document and position; groups may straddle batches."""
     schema = pa.schema([("_d", pa.int64()), ("_h", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
 
@@ -266,7 +266,7 @@ def _resolve(batches: Iterator[pa.RecordBatch], k: int, words: bool, resolver: C
                 continue
             own.append((d, h, p, left, right))
         if len(own) > 1:
-            find = resolver if len(own) <= MOST_PAIRED else by_words if words else by_windows
+            find = resolver if len(own) <= paired else by_words if words else by_windows
             found = find([x[3] for x in own], [x[4] for x in own], k)
             for (d, h, p, _, _), spans in zip(own, found, strict=True):
                 out += [(d, h, p - x, p + y) for x, y in spans]
@@ -308,7 +308,7 @@ def repeated_spans(docs: DataFrame, k: int, m: int, words: bool, resolver: Calla
         return t.join(lists, ["_d", "_h"])
 
     few = at_docs(again.where(F.col("n") <= MOST_ROWS)).mapInArrow(lambda it: _contexts(it, k, m, words), rows + ", l binary, r binary")
-    near = few.repartition("a").sortWithinPartitions("a", "_d", "_h", "p").mapInArrow(lambda it: _resolve(it, k, words, resolver), "_d long, _h long, s int, e int")
+    near = few.repartition("a").sortWithinPartitions("a", "_d", "_h", "p").mapInArrow(lambda it, paired=MOST_PAIRED: _resolve(it, k, words, resolver, paired), "_d long, _h long, s int, e int")
     many = at_docs(again.where(F.col("n") > MOST_ROWS)).mapInArrow(lambda it: _windows(it, k, m, words), "w binary, _d long, _h long, s int")
     first = many.groupBy("w").agg(F.min(F.struct("_d", "_h", "s")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "f")
     far = many.join(first, "w").where(F.struct("_d", "_h", "s") != F.col("f")).select("_d", "_h", "s", (F.col("s") + k).alias("e"))
