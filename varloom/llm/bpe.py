@@ -22,12 +22,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words that a task remembers.
-MOST_WORDS = 250_000
+MOST_WORDS = 200_000
+#: Pairs of tokens that a task remembers.
+MOST_PAIRS = 300_000
 #: Rows that share a trie.
 ROWS = 1000
 
@@ -83,7 +86,7 @@ class TrieEncoder:
     def agree(self, a: str, b: str) -> bool:
         """Whether b can follow a; a empty: whether b is the encoding of itself."""
         if (ok := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > MOST_PAIRS:
                 self.pairs.clear()
             want = [a, b] if a else [b]
             ok = self.pairs[a, b] = self.merge([*self.symbols(a), *self.symbols(b)] if a else self.symbols(b)) == want
@@ -190,11 +193,14 @@ def _encode(batches: Iterator[pa.RecordBatch], spec: str, keep: list[str]) -> It
 
 def _decode(batches: Iterator[pa.RecordBatch], spec: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
     names = TrieEncoder(json.loads(spec)).names
+    table = pa.array([names.get(i, "") for i in range(max(names) + 1)], pa.string())
     for b in batches:
         for lo in range(0, b.num_rows, ROWS):
             part = b.slice(lo, ROWS)
-            texts = [" ".join([names[i] for i in x or ()]) for x in part.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), part.column("ids"), pa.array(texts, pa.string())], [*keep, "ids", "decoded"])
+            ids = part.column("ids")
+            ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(ids), 0)).to_numpy()
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), table.take(ids.flatten()))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids, pc.binary_join(tokens, " ")], [*keep, "ids", "decoded"])
 
 
 def vocabulary(path: str | None = None) -> str:
