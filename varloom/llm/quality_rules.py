@@ -36,29 +36,31 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def repeat_words(words: Column, n: int = 5) -> Column:
-    """Words inside windows of n words found twice or more."""
-
-    def covered(s: Column) -> Column:
-        # s: (window, start) in order; a window repeats if a neighbour has the same words
-        before = F.concat(F.array(F.lit(None).cast("string")), F.transform(s, lambda x: x["w"]))
-        marked = F.zip_with(s, before, lambda x, b: F.struct(x["w"].alias("w"), x["i"].alias("i"), (x["w"] == b).alias("as_before")))
-        after = F.concat(F.transform(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), lambda x: x["w"]), F.array(F.lit(None).cast("string")))
-        both = F.zip_with(marked, after, lambda x, a: F.struct(x["i"].alias("i"), (F.coalesce(x["as_before"], F.lit(False)) | F.coalesce(x["w"] == a, F.lit(False))).alias("again")))
-        starts = F.array_sort(F.transform(F.filter(both, lambda x: x["again"] & x["i"].isNotNull()), lambda x: x["i"]))
+    """Words inside windows of n words found twice or more. Windows are compared by hashes of their words' hashes;
+    only in a text where hashes agree are they put in order and the words themselves compared."""
+
+    def covered(w: Column, hashes: Column) -> Column:
+        order = F.array_sort(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), (i + 1).alias("i"))))
+        same = lambda x, b: F.coalesce((x["h"] == b["h"]) & (F.slice(w, x["i"], n) == F.slice(w, b["i"], n)), F.lit(False))
+
+        def starts(s: Column) -> Column:
+            before = F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), s)
+            marked = F.zip_with(s, before, lambda x, b: F.struct(x["i"].alias("i"), same(x, b).alias("again")))
+            both = let(marked, lambda m: F.zip_with(m, F.slice(m, 2, F.size(m) - 1), lambda x, y: F.struct(x["i"].alias("i"), (x["again"] | F.coalesce(y["again"], F.lit(False))).alias("again"))))
+            return F.array_sort(F.transform(F.filter(both, lambda x: x["again"] & x["i"].isNotNull()), lambda x: x["i"]))
+
         return F.aggregate(
-            starts,
+            let(order, starts),
             F.struct(F.lit(-n).alias("last"), F.lit(0).alias("n")),
             lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(n), i - a["last"])).alias("n")),
             lambda a: a["n"],
         )
 
     def of(w: Column) -> Column:
-        at = F.sequence(F.lit(1), F.size(w) - (n - 1))
-        hashes = F.transform(at, lambda i: F.xxhash64(F.slice(w, i, n)))
-        windows = F.transform(at, lambda i: F.struct(F.concat_ws(" ", F.slice(w, i, n)).alias("w"), i.alias("i")))
-        # different hashes mean different windows; only a text where some agree is looked at closely
-        some = let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
-        return F.when(F.size(w) <= n, F.lit(0)).when(some, let(F.array_sort(windows), covered)).otherwise(F.lit(0))
+        single = F.transform(w, lambda x: F.xxhash64(x))
+        windows = let(single, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)])))
+        found = let(windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(w, h)).otherwise(F.lit(0)))
+        return F.when(F.size(w) <= n, F.lit(0)).otherwise(found)
 
     return let(words, of)
 
