@@ -235,7 +235,7 @@ def test_banded_distance(spark):
     assert len(got) > 200 and all(r.w2 == (edit_distance(r.a, r.b) <= 2) for r in got)
 
 
-@pytest.mark.parametrize(("most_sets", "frequent"), [(2000, 64), (4, 64), (2000, 2)])
+@pytest.mark.parametrize(("most_sets", "frequent"), [(5000, 64), (4, 64), (5000, 2)])
 def test_ngram_join(docs, corpus, most_sets, frequent, monkeypatch):
     from varloom.llm import ngram_join as op
 

@@ -34,7 +34,7 @@ from varloom.llm._common import chunks, keyed, mix, prefix_sums, slice_hash, tex
 from varloom.llm.components import components
 
 #: Groups of a count vector, points of a leaf, sets that one task joins.
-DIMS, LEAF, MOST_SETS = 32, 32, 2000
+DIMS, LEAF, MOST_SETS = 32, 32, 5000
 
 
 def shingle_sets(col, n: int) -> Iterator[np.ndarray]:
@@ -59,7 +59,7 @@ def shingle_sets(col, n: int) -> Iterator[np.ndarray]:
 
 
 #: A size class spans a factor of t ** -SPAN.
-SPAN = 3
+SPAN = 1
 
 
 def size_class(n: float, t: float) -> int:
