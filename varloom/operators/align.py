@@ -1,4 +1,4 @@
-"""Gap-excision alignment of two sequences that share flanks (Abyzov and Gerstein, Bioinformatics 2011;27:595-603)
+"""Gap-excision alignment of two sequences that share flanks (published in Bioinformatics 2011;27:595-603)
 and plain local alignment, one pair per row; pairs are dealt over tasks by their size.
 
 Both flanks are scored by local alignment matrices, one from the start and one from the end. The

@@ -76,7 +76,7 @@ def full_merge(tables: list[DataFrame]) -> DataFrame:
     return out.groupBy("chrom", "pos", "ref").agg(F.array_sort(F.collect_list(F.struct("sample_ord", "gt", "alt"))).alias("samples"))
 
 
-def age_records(spark, paths) -> DataFrame:
+def alignment_records(spark, paths) -> DataFrame:
     """Records of alignment text, one per block that begins with '# ': its header, match score and identities."""
     rows = spark.read.text(paths, lineSep="\n# ").where("trim(value) != ''")
     number = lambda p: F.regexp_extract("value", p, 1).try_cast("int")
