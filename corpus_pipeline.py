@@ -14,16 +14,22 @@ from varloom.llm.bpe import bpe_encode
 from varloom.llm.decontaminate import decontaminate
 from varloom.llm.line_dedup import line_dedup
 from varloom.llm.ngram_join import ngram_jaccard_join
-from varloom.llm.quality_rules import quality_rules
+from varloom.llm.quality_rules import GRID, measured, quality_rules
 
 #: No SQL: banded edit distances, components and BPE; tested against brute force instead.
 ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. The measures are taken once and written; as the verdict depends on text
+    and language only, what is rejected leaves by an anti join on their hashes."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_rules(docs, labels).where("kept").select(*docs.columns)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keys = {"_x": F.xxhash64(text), "_y": F.hash(text), "_l": F.coalesce(F.col("lang").cast("string"), F.lit(""))}
+    rows = measured(docs.select("doc_id", "lang", "text")).withColumns(keys)
+    rows = written(rows.select("doc_id", "lang", *keys, "base_failed", *GRID), "measures")
+    gone = written(quality_rules(docs, labels, features=rows).where(~F.col("kept")).select(*keys).distinct(), "rejected")
+    return docs.withColumns(keys).join(gone, list(keys), "left_anti").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
