@@ -289,7 +289,7 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = 4, percent: int = 85, id_
     near = candidate_links(t, shingle, share)
     cells = components(near)
     cells = cells.join(cells.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component").select(F.col("node").alias("_d"), F.col("component").alias("cell"), "members")
-    held = t.join(cells, "_d").mapInArrow(lambda it, most=MOST_SETS: _sets(it, shingle, most), "cell long, part int, side int, _d long, s binary")
+    held = t.join(cells.hint("merge"), "_d").mapInArrow(lambda it, most=MOST_SETS: _sets(it, shingle, most), "cell long, part int, side int, _d long, s binary")
     links = held.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(lambda it: _join(it, percent, 100), "a long, b long")
     found = components(links.union(copies))
     out = sketch.join(found, sketch["_d"] == found["node"], "left")
