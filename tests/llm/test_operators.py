@@ -261,6 +261,33 @@ def test_ngram_join(docs, corpus, most_sets, frequent, monkeypatch):
     assert len({c for _, c in want.values()}) < len(want) - 5
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_ngram_keys_of_every_linkable_size(percent):
+    import numpy as np
+
+    from varloom.llm.ngram_join import group_keys, key_classes
+
+    classes = [range(0)] + [key_classes(n, percent) for n in range(1, 3001)]
+    for n in range(1, 3001):  # the larger set's own class is one that both give keys of
+        assert all(classes[m][0] in classes[n] for m in range(n, min(3000, 100 * n // percent) + 1)), n
+    rng = np.random.default_rng(3)
+    for n in [*range(1, 120), 131, 251, 295, 347, 783, 1275, 1972, 2465]:
+        m = 100 * n // percent
+        x = rng.integers(1, 2**63, m).astype(np.uint64)
+        assert np.intersect1d(group_keys(np.sort(x), percent)[0], group_keys(np.sort(x[:n]), percent)[0]).size, (n, m)
+
+
+def test_ngram_join_of_neighbouring_sizes(spark):
+    from varloom.llm.ngram_join import ngram_jaccard_join
+
+    rows = []
+    for k, (n, m) in enumerate([(7, 8), (58, 68), (68, 80), (131, 154), (251, 295), (295, 347), (347, 408), (783, 921), (1275, 1500)] * 5):
+        w = [f"w{k}x{i}" for i in range(m + 3)]  # m shingles of four words, of which the other has n
+        rows += [(2 * k, " ".join(w[: n + 3])), (2 * k + 1, " ".join(w))]
+    got = {r.doc_id: r.component_id for r in ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_bpe_round_trip(spark, docs, corpus):
     tokenizers = pytest.importorskip("tokenizers")
     names = pytest.importorskip("public_tokenizers")

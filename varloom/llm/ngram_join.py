@@ -8,8 +8,8 @@ on the sets. Links inside what is already joined need no verification, as only c
 
 Where to look: by the same grouping. Two sets linked at threshold t differ in at most d shingles,
 so of d + 1 groups at least one has equal contents. Each set emits a key per group (groups are as
-many as its size class needs; a class meets itself and the next; small sets with many empty groups
-emit prefixes too). Sets that share a key are put into one cell by their components; cells hold
+many as its size class needs; a set has keys for the class of every larger size it can link with;
+small sets with many empty groups emit prefixes too). Sets that share a key are put into one cell by their components; cells hold
 near copies, as a whole group must agree. Every
 cell is joined by an R-tree of its own. Cells of more than MOST_SETS are cut into blocks, and each
 pair of blocks is one task: exact, whatever the size. Nothing is sampled or dropped.
@@ -63,10 +63,17 @@ SPAN = 1
 
 
 def size_class(n: float, t: float) -> int:
-    """Linked sets differ in size by a factor of 1 / t at most, so they are of one class or of neighbours."""
+    """Linked sets differ in size by a factor of 1 / t at most."""
     return int(np.floor(np.log(n) / (-SPAN * np.log(t)) + 1e-9))
 
 
+def key_classes(n: int, percent: int) -> range:
+    """Classes of all sizes that a set linked to one of n shingles, and no smaller, can have; so of two linked sets the
+    larger one's own class is among those of both."""
+    t = percent / 100
+    return range(size_class(n, t), size_class(100 * n // percent, t) + 1)
+
+
 def class_groups(c: int, t: float) -> tuple[int, int]:
     """(groups, spare) of a class: as many groups as two linked sets can differ in shingles, the larger being of
     this class, one more, and one for each of `spare` groups that may be empty."""
@@ -76,12 +83,12 @@ def class_groups(c: int, t: float) -> tuple[int, int]:
     return least + spare, spare
 
 
-def group_keys(x: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """A key per filled group, of the set's own class and of the next one if a larger set of it can be linked;
+def group_keys(x: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key per filled group, of the set's own class and of each one of which a larger set can be linked;
     with each key its class and how many more groups the set can do without (256 * class + that; -1 for none)."""
-    c = size_class(len(x), t)
+    t = percent / 100
     keys, marks = [], []
-    for k in {c, size_class(int(len(x) / t) + 1, t)}:
+    for k in key_classes(len(x), percent):
         g, spare = class_groups(k, t)
         at = (mix(x + np.uint64(k + 1)) % np.uint64(g)).astype(np.int64)
         order = np.argsort(at, kind="stable")
@@ -164,7 +171,7 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(np.add.reduce(mix(s))), int(np.bitwise_xor.reduce(mix(s + np.uint64(77))))
 
 
-def _keys(batches: Iterator[pa.RecordBatch], n: int, t: float) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
     """(k, _d, mark). Of equal sets, which are linked already, a task emits one only."""
     seen: set[tuple[int, int, int]] = set()
     for b in batches:
@@ -173,7 +180,7 @@ def _keys(batches: Iterator[pa.RecordBatch], n: int, t: float) -> Iterator[pa.Re
         for r, s in enumerate(shingle_sets(b.column(2), n), 1):
             if len(s) and (x := (len(s), *digest(s))) not in seen:
                 seen.add(x)
-                out.append((*group_keys(s, t), r - 1))
+                out.append((*group_keys(s, percent), r - 1))
                 held += len(out[-1][0])
             if out and (held > 200_000 or r == b.num_rows):
                 at = np.repeat([i for _, _, i in out], [len(k) for k, _, _ in out])
@@ -223,12 +230,12 @@ def _met(batches: Iterator[pa.RecordBatch], frequent: int) -> Iterator[pa.Record
         yield rows(*held, going)
 
 
-def candidate_links(t: DataFrame, n: int, share: float) -> DataFrame:
+def candidate_links(t: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b): sets that share a key, as stars around the first one. Keys of FREQUENT or more sets (what a passage in
     many documents leaves alone in a group) are left out for sets that can do without: linked sets agree in one group
     more than are spare, so if for either the empty and frequent groups are no more than the spare ones, the two
     share another key."""
-    keys = t.mapInArrow(lambda it: _keys(it, n, share), "k long, _d long, mark int")
+    keys = t.mapInArrow(lambda it: _keys(it, n, percent), "k long, _d long, mark int")
     met = written(keys.repartition("k").sortWithinPartitions("k", "_d").mapInArrow(lambda it, often=FREQUENT: _met(it, often), "k long, a long, b long"), "met")
     often = met.where("k is not null").distinct()
     need = often.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("b < 0 or n > pmod(b, 256)").select("a", "b")
@@ -281,12 +288,12 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = 4, percent: int = 85, id_
     Documents link when 100 * intersection >= percent * union of their sets of distinct
     shingle-word sequences, in lower case. Fewer words than that make one sequence.
     """
-    t, share = keyed(docs, id_col, text_col), percent / 100
+    t = keyed(docs, id_col, text_col)
     sketch = written(t.mapInArrow(lambda it: _sketch(it, shingle), "_d long, _h long, n long, x long, y long"), "sketch")
     # one node per document id and set; ids are unique unless a table repeats an id with another text
     same = sketch.where("n > 0").groupBy("n", "x", "y").agg(F.min("_d").alias("node"))
     copies = sketch.where("n > 0").join(same, ["n", "x", "y"]).where("_d != node").select(F.col("_d").alias("a"), F.col("node").alias("b"))
-    near = candidate_links(t, shingle, share)
+    near = candidate_links(t, shingle, percent)
     cells = components(near)
     cells = cells.join(cells.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component").select(F.col("node").alias("_d"), F.col("component").alias("cell"), "members")
     held = t.join(cells.hint("merge"), "_d").mapInArrow(lambda it, most=MOST_SETS: _sets(it, shingle, most), "cell long, part int, side int, _d long, s binary")
