@@ -186,6 +186,74 @@ def test_near_duplicates():
     assert qc.settle([row(1, 5, 0.3, 10, 0), row(10, 15, 0.1, 30, 1), row(100, 101, 0.9, 1, 2)]) == {0: -2, 1: 1, 2: 1}
 
 
+def _remove_overlap(rows):
+    """RemoveOverlap and Rm of the reference, line by line, on one sequence: [mark, nr, vq, line_no, start, end]."""
+    info = [[-1 if m == -1 else 0, nr, vq, no, s, e] for s, e, nr, vq, m, no in sorted(rows, key=lambda r: (r[0], r[5]))]
+
+    def rm(index):
+        left = []
+        for j in index:
+            if left and info[j][2] > info[left[0]][2]:
+                for x in left:
+                    info[x][0] = -2
+                left = [j]
+            elif left and info[j][2] < info[left[0]][2]:
+                info[j][0] = -2
+            else:
+                left.append(j)
+        span = None
+        for j in left:
+            if span is None:
+                if info[j][1] == 0:
+                    span = info[j][4:]
+                continue
+            if info[j][4] <= span[1] and info[j][5] >= span[0]:
+                info[j][0], span = -2, info[j][4:]
+            span = [min(span[0], info[j][4]), max(span[1], info[j][5])]
+        left = [j for j in index if info[j][0] == 0]
+        for n, j in enumerate(left):
+            info[j][0] = -2 if n else 1
+
+    index, end = [], None
+    for i, x in enumerate(info):
+        if x[0] < 0:
+            continue
+        if end is None or end + 20 < x[4]:
+            if len(index) > 1:
+                rm(index)
+            index, end = [i], x[5]
+        elif x[1] < info[index[0]][1]:
+            for j in index:
+                info[j][0] = -2
+            index, end = [i], x[5]
+        elif x[1] == info[index[0]][1]:
+            index.append(i)
+            end = max(end, x[5])
+        else:
+            x[0] = -2
+    if len(index) > 1:
+        rm(index)
+    return {x[3]: 1 if x[0] == 0 else x[0] for x in info}
+
+
+def test_near_duplicates_without_marked_sites(spark):
+    rng = random.Random(7)
+    rows = []
+    for chrom in range(60):
+        at = 1
+        for i in range(rng.randint(1, 40)):
+            at += rng.choice([0, 3, 9, 18, 25, 40])
+            rows.append((chrom, at, at + rng.choice([0, 4, 30]), rng.choice([0.0, 0.0, 0.1, 0.6]), rng.randint(1, 4), rng.choice([1, 1, 1, -1]), chrom * 100 + (i * 7) % 41))
+    assert qc.settle([(1, 5, 0.1, 10, 1, 0), (8, 9, 0.0, 99, -1, 1), (10, 15, 0.1, 30, 1, 2)]) == {0: -2, 1: -1, 2: 1}
+    assert qc.settle([(1, 5, 0.1, 10, 1, 0), (8, 60, 0.2, 99, 1, 1), (50, 55, 0.1, 30, 1, 2)]) == {0: 1, 1: -2, 2: 1}
+    want = {}
+    for chrom in range(60):
+        want |= _remove_overlap([r[1:] for r in rows if r[0] == chrom])
+    sites = spark.createDataFrame(rows, "chrom long, start long, end long, nr double, vq long, mark int, line_no long")
+    assert {r.line_no: r.final for r in qc.near_duplicates(sites).collect()} == want
+    assert {-2, -1, 1} == set(want.values())
+
+
 def test_genotypes_of_a_clear_site(spark):
     rows = [(1, f"s{i}", *((20, 0) if i < 8 else (10, 10) if i < 14 else (0, 20))) for i in range(18)] + [(1, "none", 0, 0)]
     got = {r["sample"]: r for r in genotype.genotype(spark.createDataFrame(rows, "site long, sample string, rr long, aa long")).collect()}

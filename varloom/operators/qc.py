@@ -55,32 +55,28 @@ def cluster_ids(df: DataFrame, slack: int = 20) -> DataFrame:
 def settle(rows: list[tuple]) -> dict[int, int]:
     """A28, one cluster: line number to mark. rows: (start, end, nr, vq, mark, line_no).
 
-    Chains of sites within slack: a lower N ratio evicts the chain, an equal one joins, a higher one is dropped (-2);
-    of a chain the highest quality wins (1, or its own mark -1), the others are -2."""
-    marks: dict[int, int] = {}
+    Marked sites (-1) take no part. Chains of sites within slack: a lower N ratio evicts the chain and its end is the
+    new one's, an equal one joins, a higher one is dropped and reaches no further. Of a chain the first site of the
+    highest quality wins (1). All others are -2, also those that the reference gives -1 for an N ratio over 0 or as
+    evicted or dropped. Its overlap check is among sites of the highest quality and never marks the first, so it
+    changes no mark here."""
+    marks = {r[5]: -1 if r[4] == -1 else -2 for r in rows}
     chain: list[tuple] = []
 
     def close() -> None:
         if chain:
-            win = max(chain, key=lambda r: (r[3], -r[5]))
-            for r in chain:
-                marks[r[5]] = -1 if r[4] == -1 else 1 if r is win else -2
+            marks[max(chain, key=lambda r: r[3])[5]] = 1
 
     reach = None
-    for r in sorted(rows, key=lambda r: (r[0], r[1], r[5])):
-        if reach is not None and reach + 20 >= r[0]:
-            if r[2] < chain[0][2]:
-                for x in chain:
-                    marks[x[5]] = -1 if x[4] == -1 else -2
-                chain = [r]
-            elif r[2] == chain[0][2]:
-                chain.append(r)
-            else:
-                marks[r[5]] = -1 if r[4] == -1 else -2
-            reach = max(reach, r[1])
-        else:
+    for r in sorted((r for r in rows if r[4] != -1), key=lambda r: (r[0], r[5])):
+        if reach is None or reach + 20 < r[0]:
             close()
             chain, reach = [r], r[1]
+        elif r[2] < chain[0][2]:
+            chain, reach = [r], r[1]
+        elif r[2] == chain[0][2]:
+            chain.append(r)
+            reach = max(reach, r[1])
     close()
     return marks
 
