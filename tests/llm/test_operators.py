@@ -96,6 +96,18 @@ def test_substring_dedup(docs, corpus, most_rows, most_paired, monkeypatch):
     assert got == {i: (n, m, h) for i, (n, m, _, h) in removed_by_windows(corpus, 20, True).items()}
 
 
+@pytest.mark.parametrize("k", [20, 263])
+def test_substring_dedup_of_repetitive_texts(spark, k):
+    from varloom.llm.substring_dedup import substring_dedup
+
+    rows = []
+    for n in (261, 262, 263, 264, 265):
+        half = [f"w{n}x{i}" for i in range(n // 2)]
+        rows += [(n, " ".join(half + half + ["end"] * (n % 2))), (n + 1000, "again " * n)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), k).collect()}
+    assert got == {i: (n, m, h) for i, (n, m, _, h) in removed_by_windows(rows, k, True).items()}
+
+
 def test_repeated_rows_are_one_document(docs):
     from varloom.llm.suffix_dedup import suffix_dedup
 

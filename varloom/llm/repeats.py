@@ -85,7 +85,7 @@ def local_spans(text: bytes, k: int, m: int, words: bool) -> list[tuple[int, int
     out: list[tuple[int, int]] = []
     if words:
         starts, ends, _ = word_bounds(data, np.zeros(1, np.int64))
-        if len(starts) < 256 + m:
+        if len(starts) < max(k, 255 + m):  # firsts() looks at 256 m-grams or more
             return out
         x = slice_hash(prefix_sums(data), starts, ends)
         parts = [(0, word_grams(x, m), lambda: word_grams(x, k))]
