@@ -187,7 +187,7 @@ def align_pair(a: str | None, b: str | None, sc: Scores, mode: str = "indel", bo
 
 
 def gap_excision(pairs: DataFrame, sc: Scores | None = None, mode: str = "indel", both: bool = False, tasks: int | None = None, most_gb: float = 10.0) -> DataFrame:
-    """Pairs (pair_id, a, b) with the fragments found; pairs over the memory guard (P12) have none.
+    """G01 to G11, of G03 the first best breakpoint only and of G07 and G08 no CIPOS and CIEND: pairs (pair_id, a, b) with the fragments found; pairs over the memory guard (P12) have none.
     Dealt by size, so that long pairs spread over the tasks."""
     sc = sc or Scores()
     cost = F.length("a").cast("long") * F.length("b")

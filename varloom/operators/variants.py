@@ -298,7 +298,7 @@ def call_query(rows: list, compat: bool = False) -> list[tuple]:
 
 
 def structural_calls(alignments: DataFrame, compat: bool = False) -> DataFrame:
-    """Runs query by query; a query's alignments are few (one assembled sequence)."""
+    """V01 to V05 and V08 (calls are not refined, as V06 and V07 would): runs query by query; a query's alignments are few (one assembled sequence)."""
     several = alignments.groupBy("q_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("q_id")
     rows = alignments.select("q_id", "t_id", "t_start", "t_end", "q_start", "q_end", "strand").join(several, "q_id", "left_semi")
 
