@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import json
 import random
 import re
 
@@ -74,28 +75,50 @@ def removed_by_windows(corpus, k: int, words: bool) -> dict:
     return out
 
 
-@pytest.mark.parametrize(("most_rows", "most_paired"), [(20_000, 24), (20_000, 1), (1, 24)])
-def test_suffix_dedup(docs, corpus, most_rows, most_paired, monkeypatch):
+@pytest.mark.parametrize("most_rows", [20_000, 1])
+def test_suffix_dedup(docs, corpus, most_rows, monkeypatch):
     from varloom.llm import repeats
     from varloom.llm.suffix_dedup import suffix_dedup
 
     monkeypatch.setattr(repeats, "MOST_ROWS", most_rows)  # 1: everything the way of very frequent anchors
-    monkeypatch.setattr(repeats, "MOST_PAIRED", most_paired)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(docs).collect()}
     assert got == removed_by_windows(corpus, 100, False)
 
 
-@pytest.mark.parametrize(("most_rows", "most_paired"), [(20_000, 24), (20_000, 1), (1, 24)])
-def test_substring_dedup(docs, corpus, most_rows, most_paired, monkeypatch):
+@pytest.mark.parametrize("most_rows", [20_000, 1])
+def test_substring_dedup(docs, corpus, most_rows, monkeypatch):
     from varloom.llm import repeats
     from varloom.llm.substring_dedup import substring_dedup
 
     monkeypatch.setattr(repeats, "MOST_ROWS", most_rows)
-    monkeypatch.setattr(repeats, "MOST_PAIRED", most_paired)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(docs).collect()}
     assert got == {i: (n, m, h) for i, (n, m, _, h) in removed_by_windows(corpus, 20, True).items()}
 
 
+@pytest.mark.parametrize("n", [2, 5, 16, 17, 90])
+def test_resolvers_find_every_repeated_window(n):
+    from varloom.llm.substring_dedup import factor_spans
+    from varloom.llm.suffix_dedup import suffix_spans
+
+    rng, k = random.Random(n), 8
+
+    def covered(spans) -> set:
+        return {(i, p) for i, x in enumerate(spans) for a, b in x for p in range(-a, b)}
+
+    for _ in range(60):
+        side = lambda most: bytes(rng.choice(b"ab" if rng.random() < 0.9 else b"abc") for _ in range(rng.randint(0, most)))
+        pairs = list(dict.fromkeys((side(5), b"xyz" + side(5)) for _ in range(n)))
+        seen, want = set(), set()
+        for i, (left, right) in enumerate(pairs):
+            own = {(d, (left[len(left) - d :] + right)[:k]) for d in range(len(left) + 1) if d + len(right) >= k}
+            want |= {(i, p) for d, _ in own & seen for p in range(-d, k - d)}
+            seen |= own
+        lefts, rights = zip(*pairs, strict=True)
+        assert covered(suffix_spans(list(lefts), list(rights), k)) == want
+        words = lambda xs: [[bytes([c]) for c in x] for x in xs]
+        assert covered(factor_spans(words(lefts), words(rights), k)) == want
+
+
 @pytest.mark.parametrize("k", [20, 263])
 def test_substring_dedup_of_repetitive_texts(spark, k):
     from varloom.llm.substring_dedup import substring_dedup
@@ -125,8 +148,8 @@ def test_decontaminate(spark, docs, corpus):
     windows = collections.defaultdict(set)
     for item, t in items:
         w = re.findall(WORD, ascii_lower(t or ""))
-        for i in range(max(1, len(w) - 12) if w and item else 0):
-            windows[tuple(w[i : i + 13])].add(item)
+        for i in range(max(1, len(w) - 12) if w else 0):
+            windows[tuple(w[i : i + 13])] |= {item} - {None}
     want = {}
     for i, t in corpus:
         w = re.findall(WORD, ascii_lower(t or ""))
@@ -146,7 +169,7 @@ def test_decontaminate_in_blocks_and_proximity(spark, docs, monkeypatch):
 
     bench = docs.where("length(text) > 300").selectExpr("cast(doc_id as string) item_id", "text").limit(4)
     whole = sorted(map(str, op.decontaminate(docs, bench).select("doc_id", "n_hit", "item_ids").collect()))
-    monkeypatch.setattr(op, "MOST_TERMS", 40)
+    monkeypatch.setattr(op, "MOST_WINDOWS", 40)
     assert sorted(map(str, op.decontaminate(docs, bench).select("doc_id", "n_hit", "item_ids").collect())) == whole
     d = spark.createDataFrame([(1, "alpha zzz beta gamma"), (2, "gamma beta alpha"), (3, "alpha beta")], "doc_id long, text string")
     b = spark.createDataFrame([("i", "alpha beta gamma")], "item_id string, text string")
@@ -154,6 +177,22 @@ def test_decontaminate_in_blocks_and_proximity(spark, docs, monkeypatch):
     assert not op.positional_matches(d, b, 3)[1].collect()
 
 
+def test_proximity_matches(spark):
+    from varloom.llm.decontaminate import positional_matches
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(0, 30))) for _ in range(60)]
+    items = [("x", "a b b c"), ("y", "h g f")]
+    got = {(r["_d"], r.item_id) for r in positional_matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), 13, slop=2)[1].collect()}
+    want = set()
+    for i, t in enumerate(texts):
+        for k, x in items:
+            need, w = collections.Counter(x.split()), t.split()
+            if any(not need - collections.Counter(w[s : s + need.total() + 2]) for s in range(len(w))):
+                want.add((i, k))
+    assert got == want and 10 < len(want) < 110
+
+
 def test_quality_rules_base(docs, corpus):
     from varloom.llm.quality_rules import measured
 
@@ -247,12 +286,12 @@ def test_banded_distance(spark):
     assert len(got) > 200 and all(r.w2 == (edit_distance(r.a, r.b) <= 2) for r in got)
 
 
-@pytest.mark.parametrize(("most_sets", "frequent"), [(5000, 64), (4, 64), (5000, 2)])
-def test_ngram_join(docs, corpus, most_sets, frequent, monkeypatch):
+@pytest.mark.parametrize(("most_shingles", "frequent"), [(2_000_000, 64), (400, 64), (2_000_000, 2)])
+def test_ngram_join(docs, corpus, most_shingles, frequent, monkeypatch):
     from varloom.llm import ngram_join as op
 
     monkeypatch.setattr(op, "FREQUENT", frequent)
-    monkeypatch.setattr(op, "MOST_SETS", most_sets)
+    monkeypatch.setattr(op, "MOST_SHINGLES", most_shingles)
     sets = {}
     for i, t in corpus:
         w = re.findall(SPACES, ascii_lower(t or ""))
@@ -289,6 +328,45 @@ def test_ngram_keys_of_every_linkable_size(percent):
         assert np.intersect1d(group_keys(np.sort(x), percent)[0], group_keys(np.sort(x[:n]), percent)[0]).size, (n, m)
 
 
+@pytest.mark.parametrize("n", [1, 2, 33, 700])
+def test_count_vector_tree(n):
+    import numpy as np
+
+    from varloom.llm.ngram_join import LEAF, CountTree, points, rtree_links
+
+    rng = np.random.default_rng(n)
+    base = [rng.integers(0, 2**63, int(rng.integers(5, 60))).astype(np.uint64) for _ in range(max(1, n // 6))]
+    sets = []
+    for _ in range(n):
+        x = base[rng.integers(len(base))].copy()
+        x[: rng.integers(0, max(1, len(x) // 5))] = rng.integers(0, 2**63)
+        sets.append(np.unique(x))
+    up = list(range(n))
+
+    def find(i):
+        return i if up[i] == i else find(up[i])
+
+    linked = set()
+    for i in range(n):
+        for j in range(i + 1, n):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                linked.add((i, j))
+                x, y = sorted((find(i), find(j)))
+                up[y] = x
+    want, up = [find(i) for i in range(n)], list(range(n))
+    for i, j in rtree_links(sets, 85, 100):
+        x, y = sorted((find(i), find(j)))
+        up[y] = x
+    assert [find(i) for i in range(n)] == want
+    tree = CountTree(points(sets), np.array([len(x) for x in sets]))
+    leaf = {int(i): a for a in range(len(tree.levels[0][1])) for i in tree.leaf(a)}
+    near = {tuple(x) for x in tree.near_leaves(85, 100).tolist()}
+    assert all(tuple(sorted((leaf[i], leaf[j]))) in near for i, j in linked)  # no link is lost on the way down
+    if n > 20 * LEAF:
+        assert len(tree.levels) == 3 and len(near) < len(tree.levels[0][1]) ** 2 / 2
+
+
 def test_ngram_join_of_neighbouring_sizes(spark):
     from varloom.llm.ngram_join import ngram_jaccard_join
 
@@ -315,6 +393,29 @@ def test_bpe_round_trip(spark, docs, corpus):
         assert got[i] == (ids, own.decode(ids, skip_special_tokens=False)), i
 
 
+def test_bpe_of_odd_texts(spark):
+    """White space of every kind, marks to compose, special tokens, digits and long words, at a bound that forgets."""
+    tokenizers = pytest.importorskip("tokenizers")
+    names = pytest.importorskip("public_tokenizers")
+    from varloom.llm import bpe
+
+    rng = random.Random(11)
+    parts = list(" \t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u2003\u3000\u200b'.,!<>|0123") + ["the", "ing", "'s", "J\u030c", "a\u030a", "ΟΣ", "İ", "ß", "漢字", "😀", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "tokenizers", "QWERTY" * 30]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    own = tokenizers.Tokenizer.from_file(names.path("word_bpe_49k.json"))
+    known = bpe.Known(json.loads(bpe.vocabulary()))
+    for t in texts:
+        pieces = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+        got = dict(zip(dict.fromkeys(pieces), known.ids(list(dict.fromkeys(pieces))), strict=True))
+        assert [i for x in pieces for i in got[x]] == own.encode(t, add_special_tokens=False).ids, t
+    for a, b in zip(rng.choices(sorted(known.bpe.vocab), k=3000), rng.choices(sorted(known.bpe.vocab), k=3000), strict=True):
+        if not a.endswith(known.bpe.end) and known.bpe.alone(a) and known.bpe.alone(b):
+            assert known.bpe.agree(a, b) == (known.bpe.merge([*known.bpe.symbols(a), *known.bpe.symbols(b)]) == [a, b]), (a, b)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.ids for r in bpe.bpe_encode(rows).collect()} == {i: own.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert bpe.bpe_decode(bpe.bpe_encode(rows.where("false"))).count() == 0
+
+
 def test_classifiers_on_planted_classes(spark):
     from varloom.llm.quality_classifier import quality_classifier
     from varloom.llm.toxicity import toxicity

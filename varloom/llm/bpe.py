@@ -4,8 +4,10 @@ Method: the distinct words of a batch are put in order, which is the depth-first
 trie; the states of a word's prefix are those of the word before it as far as the two agree. The
 state of a prefix is the last token of its encoding, which is the one token that ends there and
 goes with the last token of what precedes it (two tokens go together when merging their
-concatenation gives them back). A shared prefix is so encoded once. Words are remembered within a
-task, at most MOST_WORDS of them.
+concatenation gives them back, which taking back the merges at their border tells). A shared
+prefix is so encoded once. Python sees each distinct piece of a batch once: Arrow splits the texts and numbers
+the pieces, numpy puts their ids in the texts' order. Pieces are remembered within a task, at most
+MOST_WORDS of them.
 
 The vocabulary file (a few MB, of a fixed size) is read by the driver and sent to the tasks.
 Nulls and empty texts give no tokens and an empty text. Every row gives one row; extra columns are
@@ -27,12 +29,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varloom.llm._common import chunks, text_buffers
+
 #: Words that a task remembers.
 MOST_WORDS = 200_000
 #: Pairs of tokens that a task remembers.
 MOST_PAIRS = 300_000
-#: Rows that share a trie.
-ROWS = 1000
+#: Bytes of text that share a trie, or one text.
+SHARED = 4 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -50,6 +54,10 @@ class TrieEncoder:
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
         self.rank = {tuple(x) if isinstance(x, list) else tuple(x.split(" ")): i for i, x in enumerate(model["merges"])}
+        self.halves = {a + b: (a, b) for a, b in self.rank}
+        self.made = {a + b: i for (a, b), i in self.rank.items()}
+        if len(self.halves) < len(self.rank):
+            raise ValueError("two merges give the same token")
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.names = {i: t for t, i in chain(self.vocab.items(), self.special.items())}
         self.alphabet = byte_alphabet()
@@ -65,6 +73,7 @@ class TrieEncoder:
                 lengths[last].setdefault(t[-3:], set()).add(len(t))
         self.lengths = tuple({k: (*sorted(v, reverse=True), 2, 1) for k, v in x.items()} for x in lengths)
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.whole: dict[str, bool] = {}
         self.found: dict[str, tuple[int, ...]] = {}
 
     def merge(self, x: list[str]) -> list[str]:
@@ -83,45 +92,57 @@ class TrieEncoder:
             return [*t[:-1], t[-1] + self.end]
         return list(t)
 
-    def agree(self, a: str, b: str) -> bool:
-        """Whether b can follow a; a empty: whether b is the encoding of itself."""
-        if (ok := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > MOST_PAIRS:
-                self.pairs.clear()
-            want = [a, b] if a else [b]
-            ok = self.pairs[a, b] = self.merge([*self.symbols(a), *self.symbols(b)] if a else self.symbols(b)) == want
+    def alone(self, t: str) -> bool:
+        """Whether t is the encoding of itself."""
+        if (ok := self.whole.get(t)) is None:
+            ok = self.whole[t] = self.merge(self.symbols(t)) == [t]
         return ok
 
-    def last(self, w: str, i: int, states: list[str], tail: str) -> str:
-        """The last token of the encoding of w[:i]."""
-        vocab, pairs = self.vocab, self.pairs
-        lengths = self.lengths[bool(tail)]
-        for n in lengths.get(w[i - 3 : i], (2, 1)) if i > 2 else (2, 1):
-            if n <= i:
-                t = w[i - n : i] + tail
-                if t in vocab:
-                    ok = pairs.get((states[i - n], t))
-                    if ok or ok is None and self.agree(states[i - n], t):
-                        return t
-        t = w[i - 1] + tail  # only a single symbol is left
-        if t not in vocab:
-            raise ValueError(f"no token ends {w[:i]!r}")
-        return t
+    def agree(self, a: str, b: str) -> bool:
+        """Whether b can follow a; both are encodings of themselves. Merges next to the border are taken back, the
+        latest first: none of the pairs that stood there may have merged before what was taken back did."""
+        limit, rank, made, halves = 1 << 30, self.rank, self.made, self.halves
+        while rank.get((a, b), limit) >= limit:
+            x, y = made.get(a, -1), made.get(b, -1)
+            if x < 0 and y < 0:
+                return True
+            if x > y:
+                limit, a = x, halves[a][1]
+            else:  # of equal merges the left one came first
+                limit, b = y + 1, halves[b][0]
+        return False
+
+    def follows(self, a: str, b: str) -> bool:
+        """agree(), remembered; a empty: whether b can stand first."""
+        if len(self.pairs) > MOST_PAIRS:
+            self.pairs.clear()
+        ok = self.pairs[a, b] = self.alone(b) and (not a or self.agree(a, b))
+        return ok
 
     def learn(self, words: set[str]) -> None:
         """Encodes words over the byte alphabet, by a depth-first walk over their trie."""
         before, states = "", [""]
-        cut, vocab, last = len(self.end), self.vocab, self.last
+        end, vocab, pairs, follows = self.end, self.vocab, self.pairs, self.follows
+        inner, final = self.lengths
         for w in sorted(words):
             n, size = 0, len(w)
             most = min(len(before), size - 1, len(states) - 1)
             while n < most and before[n] == w[n]:
                 n += 1
             del states[n + 1 :]
-            for i in range(n + 1, size):
-                states.append(last(w, i, states, ""))
-            t = last(w, size, states, self.end)
-            out, i = [vocab[t]], size - len(t) + cut
+            for i in range(n + 1, size + 1):  # the last token of the encoding of w[:i]
+                tail, lengths = (end, final) if i == size else ("", inner)
+                for k in lengths.get(w[i - 3 : i], (2, 1)) if i > 2 else (2, 1):
+                    if k <= i and (t := w[i - k : i] + tail) in vocab:
+                        ok = pairs.get((states[i - k], t))
+                        if ok or ok is None and follows(states[i - k], t):
+                            break
+                else:  # only a single symbol is left
+                    if (t := w[i - 1] + tail) not in vocab:
+                        raise ValueError(f"no token ends {w[:i]!r}")
+                if i < size:
+                    states.append(t)
+            out, i = [vocab[t]], size - len(t) + len(end)
             while i:
                 t = states[i]
                 out.append(vocab[t])
@@ -143,60 +164,85 @@ class TrieEncoder:
         return ["".join([self.alphabet[c] for c in w.encode()]) for w in self.words(x)]
 
     def pieces(self, x: str) -> list[int | str]:
-        """A white-space-free piece as special ids and words."""
+        """A piece without ASCII white space as special ids and words."""
         if "<" in x and self.specials and len(parts := self.specials.split(x)) > 1:
             return [y for p in parts for y in ([self.special[p]] if p in self.special else self.normal(p))]
         return list(self.normal(x))
 
 
-#: Separators of pieces; str.split() also takes \x1c-\x1f, which aren't white space here.
-_BREAKS = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+class Known:
+    """Token ids of pieces of text, by halves: what is not asked for again goes after MOST_WORDS / 2 others."""
 
-
-def _split(t: str) -> list[str]:
-    if any(c in t for c in "\x1c\x1d\x1e\x1f"):
-        return [x for x in _BREAKS.split(t) if x]
-    return t.split()
+    def __init__(self, spec: dict) -> None:
+        self.bpe = TrieEncoder(spec)
+        self.now: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def ids(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        """Of distinct pieces."""
+        bpe, now, old = self.bpe, self.now, self.old
+        split: dict[str, list[int | str]] = {}
+        out = []
+        for x in pieces:
+            if (t := now.get(x)) is None:
+                if (t := old.get(x)) is not None:
+                    now[x] = t
+                else:
+                    split[x] = bpe.pieces(x)
+            out.append(t)
+        found = bpe.found
+        bpe.learn({w for p in split.values() for w in p if w.__class__ is str} - found.keys())
+        for x, p in split.items():
+            if len(p) == 1 and p[0].__class__ is str:
+                now[x] = found[p[0]]
+            elif len(p) == 2 and p[0].__class__ is p[1].__class__ is str:
+                now[x] = found[p[0]] + found[p[1]]
+            else:
+                now[x] = tuple(chain.from_iterable(found[w] if w.__class__ is str else (w,) for w in p))
+        if split:
+            out = [now[x] if t is None else t for x, t in zip(pieces, out, strict=True)]
+        if len(now) > MOST_WORDS // 2:
+            self.old, self.now = now, {}
+        if len(found) > MOST_WORDS // 2:
+            found.clear()
+        return out
 
 
 #: A worker keeps the last encoder, with what it has learned, for its next tasks.
-_KEPT: dict[str, tuple[TrieEncoder, dict[str, tuple[int, ...]]]] = {}
+_KEPT: dict[str, Known] = {}
 
 
 def _encode(batches: Iterator[pa.RecordBatch], spec: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
     if spec not in _KEPT:
         _KEPT.clear()
-        _KEPT[spec] = TrieEncoder(json.loads(spec)), {}
-    bpe, known = _KEPT[spec]
+        _KEPT[spec] = Known(json.loads(spec))
+    known = _KEPT[spec]
     gc.freeze()  # what is remembered has no cycles; collecting garbage would walk through it again and again
     for b in batches:
-        for lo in range(0, b.num_rows, ROWS):
-            part = b.slice(lo, ROWS)
-            texts = [_split(t or "") for t in part.column("text").to_pylist()]
-            new = {x: bpe.pieces(x) for x in set(chain.from_iterable(texts)) if x not in known}
-            bpe.learn({w for p in new.values() for w in p if isinstance(w, str)} - bpe.found.keys())
-            found = bpe.found
-            for x, p in new.items():
-                if len(p) == 1 and p[0].__class__ is str:
-                    known[x] = found[p[0]]
-                elif len(p) == 2 and p[0].__class__ is p[1].__class__ is str:
-                    known[x] = found[p[0]] + found[p[1]]
-                else:
-                    known[x] = tuple(chain.from_iterable(found[w] if isinstance(w, str) else (w,) for w in p))
-            ids = [np.fromiter(chain.from_iterable(map(known.__getitem__, t)), np.int32) for t in texts]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32()))], [*keep, "ids"])
-            if len(known) > MOST_WORDS:
-                known.clear()
-            if len(bpe.found) > MOST_WORDS:
-                bpe.found.clear()
+        texts = pc.fill_null(b.column("text"), "")
+        for lo, hi in chunks(text_buffers(texts)[0], SHARED):
+            split = pc.ascii_split_whitespace(texts.slice(lo, hi - lo))
+            pieces = split.flatten().dictionary_encode()
+            tokens = known.ids(pieces.dictionary.to_pylist())
+            size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            flat = np.fromiter(chain.from_iterable(tokens), np.int32, int(size.sum()))
+            at = pieces.indices.to_numpy()
+            # ids of piece i stand in flat from start[i] on
+            start, n = (np.cumsum(size) - size)[at], size[at]
+            ends = np.cumsum(n)
+            ids = flat[np.repeat(start - (ends - n), n) + np.arange(int(n.sum()))]
+            edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])]
+            lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))
+            part = b.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists], [*keep, "ids"])
 
 
 def _decode(batches: Iterator[pa.RecordBatch], spec: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
     names = TrieEncoder(json.loads(spec)).names
     table = pa.array([names.get(i, "") for i in range(max(names) + 1)], pa.string())
     for b in batches:
-        for lo in range(0, b.num_rows, ROWS):
-            part = b.slice(lo, ROWS)
+        for lo in range(0, b.num_rows, 1000):
+            part = b.slice(lo, 1000)
             ids = part.column("ids")
             ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(ids), 0)).to_numpy()
             tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), table.take(ids.flatten()))
