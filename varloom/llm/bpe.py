@@ -59,7 +59,6 @@ class TrieEncoder:
         if len(self.halves) < len(self.rank):
             raise ValueError("two merges give the same token")
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.names = {i: t for t, i in chain(self.vocab.items(), self.special.items())}
         self.alphabet = byte_alphabet()
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern).findall
@@ -238,7 +237,8 @@ def _encode(batches: Iterator[pa.RecordBatch], spec: str, keep: list[str]) -> It
 
 
 def _decode(batches: Iterator[pa.RecordBatch], spec: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
-    names = TrieEncoder(json.loads(spec)).names
+    parsed = json.loads(spec)
+    names = {i: t for t, i in parsed["model"]["vocab"].items()} | {x["id"]: x["content"] for x in parsed["added_tokens"]}
     table = pa.array([names.get(i, "") for i in range(max(names) + 1)], pa.string())
     for b in batches:
         for lo in range(0, b.num_rows, 1000):
