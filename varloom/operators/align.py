@@ -1,5 +1,6 @@
 """Gap-excision alignment of two sequences that share flanks (published in Bioinformatics 2011;27:595-603)
-and plain local alignment, one pair per row; pairs are dealt over tasks by their size.
+and plain local alignment, one pair per row. Pairs are dealt over tasks by a hash; within a task they are
+sorted by size, and pairs of equal lengths go through the recurrence together, a row of all their matrices at a time.
 
 Both flanks are scored by local alignment matrices, one from the start and one from the end. The
 excised region is where the best prefix of one joins the best suffix of the other, for two regions:
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -20,6 +22,8 @@ _CODE = np.zeros(256, np.int8)
 for _i, _b in enumerate("ACGT", 1):
     _CODE[ord(_b)] = _CODE[ord(_b.lower())] = _i
 _CODE[ord("U")] = _CODE[ord("u")] = 4
+#: Base codes as bytes; what does not score never equals what does not score in the other table.
+_PLAIN = tuple(bytes(c or other for c in _CODE.tolist()) for other in (8, 9))
 _TURN = str.maketrans("ACGTUacgtu", "TGCAAtgcaa")
 
 
@@ -37,32 +41,43 @@ def turned(s: str) -> str:
     return s.translate(_TURN)[::-1]
 
 
-def matrix(a: str, b: str, sc: Scores) -> tuple[np.ndarray, np.ndarray]:
-    """Local alignment scores F[i, j] of what ends at a[:i], b[:j], and the way back (0 stop,
-    1 diagonal, 2 up, 3 left). By row; gaps along the row by a running maximum."""
-    x, y = _CODE[np.frombuffer(a.encode(), np.uint8)], _CODE[np.frombuffer(b.encode(), np.uint8)]
-    n, m = len(x), len(y)
-    score = np.zeros((n + 1, m + 1), np.int32)
-    back = np.zeros((n + 1, m + 1), np.int8)
-    low = -(10**8)
-    up = np.full(m + 1, low, np.int64)
-    steps = np.arange(m + 1) * sc.extend
+def codes(strings: list[str]) -> np.ndarray:
+    """Strings of one length as rows of base codes."""
+    return _CODE[np.frombuffer("".join(strings).encode("ascii", "replace"), np.uint8)].reshape(len(strings), -1)
+
+
+def matrices(x: np.ndarray, y: np.ndarray, sc: Scores) -> tuple[np.ndarray, np.ndarray]:
+    """Per pair (rows of codes) the local alignment scores F[i, j] of what ends at a[:i], b[:j], and the way
+    back (0 stop, 1 diagonal, 2 up, 3 left). By row; gaps along the row by a running maximum."""
+    (pairs, n), m = x.shape, y.shape[1]
+    score = np.zeros((pairs, n + 1, m + 1), np.int32)
+    back = np.zeros((pairs, n + 1, m + 1), np.int8)
+    up = np.full((pairs, m + 1), -(10**8), np.int32)
+    steps = np.arange(m + 1, dtype=np.int32) * sc.extend
+    best = np.zeros((pairs, m + 1), np.int32)
+    left = np.full((pairs, m + 1), -(10**8), np.int32)
     for i in range(1, n + 1):
-        known = (x[i - 1] > 0) & (y > 0)
-        diag = score[i - 1, :-1] + np.where(known, np.where(y == x[i - 1], sc.match, sc.mismatch), 0)
-        up = np.maximum(up + sc.extend, score[i - 1] + sc.gap)
-        best = np.zeros(m + 1, np.int64)
-        best[1:] = np.maximum(np.maximum(diag, up[1:]), 0)
-        left = np.full(m + 1, low, np.int64)
-        left[1:] = np.maximum.accumulate(best[:-1] - steps[:-1])[:] + steps[:-1] + sc.gap
+        c = x[:, i - 1, None]
+        diag = score[:, i - 1, :-1] + np.where((c > 0) & (y > 0), np.where(y == c, sc.match, sc.mismatch), 0)
+        up = np.maximum(up + sc.extend, score[:, i - 1] + sc.gap)
+        best[:, 1:] = np.maximum(np.maximum(diag, up[:, 1:]), 0)
+        left[:, 1:] = np.maximum.accumulate(best[:, :-1] - steps[:-1], 1) + steps[:-1] + sc.gap
         full = np.maximum(best, left)
-        full[0] = 0
-        score[i] = full
-        way = np.where(full <= 0, 0, np.where(np.concatenate([[False], diag == full[1:]]), 1, np.where(up == full, 2, 3)))
-        back[i] = way
+        full[:, 0] = 0
+        score[:, i] = full
+        way = np.where(up == full, 2, 3)
+        way[:, 1:][diag == full[:, 1:]] = 1
+        way[full <= 0] = 0
+        back[:, i] = way
     return score, back
 
 
+def matrix(a: str, b: str, sc: Scores) -> tuple[np.ndarray, np.ndarray]:
+    """matrices() of one pair."""
+    score, back = matrices(codes([a]), codes([b]), sc)
+    return score[0], back[0]
+
+
 def trace(score: np.ndarray, back: np.ndarray, i: int, j: int, sc: Scores) -> list[tuple[int, int]]:
     """Aligned columns (1-based positions, 0 for a gap) that end at i, j, from left to right."""
     out = []
@@ -82,15 +97,16 @@ def trace(score: np.ndarray, back: np.ndarray, i: int, j: int, sc: Scores) -> li
 
 
 def _best_prefix(f: np.ndarray) -> np.ndarray:
-    """The best score at or before each cell."""
-    return np.maximum.accumulate(np.maximum.accumulate(f, 0), 1)
+    """The best score at or before each cell, per pair."""
+    return np.maximum.accumulate(np.maximum.accumulate(f, 1), 2)
 
 
 def _where(f: np.ndarray, i: int, j: int) -> tuple[int, int]:
     """The last cell up to (i, j) that has the best score up to there."""
     part = f[: i + 1, : j + 1]
-    at = np.argwhere(part == part.max())
-    return tuple(at[(at.sum(1)).argmax()])
+    rows, cols = np.nonzero(part == part.max())
+    k = (rows + cols).argmax()
+    return int(rows[k]), int(cols[k])
 
 
 def identity(columns: list[tuple[int, int]], a: str, b: str) -> tuple[int, int, int]:
@@ -99,35 +115,101 @@ def identity(columns: list[tuple[int, int]], a: str, b: str) -> tuple[int, int,
     return len(columns), same, int(100 * same / len(columns) + 0.5) if columns else 0
 
 
-def homology(a: str, left: int, right: int) -> int:
-    """How far a breakpoint may move: bases before it that equal those before the other side, and after it."""
-    back = 0
-    while left - 1 - back >= 0 and right - 2 - back >= left and a[left - 1 - back].upper() == a[right - 2 - back].upper():
-        back += 1
-    ahead = 0
-    while left + ahead < right - 1 and right - 1 + ahead < len(a) and a[left + ahead].upper() == a[right - 1 + ahead].upper():
-        ahead += 1
-    return back + ahead
+def _same(a: str, i: int, j: int) -> bool:
+    return _CODE[ord(a[i])] == _CODE[ord(a[j])] > 0
+
+
+def homology_at(a: str, i: int, j: int) -> tuple[int, int]:
+    """How many bases on that a breakpoint pair may move to the left and to the right: equal bases before and from places
+    i < j (from 0) on."""
+    back = ahead = 0
+    if i < j:
+        while back < i and _same(a, i - 1 - back, j - 1 - back):
+            back += 1
+        while j + ahead < len(a) and _same(a, i + ahead, j + ahead):
+            ahead += 1
+    return back, ahead
+
+
+def homology_of(x: str, y: str) -> int:
+    """The longest end of x that y begins with (scored bases only)."""
+    u, v = (s.encode("ascii", "replace").translate(t) for s, t in ((x, _PLAIN[0]), (y, _PLAIN[1])))
+    return next((n for n in range(min(len(u), len(v)), 0, -1) if u.endswith(v[:n])), 0)
+
+
+def excised_range(left_end: int, right_start: int, mode: str = "indel") -> tuple[int, int]:
+    """First and last excised place between a fragment's end and the next one's start."""
+    return {"indel": (left_end + 1, right_start - 1), "tdup": (right_start, left_end), "invl": (left_end + 1, right_start), "invr": (left_end, right_start - 1)}[mode]
+
+
+def breakpoints(a: str, left_end: int, right_start: int) -> dict:
+    """G07, G08, indel mode: homology at, outside and inside the breakpoints of one sequence, and the hulls of where its
+    first and its last excised place may lie (0, 0 without homology)."""
+    s, e = excised_range(left_end, right_start)
+    out = {"at": 0, "outside": 0, "inside": 0, "start_lo": 0, "start_hi": 0, "end_lo": 0, "end_hi": 0}
+    spans = []
+    if s - 1 < right_start - 1:
+        back, ahead = homology_at(a, s - 1, right_start - 1)
+        out["at"] = back + ahead
+        if back + ahead:
+            spans.append((s - back, s + ahead - 1, right_start - back, right_start + ahead - 1))
+    if left_end < right_start and (n := homology_of(a[:left_end], a[right_start - 1 :])):
+        out["outside"] = n
+        spans.append((left_end - n + 1, left_end, right_start, right_start + n - 1))
+    if s < e:
+        half = (e - s + 1) // 2
+        if n := homology_of(a[e - half : e], a[s - 1 : s - 1 + half]):
+            out["inside"] = n
+            spans.append((s, s + n - 1, e - n + 1, e))
+    if spans:
+        lo1, hi1, lo2, hi2 = zip(*spans, strict=True)
+        out |= {"start_lo": min(lo1), "start_hi": max(hi1), "end_lo": min(lo2), "end_hi": max(hi2)}
+    return out
 
 
 def excise(a: str, b: str, sc: Scores) -> dict | None:
-    """G03 to G08, indel mode: the two fragments around one excised region, or None without a common base."""
-    if not a or not b:
-        return None
-    f, fb = matrix(a, b, sc)
-    r, rb = matrix(a[::-1], b[::-1], sc)
-    total = _best_prefix(f) + _best_prefix(r)[::-1, ::-1]  # prefixes up to (i, j), suffixes after them
-    if not (best := int(total.max())):
-        return None
-    i, j = map(int, np.argwhere(total == best)[0])
-    fi, fj = _where(f, i, j)
-    ri, rj = _where(r, len(a) - i, len(b) - j)
-    left = trace(f, fb, fi, fj, sc)
-    right = [(len(a) + 1 - p if p else 0, len(b) + 1 - q if q else 0) for p, q in reversed(trace(r, rb, ri, rj, sc))]
-    return report(left, right, a, b, best)
+    """excised() of one pair."""
+    return excised([a], [b], sc)[0]
+
+
+def excised(a: list[str], b: list[str], sc: Scores, both: bool = False) -> list[dict | None]:
+    """G03 to G09, indel mode, of pairs that all have the same two lengths: the two fragments around one excised region, or
+    None without a common base. both: on both strands of b the better one, the given strand on ties."""
+    if not a[0] or not b[0]:
+        return [None] * len(a)
+    n, m = len(a[0]), len(b[0])
+    x = codes(a)
+    found: list[tuple | None] = [None] * len(a)
+    for strand in "+-"[: 1 + both]:
+        own = b if strand == "+" else [turned(s) for s in b]
+        y = codes(own)
+        f, fb = matrices(x, y, sc)
+        r, rb = matrices(x[:, ::-1], y[:, ::-1], sc)
+        total = (_best_prefix(f) + _best_prefix(r)[:, ::-1, ::-1]).reshape(len(a), -1)  # prefixes up to (i, j), suffixes after them
+        at = total.argmax(1)
+        best = total[np.arange(len(a)), at]
+        for k in np.flatnonzero(best):
+            if found[k] is None or best[k] > found[k][0]:
+                found[k] = int(best[k]), strand, int(at[k]), own[k], f[k], fb[k], r[k], rb[k]
+    out: list[dict | None] = []
+    for k, one in enumerate(found):
+        if one is None:
+            out.append(None)
+            continue
+        best, strand, at, s, f, fb, r, rb = one
+        i, j = divmod(at, m + 1)
+        left = trace(f, fb, *_where(f, i, j), sc)
+        right = [(n + 1 - p if p else 0, m + 1 - q if q else 0) for p, q in reversed(trace(r, rb, *_where(r, n - i, m - j), sc))]
+        got = report(left, right, a[k], s, best) | {"strand": strand}
+        if strand == "-":
+            for e in ("left_b_start", "left_b_end", "right_b_start", "right_b_end", "b_start_lo", "b_start_hi", "b_end_lo", "b_end_hi"):
+                if got[e]:
+                    got[e] = m + 1 - got[e]
+        out.append(got)
+    return out
 
 
-def report(left: list, right: list, a: str, b: str, score: int) -> dict:
+def report(left: list, right: list, a: str, b: str, score: int, breaks: bool = True) -> dict:
     ends = lambda cols, k: ([c[k] for c in cols if c[k]] or [0])
     out = {"score": score, "strand": "+"}
     for name, cols in (("left", left), ("right", right)):
@@ -135,7 +217,9 @@ def report(left: list, right: list, a: str, b: str, score: int) -> dict:
             out[f"{name}_{s}_start"], out[f"{name}_{s}_end"] = ends(cols, k)[0], ends(cols, k)[-1]
         out[f"{name}_len"], out[f"{name}_same"], out[f"{name}_pct"] = identity(cols, a, b)
     out["aligned"], out["same"], out["pct"] = identity([*left, *right], a, b)
-    out["homology"] = homology(a, out["left_a_end"], out["right_a_start"]) if left and right else 0
+    for s, x in (("a", a), ("b", b)):
+        found = breakpoints(x, out[f"left_{s}_end"], out[f"right_{s}_start"]) if left and right and breaks else {}
+        out |= {f"{s}_{k}": found.get(k, 0) for k in BREAKS}
     return out
 
 
@@ -156,7 +240,7 @@ def excise_turned(a: str, b: str, sc: Scores, mode: str) -> dict | None:
         rj = int(np.flatnonzero(r.max(0)[: len(b) - j + 1] == r_best[j])[-1])
         left = trace(f, fb, int(f[:, fj].argmax()), fj, sc)
         right = [(len(a) + 1 - p if p else 0, len(b) + 1 - q if q else 0) for p, q in reversed(trace(r, rb, int(r[:, rj].argmax()), rj, sc))]
-        one = report(left, right, first, b, int(total[j]))
+        one = report(left, right, first, b, int(total[j]), False)
         ln, ls, _ = identity(left, first, b)
         rn, rs, _ = identity(right, second, b)
         one |= {"left_same": ls, "right_same": rs, "same": ls + rs, "aligned": ln + rn, "pct": int(100 * (ls + rs) / max(1, ln + rn) + 0.5)}
@@ -169,15 +253,30 @@ def excise_turned(a: str, b: str, sc: Scores, mode: str) -> dict | None:
     return max(found, key=lambda x: x["score"])
 
 
-FIELDS = ["score", *(f"{n}_{s}_{e}" for n in ("left", "right") for s in "ab" for e in ("start", "end")), *(f"{n}_{x}" for n in ("left", "right") for x in ("len", "same", "pct")), "aligned", "same", "pct", "homology"]
+BREAKS = ["at", "outside", "inside", "start_lo", "start_hi", "end_lo", "end_hi"]
+FIELDS = ["score", *(f"{n}_{s}_{e}" for n in ("left", "right") for s in "ab" for e in ("start", "end")), *(f"{n}_{x}" for n in ("left", "right") for x in ("len", "same", "pct")), "aligned", "same", "pct", *(f"{s}_{k}" for s in "ab" for k in BREAKS)]
 RESULT = ", ".join(f"{f} int" for f in FIELDS) + ", strand string"
 
 
+#: Cells of the matrices that go through the recurrence together, at most (or one pair's).
+MOST_CELLS = 2_000_000
+
+
+def by_lengths(a: list[str], b: list[str]) -> Iterator[list[int]]:
+    """Numbers of the pairs in groups of equal lengths, bounded by MOST_CELLS."""
+    order = sorted(range(len(a)), key=lambda i: (len(a[i]), len(b[i])))
+    for (n, m), group in groupby(order, key=lambda i: (len(a[i]), len(b[i]))):
+        own, size = list(group), max(1, MOST_CELLS // ((n + 1) * (m + 1)))
+        for i in range(0, len(own), size):
+            yield own[i : i + size]
+
+
 def align_pair(a: str | None, b: str | None, sc: Scores, mode: str = "indel", both: bool = False) -> dict | None:
     """On both strands the better one, the given strand on ties."""
-    run = (lambda y: excise(a or "", y, sc)) if mode == "indel" else (lambda y: excise_turned(a or "", y, sc, mode))
-    best = run(b or "")
-    if both and (other := run(turned(b or ""))) and (best is None or other["score"] > best["score"]):
+    if mode == "indel":
+        return excised([a or ""], [b or ""], sc, both)[0]
+    best = excise_turned(a or "", b or "", sc, mode)
+    if both and (other := excise_turned(a or "", turned(b or ""), sc, mode)) and (best is None or other["score"] > best["score"]):
         n = len(b)
         for f in ("left_b_start", "left_b_end", "right_b_start", "right_b_end"):
             if other[f]:
@@ -186,47 +285,72 @@ def align_pair(a: str | None, b: str | None, sc: Scores, mode: str = "indel", bo
     return best
 
 
-def gap_excision(pairs: DataFrame, sc: Scores | None = None, mode: str = "indel", both: bool = False, tasks: int | None = None, most_gb: float = 10.0) -> DataFrame:
-    """G01 to G11, of G03 the first best breakpoint only and of G07 and G08 no CIPOS and CIEND: pairs (pair_id, a, b) with the fragments found; pairs over the memory guard (P12) have none.
-    Dealt by size, so that long pairs spread over the tasks."""
-    sc = sc or Scores()
+def _dealt(pairs: DataFrame, most_gb: float, tasks: int | None) -> DataFrame:
+    """Pairs (pair_id, a, b) without a where they are over the memory guard; dealt by a hash, pairs of one size side by side."""
     cost = F.length("a").cast("long") * F.length("b")
     rows = pairs.select("pair_id", F.when(5.0 * cost / 1e9 + 0.5 <= most_gb, F.col("a")).alias("a"), "b")
-    rows = rows.repartitionByRange(tasks or rows.sparkSession.sparkContext.defaultParallelism * 4, F.xxhash64("pair_id"))
+    tasks = tasks or rows.sparkSession.sparkContext.defaultParallelism * 4
+    return rows.repartition(tasks, F.xxhash64("pair_id")).sortWithinPartitions(F.length("a"), F.length("b"))
+
+
+def gap_excision(pairs: DataFrame, sc: Scores | None = None, mode: str = "indel", both: bool = False, tasks: int | None = None, most_gb: float = 10.0) -> DataFrame:
+    """G01 to G11, of G03 and G04 the first best breakpoint only: pairs (pair_id, a, b) with the fragments found, in indel mode
+    also homology and hulls of the breakpoints on either sequence; pairs over the memory guard (P12) have none."""
+    sc = sc or Scores()
     kind = dict(pairs.dtypes)["pair_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [align_pair(x, y, sc, mode, both) if x else None for x, y in zip(b["a"], b["b"], strict=True)]
+        for t in batches:
+            a, b = ([x or "" for x in t[c]] for c in "ab")
+            found: list[dict | None] = [None] * len(a)
+            for own in by_lengths(a, b):
+                got = excised([a[i] for i in own], [b[i] for i in own], sc, both) if mode == "indel" else [align_pair(a[i], b[i], sc, mode, both) for i in own]
+                for i, r in zip(own, got, strict=True):
+                    found[i] = r
             out = pd.DataFrame({f: pd.array([None if r is None else int(r[f]) for r in found], dtype="Int32") for f in FIELDS})
             out["strand"] = [None if r is None else r["strand"] for r in found]
-            out.insert(0, "pair_id", b["pair_id"].to_numpy())
+            out.insert(0, "pair_id", t["pair_id"].to_numpy())
             yield out
 
-    return rows.mapInPandas(run, f"pair_id {kind}, {RESULT}")
+    return _dealt(pairs, most_gb, tasks).mapInPandas(run, f"pair_id {kind}, {RESULT}")
 
 
 def local_alignment(a: str, b: str, sc: Scores) -> dict:
-    """Score, second best elsewhere, begin, end and CIGAR of the best local alignment."""
-    f, back = matrix(a, b, sc)
-    i, j = map(int, np.unravel_index(f.argmax(), f.shape))
-    cols = trace(f, back, i, j, sc)
-    cigar, ops = "", ["M" if p and q else "D" if p else "I" for p, q in cols]
-    while ops:
-        n = next((k for k, o in enumerate(ops) if o != ops[0]), len(ops))
-        cigar += f"{n}{ops[0]}"
-        ops = ops[n:]
-    away = np.abs(np.arange(f.shape[0]) - i) > max(1, len(b) // 2)
-    return {"score": int(f[i, j]), "second": int(f[away].max()) if away.any() else 0, "a_start": cols[0][0] if cols else 0, "a_end": i, "b_start": cols[0][1] if cols else 0, "b_end": j, "cigar": cigar}
-
-
-def smith_waterman(pairs: DataFrame, sc: Scores | None = None) -> DataFrame:
-    """G13 for a table of pairs (pair_id, a, b)."""
+    """local_alignments() of one pair."""
+    return local_alignments([a], [b], sc)[0]
+
+
+def local_alignments(a: list[str], b: list[str], sc: Scores) -> list[dict]:
+    """G13 of pairs that all have the same two lengths: score, second best elsewhere, begin, end and CIGAR of the best local
+    alignment."""
+    n, m = len(a[0]), len(b[0])
+    score, back = matrices(codes(a), codes(b), sc)
+    out = []
+    for f, way in zip(score, back, strict=True):
+        i, j = divmod(int(f.argmax()), m + 1)
+        cols = trace(f, way, i, j, sc)
+        ops = "".join("M" if p and q else "D" if p else "I" for p, q in cols)
+        cigar = "".join(f"{len(list(g))}{o}" for o, g in groupby(ops))
+        away = np.abs(np.arange(n + 1) - i) > max(1, m // 2)
+        out.append({"score": int(f[i, j]), "second": int(f[away].max()) if away.any() else 0, "a_start": cols[0][0] if cols else 0, "a_end": i, "b_start": cols[0][1] if cols else 0, "b_end": j, "cigar": cigar})
+    return out
+
+
+def smith_waterman(pairs: DataFrame, sc: Scores | None = None, tasks: int | None = None, most_gb: float = 10.0) -> DataFrame:
+    """G13 for a table of pairs (pair_id, a, b); pairs over the memory guard are aligned as empty."""
     sc = sc or Scores(2, -2, -3, -1)
     kind = dict(pairs.dtypes)["pair_id"]
+    names = ["score", "second", "a_start", "a_end", "b_start", "b_end", "cigar"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([{"pair_id": k, **local_alignment(x or "", y or "", sc)} for k, x, y in zip(b["pair_id"], b["a"], b["b"], strict=True)], columns=["pair_id", "score", "second", "a_start", "a_end", "b_start", "b_end", "cigar"])
+        for t in batches:
+            a, b = ([x or "" for x in t[c]] for c in "ab")
+            found: list[dict] = [{}] * len(a)
+            for own in by_lengths(a, b):
+                for i, r in zip(own, local_alignments([a[i] for i in own], [b[i] for i in own], sc), strict=True):
+                    found[i] = r
+            out = pd.DataFrame(found, columns=names)
+            out.insert(0, "pair_id", t["pair_id"].to_numpy())
+            yield out
 
-    return pairs.select("pair_id", "a", "b").mapInPandas(run, f"pair_id {kind}, score int, second int, a_start int, a_end int, b_start int, b_end int, cigar string")
+    return _dealt(pairs, most_gb, tasks).mapInPandas(run, f"pair_id {kind}, score int, second int, a_start int, a_end int, b_start int, b_end int, cigar string")
