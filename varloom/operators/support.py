@@ -127,7 +127,7 @@ def support_per_read(reads: DataFrame, sites: DataFrame, clip: str = "clip") ->
     hit = points_in(sites, reads, "chrom", "pos", "start", "end")
     hit = hit.where(F.col("pos") <= F.col("start") - F.col(clip) + F.length("seq") - 2)
     at = query_position(F.col("start"), F.col("cigar"), F.col("pos"))
-    rest = hit.withColumn("_q", F.substring("seq", at + 1, F.lit(1 << 20))).where("_q is not null")
+    rest = hit.withColumn("_q", F.substr(F.col("seq"), at + 1)).where("_q is not null")
     bad = lambda c: F.coalesce(mismatches(F.substring(F.col(c), F.lit(1), F.length("_q")), F.substring("_q", F.lit(1), F.length(c))), F.lit(0))
     return rest.select("site", bad("ref_seq").alias("ref_bad"), bad("alt_seq").alias("alt_bad"))
 

@@ -38,8 +38,8 @@ def read_maf(spark: SparkSession, paths: Paths, bases: bool = True) -> DataFrame
 
 
 def read_fasta(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Fa, id (up to white space), seq, len, n_len. The id is unique, or reading fails."""
-    rows = spark.read.text(paths, lineSep=">").select(F.input_file_name().alias("fa"), "value").where("trim(value) != ''")
+    """Fa, id (up to white space), seq, len, n_len. A record begins with > at the start of a line."""
+    rows = spark.read.text(paths, lineSep="\n>").select(F.input_file_name().alias("fa"), F.regexp_replace("value", r"^\s*>", "").alias("value")).where("trim(value) != ''")
     head = F.regexp_extract("value", r"^\s*(\S+)", 1)
     seq = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
     rows = rows.select("fa", head.alias("id"), seq.alias("seq")).withColumns({"len": F.length("seq").cast("long"), "n_len": (F.length("seq") - F.length(F.translate("seq", "Nn", ""))).cast("long")})
@@ -64,11 +64,23 @@ def sequence_chunks(sequences: DataFrame, size: int = 10_000, overlap: int = 600
     return rows.select("id", "chunk", (F.col("chunk") * size + 1).alias("start"), F.substring("seq", F.col("chunk") * size + 1, F.lit(size + overlap)).alias("seq"))
 
 
-def fetch(regions: DataFrame, chunks: DataFrame, size: int = 10_000) -> DataFrame:
-    """Regions (id, start, end; no longer than the overlap) with their bases, by an equi-join on the piece."""
-    rows = regions.withColumn("chunk", F.floor((F.col("start") - 1) / size).cast("int"))
-    hit = rows.join(chunks.withColumnRenamed("start", "_at").withColumnRenamed("seq", "_s"), ["id", "chunk"])
-    return hit.select(*regions.columns, F.substring("_s", F.col("start") - F.col("_at") + 1, F.col("end") - F.col("start") + 1).alias("seq"))
+def fetch(regions: DataFrame, chunks: DataFrame, size: int = 10_000, overlap: int = 600) -> DataFrame:
+    """Regions (id, start, end and others) with their bases, by an equi-join on the piece. A region that ends within
+    the overlap of the piece it starts in takes it from there; a longer one is put together from all pieces it touches. What is
+    beyond a sequence's end is left out; a region that starts there has no row."""
+    piece = lambda pos: F.floor((F.col(pos) - 1) / size).cast("int")
+    held = chunks.select("id", "chunk", F.col("start").alias("_at"), F.col("seq").alias("_s"))
+    cut = lambda lo, hi: F.substring("_s", (lo - F.col("_at") + 1).cast("int"), F.greatest(F.lit(0), hi - lo + 1).cast("int"))
+    rows = regions.withColumn("chunk", piece("start"))
+    inside = F.col("end") <= (F.col("chunk") + 1) * size + overlap
+    short = rows.where(inside).join(held, ["id", "chunk"]).withColumn("seq", cut(F.col("start"), F.col("end")))
+    parts = rows.where(~inside).withColumn("chunk", F.explode(F.sequence("chunk", piece("end")))).join(held, ["id", "chunk"])
+    part = cut(F.greatest("start", "_at"), F.least(F.col("end"), F.col("_at") + size - 1))
+    long = parts.groupBy(*regions.columns).agg(F.array_sort(F.collect_set(F.struct("chunk", part.alias("s")))).alias("_p"), F.count(F.lit(1)).alias("_n"))
+    # equal regions met in one group: a row for each
+    long = long.withColumn("_n", F.explode(F.array_repeat(F.lit(1), (F.col("_n") / F.size("_p")).cast("int"))))
+    long = long.withColumn("seq", F.array_join(F.transform("_p", lambda p: p["s"]), ""))
+    return short.select(*regions.columns, "seq").where("seq != ''").unionByName(long.select(*regions.columns, "seq").where("seq != ''"))
 
 
 def _numbered(df: DataFrame) -> DataFrame:
