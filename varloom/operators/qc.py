@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from varloom.operators.intervals import before
+from varloom.operators.variants import by_key
 
 
 def pad_small(start: Column, end: Column, least: int = 10, by: int = 5) -> tuple[Column, Column]:
@@ -89,11 +93,22 @@ def near_duplicates(sites: DataFrame) -> DataFrame:
     rows = rows.join(n, ["chrom", "cluster"])
     alone = rows.where("_n = 1").select("chrom", "line_no", F.when(F.col("mark") == -1, -1).otherwise(1).alias("final"))
 
-    def fold(df: pd.DataFrame) -> pd.DataFrame:
-        marks = settle(list(df[["start", "end", "nr", "vq", "mark", "line_no"]].itertuples(index=False, name=None)))
-        return pd.DataFrame({"chrom": df["chrom"], "line_no": df["line_no"], "final": df["line_no"].map(marks).astype("int32")})
-
-    several = rows.where("_n > 1").drop("_n").groupBy("chrom", "cluster").applyInPandas(fold, f"chrom {dict(sites.dtypes)['chrom']}, line_no {dict(sites.dtypes)['line_no']}, final int")
+    kinds = dict(sites.dtypes)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for (chrom, _), group in by_key(batches, 2):
+            out += [(chrom, no, final) for no, final in settle([r[2:] for r in group]).items()]
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema)
+
+    several = rows.where("_n > 1").select("chrom", "cluster", "start", "end", "nr", "vq", "mark", "line_no")
+    schema = to_arrow_schema(sites.select("chrom", "line_no", F.lit(1).alias("final")).schema)
+    names = schema.names
+    several = several.repartition("chrom", "cluster").sortWithinPartitions("chrom", "cluster").mapInArrow(fold, f"chrom {kinds['chrom']}, line_no {kinds['line_no']}, final int")
     return alone.unionByName(several)
 
 
@@ -155,8 +170,16 @@ def restore_order(df: DataFrame) -> DataFrame:
 
 
 def sample_cap(df: DataFrame, most: int, key: str, seed: int = 1) -> DataFrame:
-    """At most so many rows, picked by a seeded hash."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(most)
+    """At most so many rows, those of the least seeded hash. A count tells which share of the hashes can be among them (with
+    room for six deviations), so tasks send about as many rows as are kept, however many tasks there are."""
+    n = df.count()
+    rows = df.withColumn("_x", F.xxhash64(F.col(key), F.lit(seed)))
+    if n > 2 * most:
+        share = (most + 6 * most**0.5 + 10) / n
+        few = rows.where(F.col("_x") < int(-(2**63) + share * 2**64))
+        if few.count() >= most:  # else many rows share a key's hash
+            rows = few
+    return rows.orderBy("_x", key).limit(most).drop("_x")
 
 
 def rank_window(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:

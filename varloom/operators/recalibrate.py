@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.operators.intervals import before
+from varloom.operators.qc import sample_cap
 
 FEATURES = ["biallelic", "inb_coeff", "leg", "n_ratio", "alt_perfect", "both_imperfect"]
 #: Training rows that the mixtures are fitted to, at most.
@@ -64,34 +65,68 @@ class Mixture:
         return -2 * float(self.log_likelihood(x).sum()) + (k * (1 + d + d * (d + 1) / 2) - 1) * np.log(len(x))
 
 
-def fit_mixture(x: np.ndarray, k: int, seed: int = 1, rounds: int = 150, tol: float = 2e-3, starts: int = 4) -> Mixture:
+def moments(x: np.ndarray) -> np.ndarray:
+    """1, the features and their products, per row: densities and sums of all components are products with this."""
+    i, j = np.triu_indices(x.shape[1])
+    return np.concatenate([np.ones((len(x), 1)), x, x[:, i] * x[:, j]], 1)
+
+
+def run_em(x: np.ndarray, phi: np.ndarray, k: int, seed: int, rounds: int = 150, tol: float = 2e-3, floor: float = 1e-3) -> tuple[Mixture, float, bool]:
+    """One start from k random rows: the mixture, its mean log-likelihood and whether it converged. phi: moments(x)."""
     rng = np.random.default_rng(seed)
-    best, score = None, -np.inf
-    d = x.shape[1]
-    for _ in range(starts):
-        mean = x[rng.choice(len(x), k, replace=len(x) < k)]
-        m = Mixture(np.full(k, 1 / k), mean, np.stack([np.cov(x.T).reshape(d, d) + 1e-3 * np.eye(d)] * k))
-        last = -np.inf
-        for _ in range(rounds):
-            j = m.joint(x)
-            top = j.max(1, keepdims=True)
-            norm = top[:, 0] + np.log(np.exp(j - top).sum(1))
-            if abs(norm.mean() - last) < tol:
-                break
-            last = float(norm.mean())
-            r = np.exp(j - norm[:, None])
-            mass = r.sum(0) + 1e-9
-            mean = r.T @ x / mass[:, None]
-            cov = np.stack([(r[:, i, None] * (x - mean[i])).T @ (x - mean[i]) / mass[i] + 1e-3 * np.eye(d) for i in range(k)])
-            m = Mixture(mass / mass.sum(), mean, cov)
-        if last > score:
-            best, score = m, last
-    return best
-
-
-def best_mixture(x: np.ndarray, most: int, seed: int = 1) -> Mixture:
-    """The number of components of the least BIC."""
-    return min((fit_mixture(x, k, seed) for k in range(1, most + 1)), key=lambda m: m.bic(x))
+    (n, d), (i, j) = x.shape, np.triu_indices(x.shape[1])
+    twice = np.where(i == j, 1.0, 2.0)
+    mean = x[rng.choice(n, k, replace=n < k)]
+    m = Mixture(np.full(k, 1 / k), mean, np.stack([np.cov(x.T).reshape(d, d) + floor * np.eye(d)] * k))
+    last = -np.inf
+    for _ in range(rounds):
+        inv = np.linalg.inv(m.cov)
+        line = np.einsum("kij,kj->ki", inv, m.mean)
+        const = np.log(m.weight) - 0.5 * (np.linalg.slogdet(m.cov)[1] + (line * m.mean).sum(1) + d * np.log(2 * np.pi))
+        joint = phi @ np.concatenate([const[:, None], line, -0.5 * inv[:, i, j] * twice], 1).T
+        top = joint.max(1, keepdims=True)
+        norm = top[:, 0] + np.log(np.exp(joint - top).sum(1))
+        if abs(norm.mean() - last) < tol:
+            return m, last, True
+        last = float(norm.mean())
+        sums = np.exp(joint - norm[:, None]).T @ phi
+        mass = sums[:, 0] + 1e-9
+        mean = sums[:, 1 : d + 1] / mass[:, None]
+        cov = np.zeros((k, d, d))
+        cov[:, i, j] = cov[:, j, i] = sums[:, d + 1 :] / mass[:, None]
+        m = Mixture(mass / mass.sum(), mean, cov - mean[:, :, None] * mean[:, None, :] + floor * np.eye(d))
+    return m, last, False
+
+
+#: Starts of each mixture.
+STARTS = 100
+
+
+def best_mixture(spark: SparkSession, x: np.ndarray, most: int, seed: int = 1, starts: int = STARTS) -> Mixture:
+    """Of mixtures of 1 to most components, each from so many random starts, the converged one of the least BIC (the
+    fewest components and the first start on ties); an error if none converges. Every start is a row, dealt over tasks; the
+    training rows (MAX_ROWS at most) go along. One row comes back."""
+    kind = "k int, start int, bic double, weight array<double>, mean array<double>, cov array<double>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        phi = moments(x)
+        for b in batches:
+            rows = []
+            for job in b["id"]:
+                k, start = divmod(int(job), starts)
+                m, _, done = run_em(x, phi, k + 1, seed * 1_000_003 + int(job))
+                if done:
+                    rows.append((k + 1, start, m.bic(x), m.weight.tolist(), m.mean.ravel().tolist(), m.cov.ravel().tolist()))
+            yield pd.DataFrame(rows, columns=["k", "start", "bic", "weight", "mean", "cov"])
+
+    jobs = most * starts
+    # hashed, so that each task gets starts of every size
+    done = spark.range(jobs).repartition(min(jobs, 4 * spark.sparkContext.defaultParallelism), F.xxhash64("id")).mapInPandas(run, kind)
+    best = done.agg(F.min_by(F.struct("k", "weight", "mean", "cov"), F.struct("bic", "k", "start")).alias("b")).first()["b"]
+    if best is None:
+        raise RuntimeError(f"no mixture of up to {most} components converged in {starts} starts each")
+    k, d = best["k"], x.shape[1]
+    return Mixture(np.array(best["weight"]), np.array(best["mean"]).reshape(k, d), np.array(best["cov"]).reshape(k, d, d))
 
 
 def log_odds(df: DataFrame, good: Mixture, bad: Mixture | None, features: list[str], prior: float = 2.0) -> DataFrame:
@@ -122,8 +157,7 @@ def marginal(m: Mixture, x: np.ndarray, i: int) -> np.ndarray:
 
 def training_rows(df: DataFrame, features: list[str], most: int = MAX_ROWS, seed: int = 1) -> np.ndarray:
     """At most so many rows, by a seeded hash of the site."""
-    rows = df.orderBy(F.xxhash64("site", F.lit(seed)), "site").limit(most).select(*[f"z_{c}" for c in features]).toPandas()
-    return rows.to_numpy(float)
+    return sample_cap(df, most, "site", seed).select(*[f"z_{c}" for c in features]).toPandas().to_numpy(float)
 
 
 def roc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -145,15 +179,16 @@ def lod_cutoff(roc_rows: DataFrame, tpr: float = 0.99) -> float:
     return float(roc_rows.where(F.col("tpr") > tpr).agg(F.round(F.max("threshold")).alias("t")).first()["t"])
 
 
-def recalibrate(sites: DataFrame, features: list[str], seed: int = 1) -> DataFrame:
+def recalibrate(sites: DataFrame, features: list[str], seed: int = 1, starts: int = STARTS) -> DataFrame:
     """Sites (site, training, features) with lod, culprit, failing and marks of both training sets."""
     rows, _ = normalised(sites, features)
-    good = best_mixture(training_rows(rows.where("training and not failing"), features, seed=seed), 6, seed)
+    spark = sites.sparkSession
+    good = best_mixture(spark, training_rows(rows.where("training and not failing"), features, seed=seed), 6, seed, starts)
     first = log_odds(rows, good, None, features).drop("culprit")
     cut = lod_cutoff(roc(first, "lod", "training"))
     bad_rows = first.where((F.col("lod") < cut) & ~F.col("failing"))
     x = training_rows(bad_rows, features, seed=seed)
-    bad = best_mixture(x, 4, seed) if len(x) > 2 * len(features) else None
+    bad = best_mixture(spark, x, 4, seed, starts) if len(x) > 2 * len(features) else None
     out = log_odds(rows, good, bad, features)
     return out.join(first.select("site", ((F.col("lod") < cut) & ~F.col("failing")).alias("negative")), "site").select("site", "training", "negative", "failing", "lod", "culprit")
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import namedtuple
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,17 +27,19 @@ def drop_double_gaps(df: DataFrame) -> DataFrame:
 
 def walk(df: DataFrame) -> DataFrame:
     """A row per alignment column: t_pos, q_pos (of the base, or of the base before a gap), t_base, q_base.
-    Positions are counted inside the row's own task, by array folds."""
+    Positions are counted inside the row's own task: one step per run of bases or of gaps, then a count within the run."""
     def places(seq: str, start: str) -> Column:
-        return F.aggregate(
-            F.split(seq, ""),
-            F.struct((F.col(start) - 1).cast("long").alias("at"), F.array().cast("array<struct<b:string,p:bigint>>").alias("out")),
-            lambda a, b: F.struct(
-                (a["at"] + F.when(b == "-", 0).otherwise(1)).alias("at"),
-                F.concat(a["out"], F.array(F.struct(b.alias("b"), (a["at"] + F.when(b == "-", 0).otherwise(1)).alias("p")))).alias("out"),
+        runs = F.aggregate(
+            F.regexp_extract_all(F.col(seq), F.lit("-+|[^-]+"), F.lit(0)),
+            F.struct((F.col(start) - 1).cast("long").alias("at"), F.array().cast("array<struct<s:string,at:bigint>>").alias("out")),
+            lambda a, x: F.struct(
+                (a["at"] + F.when(x.startswith("-"), 0).otherwise(F.length(x))).cast("long").alias("at"),
+                F.concat(a["out"], F.array(F.struct(x.alias("s"), a["at"].alias("at")))).alias("out"),
             ),
             lambda a: a["out"],
         )
+        within = lambda r: F.transform(F.split(r["s"], ""), lambda b, i: F.struct(b.alias("b"), (r["at"] + F.when(b == "-", 0).otherwise(i + 1)).cast("long").alias("p")))
+        return F.flatten(F.transform(runs, within))
 
     both = F.arrays_zip(places("t_seq", "t_start").alias("t"), places("q_seq", "q_start").alias("q"))
     keep = [c for c in df.columns if c not in ("t_seq", "q_seq")]
@@ -224,6 +231,7 @@ def neighbour_ranks(df: DataFrame) -> DataFrame:
 
 # The adjacency machine (V01 to V05, V08): a fold over one query's alignments, two of which it remembers.
 CALLS = "q_id string, kind string, t_id string, t_start long, t_end long, q_start long, q_end long"
+CALL_COLUMNS = ["q_id", "kind", "t_id", "t_start", "t_end", "q_start", "q_end"]
 
 
 def _spans_gap(a, c) -> tuple[int, int]:
@@ -297,16 +305,33 @@ def call_query(rows: list, compat: bool = False) -> list[tuple]:
     return out
 
 
-def structural_calls(alignments: DataFrame, compat: bool = False) -> DataFrame:
-    """V01 to V05 and V08 (calls are not refined, as V06 and V07 would): runs query by query; a query's alignments are few (one assembled sequence)."""
-    several = alignments.groupBy("q_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("q_id")
-    rows = alignments.select("q_id", "t_id", "t_start", "t_end", "q_start", "q_end", "strand").join(several, "q_id", "left_semi")
+def by_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple]:
+    """(first columns, rows) of each run of rows that agree on so many first columns; runs may straddle batches."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    return groupby(rows, key=itemgetter(*range(keys)))
+
 
-    def fold(df: pd.DataFrame) -> pd.DataFrame:
-        found = call_query(list(df.itertuples(index=False)), compat)
-        return pd.DataFrame(found, columns=["q_id", "kind", "t_id", "t_start", "t_end", "q_start", "q_end"])
+Alignment = namedtuple("Alignment", "q_id t_id t_start t_end q_start q_end strand")
 
-    return rows.groupBy("q_id").applyInPandas(fold, CALLS)
+
+def structural_calls(alignments: DataFrame, compat: bool = False) -> DataFrame:
+    """Runs query by query over partitions sorted by query; a query's alignments (one assembled
+    sequence's) are held one query at a time."""
+    rows = alignments.select(F.col("q_id").cast("string"), F.col("t_id").cast("string"), *[F.col(c).cast("long") for c in Alignment._fields[2:6]], "strand")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for _, group in by_key(batches, 1):
+            own = list(map(Alignment._make, group))
+            if len(own) > 1:
+                out += call_query(own, compat)
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], CALL_COLUMNS)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], CALL_COLUMNS)
+
+    return rows.repartition("q_id").sortWithinPartitions("q_id", "q_start", "t_id", "t_start").mapInArrow(fold, CALLS)
 
 
 def summary(df: DataFrame, key: str, length: str) -> DataFrame:
