@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varloom.functions import scalars as S
-from varloom.operators import align, genotype, intervals, qc, reads, recalibrate, variants
+from varloom.operators import align, genotype, intervals, qc, reads, realign, recalibrate, variants
 from varloom.sources import readers
 
 
@@ -154,10 +154,113 @@ def test_structural_calls(spark):
     assert got == {"a": ["gap-2"], "b": ["INV"], "c": ["TRANS-INTER1"]}
 
 
-GOLD = [
-    # two sequences that share flanks; a region of either is left out
-    ("ACGTTGCAAGGCTAGCTAGGATCCA", "ACGTTGCAAGGATCCA", "indel"),
-]
+def test_breakpoints():
+    a = "ACGTTGCAGG" + "TCATCA" + "TCAGGACC"  # the excised TCATCA may also lie one to three places on
+    got = align.breakpoints(a, 10, 17)
+    assert (got["at"], got["outside"], got["inside"]) == (3, 0, 3)
+    assert (got["start_lo"], got["start_hi"], got["end_lo"], got["end_hi"]) == (11, 13, 14, 19)
+    assert align.breakpoints("AACG" + "TT" + "CGTT", 4, 7)["outside"] == 2
+    assert align.breakpoints("ACGTACGT", 4, 5)["at"] == 0 and align.homology_of("ANN", "NNA") == 0
+    rng = random.Random(2)
+    for _ in range(300):
+        x, y = ("".join(rng.choice("ACN") for _ in range(rng.randint(0, 8))) for _ in "ab")
+        assert align.homology_of(x, y) == max((n for n in range(min(len(x), len(y)) + 1) if x[len(x) - n :] == y[:n] and "N" not in y[:n]), default=0)
+    assert [align.excised_range(10, 17, m) for m in ("indel", "tdup", "invl", "invr")] == [(11, 16), (17, 10), (11, 17), (10, 16)]
+
+
+def _plain_scores(a: str, b: str, sc) -> list[list[int]]:
+    """Local alignment with affine gaps, cell by cell, by looking at gaps of every length."""
+    f = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            s = 0 if "N" in (a[i - 1], b[j - 1]) else sc.match if a[i - 1] == b[j - 1] else sc.mismatch
+            gaps = [f[i - k][j] + sc.gap + (k - 1) * sc.extend for k in range(1, i + 1)] + [f[i][j - k] + sc.gap + (k - 1) * sc.extend for k in range(1, j + 1)]
+            f[i][j] = max(0, f[i - 1][j - 1] + s, *gaps)
+    return f
+
+
+def test_alignment_of_many_pairs_matches_brute_force(spark):
+    rng = random.Random(6)
+    pairs = []
+    for k in range(60):
+        a = "".join(rng.choice("ACGTN" if k % 3 else "AC") for _ in range(rng.randint(0, 12)))
+        i = rng.randint(0, len(a))
+        b = a[:i] + a[i + rng.randint(0, 4) :] if k % 2 else "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 12)))
+        pairs.append((k, a, align.turned(b) if k % 5 == 0 else b))
+    df = spark.createDataFrame(pairs, "pair_id long, a string, b string")
+    for sc in (align.Scores(1, -2, -2, -1), align.Scores()):
+        got = {r.pair_id: r for r in align.gap_excision(df, sc, both=True, tasks=2).collect()}
+        local = {r.pair_id: r for r in align.smith_waterman(df, sc, tasks=2).collect()}
+        for k, a, b in pairs:
+            best = []
+            for s in (b, align.turned(b)):
+                f, r = _plain_scores(a, s, sc), _plain_scores(a[::-1], s[::-1], sc)
+                n, m = len(a), len(s)
+                high = lambda t, i, j: max(max(x[: j + 1]) for x in t[: i + 1])
+                best.append(max(high(f, i, j) + high(r, n - i, m - j) for i in range(n + 1) for j in range(m + 1)))
+            assert (got[k].score or 0) == max(best)
+            assert got[k].strand == (None if not max(best) else "+" if best[0] >= best[1] else "-")
+            assert local[k].score == max(map(max, _plain_scores(a, b, sc)))
+
+
+def test_fetch_of_long_regions(spark):
+    rng = random.Random(4)
+    seqs = {k: "".join(rng.choice("ACGT") for _ in range(n)) for k, n in (("a", 57), ("b", 10), ("c", 1))}
+    chunks = readers.sequence_chunks(spark.createDataFrame(list(seqs.items()), "id string, seq string"), 10, 6)
+    rows = [(k, s, e) for k in seqs for s in (1, 5, 10, 11, 31) for e in (s, s + 3, s + 12, s + 60) if s <= len(seqs[k])] * 2
+    got = sorted(map(tuple, readers.fetch(spark.createDataFrame(rows, "id string, start long, end long"), chunks, 10, 6).collect()))
+    assert got == sorted((k, s, e, seqs[k][s - 1 : e]) for k, s, e in rows)
+
+
+def test_fasta_headers_may_hold_the_mark(spark, tmp_path):
+    (tmp_path / "x.fa").write_text(">a note c.10A>G here\nAC\nGTN\n\n>b\r\nacgt\r\n>c\n")
+    assert sorted((r.id, r.seq, r.len, r.n_len) for r in readers.read_fasta(spark, str(tmp_path / "x.fa")).collect()) == [("a", "ACGTN", 5, 1), ("b", "acgt", 4, 0), ("c", "", 0, 0)]
+
+
+def test_realigned_calls(spark):
+    """Planted changes come back with their type, size and place; bases of the alleles differ by just that."""
+    rng = random.Random(9)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    targets, queries, calls, want = [], [], [], {}
+    for k in range(12):
+        t = dna(1300)
+        at, size = 640, 3 + k
+        kind = ["DEL", "INS", "REPLACEMENT", "SNP"][k % 4]
+        new = {"DEL": "", "INS": dna(size), "REPLACEMENT": dna(size + 5), "SNP": {"A": "C", "C": "G", "G": "T", "T": "A"}[t[at]]}[kind]
+        gone = {"DEL": size, "INS": 0, "REPLACEMENT": size, "SNP": 1}[kind]
+        q = t[:at] + new + t[at + gone :]
+        if back := k >= 8:
+            q = align.turned(q)
+        targets.append((f"t{k}", t))
+        queries.append((f"q{k}", q))
+        lo = len(q) - at - len(new) if back else at
+        expected = ("t%d" % k, at - 20, at + gone + 20) if k == 4 else (None, None, None)
+        calls.append((k, "TRANS-INTRA1" if k == 4 else "gap-2", f"t{k}" if k != 4 else "t0", at - 10, at + gone + 10, f"q{k}", lo - 10, lo + len(new) + 10, 50, 0.001, *expected))
+        want[k] = (kind, len(new) - gone)
+    calls.append((99, "INV", "t0", 600, 650, "q0", 600, 640, 50, 0.001, None, None, None))
+    calls.append((98, "gap-1", "t1", 100, 120, "q1", 100, 120, 50, 0.001, None, None, None))
+    table = lambda rows: spark.createDataFrame(rows, "id string, seq string")
+    long = "call_id long, type string, t_id string, t_start long, t_end long, q_id string, q_start long, q_end long, score long, mismap double, expected_id string, expected_start long, expected_end long"
+    c = spark.createDataFrame(calls, long)
+    t, q = (readers.sequence_chunks(table(x), 200, 120) for x in (targets, queries))
+    lengths = lambda x: table(x).select("id", F.length("seq").cast("long").alias("len"))
+    args = (t, q, lengths(targets), lengths(queries))
+    rows = {r.call_id: r for r in realign.realign(c, *args, flank_size=200, size=200, overlap=120).collect()}
+    assert len(rows) == 14 and rows[98].status == "RefHomo_Or_SNP"
+    assert (rows[99].type, rows[99].t_start, rows[99].t_end) == ("INV", 600, 650)
+    refs = spark.createDataFrame([("t2", 1, 1300, "other")], "t_id string, t_start long, t_end long, q_id string")
+    final = {r.call_id: r for r in realign.detected(c, *args, refs, flank_size=200, size=200, overlap=120).collect()}
+    seq_t, seq_q = dict(targets), dict(queries)
+    for k, (kind, change) in want.items():
+        r = final[k]
+        assert r.type.split("=>")[0] == kind and r.strand == ("-" if k >= 8 else "+") and r.is_good_realign
+        assert len(r.alt) - len(r.ref) == change
+        own = align.turned(seq_q[f"q{k}"]) if k >= 8 else seq_q[f"q{k}"]
+        s = seq_t[r.t_id]
+        assert s[: r.t_start - 1] + r.alt + s[r.t_end :] == own, k  # the variant turns the target into the query
+        assert s[r.t_start - 1 : r.t_end] == r.ref
+        assert r.gt == ("0/1" if k == 2 else "1/1") and r["filter"] == "."
+    assert final[4].type == "DEL=>TRANS#t0-630-657#q4-630-650"
 
 
 def test_gap_excision(spark):
@@ -269,6 +372,37 @@ def test_recalibration_separates(spark):
     assert good[len(good) // 2] > bad[len(bad) // 2]
 
 
+def test_mixtures(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal((0, 0), 0.5, (150, 2)), rng.normal((4, 4), 0.7, (100, 2))])
+    m = recalibrate.best_mixture(spark, x, 3, starts=5)
+    assert sorted(np.round(m.mean[:, 0]).tolist()) == [0, 4] and abs(m.weight.max() - 0.6) < 0.05
+    # one round in plain loops gives the same as run_em's products
+    first, _, done = recalibrate.run_em(x, recalibrate.moments(x), 2, 3, rounds=1)
+    pick = np.random.default_rng(3).choice(len(x), 2, replace=False)
+    cov = np.cov(x.T) + 1e-3 * np.eye(2)
+    r = np.zeros((len(x), 2))
+    for i, row in enumerate(x):
+        p = [np.exp(-0.5 * (row - c) @ np.linalg.inv(cov) @ (row - c)) for c in x[pick]]
+        r[i] = np.array(p) / sum(p)
+    for k in range(2):
+        mean = sum(r[i, k] * x[i] for i in range(len(x))) / r[:, k].sum()
+        var = sum(r[i, k] * np.outer(x[i] - mean, x[i] - mean) for i in range(len(x))) / r[:, k].sum() + 1e-3 * np.eye(2)
+        assert np.allclose(first.mean[k], mean) and np.allclose(first.cov[k], var) and not done
+    with pytest.raises(RuntimeError):
+        recalibrate.best_mixture(spark, np.array([[np.nan, 1.0], [2.0, 3.0]]), 1, starts=2)
+
+
+def test_sample_cap(spark):
+    df = spark.range(5000).withColumn("y", F.col("id") % 7)
+    got = [r.id for r in qc.sample_cap(df, 300, "id").collect()]
+    assert got == [r.id for r in df.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(300).collect()]
+    assert qc.sample_cap(df, 10_000, "id").count() == 5000
+    assert qc.sample_cap(df.select(F.lit(1).alias("id")), 300, "id").count() == 300
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("a;;b,c", "0|2", 8)], "s string, gt string, n long")
     r = df.select(S.split_set("s", ";,").alias("p"), S.first_alt("gt").alias("a"), S.collapse_gt("gt").alias("c"), S.size_bin_log("n").alias("l"), S.size_bin_log(F.lit(1)).alias("one"), S.size_bin_log(F.lit(9)).alias("nine")).first()

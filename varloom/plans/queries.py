@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.functions import scalars as S
-from varloom.operators import align, genotype, intervals, qc, reads, recalibrate, support, variants
-from varloom.plans.views import lengths, sql, table, view
+from varloom.operators import align, genotype, intervals, qc, reads, realign, recalibrate, support, variants
+from varloom.plans.views import BASES, LETTERS, lengths, sql, table, view
+from varloom.sources import readers
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -462,9 +463,9 @@ def _(spark, d):
     return t.select("event_id", S.info_value("i", "AC").alias("ac"), S.info_flag("i", "NEG").alias("neg"))
 
 
-@_query("P36_clear_alleles", """SELECT q_id, translate(upper(substr(t_seq, 1, 1)), 'WSKMYRVDBH', 'ACTACAAATA') AS ref, translate(upper(substr(q_seq, 1, 1)), 'WSKMYRVDBH', 'ACTACAAATA') AS alt FROM aligned WHERE translate(upper(substr(t_seq, 1, 1)), 'WSKMYRVDBH', 'ACTACAAATA') <> translate(upper(substr(q_seq, 1, 1)), 'WSKMYRVDBH', 'ACTACAAATA')""", "aligned")
+@_query("P36_clear_alleles", _COLS + """, a AS (SELECT q_id, CAST(col AS INT) AS col, translate(upper(t_base), 'WSKMYRVDBH', 'ACTACAAATA') AS ref, translate(upper(q_base), 'WSKMYRVDBH', 'ACTACAAATA') AS alt FROM w) SELECT * FROM a WHERE ref <> alt""", "aligned")
 def _(spark, d):
-    v = view(spark, d, "aligned").select("q_id", S.iupac_alt(F.upper(F.substring("t_seq", 1, 1))).alias("ref"), S.iupac_alt(F.upper(F.substring("q_seq", 1, 1))).alias("alt"))
+    v = variants.walk(view(spark, d, "aligned")).select("q_id", "col", S.iupac_alt(F.upper("t_base")).alias("ref"), S.iupac_alt(F.upper("q_base")).alias("alt"))
     return v.where("ref != alt")
 
 
@@ -580,6 +581,25 @@ def _(spark, d):
     return align.gap_excision(v, align.Scores(1, -2, -2, -1), both=True)
 
 
+@_query("V07_realign")
+def _(spark, d):
+    """Each text as a target, and without or with a run of bases in its middle as a query; a call around the place."""
+    t = table(spark, d, "documents").where("length(text) > 0").select("doc_id", F.upper("text").alias("s"))
+    t = t.select("doc_id", F.translate(F.regexp_replace("s", "[^A-Z]", "E"), LETTERS, BASES.replace("-", "A")).alias("s")).withColumn("at", F.expr("length(s) div 2"))
+    left, right = F.expr("left(s, at)"), F.expr("substr(s, at + 1)")
+    q = F.when(F.col("doc_id") % 2 == 0, F.concat(left, F.expr("substr(s, at + 21)"))).otherwise(F.concat(left, F.lit("ACCAGTTGCATTG"), right))
+    targets, queries = t.select(F.col("doc_id").cast("string").alias("id"), F.col("s").alias("seq")), t.select(F.concat(F.lit("q"), "doc_id").alias("id"), q.alias("seq")).where("seq != ''")
+    calls = t.select(
+        F.col("doc_id").alias("call_id"), F.lit("gap-2").alias("type"), F.col("doc_id").cast("string").alias("t_id"), (F.col("at") - 5).alias("t_start"), (F.col("at") + 25).alias("t_end"),
+        F.concat(F.lit("q"), "doc_id").alias("q_id"), (F.col("at") - 5).alias("q_start"), (F.col("at") + 15).alias("q_end"), F.lit(50).cast("long").alias("score"), F.lit(0.001).alias("mismap"),
+        F.lit(None).cast("string").alias("expected_id"), F.lit(None).cast("long").alias("expected_start"), F.lit(None).cast("long").alias("expected_end"),
+    )
+    size = lambda x: x.select("id", F.length("seq").cast("long").alias("len"))
+    none = calls.select("t_id", "t_start", "t_end", F.lit("").alias("q_id")).where("false")
+    out = realign.detected(calls, readers.sequence_chunks(targets), readers.sequence_chunks(queries), size(targets), size(queries), none, flank_size=100)
+    return out.select("call_id", "type", "t_id", "t_start", "t_end", "q_start", "q_end", "strand", "ref", "alt", "is_good_realign", "gt", "filter")
+
+
 @_query("G13_smith_waterman")
 def _(spark, d):
     v = view(spark, d, "aligned").select(F.col("q_id").alias("pair_id"), F.regexp_replace("t_seq", "-", "").alias("a"), F.regexp_replace("q_seq", "-", "").alias("b"))
@@ -614,9 +634,9 @@ def _(spark, d):
     return g.select("site", support.has_genotype(F.col("gts")).alias("has"), F.size(support.present(F.col("gts"))).alias("present"))
 
 
-@_query("P32_shared_prefix", "SELECT q_id, CAST(list_max(list_transform(range(0, 21), lambda n: CASE WHEN substr(t_seq, 1, n) = substr(q_seq, 1, n) THEN n ELSE 0 END)) AS INT) AS n FROM aligned", "aligned")
+@_query("P32_shared_prefix", "SELECT q_id, CAST(list_max(list_transform(range(0, length(t_seq) + 1), lambda n: CASE WHEN substr(t_seq, 1, n) = substr(q_seq, 1, n) THEN n ELSE 0 END)) AS INT) AS n FROM aligned", "aligned")
 def _(spark, d):
-    return view(spark, d, "aligned").select("q_id", variants.shared_prefix(F.substring("t_seq", 1, 20), F.substring("q_seq", 1, 20)).alias("n"))
+    return view(spark, d, "aligned").select("q_id", variants.shared_prefix(F.col("t_seq"), F.col("q_seq")).alias("n"))
 
 
 @_query("P18_19_size_and_n_ratio", """SELECT q_id, CASE WHEN t_id % 2 = 0 THEN 9 ELSE length(q_seq) - length(t_seq) + 3 END AS size, round(length(regexp_replace(substr(q_seq, greatest(1, 20 - 5), least(length(q_seq), 30 + 5) - greatest(1, 20 - 5) + 1), '[^N]', '', 'g')) / (abs(-4) + 10), 6) AS n_ratio FROM aligned""", "aligned")

@@ -23,15 +23,19 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 GENOTYPES = """
 SELECT user_id AS site, event_type AS sample, CAST(sum(CASE WHEN value < 50 THEN 1 ELSE 0 END) AS BIGINT) AS rr, CAST(sum(CASE WHEN value >= 50 THEN 1 ELSE 0 END) AS BIGINT) AS aa
 FROM events GROUP BY user_id, event_type"""
-#: Gapped rows from text: letters onto ACGT, N and -.
+#: Gapped rows from text, letters onto ACGT, N and -: a whole text against itself from its second character on, cut into pieces
+#: of 60 columns, a row each; i numbers them.
 LETTERS, BASES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACNTACGTACGTA-"
 ALIGNED = f"""
-SELECT CAST(doc_id % 50 AS BIGINT) AS t_id, CAST(doc_id AS BIGINT) AS q_id, CAST(doc_id + 1 AS BIGINT) AS t_start, CAST(doc_id * 2 + 1 AS BIGINT) AS q_start,
-  translate(regexp_replace(translate(substr(text, 1, 60), '{LETTERS.lower()}', '{LETTERS}'), '[^A-Z]', 'Z'{{g}}), '{LETTERS}', '{BASES}') AS t_seq,
-  translate(regexp_replace(translate(substr(text, 2, 60), '{LETTERS.lower()}', '{LETTERS}'), '[^A-Z]', 'E'{{g}}), '{LETTERS}', '{BASES}') AS q_seq
-FROM documents WHERE length(text) > 61"""
-SPARK = {"days": "datediff(l_shipdate, DATE'1970-01-01')", "minutes": "timestampdiff(MINUTE, timestamp_ntz'2024-01-01 00:00:00', ts)", "g": ""}
-DUCK = {"days": "date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))", "minutes": "date_diff('minute', TIMESTAMP '2024-01-01 00:00:00', ts)", "g": ", 'g'"}
+SELECT CAST(doc_id % 50 AS BIGINT) AS t_id, CAST(doc_id * 1000000 + i AS BIGINT) AS q_id, CAST(doc_id + 1 + 60 * i AS BIGINT) AS t_start, CAST(doc_id * 2 + 1 + 60 * i AS BIGINT) AS q_start,
+  translate(regexp_replace(translate(t, '{LETTERS.lower()}', '{LETTERS}'), '[^A-Z]', 'Z'{{g}}), '{LETTERS}', '{BASES}') AS t_seq,
+  translate(regexp_replace(translate(q, '{LETTERS.lower()}', '{LETTERS}'), '[^A-Z]', 'E'{{g}}), '{LETTERS}', '{BASES}') AS q_seq
+FROM {{pieces}}"""
+_PIECES = "SELECT doc_id, regexp_extract_all(text, '(?s).{{1,60}}'{group}) AS t, regexp_extract_all(concat(substr(text, 2), ' '), '(?s).{{1,60}}'{group}) AS q FROM documents WHERE length(text) > 0"
+SPARK_PIECES = f"(SELECT doc_id, i, x.t, x.q FROM (SELECT doc_id, posexplode(arrays_zip(t, q)) AS (i, x) FROM ({_PIECES.format(group=', 0').replace('{', '{{').replace('}', '}}')})))"
+DUCK_PIECES = f"(SELECT doc_id, unnest(range(len(t))) AS i, unnest(t) AS t, unnest(q) AS q FROM ({_PIECES.format(group='')}))"
+SPARK = {"days": "datediff(l_shipdate, DATE'1970-01-01')", "minutes": "timestampdiff(MINUTE, timestamp_ntz'2024-01-01 00:00:00', ts)", "g": "", "pieces": SPARK_PIECES}
+DUCK = {"days": "date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))", "minutes": "date_diff('minute', TIMESTAMP '2024-01-01 00:00:00', ts)", "g": ", 'g'", "pieces": DUCK_PIECES}
 TEXTS = {"intervals": INTERVALS, "points": POINTS, "sites": SITES, "genotypes": GENOTYPES, "aligned": ALIGNED}
 _TABLES = {"intervals": ["lineitem"], "points": ["events"], "sites": ["lineitem", "orders"], "genotypes": ["events"], "aligned": ["documents"]}
 
