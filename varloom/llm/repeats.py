@@ -5,8 +5,8 @@ the m-grams of the smallest hash), so every window holds an anchor and equal win
 the same offset. Only anchors met twice or more are looked at again:
 
 * up to MOST_ROWS occurrences (some MB): they meet in one group, each with the symbols on either
-  side. Where few contexts differ a resolver finds the common extensions; where many do, windows
-  are compared by their prefix hashes, in time linear in the group;
+  side, and the operator's resolver (a suffix sort, a parse against the earlier ones) finds what repeats,
+  whatever the group's size;
 * more (a passage in a third of all documents): each window over the anchor is keyed by a 128-bit
   digest and an aggregation with map-side combine finds its first start; no group meets in a task.
 
@@ -28,14 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm._common import BASE, CHUNK, chunks, keyed, mix, powers, prefix_sums, slice_hash, sliding, text_buffers, word_bounds
+from varloom.llm._common import CHUNK, chunks, keyed, powers, prefix_sums, slice_hash, sliding, text_buffers, word_bounds
 
 #: Occurrences of an anchor that meet in one group; an exact way takes the anchors with more.
 MOST_ROWS = 20_000
-#: Different contexts that the resolver compares with each other.
-MOST_PAIRED = 24
 
-Resolver = Callable[[list[tuple[bytes, ...] | bytes], list], list[list[tuple[int, int]]]]
+#: Of contexts left and right of an anchor, in corpus order, and the window's length: for each occurrence, how far left and
+#: right of the anchor each span reaches that earlier ones cover.
+Resolver = Callable[[list, list, int], list[list[tuple[int, int]]]]
 
 
 def _anchors(g: np.ndarray, k: int, m: int, first: np.ndarray | None) -> np.ndarray:
@@ -209,43 +209,7 @@ def _windows(batches: Iterator[pa.RecordBatch], k: int, m: int, words: bool) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def by_words(lefts: list[bytes], rights: list[bytes], k: int) -> list[list[tuple[int, int]]]:
-    return by_windows([x.split() for x in lefts], [x.split() for x in rights], k)
-
-
-def by_windows(lefts: list, rights: list, k: int) -> list[list[tuple[int, int]]]:
-    """As a resolver, for many contexts: of each window over the anchor (so many symbols left of it) the first
-    occurrence, by prefix hashes of both sides; verified on the symbols."""
-    n = len(rights)
-    ids: dict = {}
-    hashes = []
-    for side in ([x[::-1] for x in lefts], rights):
-        width = max(map(len, side))
-        codes = np.zeros((n, width), np.uint64)
-        for i, x in enumerate(side):
-            codes[i, : len(x)] = [ids.setdefault(c, len(ids) + 1) for c in x]
-        h = np.zeros((n, width + 1), np.uint64)
-        for j in range(width):
-            h[:, j + 1] = h[:, j] * np.uint64(BASE) + mix(codes[:, j])
-        hashes.append(h)
-    nl, nr = np.array([len(x) for x in lefts]), np.array([len(x) for x in rights])
-    found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    for d in range(hashes[0].shape[1]):
-        if k - d >= hashes[1].shape[1]:
-            continue
-        at = np.flatnonzero((nl >= d) & (nr >= k - d))
-        _, first, which = np.unique(mix(hashes[0][at, d]) + hashes[1][at, k - d], return_index=True, return_inverse=True)
-        for i, j in zip(at.tolist(), at[first[which]].tolist(), strict=True):
-            if i != j and rights[i][: k - d] == rights[j][: k - d] and lefts[i][len(lefts[i]) - d :] == lefts[j][len(lefts[j]) - d :]:
-                own = found[i]
-                if own and own[-1][0] == d - 1:  # one more to the left
-                    own[-1] = d, own[-1][1]
-                else:
-                    own.append((d, k - d))
-    return found
-
-
-def _resolve(batches: Iterator[pa.RecordBatch], k: int, words: bool, resolver: Callable, paired: int) -> Iterator[pa.RecordBatch]:
+def _resolve(batches: Iterator[pa.RecordBatch], k: int, words: bool, resolver: Resolver) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by anchor, document and position; groups may straddle batches."""
     schema = pa.schema([("_d", pa.int64()), ("_h", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
 
@@ -258,16 +222,16 @@ def _resolve(batches: Iterator[pa.RecordBatch], k: int, words: bool, resolver: C
         seen: dict[tuple[bytes, bytes], int] = {}
         own: list[tuple] = []
         for _, d, h, p, left, right in group:
-            nl, nr = (len(left.split()), len(right.split())) if words else (len(left), len(right))
             first = seen.setdefault((left, right), len(own))
+            if words:
+                left, right = left.split(), right.split()
             if first < len(own):  # the same on both sides as an earlier one: every window over it repeats
-                if nl + nr >= k and own[first][:3] != (d, h, p):
-                    out.append((d, h, p - nl, p + nr))
+                if len(left) + len(right) >= k and own[first][:3] != (d, h, p):
+                    out.append((d, h, p - len(left), p + len(right)))
                 continue
             own.append((d, h, p, left, right))
         if len(own) > 1:
-            find = resolver if len(own) <= paired else by_words if words else by_windows
-            found = find([x[3] for x in own], [x[4] for x in own], k)
+            found = resolver([x[3] for x in own], [x[4] for x in own], k)
             for (d, h, p, _, _), spans in zip(own, found, strict=True):
                 out += [(d, h, p - x, p + y) for x, y in spans]
         if len(out) > 20_000:
@@ -288,7 +252,7 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def repeated_spans(docs: DataFrame, k: int, m: int, words: bool, resolver: Callable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, k: int, m: int, words: bool, resolver: Resolver, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_d, _h, text, copy, spans array<struct<s,e>>) of every row: what windows of k symbols that also
     start earlier cover. copy: the whole text has an earlier copy."""
     t = keyed(docs, id_col, text_col)
@@ -308,7 +272,7 @@ def repeated_spans(docs: DataFrame, k: int, m: int, words: bool, resolver: Calla
         return t.join(lists, ["_d", "_h"])
 
     few = at_docs(again.where(F.col("n") <= MOST_ROWS)).mapInArrow(lambda it: _contexts(it, k, m, words), rows + ", l binary, r binary")
-    near = few.repartition("a").sortWithinPartitions("a", "_d", "_h", "p").mapInArrow(lambda it, paired=MOST_PAIRED: _resolve(it, k, words, resolver, paired), "_d long, _h long, s int, e int")
+    near = few.repartition("a").sortWithinPartitions("a", "_d", "_h", "p").mapInArrow(lambda it: _resolve(it, k, words, resolver), "_d long, _h long, s int, e int")
     many = at_docs(again.where(F.col("n") > MOST_ROWS)).mapInArrow(lambda it: _windows(it, k, m, words), "w binary, _d long, _h long, s int")
     first = many.groupBy("w").agg(F.min(F.struct("_d", "_h", "s")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "f")
     far = many.join(first, "w").where(F.struct("_d", "_h", "s") != F.col("f")).select("_d", "_h", "s", (F.col("s") + k).alias("e"))

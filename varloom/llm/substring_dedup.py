@@ -1,10 +1,14 @@
 """Operator 8, substring dedup: repeated word sequences, removed after their first start.
 
-Method: relative Lempel-Ziv parsing. Around each anchor that an earlier reference block shares, a
-document is factored greedily: the factor grows to the left and right as long as the words equal
-those of the reference. Factors of k words or more become duplicate spans. A window that straddles
-the boundary of two factors is not missed, as it holds an anchor of its own (every window does),
-against which it is checked.
+Method: relative Lempel-Ziv parsing. The reference is cut into blocks, the words around each content-chosen anchor
+(varloom.llm.repeats) that stands in the corpus twice or more, and dealt out by anchor. Blocks of
+an anchor are taken in corpus order: each is parsed greedily, from its left end, against the index of
+every block before it (their windows of k words over the anchor), and then indexed itself. A window
+that the index has is grown along the reference block to the longest common factor; the parse goes
+on at the factor's boundary, with the first window that reaches beyond it, and a window that is
+not there moves it on by a word. So windows that straddle two factors are looked up too, and factors,
+all of k words or more, are the duplicate spans. Every window of k words holds an anchor, so
+the blocks' factors together are those of the whole document. Work is linear in the blocks.
 
 Nulls and empty texts have no words. Rows with the same id and text are one document and get the
 same result; a null id counts as the smallest. Extra columns are ignored.
@@ -22,26 +26,28 @@ from varloom.llm._common import with_id
 from varloom.llm.repeats import local_spans, merged, repeated_spans, split_words
 
 
-def _reach(x: list[bytes], y: list[bytes]) -> int:
-    n = min(len(x), len(y))
-    if x[:n] == y[:n]:
-        return n
-    return next(i for i in range(n) if x[i] != y[i])
-
-
-def factor_spans(lefts: list[bytes], rights: list[bytes], k: int) -> list[list[tuple[int, int]]]:
-    """For each occurrence of an anchor, in corpus order: the factors of k or more words against the
-    reference blocks of the earlier occurrences, as words left and right of the anchor."""
-    back = [x.split()[::-1] for x in lefts]
-    ahead = [x.split() for x in rights]
-    out: list[list[tuple[int, int]]] = [[]]
-    for i in range(1, len(ahead)):
-        own: set[tuple[int, int]] = set()
-        for j in range(i):
-            r = _reach(ahead[i], ahead[j])
-            if r + len(back[i]) >= k and r + (x := _reach(back[i], back[j])) >= k:
-                own.add((x, r))
-        out.append(sorted(own))
+def factor_spans(lefts: list[list[bytes]], rights: list[list[bytes]], k: int) -> list[list[tuple[int, int]]]:
+    """Parses each block (the words left and right of an anchor), in corpus order, against those before it: its
+    factors of k or more words, as words left and right of the anchor's start."""
+    index: dict[tuple, int] = {}
+    blocks = [left + right for left, right in zip(lefts, rights, strict=True)]
+    out: list[list[tuple[int, int]]] = []
+    for i, block in enumerate(blocks):
+        own: list[tuple[int, int]] = []
+        at, boundary = len(lefts[i]), 0
+        for s in range(min(at, len(block) - k) + 1):
+            if s + k <= boundary:  # inside the last factor, so the index has it
+                continue
+            j = index.setdefault((at - s, *block[s : s + k]), i)
+            if j == i:
+                continue
+            shift, e = len(lefts[j]) - at, s + k
+            most = min(len(block), len(blocks[j]) - shift)
+            while e < most and block[e] == blocks[j][e + shift]:
+                e += 1
+            own.append((at - s, e - at))
+            boundary = e
+        out.append(own)
     return out
 
 
