@@ -2,8 +2,10 @@
 
 Method: hash-compared suffix sort. The suffixes at the anchors (varloom.llm.repeats) of a group are
 sorted by a mergesort (Python's sort is one) whose comparison finds the common extension of two
-suffixes by binary search over prefix polynomial hashes, so it takes a logarithmic number of steps;
-extensions to the left are found the same way. Each extension that counts is verified on the bytes.
+suffixes by binary search over prefix polynomial hashes, so it takes a logarithmic number of steps.
+Neighbours in the order give the common extensions of all suffixes: those of a group agree on so many bytes or more
+between two places where the extension falls below that. Extensions to the left are compared by the prefix hashes
+of the reversed bytes. Every match that counts is verified on the bytes.
 
 Nulls and empty texts: nothing to remove. Ties and repeated rows: rows with the same id and text
 are one document and get the same result; a null id counts as the smallest. Extra columns are ignored.
@@ -46,9 +48,13 @@ def common_extension(x: bytes, y: bytes, hx: list[int], hy: list[int]) -> int:
     return lo
 
 
+#: Up to so many suffixes, extensions are read off pair by pair; beyond, off runs of the order. Both give the same spans.
+FEW = 16
+
+
 def suffix_spans(lefts: list[bytes], rights: list[bytes], k: int) -> list[list[tuple[int, int]]]:
-    """For each occurrence of an anchor, in corpus order: how far left and right of it a match of k
-    or more bytes with an earlier occurrence reaches."""
+    """For each occurrence of an anchor, in corpus order: how far left and right of it matches of k
+    or more bytes with earlier occurrences reach."""
     n = len(rights)
     back = [x[::-1] for x in lefts]
     hr, hl = [prefix_hashes(x) for x in rights], [prefix_hashes(x) for x in back]
@@ -59,6 +65,8 @@ def suffix_spans(lefts: list[bytes], rights: list[bytes], k: int) -> list[list[t
 
     order = sorted(range(n), key=cmp_to_key(compare))
     lcp = [common_extension(rights[i], rights[j], hr[i], hr[j]) for i, j in zip(order, order[1:], strict=False)]
+    if n > FEW:
+        return _runs(order, lcp, back, rights, hl, k)
     found: list[set[tuple[int, int]]] = [set() for _ in range(n)]
     for a in range(n):
         reach = 1 << 30
@@ -73,6 +81,32 @@ def suffix_spans(lefts: list[bytes], rights: list[bytes], k: int) -> list[list[t
     return [sorted(x) for x in found]
 
 
+def _runs(order: list[int], lcp: list[int], back: list[bytes], rights: list[bytes], hl: list[list[int]], k: int) -> list[list[tuple[int, int]]]:
+    """The same spans for many suffixes, in time linear in them: for each number of bytes to the left, those of a run that agree
+    on the rest of the window, told apart by the hash of the bytes to the left."""
+    n = len(order)
+    found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    run = [0] * n
+    for d in range(max(map(len, back)) + 1):
+        need, now = k - d, 0
+        for r, i in enumerate(order):
+            if r and lcp[r - 1] < need:
+                now += 1
+            run[i] = now
+        firsts: dict[tuple[int, int], list[int]] = {}
+        for i in range(n):
+            if len(back[i]) < d or len(rights[i]) < need:
+                continue
+            same = firsts.setdefault((run[i], hl[i][d]), [])
+            if not any(back[i][:d] == back[j][:d] for j in same):  # the first, or one hash of two strings
+                same.append(i)
+            elif (own := found[i]) and own[-1][0] == d - 1:  # one more to the left
+                own[-1] = d, own[-1][1]
+            else:
+                own.append((d, need))
+    return found
+
+
 def _finish(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
