@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,9 +20,13 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    return d or tempfile.mkdtemp(prefix="varloom-", dir="/tmp")
+    """The folder that driver and executors share, spark.checkpoint.dir. Only where driver and executors are one process may it be
+    unset; a folder of our own serves then."""
+    if d := spark.conf.get("spark.checkpoint.dir", None):
+        return d
+    if not re.match(r"local(\[[^\]-]*\])?$", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="varloom-", dir="/tmp")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -39,6 +44,12 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more:
     return docs.select(d.alias("_d"), F.shiftright(F.xxhash64(text), 32).alias("_h"), text.alias("text"), *(more or []))
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the documents (rows of one id and text) whose keys are in gone (_d, _h); columns of any name stay as they are."""
+    rows = keyed(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")), more=["_row"])
+    return rows.join(gone.select("_d", "_h").distinct(), ["_d", "_h"], "left_anti").select("_row.*")
+
+
 def with_id(df: DataFrame) -> DataFrame:
     """doc_id back from _d."""
     d = F.when(F.col("_d") != F.lit(-(2**63)), F.col("_d"))

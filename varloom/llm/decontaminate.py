@@ -203,8 +203,8 @@ def positional_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     return rows.select("_d", "_h", "n_words"), rows.select("_d", "_h", F.inline("found"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """doc_id, n_words, n_hit, the item_ids found and the hit word spans of every row."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
+    """decontaminate() by the documents' keys _d and _h."""
     rows = matched(docs, benchmark, window)
     ids = F.filter(F.transform("found", lambda x: x["item_id"]), lambda x: x.isNotNull())
     rows = rows.withColumns({"item_ids": F.array_sort(F.array_distinct(ids)), "hits": F.array_sort(F.array_distinct(F.transform("found", lambda x: F.struct(x["s"], x["e"]))))})
@@ -214,4 +214,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Da
         lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(a["end"], x["s"]))).alias("n"), F.greatest(a["end"], x["e"]).alias("end")),
         lambda a: a["n"],
     )
-    return with_id(rows.select("_d", "_h", "n_words", covered.cast("long").alias("n_hit"), "item_ids", "hits"))
+    return rows.select("_d", "_h", "n_words", covered.cast("long").alias("n_hit"), "item_ids", "hits")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
+    """doc_id, n_words, n_hit, the item_ids found and the hit word spans of every row."""
+    return with_id(contamination(docs, benchmark, window))

@@ -150,7 +150,7 @@ def line_dedup(docs: DataFrame, edits: int = 2, least: int = 24, id_col: str = "
     first = ids.groupBy("x", "y").agg(F.min(F.struct("_d", "_h", "i")).alias("first"), F.count(F.lit(1)).alias("uses"))
 
     met = shared_keys(ids.select("x", "line", "n"), edits)
-    wanted = written(met.select("x").distinct(), "wanted")
+    wanted = met.select("x").distinct()
     few = wanted.count() <= MOST_SENT
     texts = ids.join(F.broadcast(wanted) if few else wanted, "x", "left_semi")
     texts = written(texts.groupBy("x", "y", "line").agg(F.min(F.struct("_d", "_h", "i")).alias("first")), "lines")

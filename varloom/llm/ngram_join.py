@@ -1,9 +1,10 @@
 """Operator 9, n-gram Jaccard join: documents whose shingle sets overlap, and their components.
 
 Method: count-vector R-tree. A set's shingles are hashed into DIMS groups, and the group counts are
-its point. Points are packed into an R-tree whose nodes keep the maxima and the size range of what
-is below; the overlap of two sets is at most the sum over the groups of the smaller counts, so
-pairs of nodes and then of points whose bound is too low are dropped, and the others are verified
+its point. Points are packed into an R-tree: leaves of LEAF points, inner nodes of FAN nodes each, all with the maxima and
+the size range of what is below; the overlap of two sets is at most the sum over the groups of the smaller counts. The
+tree is joined with itself from the root down: pairs of nodes whose bound is too low are dropped with all below them, then
+pairs of points, and the others are verified
 on the sets. Links inside what is already joined need no verification, as only components count.
 
 Where to look: by the same grouping. Two sets linked at threshold t differ in at most d shingles,
@@ -11,12 +12,12 @@ so of d + 1 groups at least one has equal contents. Each set emits a key per gro
 many as its size class needs; a set has keys for the class of every larger size it can link with;
 small sets with many empty groups emit prefixes too). Sets that share a key are put into one cell by their components; cells hold
 near copies, as a whole group must agree. Every
-cell is joined by an R-tree of its own. Cells of more than MOST_SETS are cut into blocks, and each
-pair of blocks is one task: exact, whatever the size. Nothing is sampled or dropped.
+cell is joined by an R-tree of its own. Cells of more than MOST_SETS or MOST_SHINGLES are cut into blocks, and each
+pair of blocks is one group: exact, whatever the size. Nothing is sampled or dropped.
 
 Equal sets are joined by an aggregation over digests before that. Nulls and texts without words
 have empty sets and link with nothing. Rows with one id and text are one document; a null id counts
-as the smallest. Shingles are compared by 64-bit hashes.
+as the smallest, and is the (null) component_id of what it is linked with. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from varloom.llm._common import chunks, keyed, mix, prefix_sums, slice_hash, text_buffers, with_id, word_bounds, written
 from varloom.llm.components import components
 
-#: Groups of a count vector, points of a leaf, sets that one task joins.
-DIMS, LEAF, MOST_SETS = 32, 32, 5000
+#: Groups of a count vector, points of a leaf, nodes of an inner node; sets, and shingles of 8 bytes, in a block of a cell.
+DIMS, LEAF, FAN, MOST_SETS, MOST_SHINGLES = 32, 32, 8, 5000, 2_000_000
 
 
 def shingle_sets(col, n: int) -> Iterator[np.ndarray]:
@@ -114,46 +115,67 @@ def points(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([np.bincount((x >> np.uint64(59)).astype(np.int64), minlength=DIMS) for x in sets], np.int32).reshape(-1, DIMS)
 
 
-class _Forest:
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+class CountTree:
+    """R-tree over count vectors: levels of nodes, leaves first, each with the maxima per group and the size range below."""
+
+    def __init__(self, point: np.ndarray, size: np.ndarray) -> None:
+        self.point, self.size = point, size
+        self.order = np.lexsort((*(point[:, c] for c in range(3, -1, -1)), size))
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        high, small, large, width = point[self.order], size[self.order], size[self.order], LEAF
+        while True:
+            at = np.arange(0, len(small), width)
+            high, small, large = np.maximum.reduceat(high, at), np.minimum.reduceat(small, at), np.maximum.reduceat(large, at)
+            self.levels.append((high, small, large))
+            if len(at) == 1:
+                break
+            width = FAN
+
+    def near_leaves(self, num: int, den: int) -> np.ndarray:
+        """Pairs (a <= b) of leaves that may hold linked points, by a descent from the pair of roots."""
+        pairs = np.zeros((1, 2), np.int64)
+        grid = np.stack(np.meshgrid(np.arange(FAN), np.arange(FAN), indexing="ij"), -1).reshape(-1, 2)
+        for level in range(len(self.levels) - 1, -1, -1):
+            high, small, large = self.levels[level]
+            if level < len(self.levels) - 1:
+                pairs = (pairs[:, None, :] * FAN + grid).reshape(-1, 2)
+                pairs = pairs[(pairs[:, 1] < len(small)) & (pairs[:, 0] <= pairs[:, 1])]
+            kept = []
+            for i in range(0, len(pairs), 4096):
+                a, b = pairs[i : i + 4096].T
+                # |A n B| (den + num) >= num (|A| + |B|), and the overlap is at most the summed minima
+                bound = np.minimum(high[a], high[b]).sum(1)
+                kept.append(pairs[i : i + 4096][(bound * (den + num) >= num * (small[a] + small[b])) & (large[a] * den >= num * small[b])])
+            pairs = np.concatenate(kept)
+        return pairs
+
+    def leaf(self, a: int) -> np.ndarray:
+        return self.order[a * LEAF : (a + 1) * LEAF]
 
 
 def rtree_links(sets: list[np.ndarray], t_num: int, t_den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links: intersection * t_den >= t_num * union."""
-    n = len(sets)
-    size = np.array([len(x) for x in sets])
-    point = points(sets)
-    order = np.lexsort((*(point[:, c] for c in range(3, -1, -1)), size))
-    leaves = [order[i : i + LEAF] for i in range(0, n, LEAF)]
-    high = np.array([point[x].max(0) for x in leaves])
-    small, large = np.array([size[x].min() for x in leaves]), np.array([size[x].max() for x in leaves])
-    forest, out = _Forest(n), []
-    for a in range(len(leaves)):
-        # |A n B| (t_den + t_num) >= t_num (|A| + |B|), and the overlap is at most the summed minima
-        bound = np.minimum(high[a], high[a:]).sum(1)
-        near = (bound * (t_den + t_num) >= t_num * (small[a] + small[a:])) & (large[a] * t_den >= t_num * small[a:])
-        for b in np.flatnonzero(near) + a:
-            p, q = leaves[a], leaves[b]
-            bound = np.minimum(point[p][:, None, :], point[q][None, :, :]).sum(2)
-            ok = bound * (t_den + t_num) >= t_num * (size[p][:, None] + size[q][None, :])
-            for i, j in zip(*np.nonzero(ok), strict=True):
-                x, y = int(p[i]), int(q[j])
-                if x == y or (a == b and i >= j):
-                    continue
-                rx, ry = forest.find(x), forest.find(y)
-                if rx == ry:
-                    continue
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if both * (t_den + t_num) >= t_num * (len(sets[x]) + len(sets[y])):
-                    forest.up[max(rx, ry)] = min(rx, ry)
-                    out.append((x, y))
+    """A spanning forest of the links: intersection * t_den >= t_num * union. Leaves whose points are all joined already are
+    passed over, so a cell of near copies takes one look per pair of leaves."""
+    point, size = points(sets), np.array([len(x) for x in sets])
+    tree, joined, out = CountTree(point, size), np.arange(len(sets)), []
+    for a, b in tree.near_leaves(t_num, t_den).tolist():
+        p, q = tree.leaf(a), tree.leaf(b)
+        apart = joined[p][:, None] != joined[q]
+        if not apart.any():
+            continue
+        bound = np.minimum(point[p][:, None, :], point[q][None, :, :]).sum(2)
+        ok = apart & (bound * (t_den + t_num) >= t_num * (size[p][:, None] + size[q]))
+        if a == b:
+            ok = np.triu(ok, 1)
+        for i, j in zip(*np.nonzero(ok), strict=True):
+            x, y = p[i], q[j]
+            if joined[x] == joined[y]:
+                continue
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if both * (t_den + t_num) >= t_num * (len(sets[x]) + len(sets[y])):
+                lo, hi = sorted((joined[x], joined[y]))
+                joined[joined == hi] = lo
+                out.append((int(x), int(y)))
     return out
 
 
@@ -245,13 +267,12 @@ def candidate_links(t: DataFrame, n: int, percent: int) -> DataFrame:
     return met.where("k is null").select("a", "b").union(more)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int, most: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """(cell, part, side, _d, set as bytes); a set of a cut cell goes to each pair of its block."""
     for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("_d", "cell", "members")]
+        cols = [b.column(c).to_pylist() for c in ("_d", "cell", "blocks")]
         rows = []
-        for d, cell, members, s in zip(*cols, shingle_sets(b.column(b.schema.get_field_index("text")), n), strict=True):
-            blocks = -(-members // most)
+        for d, cell, blocks, s in zip(*cols, shingle_sets(b.column(b.schema.get_field_index("text")), n), strict=True):
             own = d * 0x9E3779B1 % (1 << 61) % blocks
             rows += [(cell, min(own, o) * blocks + max(own, o), own, d, s.tobytes()) for o in range(blocks)]
             if len(rows) > 2000:
@@ -282,12 +303,8 @@ def _join(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
 
-def ngram_jaccard_join(docs: DataFrame, shingle: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable over links) of every row.
-
-    Documents link when 100 * intersection >= percent * union of their sets of distinct
-    shingle-word sequences, in lower case. Fewer words than that make one sequence.
-    """
+def ngram_components(docs: DataFrame, shingle: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_d, _h, n_shingles and component (the smallest _d reachable over links) of every row."""
     t = keyed(docs, id_col, text_col)
     sketch = written(t.mapInArrow(lambda it: _sketch(it, shingle), "_d long, _h long, n long, x long, y long"), "sketch")
     # one node per document id and set; ids are unique unless a table repeats an id with another text
@@ -295,9 +312,21 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = 4, percent: int = 85, id_
     copies = sketch.where("n > 0").join(same, ["n", "x", "y"]).where("_d != node").select(F.col("_d").alias("a"), F.col("node").alias("b"))
     near = candidate_links(t, shingle, percent)
     cells = components(near)
-    cells = cells.join(cells.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component").select(F.col("node").alias("_d"), F.col("component").alias("cell"), "members")
-    held = t.join(cells.hint("merge"), "_d").mapInArrow(lambda it, most=MOST_SETS: _sets(it, shingle, most), "cell long, part int, side int, _d long, s binary")
+    cells = cells.select(F.col("node").alias("_d"), F.col("component").alias("cell"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / MOST_SETS, F.sum("n") / MOST_SHINGLES)).cast("int")
+    cells = cells.join(cells.join(sketch, "_d").groupBy("cell").agg(blocks.alias("blocks")), "cell")
+    held = t.join(cells.hint("merge"), "_d").mapInArrow(lambda it: _sets(it, shingle), "cell long, part int, side int, _d long, s binary")
     links = held.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(lambda it: _join(it, percent, 100), "a long, b long")
     found = components(links.union(copies))
     out = sketch.join(found, sketch["_d"] == found["node"], "left")
-    return with_id(out.select("_d", "_h", F.col("n").alias("n_shingles"), F.coalesce("component", "_d").alias("component_id")))
+    return out.select("_d", "_h", F.col("n").alias("n_shingles"), F.coalesce("component", "_d").alias("component"))
+
+
+def ngram_jaccard_join(docs: DataFrame, shingle: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id reachable over links) of every row.
+
+    Documents link when 100 * intersection >= percent * union of their sets of distinct
+    shingle-word sequences, in lower case. Fewer words than that make one sequence.
+    """
+    own = F.col("component")
+    return with_id(ngram_components(docs, shingle, percent, id_col, text_col).select("_d", "_h", "n_shingles", F.when(own != F.lit(-(2**63)), own).alias("component_id")))
