@@ -252,6 +252,26 @@ def test_secret_scan(spark):
     assert len(got[12]) == 2
 
 
+def test_secret_scan_of_many_matches_and_hot_values(spark, monkeypatch):
+    from varloom.llm import secret_scan as op
+
+    monkeypatch.setattr(op, "BLOCK", 3)
+    monkeypatch.setattr(op, "MOST_HOT", 4)
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice([" ", "é", "deadbeef" * 2 + "f" * rng.randint(0, 4) + " ", "zz AKIA" + "Q" * rng.randint(10, 16) + "! ", "0123456 "]) for _ in range(n))
+    rows = [(i, text(rng.randint(0, 40)) + ("cafebabecafebabe" if i % 2 else ""), f"o{i % 5}") for i in range(40)]
+    got = {r.doc_id: r.found for r in op.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    owners = collections.defaultdict(set)
+    want = {}
+    for i, t, o in rows:
+        found = [(m.start(), 1, m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18] + [(m.start(), 2, m.end(), m[0]) for m in re.finditer("[0-9a-f]{16,}", t)]
+        want[i] = sorted(found)
+        for x in found:
+            owners[x[3]].add(o)
+    assert {i: [(x.s, x.k, x.e, x.v) for x in f] for i, f in got.items()} == want
+    assert all(x.owners == len(owners[x.v]) and x.live == (len(owners[x.v]) <= 2) for f in got.values() for x in f)
+
+
 def test_line_dedup(spark, docs, corpus):
     from varloom.llm.line_dedup import line_dedup
 
@@ -286,11 +306,12 @@ def test_banded_distance(spark):
     assert len(got) > 200 and all(r.w2 == (edit_distance(r.a, r.b) <= 2) for r in got)
 
 
-@pytest.mark.parametrize(("most_shingles", "frequent"), [(2_000_000, 64), (400, 64), (2_000_000, 2)])
-def test_ngram_join(docs, corpus, most_shingles, frequent, monkeypatch):
+@pytest.mark.parametrize(("most_sets", "most_shingles", "frequent"), [(5000, 2_000_000, 64), (4, 2_000_000, 64), (5000, 400, 64), (5000, 2_000_000, 2)])
+def test_ngram_join(docs, corpus, most_sets, most_shingles, frequent, monkeypatch):
     from varloom.llm import ngram_join as op
 
     monkeypatch.setattr(op, "FREQUENT", frequent)
+    monkeypatch.setattr(op, "MOST_SETS", most_sets)
     monkeypatch.setattr(op, "MOST_SHINGLES", most_shingles)
     sets = {}
     for i, t in corpus:

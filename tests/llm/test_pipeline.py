@@ -97,3 +97,36 @@ def test_stages_match_brute_force(spark):
     own.no_truncation()
     own.no_padding()
     assert {r.doc_id: (r.ids, r.n_tokens) for r in got[4]} == {i: ((x := own.encode(texts[i], add_special_tokens=False).ids), len(x)) for i in keep}
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows, ties, columns with names the stages use, empty tables."""
+    import corpus_pipeline as pipeline
+
+    words = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    line = "a line that is long enough to be counted here " + " ".join(f"u{i}" for i in range(12))
+    rows = [(None, words), (1, words + " end"), (2, other), (2, other), (3, None), (4, ""), (5, line + "\n" + " ".join(f"x{i}" for i in range(30))), (6, line + "\n" + " ".join(f"y{i}" for i in range(30))), (None, " ".join(f"z{i}" for i in range(30)))]
+    names = ["_d", "_h", "_x", "_y", "_l", "_row", "_carried", "carried", "kept", "removed", "component", "n", "a.b"]
+    docs = spark.createDataFrame([(i, t, "en" if k % 2 else None, None, len(t or ""), *[k] * len(names)) for k, (i, t) in enumerate(rows)], f"doc_id long, text string, lang string, source string, n_chars long, {', '.join(f'`{n}` int' for n in names)}")
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([("a", " ".join(f"z{i}" for i in range(20))), (None, None)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = [
+        [r for r in rows if r[1]],
+        [(i, t if i != 6 else t.split("\n")[1]) for i, t in rows],
+        [r for r in rows if r[0] != 1],
+        [r for r in rows if not (r[1] or "").startswith("z0")],
+        rows,
+    ]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    for (name, stage), kept in zip(pipeline.STAGES, want, strict=True):
+        out = stage(spark, docs, str(tmp_path))
+        if name == "bpe":
+            assert sorted(out.columns) == ["doc_id", "ids", "n_tokens"] and out.count() == len(rows)
+        else:
+            assert out.columns == docs.columns, name
+            got = out.collect()
+            text = lambda t: t or "" if name == "line_dedup" else t  # noqa: E731, B023
+            assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(((i, text(t)) for i, t in kept), key=key), name
+            assert all(len({r[n] for n in names}) == 1 for r in got)  # nothing of the stage's own came out under their names
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
