@@ -20,7 +20,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACE = " \t\n\x0b\f\r"
 #: Cutoffs to choose from, per rate; a document is rejected when its rate is over the cutoff.
 GRID = {
     "symbol_rate": [0.02, 0.05, 0.1, 0.2, 0.3, 0.5],
@@ -69,16 +68,16 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the rates."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     long = lambda c: c.cast("long")
     out = docs.withColumns({
         "n_words": long(F.size(words)),
-        "word_chars": long(F.length(F.translate(text, SPACE, ""))),
-        "n_symbols": long(F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))),
+        "word_chars": long(F.length(F.array_join(words, ""))),
+        "n_symbols": long(F.regexp_count(text, F.lit("[#*$%&|<>]"))),
         "n_lines": let(lines, lambda x: long(F.size(x))),
         "n_dup_lines": let(lines, lambda x: long(F.size(x) - F.size(F.array_distinct(x)))),
         "n_repeat_words": long(repeat_words(words)),
-        "n_upper": long(F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))),
+        "n_upper": long(F.regexp_count(text, F.lit("[A-Z]"))),
     })
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return out.withColumns({
