@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.llm._common import written
-from varloom.llm.quality_rules import SPACE, let, measured
+from varloom.llm.quality_rules import let, measured
+from varloom.operators.qc import sample_cap
 
 #: Labelled rows that the trees are fitted to, at most.
 MAX_ROWS = 20_000
@@ -40,7 +41,11 @@ def held_out(id_col: str = "doc_id"):
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out and the statistics of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    share = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))) / F.greatest(F.length(text), F.lit(1))
+    length = F.greatest(F.length(text), F.lit(1))
+    # one pass leaves the marks, which are few; they are counted by kind in what is left
+    kinds = {"digit_rate": "0123456789", "stop_rate": ".", "bang_rate": "!?", "pipe_rate": "|", "comma_rate": ",;:"}
+    marks = let(F.regexp_replace(text, "[^0-9.!?|,;:]+", ""), lambda m: F.struct(*[(F.length(m) - F.length(F.translate(m, c, ""))).alias(k) for k, c in kinds.items()]))
+    plain = F.length(F.regexp_replace(text, "[^a-z\\x20\\x09-\\x0D]+", "")) / length
     own = measured(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     words = F.greatest(F.col("n_words"), F.lit(1))
     distinct = let(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), lambda w: F.size(F.array_distinct(w)) / F.size(w))
@@ -50,15 +55,11 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.log1p("n_words").alias("log_words"),
         (F.col("word_chars") / words).alias("mean_word"),
         "symbol_rate", "repeat_rate", "dup_line_rate", "upper_rate",
-        share("0123456789").alias("digit_rate"),
-        share(".").alias("stop_rate"),
+        marks.alias("_marks"), length.alias("_length"),
         distinct.alias("distinct_rate"),
         (F.col("n_words") / F.greatest(F.col("n_lines"), F.lit(1))).alias("line_words"),
-        share("!?").alias("bang_rate"),
-        share("|").alias("pipe_rate"),
-        share("abcdefghijklmnopqrstuvwxyz" + SPACE).alias("letter_rate"),
-        share(",;:").alias("comma_rate"),
-    )
+        plain.alias("letter_rate"),
+    ).select("doc_id", "held_out", *[(F.col(f"_marks.{c}") / F.col("_length") if c in kinds else F.col(c)).alias(c) for c in STATISTICS])
 
 
 class Forest:
@@ -135,7 +136,7 @@ def train(rows: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     """Trees from at most max_rows labelled rows outside the held out fold."""
     marked = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("_y"))
     own = rows.where(~F.col("held_out")).join(marked, "doc_id")
-    own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("_y", *STATISTICS).toPandas()
+    own = sample_cap(own, max_rows, "doc_id").select("_y", *STATISTICS).toPandas()
     return fit(np.nan_to_num(own[STATISTICS].to_numpy(float)), own["_y"].to_numpy(float))
 
 
