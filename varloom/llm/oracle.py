@@ -55,7 +55,7 @@ cuts AS (SELECT lang, {", ".join(cuts)} FROM per)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({over}) AS kept FROM r LEFT JOIN cuts USING (lang)"""
 
 
-def secrets_sql(most_owners: int = 2, most_repositories: int = 1000) -> str:
+def secrets_sql(most_owners: int = 2) -> str:
     def part(pattern: str, kind: int, least: int, group: int, also: str = "true") -> str:
         p = pattern.replace("'", "''")
         return f"""SELECT doc_id, source, {kind} AS k, v, list_sum(list_transform(list_slice(gaps, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(ms, 1, i - 1), lambda x: length(x))), 0) AS s, length(ms[i]) AS n FROM
@@ -68,7 +68,7 @@ def secrets_sql(most_owners: int = 2, most_repositories: int = 1000) -> str:
     span = f"({kinds})[k + 1] || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(s + n AS BIGINT) AS VARCHAR)"
     return f"""
 WITH c AS ({rows}),
-f AS (SELECT v, count(DISTINCT source) <= {most_owners} AND count(DISTINCT doc_id) <= {most_repositories} AS live FROM c GROUP BY v),
+f AS (SELECT v, count(DISTINCT source) <= {most_owners} AS live FROM c GROUP BY v),
 j AS (SELECT c.*, live FROM c JOIN f USING (v) WHERE k < 3 OR live),
 a AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg({span}, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg({span}, ',' ORDER BY s, k) AS spans, count(*) FILTER (live) AS n_live FROM j GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live FROM documents LEFT JOIN a USING (doc_id)"""
