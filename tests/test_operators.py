@@ -363,6 +363,30 @@ def test_genotypes_of_a_clear_site(spark):
     assert [got[f"s{i}"].gt for i in (0, 9, 16)] == ["0/0", "0/1", "1/1"] and got["none"].gt == "./." and got["s0"].gq > 20
 
 
+def test_runs_of_site_models_match_plain_loops():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    x = np.clip(np.concatenate([rng.normal(0.02, 0.02, 9), rng.normal(0.5, 0.06, 7), rng.normal(0.98, 0.02, 5)]), 0, 1)
+    starts = np.array([0.001, 0.5, 1.0]) * np.linspace(0.8, 1.2, 8)[:, None]
+    done, means, variances = genotype._em(x, starts)
+    for r, first in enumerate(starts):
+        mean, var, weight, last, ok = list(first), [0.002] * 3, [1 / 3] * 3, -np.inf, False
+        for _ in range(50):
+            like = [[w * np.exp(-0.5 * (v - m) ** 2 / s) / np.sqrt(2 * np.pi * s) for m, s, w in zip(mean, var, weight, strict=True)] for v in x]
+            total = sum(np.log(sum(row)) for row in like)
+            if abs(total - last) < 1e-3:
+                ok = True
+                break
+            last = total
+            resp = [[p / sum(row) for p in row] for row in like]
+            mass = [sum(row[k] for row in resp) for k in range(3)]
+            mean = [sum(row[k] * v for row, v in zip(resp, x, strict=True)) / mass[k] for k in range(3)]
+            var = [sum(row[k] * (v - mean[k]) ** 2 for row, v in zip(resp, x, strict=True)) / mass[k] + 1e-3 for k in range(3)]
+            weight = [m / len(x) for m in mass]
+        assert ok == done[r] and np.allclose(mean, means[r], atol=1e-6) and np.allclose(var, variances[r], atol=1e-6)
+
+
 def test_recalibration_separates(spark):
     rng = random.Random(3)
     rows = [(i, i % 3 == 0 and i < 300, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(400)] + [(1000 + i, False, rng.gauss(6, 1), rng.gauss(6, 1)) for i in range(100)]
@@ -422,3 +446,40 @@ def test_streams(spark, tmp_path):
     assert spark.sql("select sum(bases) from depth").first()[0] == 50 * len(rows)
     ev = spark.createDataFrame([("a", 1.0)], "event_type string, value double").withColumn("ts", F.current_timestamp())
     assert event_counts(ev).count() == 1
+
+
+def test_six_digits(spark):
+    from varloom.sources.writers import six_digits
+
+    values = [0.0, 1.0, -2.5, 0.1, 1 / 3, 123456.0, 1234567.0, 999999.5, 0.0001, 0.00001234567, 1e-10, 100.0, 250000.0, -0.05, 1e300]
+    got = [r.s for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(six_digits("v").alias("s")).collect()]
+    assert got == [f"{v:g}" for v in values]
+
+
+def test_written_calls(spark, tmp_path):
+    from varloom.sources import writers
+
+    calls = [("t1", 9, 12, "q1", 4, 4, "+", 50, 0.001, "DEL", "ACGT", "A", True, True, False, "1/1", ".", 2, 0), ("t1", 3, 3, "q1", 7, 7, "-", 50, 0.5, "SNP", "A", "C", True, False, False, "0/1", "AGEFALSE", 0, 5)]
+    kind = "t_id string, t_start long, t_end long, q_id string, q_start long, q_end long, strand string, score long, mismap double, type string, ref string, alt string, is_success_align boolean, is_good_realign boolean, x boolean, gt string, filter string, homo_run int, n_count int"
+    df = spark.createDataFrame(calls, kind).withColumn("identity", F.expr("array(named_struct('len', 90, 'pct', 99), named_struct('len', 40, 'pct', 98), named_struct('len', 50, 'pct', 100))"))
+    lines = writers.detector_lines(df)
+    writers.write_lines(lines, str(tmp_path / "out"), "t_id", "t_start", header=writers.detector_header("s1"))
+    sites, gt = readers.read_vcf(spark, [str(tmp_path / "out" / "header"), str(tmp_path / "out" / "lines")])
+    assert [r.value for r in lines.orderBy("t_start").collect()][1] == "t1\t9\t.\tACGT\tA\t255\t.\t.\tGT:AGE:AS:END:HR:MS:NR:QR:TR:VS:VT\t1/1:T,+,90,99,40,98,50,100:50:12:2:0.001:0:q1=4-4:t1=9-12:-3:DEL"
+    assert {(r.pos, tuple(r.alts), tuple(r.filters)) for r in sites.collect()} == {(9, ("A",), (".",)), (3, ("C",), ("AGEFALSE",))}
+    assert {(r.pos, r["sample"], r.fmt["VS"], r.fmt["NR"]) for r in gt.collect()} == {(9, "s1", "-3", "0"), (3, "s1", "1", "0.0248756")}
+    header = writers.detector_header("s1")
+    assert header[:-1] == sorted(header[:-1]) and len(header) == 17
+    writers.write_parts(lines, F.col("t_start") > 5, str(tmp_path / "parts"), "t_start")
+    assert spark.read.text(str(tmp_path / "parts" / "kept" / "lines")).count() == spark.read.text(str(tmp_path / "parts" / "false" / "lines")).count() == 1
+
+
+def test_qc_output(spark):
+    from varloom.sources import writers
+
+    lines = spark.createDataFrame([(0, "##fileformat=VCFv4.1"), (1, "##x"), (2, "#CHROM\tPOS"), (3, "1\t5\t.\tA\tC\t9\tLOW\tVQ=3;SPN=9\tGT\t0/1"), (4, "1\t6\t.\tA\tC\t9\t.\tVQ=3\tGT\t0/1")], "line_no long, value string")
+    head = [r.value for r in writers.qc_header(lines, 3).orderBy("line_no", "part").collect()]
+    assert len(head) == 7 and head[1].startswith("##FILTER=<ID=DUPLIC") and head[3].startswith("##FILTER=<ID=q3,") and head[5].startswith("##INFO=<ID=SPN") and head[6] == "#CHROM\tPOS"
+    decided = spark.createDataFrame([(3, "PASS", 2), (4, "DUPLIC", 1)], "line_no long, filter string, samples int")
+    assert [r.value for r in writers.qc_lines(lines, decided).orderBy("line_no").collect()] == ["1\t5\t.\tA\tC\t9\tPASS\tVQ=3;SPN=2\tGT\t0/1", "1\t6\t.\tA\tC\t9\tDUPLIC\tVQ=3;SPN=1\tGT\t0/1"]
+    assert writers.qc_summary(decided).first().asDict() == {"total": 2, "pass": 1, "low": 0, "false": 0, "duplic": 1, "pass_ratio": "0.500", "low_ratio": "0.000", "false_ratio": "0.000", "duplic_ratio": "0.500"}

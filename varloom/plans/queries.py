@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from varloom.functions import scalars as S
 from varloom.operators import align, genotype, intervals, qc, reads, realign, recalibrate, support, variants
+from varloom.plans import files
 from varloom.plans.views import BASES, LETTERS, lengths, sql, table, view
-from varloom.sources import readers
+from varloom.sources import readers, writers
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -723,3 +724,77 @@ def _(spark, d):
 @_query("K13_bed_lines", f"""WITH r AS ({_READS}) SELECT ref || chr(9) || CAST(pos - 1 AS VARCHAR) || chr(9) || CAST(pos + 9 AS VARCHAR) || chr(9) || CAST(name_no AS VARCHAR) || chr(9) || CAST(mapq AS VARCHAR) || chr(9) || CASE WHEN {_BIT(16)} THEN '-' ELSE '+' END AS value FROM r""")
 def _(spark, d):
     return reads.bed_line(_reads(spark, d).withColumn("cigar", reads.parse_cigar(F.lit("10M"))).withColumnRenamed("name_no", "name"))
+
+
+# Text outputs, and files that are written and read back.
+_LENGTHS = ", tl AS (SELECT t_id AS id, max(t_end) + 7 AS len FROM intervals GROUP BY t_id), ql AS (SELECT q_id AS id, max(q_end) + 5 AS len FROM intervals GROUP BY q_id)"
+
+
+@_query("K01_call_table", _LENGTHS + """, f AS (SELECT *, CASE type WHEN 'INS' THEN 1 WHEN 'DEL' THEN 2 ELSE 9 END AS rank FROM intervals),
+b AS (SELECT f.*, tl.len AS a, ql.len AS b, concat_ws(chr(9), q_id, q_start, q_end, q_end - q_start + 1, ql.len, strand, score, CAST(round(mismap, 3) AS VARCHAR)) AS q FROM f JOIN tl ON tl.id = t_id JOIN ql ON ql.id = q_id)
+SELECT CAST(rank AS INT) AS rank, t_id, t_start, t_end, 1 AS part, concat_ws(chr(9), t_id, t_start, t_end, t_end - t_start + 1, a, regexp_replace(regexp_replace(q, '0+$', ''), '[.]$', ''), type, CASE WHEN score > 25 THEN 'CanAGE' ELSE 'CanotAGE' END) AS value FROM b
+UNION ALL SELECT CAST(rank AS INT), t_id, t_start, t_end, 2, concat_ws(chr(9), t_id, t_start + 1, t_end + 3, t_end - t_start + 3, a, regexp_replace(regexp_replace(q, '0+$', ''), '[.]$', ''), type || '-E') FROM b WHERE score % 7 = 0""", "intervals")
+def _(spark, d):
+    v = view(spark, d, "intervals")
+    moved = lambda c: F.when(F.col("score") % 7 == 0, c)
+    calls = v.withColumns({"family": writers.families(F.col("type")), "realigned": F.col("score") > 25, "expected_id": moved(F.col("t_id")), "expected_start": moved(F.col("t_start") + 1), "expected_end": moved(F.col("t_end") + 3)})
+    return writers.call_lines(calls, lengths(v, "t_id", "t_end", 7).withColumnRenamed("t_id", "id"), lengths(v, "q_id", "q_end", 5).withColumnRenamed("q_id", "id"))
+
+
+@_query("K02_gap_lines", """, r AS (SELECT *, max(struct_pack(e := t_end, s := -t_start, q := q_id, qs := q_start, qe := q_end)) OVER (PARTITION BY t_id ORDER BY t_start, t_end, q_id, q_start, q_end, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM intervals)
+SELECT t_id, t_start, concat_ws(chr(9), t_id, CASE WHEN p.e >= t_start - 1 THEN p.e ELSE p.e + 1 END, CASE WHEN p.e >= t_start - 1 THEN t_start ELSE t_start - 1 END, t_start - p.e - 1, CASE WHEN p.e >= t_start - 1 THEN 'Overlap' ELSE 'InterGap' END,
+concat(t_id, ':', -p.s, '-', p.e, '|', p.q, ':', p.qs, '-', p.qe, '#', t_id, ':', t_start, '-', t_end, '|', q_id, ':', q_start, '-', q_end)) AS value FROM r WHERE p.q IS NOT NULL AND p.q <> q_id""", "intervals")
+def _(spark, d):
+    return writers.gap_lines(view(spark, d, "intervals"))
+
+
+@_query("K04_summary_lines", _LENGTHS + f""", s AS (SELECT '2.[VCF]' || type AS key, count(*) AS num, CAST(sum(greatest(t_end - t_start, q_end - q_start)) AS BIGINT) AS len FROM intervals GROUP BY type),
+r AS (SELECT *, {_REACH} AS reach FROM intervals), c AS (SELECT t_id, CAST(sum(greatest(0, t_end - greatest(t_start - 1, coalesce(reach, t_start - 1)))) AS BIGINT) AS covered FROM r GROUP BY t_id)
+SELECT 1 AS rank, key, concat_ws(chr(9), key, num, len) AS value FROM s
+UNION ALL SELECT 2, CAST(t_id AS VARCHAR), concat_ws(chr(9), '# ' || t_id, covered || '/' || len, printf('%g', covered / len)) FROM c JOIN tl ON tl.id = t_id""", "intervals")
+def _(spark, d):
+    v = view(spark, d, "intervals")
+    return writers.summary_lines(variants.vcf_summary(v), intervals.covered_length(v, ["t_id"], "t_start", "t_end"), lengths(v, "t_id", "t_end", 7).withColumnRenamed("t_id", "id"))
+
+
+@_query("K12_coverage_lines", """, e AS (SELECT t_id AS ref, type, unnest(range(t_start, t_end + 1)) AS pos FROM intervals)
+SELECT ref, pos, concat_ws(chr(9), ref, pos, count(*), count(*) FILTER (type = 'INS'), 0, count(*) FILTER (type = 'DEL'), 0, 0, count(*) FILTER (type = 'SNP'), 0) AS value FROM e GROUP BY ref, pos""", "intervals")
+def _(spark, d):
+    v = view(spark, d, "intervals").select(F.col("t_id").alias("ref"), F.col("t_start").alias("start"), F.col("t_end").alias("end"), "type")
+    kind = F.when(F.col("type") == "INS", "properPair").when(F.col("type") == "DEL", "crossSignal").otherwise("single")
+    return writers.coverage_lines(v.select("ref", kind.alias("class"), "start", "end"), v.select("ref", "start", "end"))
+
+
+@_query("K10_qc_summary", """, f AS (SELECT CASE WHEN nr * 6 > 0.5 OR inb >= 0.7 OR inb <= -0.7 THEN 'FALSE' WHEN vq >= 40 THEN 'PASS' ELSE 'q40' END AS f FROM sites)
+SELECT count(*) AS total, count(*) FILTER (f = 'PASS') AS pass, count(*) FILTER (f = 'q40') AS low, count(*) FILTER (f = 'FALSE') AS "false", count(*) FILTER (f LIKE 'DUPLIC%') AS duplic,
+printf('%.3f', count(*) FILTER (f = 'PASS') / count(*)) AS pass_ratio, printf('%.3f', count(*) FILTER (f = 'q40') / count(*)) AS low_ratio, printf('%.3f', count(*) FILTER (f = 'FALSE') / count(*)) AS false_ratio, '0.000' AS duplic_ratio FROM f""", "sites")
+def _(spark, d):
+    v = view(spark, d, "sites").withColumn("mark", qc.bad_mark(F.col("nr") * 6, F.col("inb")))
+    return writers.qc_summary(v.select("line_no", qc.filter_decision(F.col("mark"), F.col("vq"), 40, F.col("filter")).alias("filter")))
+
+
+@_query("S05_fasta_read_back", """WITH s AS (SELECT doc_id, translate(regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z]', 'N', 'g'), 'BDEFHIJKLMOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTA') AS seq FROM documents WHERE length(text) > 0)
+SELECT 'd' || doc_id AS id, CAST(length(seq) AS BIGINT) AS len, CAST(length(regexp_replace(seq, '[^Nn]', '', 'g')) AS BIGINT) AS n_len, md5(seq) AS bases FROM s""")
+def _(spark, d):
+    return files.read_back(spark, "fasta", files.fasta_of(table(spark, d, "documents"))).select("id", "len", "n_len", F.md5("seq").alias("bases"))
+
+
+@_query("S01_maf_read_back", """, n AS (SELECT *, length(replace(t_seq, '-', '')) AS tn, length(replace(q_seq, '-', '')) AS qn FROM aligned)
+SELECT q_id AS score, 't' || t_id AS t_id, t_start, t_start + tn - 1 AS t_end, 'q' || q_id AS q_id, CASE WHEN t_id % 2 = 1 THEN 10000000 - (q_start - 1 + qn) + 1 ELSE q_start END AS q_start,
+CASE WHEN t_id % 2 = 1 THEN 10000000 - q_start + 1 ELSE q_start + qn - 1 END AS q_end, CASE WHEN t_id % 2 = 1 THEN '-' ELSE '+' END AS strand, 0.00001 AS mismap, t_seq, q_seq FROM n WHERE tn > 0 AND qn > 0""", "aligned")
+def _(spark, d):
+    some = F.col("t_seq").rlike("[^-]") & F.col("q_seq").rlike("[^-]")
+    return files.read_back(spark, "maf", files.maf_of(view(spark, d, "aligned").where(some)))
+
+
+@_query("S10_vcf_read_back", """SELECT CAST(chrom AS VARCHAR) AS chrom, start AS pos, 'r' || line_no AS id, CAST(vq AS DOUBLE) AS qual, filter, CAST(size AS VARCHAR) AS ac, type AS vt FROM sites""", "sites")
+def _(spark, d):
+    sites, calls = files.read_back(spark, "vcf", files.vcf_of(view(spark, d, "sites")))
+    vt = calls.where("sample = 's1'").select("line_no", F.col("fmt")["VT"].alias("vt"))
+    return sites.join(vt, "line_no").select("chrom", "pos", "id", "qual", F.array_join("filters", ";").alias("filter"), F.col("info")["AC"].alias("ac"), "vt")
+
+
+@_query("S15_sam_read_back", f"""WITH r AS ({_READS}) SELECT 'r' || name_no AS name, flag, ref, pos, mapq, mate_ref, mate_pos, insert_size, rg, CAST(mapq AS VARCHAR) AS score, pos + 8 AS last FROM r""")
+def _(spark, d):
+    r = files.read_back(spark, "sam", files.sam_of(_reads(spark, d)))
+    return r.select("name", "flag", "ref", "pos", "mapq", "mate_ref", "mate_pos", "insert_size", F.col("tags")["RG"].alias("rg"), F.col("tags")["AS"].alias("score"), reads.alignment_end(F.col("pos"), F.col("cigar")).cast("long").alias("last"))
