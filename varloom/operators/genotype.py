@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varloom.operators.variants import by_key
+
 GENOTYPES = ["1/1", "0/1", "0/0"]  # in order of the share of reference reads
 
 
@@ -95,23 +98,29 @@ def _log_density(x: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray
 
 
 def _em(x: np.ndarray, mean: np.ndarray, rounds: int = 50, tol: float = 1e-3, floor: float = 1e-3):
-    """One run: (converged, means, variances, log-likelihood)."""
-    k = len(mean)
-    weight, var, last = np.full(k, 1 / k), np.full(k, 0.002), -np.inf
+    """Runs from several first means (a row each) side by side: converged, means and variances of each. A run that has converged
+    stays as it is."""
+    runs, k = mean.shape
+    mean, weight, var = mean.copy(), np.full((runs, k), 1 / k), np.full((runs, k), 0.002)
+    last, done = np.full(runs, -np.inf), np.zeros(runs, bool)
     for _ in range(rounds):
-        joint = _log_density(x, mean, var) + np.log(weight)
-        top = joint.max(1, keepdims=True)
-        norm = top[:, 0] + np.log(np.exp(joint - top).sum(1))
-        total = float(norm.sum())
-        if abs(total - last) < tol:
-            return True, mean, var, total
-        last = total
-        resp = np.exp(joint - norm[:, None])
-        mass = resp.sum(0) + 1e-300
-        mean = resp.T @ x / mass
-        var = (resp * (x[:, None] - mean) ** 2).sum(0) / mass + floor
-        weight = np.maximum(mass / len(x), 1e-300)
-    return False, mean, var, last
+        on = np.flatnonzero(~done)
+        joint = -0.5 * (np.log(2 * np.pi * var[on])[:, None, :] + (x[None, :, None] - mean[on][:, None, :]) ** 2 / var[on][:, None, :]) + np.log(weight[on])[:, None, :]
+        top = joint.max(2, keepdims=True)
+        norm = top[:, :, 0] + np.log(np.exp(joint - top).sum(2))
+        total = norm.sum(1)
+        ended = np.abs(total - last[on]) < tol
+        done[on[ended]] = True
+        last[on] = total
+        if done.all():
+            break
+        on, joint, norm = on[~ended], joint[~ended], norm[~ended]
+        resp = np.exp(joint - norm[:, :, None])
+        mass = resp.sum(1) + 1e-300
+        mean[on] = np.einsum("rnk,n->rk", resp, x) / mass
+        var[on] = (resp * (x[None, :, None] - mean[on][:, None, :]) ** 2).sum(1) / mass + floor
+        weight[on] = np.maximum(mass / len(x), 1e-300)
+    return done, mean, var
 
 
 def fit_site(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]] | None:
@@ -121,13 +130,12 @@ def fit_site(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]] | None:
     for sets in ([(0, 1, 2)], [(0, 1), (1, 2), (0, 2)], [(0,), (1,), (2,)]):
         best = None
         for chosen in sets:
-            for w in np.linspace(0.8, 1.2, 8):
-                first = start[list(chosen)] * w
-                ok, mean, var, _ = _em(x, first.copy())
+            first = start[list(chosen)]
+            for ok, mean, var in zip(*_em(x, first * np.linspace(0.8, 1.2, 8)[:, None]), strict=True):
                 label = [int(np.abs(start - m).argmin()) for m in mean]
                 if not ok or len(set(label)) < len(label):
                     continue
-                bias = float(np.abs(mean - start[list(chosen)]).sum())
+                bias = float(np.abs(mean - first).sum())
                 if best is None or bias < best[0]:
                     best = bias, mean, var, label
         if best:
@@ -138,29 +146,39 @@ def fit_site(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]] | None:
 CALLS = "site long, sample string, gt string, gq int, pl string, converged boolean"
 
 
-def call_site(df: pd.DataFrame) -> pd.DataFrame:
-    out = df[["site", "sample"]].copy()
-    x = df["ratio"].to_numpy(float)
-    found = fit_site(x[df["informative"].to_numpy(bool)]) if df["informative"].any() else None
+def call_site(x: np.ndarray, informative: np.ndarray) -> list[tuple[str, int, str, bool]]:
+    """gt, gq, pl and whether the site's model converged, of each sample. x: share of reference reads."""
+    found = fit_site(x[informative]) if informative.any() else None
     if found is None:
-        return out.assign(gt="./.", gq=0, pl=".", converged=False)
+        return [("./.", 0, ".", False)] * len(x)
     mean, var, label = found
     log = _log_density(x, mean, var)  # the weights count as equal
     post = np.exp(log - log.max(1, keepdims=True))
     post /= post.sum(1, keepdims=True)
-    best = post.argmax(1)
     scores = np.full((len(x), 3), 65535)
     for j, g in enumerate(label):
         log10 = np.log10(np.maximum(post[:, j], 1e-10))
         scores[:, 2 - g] = (-10 * log10 + 0.5).astype(int)
-    return out.assign(
-        gt=[GENOTYPES[label[j]] for j in best], gq=[genotype_quality(float(p)) for p in post.max(1)], pl=[",".join(map(str, s)) for s in scores], converged=True
-    )
+    return [(GENOTYPES[label[j]], genotype_quality(float(p)), ",".join(map(str, s)), True) for j, p, s in zip(post.argmax(1), post.max(1), scores, strict=True)]
+
+
+def _called(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_()]
+    names = ["site", "sample", "gt", "gq", "pl", "converged"]
+    out: list[tuple] = []
+    for site, group in by_key(batches, 1):
+        _, samples, ratio, informative = zip(*group, strict=True)
+        out += [(site, s, *c) for s, c in zip(samples, call_site(np.array(ratio, float), np.array(informative, bool)), strict=True)]
+        if len(out) > 20_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
 def genotype(evidence: DataFrame) -> DataFrame:
     """Site, sample, gt, gq, pl. One small model per site, sites spread over tasks; a site has a row
     per sample (the cohort), which bounds a group."""
     rows = reference_ratio(evidence)
-    called = rows.select("site", "sample", "ratio", "informative").groupBy("site").applyInPandas(call_site, CALLS)
+    called = rows.select("site", "sample", "ratio", "informative").repartition("site").sortWithinPartitions("site", "sample").mapInArrow(_called, CALLS)
     return blank_without_evidence(called.join(rows.select("site", "sample", "informative"), ["site", "sample"]))

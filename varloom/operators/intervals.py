@@ -42,13 +42,20 @@ def merge(df: DataFrame, keys: list[str], start: str, end: str, delta: int = 0)
 
 
 def merge_pairs(df: DataFrame, delta: int = 1) -> DataFrame:
-    """A03 on both axes: runs of (t_id, q_id) rows that go on on target and query at once. Small groups
-    (one pair of sequences) are folded in order."""
-    w = Window.partitionBy("t_id", "q_id").orderBy("t_start", "t_end", "q_start")
-    last = w.rowsBetween(Window.unboundedPreceding, -1)
-    on = (F.col("t_start") <= F.max("t_end").over(last) + delta) & (F.col("q_start") <= F.max("q_end").over(last) + delta)
-    rows = df.withColumn("_new", F.when(on, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(w))
-    return rows.groupBy("t_id", "q_id", "_island").agg(*[f(c).alias(c) for c, f in (("t_start", F.min), ("t_end", F.max), ("q_start", F.min), ("q_end", F.max))]).drop("_island")
+    """A03 on both axes: runs of (t_id, q_id) rows that go on on target and query at once."""
+    keys, order = ["t_id", "q_id"], ["t_start", "t_end", "q_start", "q_end"]
+    rows = before(df, keys, "t_start", order, {"_t": ("max", F.col("t_end")), "_q": ("max", F.col("q_end"))})
+    on = (F.col("t_start") <= F.col("_t") + delta) & (F.col("q_start") <= F.col("_q") + delta)
+    rows = before(rows.withColumn("_new", F.when(on, 0).otherwise(1).cast("long")), keys, "t_start", order, {"_had": ("sum", F.col("_new"))})
+    rows = rows.withColumn("_island", F.col("_had") + F.col("_new"))
+    return rows.groupBy(*keys, "_island").agg(*[f(c).alias(c) for c, f in (("t_start", F.min), ("t_end", F.max), ("q_start", F.min), ("q_end", F.max))]).drop("_island")
+
+
+def buckets(df: DataFrame, value: str, most: int = 256) -> Column:
+    """Number of the bucket of a value, in order: cut at quantiles of df, so that a scan over all values is as many tasks. The
+    cuts, at most so many numbers, come to the driver."""
+    cuts = sorted(set(df.approxQuantile(value, [i / most for i in range(1, most)], 1 / (4 * most))))
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(value))) if cuts else F.lit(0)
 
 
 def covered_length(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:

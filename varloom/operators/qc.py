@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from varloom.operators.intervals import before
+from varloom.operators.intervals import before, buckets
 from varloom.operators.variants import by_key
 
 
@@ -143,9 +143,9 @@ def size_report(spectrum: DataFrame, bins: list[str]) -> DataFrame:
 def cumulative(df: DataFrame, value: str, descending: bool = False) -> DataFrame:
     """Each value with its count and the count of the values up to it (or from it on)."""
     n = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    key = F.floor(F.col(value)).cast("long")
+    key = buckets(n, value)
     rows = n.withColumn("_at", -key if descending else key).withColumn("_o", -F.col(value) if descending else F.col(value)).withColumn("_all", F.lit(0))
-    return before(rows, ["_all"], "_at", ["_at", "_o"], {"_had": ("sum", F.col("n"))}, bits=8).select(value, "n", (F.col("_had") + F.col("n")).cast("long").alias("running"))
+    return before(rows, ["_all"], "_at", ["_at", "_o"], {"_had": ("sum", F.col("n"))}, bits=0).select(value, "n", (F.col("_had") + F.col("n")).cast("long").alias("running"))
 
 
 def merge_best(files: DataFrame, first: int = 0) -> DataFrame:
@@ -182,6 +182,12 @@ def sample_cap(df: DataFrame, most: int, key: str, seed: int = 1) -> DataFrame:
     return rows.orderBy("_x", key).limit(most).drop("_x")
 
 
+#: Parts that the rows of a key are ranked in before their first ones meet.
+PARTS = 64
+
+
 def rank_window(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
-    """The first n rows of each key."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+    """The first n rows of each key. Parts of a key keep their first n first, so no more than PARTS * n rows of it meet."""
+    part = F.pmod(F.xxhash64(*([c for c in order if isinstance(c, str)] or keys)), F.lit(PARTS))
+    first = lambda rows, by: rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+    return first(first(df.withColumn("_part", part), [*keys, "_part"]).drop("_part"), keys)

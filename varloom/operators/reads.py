@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varloom.operators.qc import rank_window
+
 # Flag bits and the operations that move along the reference or the query. Fixed values.
 FLAGS = {"paired": 1, "proper": 2, "unmapped": 4, "mate_unmapped": 8, "reverse": 16, "mate_reverse": 32, "first": 64, "second": 128, "secondary": 256, "failed": 512, "duplicate": 1024}
 ON_REF, ON_QUERY = "MDN=X", "MIS=X"
@@ -106,8 +108,7 @@ def depth_spans(df: DataFrame, low: int, high: int, least_score: int = 90) -> Da
 
 def insert_sizes(df: DataFrame, n: int) -> DataFrame:
     """Ceil of mean and of population deviation about it, of the first n pairs of each read group."""
-    w = Window.partitionBy("rg").orderBy("line_no")
-    rows = df.where("insert_size > 0").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+    rows = rank_window(df.where("insert_size > 0"), ["rg"], ["line_no"], n)
     mean = rows.groupBy("rg").agg(F.ceil(F.avg("insert_size")).alias("mean"))
     return rows.join(mean, "rg").groupBy("rg", "mean").agg(F.ceil(F.sqrt(F.avg((F.col("insert_size") - F.col("mean")) ** 2))).alias("sd"))
 

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.operators.intervals import before
-from varloom.operators.qc import sample_cap
+from varloom.operators.intervals import before, buckets
+from varloom.operators.qc import cumulative, sample_cap
 
 FEATURES = ["biallelic", "inb_coeff", "leg", "n_ratio", "alt_perfect", "both_imperfect"]
 #: Training rows that the mixtures are fitted to, at most.
@@ -164,9 +164,8 @@ def roc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Threshold, tpr and fpr in descending order of the score, and each threshold's share of the area."""
     n = df.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("f"))
     total = n.agg(F.sum("p").alias("_P"), F.sum("f").alias("_F"))
-    key = F.floor(-F.col(score)).cast("long")
-    rows = n.withColumn("_at", key).withColumn("_o", -F.col(score)).withColumn("_all", F.lit(0))
-    rows = before(rows, ["_all"], "_at", ["_at", "_o"], {"tp0": ("sum", F.col("p")), "fp0": ("sum", F.col("f"))}, bits=8)
+    rows = n.withColumn("_at", -buckets(n, score)).withColumn("_o", -F.col(score)).withColumn("_all", F.lit(0))
+    rows = before(rows, ["_all"], "_at", ["_at", "_o"], {"tp0": ("sum", F.col("p")), "fp0": ("sum", F.col("f"))}, bits=0)
     rows = rows.join(F.broadcast(total))
     return rows.select(
         F.col(score).alias("threshold"), ((F.col("tp0") + F.col("p")) / F.col("_P")).alias("tpr"), ((F.col("fp0") + F.col("f")) / F.col("_F")).alias("fpr"),
@@ -199,9 +198,18 @@ def culprits(df: DataFrame) -> DataFrame:
 
 
 def feature_summary(df: DataFrame, c: str) -> DataFrame:
-    """A19."""
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.median(c).alias("median"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"))
+    """Mean, deviation and quartiles. The quartiles are read off the cumulative counts of the values, interpolated between
+    neighbours, so no task holds all values."""
+    rows = cumulative(df.where(F.col(c).isNotNull()), c)
+    rows = rows.join(F.broadcast(rows.agg(F.max("running").alias("_n"))))  # one row
+    at = lambda i: F.min(F.when(F.col("running") > i, F.col(c).cast("double")))
+    quartiles = []
+    for name, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+        place = (F.col("_n") - 1) * p
+        quartiles += [at(F.floor(place)).alias(f"_lo{name}"), at(F.ceil(place)).alias(f"_hi{name}"), F.max(place - F.floor(place)).alias(f"_at{name}")]
+    found = rows.agg(*quartiles).select(*[(F.col(f"_lo{q}") + (F.col(f"_hi{q}") - F.col(f"_lo{q}")) * F.col(f"_at{q}")).alias(q) for q in ("q25", "q50", "q75")])
+    out = df.agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).join(F.broadcast(found))
+    return out.select("mean", "std", F.col("q50").alias("median"), "q25", "q50", "q75")
 
 
 def sample_scores(df: DataFrame, features: list[str]) -> DataFrame:
