@@ -56,35 +56,41 @@ def cluster_ids(df: DataFrame, slack: int = 20) -> DataFrame:
     return rows.withColumn("cluster", F.col("_before") + F.col("_new")).drop("_reach", "_new", "_before")
 
 
-def settle(rows: list[tuple]) -> dict[int, int]:
-    """A28, one cluster: line number to mark. rows: (start, end, nr, vq, mark, line_no).
+def marks_of(rows: list[tuple]) -> list[int]:
+    """A28, one cluster: the mark of each row (start, end, nr, vq, mark, line_no); ties of start and line go by the other values.
 
     Marked sites (-1) take no part. Chains of sites within slack: a lower N ratio evicts the chain and its end is the
     new one's, an equal one joins, a higher one is dropped and reaches no further. Of a chain the first site of the
     highest quality wins (1). All others are -2, also those that the reference gives -1 for an N ratio over 0 or as
     evicted or dropped. Its overlap check is among sites of the highest quality and never marks the first, so it
     changes no mark here."""
-    marks = {r[5]: -1 if r[4] == -1 else -2 for r in rows}
-    chain: list[tuple] = []
+    marks = [-1 if r[4] == -1 else -2 for r in rows]
+    chain: list[int] = []
 
     def close() -> None:
         if chain:
-            marks[max(chain, key=lambda r: r[3])[5]] = 1
+            marks[max(chain, key=lambda i: rows[i][3])] = 1
 
     reach = None
-    for r in sorted((r for r in rows if r[4] != -1), key=lambda r: (r[0], r[5])):
-        if reach is None or reach + 20 < r[0]:
+    for i in sorted((i for i, r in enumerate(rows) if r[4] != -1), key=lambda i: (rows[i][0], rows[i][5], *rows[i][1:4])):
+        start, end, nr = rows[i][:3]
+        if reach is None or reach + 20 < start:
             close()
-            chain, reach = [r], r[1]
-        elif r[2] < chain[0][2]:
-            chain, reach = [r], r[1]
-        elif r[2] == chain[0][2]:
-            chain.append(r)
-            reach = max(reach, r[1])
+            chain, reach = [i], end
+        elif nr < rows[chain[0]][2]:
+            chain, reach = [i], end
+        elif nr == rows[chain[0]][2]:
+            chain.append(i)
+            reach = max(reach, end)
     close()
     return marks
 
 
+def settle(rows: list[tuple]) -> dict[int, int]:
+    """marks_of() by line number, where those are unique."""
+    return {r[5]: m for r, m in zip(rows, marks_of(rows), strict=True)}
+
+
 def near_duplicates(sites: DataFrame) -> DataFrame:
     """Sites (chrom, start, end, nr, vq, mark, line_no) with final marks. The fold runs inside a cluster;
     a cluster of one site, which most are, needs none."""
@@ -98,7 +104,8 @@ def near_duplicates(sites: DataFrame) -> DataFrame:
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for (chrom, _), group in by_key(batches, 2):
-            out += [(chrom, no, final) for no, final in settle([r[2:] for r in group]).items()]
+            own = [r[2:] for r in group]
+            out += [(chrom, r[5], final) for r, final in zip(own, marks_of(own), strict=True)]
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema)
                 out = []

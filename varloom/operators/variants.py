@@ -247,9 +247,9 @@ def _gap_kind(a, c) -> str:
 
 def call_query(rows: list, compat: bool = False) -> list[tuple]:
     """Calls of one query. rows: its alignments, any order."""
-    by_query = sorted(rows, key=lambda r: (r.q_start, r.t_id, r.t_start))
+    by_query = sorted(rows, key=lambda r: (r.q_start, r.t_id, r.t_start, r.t_end, r.q_end, r.strand))
     ranks: dict[int, int] = {}
-    for i, r in enumerate(sorted(rows, key=lambda r: (r.t_id, r.t_start))):
+    for i, r in enumerate(sorted(rows, key=lambda r: (r.t_id, r.t_start, r.q_start, r.t_end, r.q_end, r.strand))):
         ranks[r.q_start] = i  # of several with one query start the last counts
     near = lambda x, y: abs(ranks[x.q_start] - ranks[y.q_start]) == 1
     out: list[tuple] = []

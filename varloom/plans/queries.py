@@ -21,7 +21,7 @@ def _query(name: str, oracle: str | None = None, views: str = ""):
     def add(f: Callable) -> Callable:
         _QUERIES[name] = f
         if oracle:
-            _SQL[name] = ("WITH " + ", ".join(sql(v) for v in views.split()) + ("," if oracle.lstrip().startswith(",") else "") + oracle.lstrip().lstrip(",")) if views else oracle
+            _SQL[name] = (("WITH RECURSIVE " if "RECURSIVE_" in oracle else "WITH ") + ", ".join(sql(v) for v in views.split()) + ("," if oracle.lstrip().startswith(",") else "") + oracle.lstrip().lstrip(",")).replace("RECURSIVE_", "") if views else oracle
         return f
 
     return add
@@ -217,7 +217,18 @@ def _(spark, d):
     return qc.best_call(view(spark, d, "sites").select("site", "type", "nr", "size", F.col("line_no").alias("sample_ord")))
 
 
-@_query("A28_near_duplicates")
+# Chains as a recursive walk over the sites that are not marked: state = chain (the number of the site that began it), its N ratio and reach.
+_CHAINS = """, RECURSIVE_ s AS (SELECT chrom, "start", "start" + size % 4 AS "end", nr, vq, line_no, CASE WHEN nr * 6 > 0.5 OR inb <= -0.7 OR inb >= 0.7 THEN -1 ELSE 1 END AS mark FROM sites),
+o AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY "start", line_no, "end", nr, vq) AS i FROM s WHERE mark <> -1),
+w AS (SELECT chrom, i, i AS chain, CAST(NULL AS BIGINT) AS was, nr, "end" AS reach, 'new' AS act FROM o WHERE i = 1
+UNION ALL SELECT chrom, i, CASE WHEN act IN ('new', 'evict') THEN i ELSE was END, was, CASE WHEN act IN ('new', 'evict') THEN own ELSE nr END, CASE act WHEN 'drop' THEN reach WHEN 'join' THEN greatest(reach, "end") ELSE "end" END, act FROM (
+SELECT c.chrom, c.i, w.chain AS was, w.nr, c.nr AS own, w.reach, c."end", CASE WHEN w.reach + 20 < c."start" THEN 'new' WHEN c.nr < w.nr THEN 'evict' WHEN c.nr = w.nr THEN 'join' ELSE 'drop' END AS act FROM w JOIN o c ON c.chrom = w.chrom AND c.i = w.i + 1)),
+m AS (SELECT w.chrom, w.i, row_number() OVER (PARTITION BY w.chrom, w.chain ORDER BY o.vq DESC, o.i) AS r, w.chain FROM w JOIN o ON o.chrom = w.chrom AND o.i = w.i WHERE act <> 'drop'),
+best AS (SELECT chrom, i FROM m WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM w WHERE w.chrom = m.chrom AND w.act = 'evict' AND w.was = m.chain))
+SELECT chrom, line_no, CAST(-1 AS INT) AS final FROM s WHERE mark = -1 UNION ALL SELECT o.chrom, line_no, CAST(CASE WHEN best.i IS NULL THEN -2 ELSE 1 END AS INT) FROM o LEFT JOIN best ON best.chrom = o.chrom AND best.i = o.i"""
+
+
+@_query("A28_near_duplicates", _CHAINS, "sites")
 def _(spark, d):
     v = view(spark, d, "sites").withColumn("mark", qc.bad_mark(F.col("nr") * 6, F.col("inb")))
     return qc.near_duplicates(v.select("chrom", "start", F.expr("`start` + size % 4").alias("end"), "nr", "vq", "mark", "line_no"))
@@ -560,7 +571,43 @@ def _(spark, d):
     return qc.rank_window(table(spark, d, "orders").select(F.col("o_orderpriority").alias("rg"), F.col("o_orderkey").alias("v")), ["rg"], ["v"], 50)
 
 
-@_query("V01_structural_calls")
+def _calls_sql() -> str:
+    """The adjacency machine as a recursive walk: state = the numbers of the held alignments a and b, one step per alignment c."""
+    near = lambda x, y: f"abs({x}.ord - {y}.ord) = 1"
+    same = lambda x, y: f"{x}.t_id = {y}.t_id AND {x}.strand = {y}.strand"
+    lo, hi = "least(a.t_start, c.t_start)", "greatest(a.t_end, c.t_end)"
+    trans = f"{same('a', 'c')} AND NOT (b.t_id = a.t_id AND b.t_start <= {hi} AND b.t_end >= {lo})"
+    inv = f"a.t_id = b.t_id AND {same('a', 'c')} AND a.strand <> b.strand AND b.t_start BETWEEN {lo} AND {hi}"
+
+    def gap(x: str, y: str, where: str) -> str:
+        first_end, second = f"CASE WHEN {x}.t_start <= {y}.t_start THEN {x}.t_end ELSE {y}.t_end END", f"greatest({x}.t_start, {y}.t_start)"
+        over = lambda s: f"least({x}.{s}_end, {y}.{s}_end) >= greatest({x}.{s}_start, {y}.{s}_start)"
+        kind = f"CASE WHEN {over('t')} AND {over('q')} THEN 'gap-X1' WHEN {over('q')} THEN 'gap-X2' WHEN {over('t')} THEN 'gap-1' ELSE 'gap-2' END"
+        return f"SELECT {x}.q_id, {kind} AS kind, {x}.t_id, least({first_end}, {second}) AS t_start, greatest({first_end}, {second}) AS t_end, least({x}.q_end, {y}.q_start) AS q_start, greatest({x}.q_end, {y}.q_start) AS q_end FROM e WHERE {where}"
+
+    at = lambda x, kind, where: f"SELECT {x}.q_id, {kind} AS kind, {x}.t_id, {x}.t_start, {x}.t_end, {x}.q_start, {x}.q_end FROM e WHERE {where}"
+    parts = [
+        gap("a", "c", "act = 'ac'"), gap("b", "c", "act = 'bc'"), gap("a", "b", f"act = 'end' AND {same('a', 'b')}"), at("b", "'INV'", "act = 'inv'"),
+        at("b", "'TRANS-' || CASE WHEN b.t_id = a.t_id THEN 'INTRA' ELSE 'INTER' END || CASE WHEN b.strand = a.strand THEN '1' ELSE '2' END", "act = 'trans'"),
+        at("a", "'Nos-JustNo'", "act = 'just'"), at("a", "'Nos-Complex'", "act = 'complex'"),
+        *[at(x, "CASE WHEN a.t_id = b.t_id THEN 'Nos-Strand' ELSE 'Nos-Complex' END", f"act = 'end' AND NOT ({same('a', 'b')})") for x in "ab"],
+    ]
+    return f""", RECURSIVE_ v AS (SELECT 't' || CAST(t_id % 3 AS VARCHAR) AS t_id, CAST(q_id AS VARCHAR) AS q_id, t_start, t_end, q_start, q_end, strand FROM intervals),
+o AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY q_start, t_id, t_start, t_end, q_end, strand) AS i, row_number() OVER (PARTITION BY q_id ORDER BY t_id, t_start, q_start, t_end, q_end, strand) AS k, count(*) OVER (PARTITION BY q_id) AS n FROM v),
+r AS (SELECT * EXCLUDE (k), max(k) OVER (PARTITION BY q_id, q_start) AS ord FROM o WHERE n > 1),
+w AS (SELECT q_id, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS ai, CAST(NULL AS BIGINT) AS bi, '' AS act, CAST(NULL AS BIGINT) AS pa, CAST(NULL AS BIGINT) AS pb FROM r WHERE i = 1
+UNION ALL SELECT q_id, i, CASE WHEN pb IS NULL AND act <> 'ac' THEN pa WHEN pb IS NULL OR act IN ('trans', 'inv', 'bc') THEN i ELSE pb END, CASE WHEN pb IS NULL AND act = 'ac' OR act IN ('trans', 'inv', 'bc') THEN NULL ELSE i END, act, pa, pb FROM (
+SELECT c.q_id, c.i, w.ai AS pa, w.bi AS pb, CASE WHEN w.bi IS NULL THEN CASE WHEN {near('c', 'a')} AND {same('a', 'c')} THEN 'ac' ELSE '' END
+WHEN {near('c', 'a')} THEN CASE WHEN {trans} THEN 'trans' WHEN {near('c', 'b')} AND {same('b', 'c')} THEN 'bc' ELSE '' END
+WHEN {near('b', 'a')} AND {near('c', 'b')} THEN CASE WHEN {inv} THEN 'inv' WHEN {same('b', 'c')} THEN 'bc' ELSE '' END
+WHEN {near('b', 'a')} THEN 'just' ELSE 'complex' END AS act
+FROM w JOIN r c ON c.q_id = w.q_id AND c.i = w.i + 1 JOIN r a ON a.q_id = w.q_id AND a.i = w.ai LEFT JOIN r b ON b.q_id = w.q_id AND b.i = w.bi)),
+x AS (SELECT q_id, i, pa, pb, act FROM w WHERE act <> '' UNION ALL SELECT w.q_id, w.i, ai, bi, 'end' FROM w JOIN (SELECT q_id, max(i) AS i FROM r GROUP BY q_id) m ON m.q_id = w.q_id AND m.i = w.i WHERE bi IS NOT NULL),
+e AS (SELECT x.act, a, b, c FROM x JOIN r a ON a.q_id = x.q_id AND a.i = x.pa LEFT JOIN r b ON b.q_id = x.q_id AND b.i = x.pb JOIN r c ON c.q_id = x.q_id AND c.i = x.i)
+{" UNION ALL ".join(parts)}"""
+
+
+@_query("V01_structural_calls", _calls_sql(), "intervals")
 def _(spark, d):
     return variants.structural_calls(view(spark, d, "intervals").withColumn("t_id", F.format_string("t%d", F.col("t_id") % 3)).withColumn("q_id", F.col("q_id").cast("string")))
 
