@@ -483,3 +483,22 @@ def test_qc_output(spark):
     decided = spark.createDataFrame([(3, "PASS", 2), (4, "DUPLIC", 1)], "line_no long, filter string, samples int")
     assert [r.value for r in writers.qc_lines(lines, decided).orderBy("line_no").collect()] == ["1\t5\t.\tA\tC\t9\tPASS\tVQ=3;SPN=2\tGT\t0/1", "1\t6\t.\tA\tC\t9\tDUPLIC\tVQ=3;SPN=1\tGT\t0/1"]
     assert writers.qc_summary(decided).first().asDict() == {"total": 2, "pass": 1, "low": 0, "false": 0, "duplic": 1, "pass_ratio": "0.500", "low_ratio": "0.000", "false_ratio": "0.000", "duplic_ratio": "0.500"}
+
+
+def test_sorted_input_is_checked(spark):
+    df = spark.createDataFrame([(1, i, i // 2) for i in range(50)], "k int, line long, at long")
+    assert intervals.assert_sorted(df, ["k"], "line", ["at"]).count() == 50
+    with pytest.raises(Exception, match="not sorted at line 50"):
+        intervals.assert_sorted(df.union(spark.createDataFrame([(1, 50, 3)], df.schema)), ["k"], "line", ["at"]).collect()
+
+
+def test_reads_as_text(spark, tmp_path):
+    (tmp_path / "x.sam").write_text(SAM.replace("@HD\tVN:1.0\n", "@HD\tVN:1.0\n@SQ\tSN:c1\tLN:500\n"))
+    (tmp_path / "y.sam").write_text("@HD\tVN:1.5\n@SQ\tSN:c1\tLN:500\n@SQ\tSN:c2\tLN:9\n@CO\tx\n")
+    r = readers.read_sam(spark, str(tmp_path / "x.sam"))
+    lines = [x.value for x in reads.sam_lines(r.orderBy("line_no")).collect()]
+    assert lines[1] == "r2\t1027\tc1\t100\t60\t4M1I5M\tc2\t300\t0\tACGTACGTAC\tIIIIIIIIII\tAS:i:80\tRG:Z:g1" and "\t=\t300" in lines[0]
+    assert sorted(x.value for x in reads.fasta_lines(r).collect()) == [">r1\nACGTACGTAC", ">r2\nACGTACGTAC"]
+    assert reads.yaml_lines(r).where("value like '%Cigar: 4M1I5M%'").count() == 1
+    head = [x.value for x in readers.read_sam_header(spark, [str(tmp_path / "x.sam"), str(tmp_path / "y.sam")]).collect()]
+    assert len(head) == 4 and head[0].startswith("@HD") and {x[:3] for x in head[1:3]} == {"@SQ"} and head[3] == "@CO\tx"

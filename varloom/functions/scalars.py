@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,6 +128,56 @@ def overlap(a_id, a_start, a_end, b_id, b_start, b_end) -> Column:
     return (_c(a_id) == _c(b_id)) & (_c(a_start) <= _c(b_end)) & (_c(a_end) >= _c(b_start))
 
 
+def joined(parts, delimiter: str) -> Column:
+    """F13."""
+    return F.array_join(_c(parts), delimiter)
+
+
+def mean_of(values) -> Column:
+    """of an array; null for none."""
+    v = _c(values)
+    return F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v))
+
+
+def variance_of(values) -> Column:
+    """population variance of an array."""
+    v, m = _c(values), mean_of(values)
+    return mean_of(F.transform(v, lambda x: (x - m) * (x - m)))
+
+
+def hull(spans) -> Column:
+    """F16: first and last place of an array of (first, second); (0, 0) for none."""
+    v = _c(spans)
+    ends = lambda f, k: F.coalesce(f(F.transform(v, lambda x: x[k])).cast("long"), F.lit(0).cast("long"))
+    return F.struct(ends(F.array_min, "first").alias("first"), ends(F.array_max, "second").alias("second"))
+
+
+def log_sum_exp(values) -> Column:
+    """of an array, from its largest value."""
+    v = _c(values)
+    top = F.array_max(v)
+    return top + F.log(F.aggregate(v, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+
+
+def log_normal(x, mean, sd) -> Column:
+    """logarithm of a normal density."""
+    z = (_c(x) - _c(mean)) / _c(sd)
+    return -0.5 * z * z - F.log(_c(sd)) - 0.5 * F.log(F.lit(2 * math.pi))
+
+
+def vcf_interval(pos, ref, info) -> Column:
+    """0-based half-open place of a VCF line: up to END where the INFO text has it, else the reference allele."""
+    end = F.regexp_extract(_c(info), "(?:^|;)END=(\\d+)", 1)
+    return F.struct((_c(pos) - 1).cast("long").alias("first"), F.when(end != "", end.try_cast("long")).otherwise(_c(pos) - 1 + F.length(_c(ref))).cast("long").alias("last"))
+
+
+def sam_interval(pos, cigar) -> Column:
+    """0-based half-open place of a read: what its CIGAR text takes of the reference, one base for none."""
+    parts = F.regexp_extract_all(_c(cigar), F.lit("(\\d+)[MDN=X]"), F.lit(1))
+    size = F.aggregate(parts, F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
+    return F.struct((_c(pos) - 1).cast("long").alias("first"), (_c(pos) - 1 + F.greatest(size, F.lit(1))).cast("long").alias("last"))
+
+
 def parse_region(text) -> Column:
     """Chr, chr:pos, chr:a-b, chr:a..b, with thousands commas, as struct(id, start, end); end null for open."""
     t = F.translate(_c(text), ",", "")

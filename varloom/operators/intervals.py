@@ -162,3 +162,10 @@ def neighbours(points: DataFrame, key: str, pos: str, d: int) -> DataFrame:
 def spectrum(counted: DataFrame) -> DataFrame:
     """How many points have so many neighbours."""
     return counted.groupBy("n").agg(F.count(F.lit(1)).alias("sites"))
+
+
+def assert_sorted(df: DataFrame, keys: list[str], line: str, order: list[str]) -> DataFrame:
+    """Df as it is; reading a row that is out of order within its keys fails. line: numbers of the lines."""
+    rows = before(df, keys, line, [line], {"_most": ("max", F.struct(*order))})
+    ok = F.col("_most").isNull() | (F.struct(*order) >= F.col("_most"))
+    return rows.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not sorted at line "), F.col(line).cast("string"))).cast("boolean"))).drop("_most")

@@ -208,3 +208,28 @@ def fastq_lines(df: DataFrame) -> DataFrame:
 def json_lines(df: DataFrame) -> DataFrame:
     """K13."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+
+
+def fasta_lines(df: DataFrame) -> DataFrame:
+    """FASTA text; reverse reads are turned back."""
+    from varloom.functions.scalars import revcomp
+
+    return df.select(F.concat(F.lit(">"), "name", F.lit("\n"), F.when(flag("reverse"), revcomp("seq")).otherwise(F.col("seq"))).alias("value"))
+
+
+def cigar_text(cigar: Column) -> Column:
+    return F.when(F.size(cigar) > 0, F.array_join(F.transform(cigar, lambda x: F.concat(x["len"].cast("string"), x["op"])), "")).otherwise("*")
+
+
+def sam_lines(df: DataFrame) -> DataFrame:
+    """SAM text of reads as read_sam gives them; tags by name, as text or, AS and NM, as numbers."""
+    tags = F.transform(F.array_sort(F.map_entries("tags")), lambda x: F.concat_ws(":", x["key"], F.when(x["key"].isin("AS", "NM"), "i").otherwise("Z"), x["value"]))
+    mate = F.when((F.col("mate_ref") == F.col("ref")) & (F.col("ref") != "*"), "=").otherwise(F.col("mate_ref"))
+    cells = [F.col(c).cast("string") for c in ("name", "flag", "ref", "pos", "mapq")] + [cigar_text(F.col("cigar")), mate] + [F.col(c).cast("string") for c in ("mate_pos", "insert_size", "seq", "qual")]
+    return df.select(F.concat_ws("\t", *cells, tags).alias("value"))
+
+
+def yaml_lines(df: DataFrame) -> DataFrame:
+    """A YAML document per read."""
+    rows = [F.concat(F.lit(f"{k}: "), F.col(c).cast("string")) for k, c in (("Name", "name"), ("AlignmentFlag", "flag"), ("Reference", "ref"), ("Position", "pos"), ("MapQuality", "mapq"), ("QueryBases", "seq"), ("Qualities", "qual"))]
+    return df.select(F.concat_ws("\n", F.lit("---"), *rows, F.concat(F.lit("Cigar: "), cigar_text(F.col("cigar")))).alias("value"))

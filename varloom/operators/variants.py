@@ -229,6 +229,23 @@ def neighbour_ranks(df: DataFrame) -> DataFrame:
     return rows.withColumn("step", F.col("ord") - F.lag("ord").over(by_query))
 
 
+def simultaneous(a: Column, c: Column) -> Column:
+    """Alignments a and c (structs) can have a gap between them."""
+    return (a["t_id"] == c["t_id"]) & (a["strand"] == c["strand"])
+
+
+def translocated(a: Column, b: Column, c: Column) -> Column:
+    """B stands elsewhere than between a and c, which go together."""
+    lo, hi = F.least(a["t_start"], c["t_start"]), F.greatest(a["t_end"], c["t_end"])
+    return simultaneous(a, c) & ~((b["t_id"] == a["t_id"]) & (b["t_start"] <= hi) & (b["t_end"] >= lo))
+
+
+def inverted(a: Column, b: Column, c: Column) -> Column:
+    """B begins between a and c, on the other strand."""
+    lo, hi = F.least(a["t_start"], c["t_start"]), F.greatest(a["t_end"], c["t_end"])
+    return simultaneous(a, c) & (b["t_id"] == a["t_id"]) & (b["strand"] != a["strand"]) & b["t_start"].between(lo, hi)
+
+
 # The adjacency machine (V01 to V05, V08): a fold over one query's alignments, two of which it remembers.
 CALLS = "q_id string, kind string, t_id string, t_start long, t_end long, q_start long, q_end long"
 CALL_COLUMNS = ["q_id", "kind", "t_id", "t_start", "t_end", "q_start", "q_end"]

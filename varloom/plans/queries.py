@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varloom.functions import scalars as S
@@ -845,3 +845,50 @@ def _(spark, d):
 def _(spark, d):
     r = files.read_back(spark, "sam", files.sam_of(_reads(spark, d)))
     return r.select("name", "flag", "ref", "pos", "mapq", "mate_ref", "mate_pos", "insert_size", F.col("tags")["RG"].alias("rg"), F.col("tags")["AS"].alias("score"), reads.alignment_end(F.col("pos"), F.col("cigar")).cast("long").alias("last"))
+
+
+# Scalar functions over arrays, predicates of three alignments, validation of order.
+_FLOATS = "WITH g AS (SELECT o_custkey AS k, list(o_totalprice / 1000 ORDER BY o_orderkey) AS v FROM orders GROUP BY o_custkey)"
+
+
+@_query("F13_14_20_array_functions", _FLOATS + """ SELECT k, array_to_string(list_transform(v, lambda x: CAST(CAST(floor(x) AS BIGINT) AS VARCHAR)), ';') AS joined, round(list_avg(v), 6) AS mean, round(list_var_pop(v), 4) AS variance,
+round(list_max(v) + ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v))))), 6) AS lse, round(-0.5 * power((list_avg(v) - 100) / 30, 2) - ln(30) - 0.5 * ln(2 * pi()), 6) AS density FROM g""")
+def _(spark, d):
+    g = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", (F.col("o_totalprice") / 1000).alias("x")))).alias("v"))  # a customer's orders
+    g = g.withColumn("v", F.transform("v", lambda x: x["x"]))
+    whole = F.transform("v", lambda x: F.floor(x).cast("string"))
+    return g.select(
+        "k", S.joined(whole, ";").alias("joined"), F.round(S.mean_of("v"), 6).alias("mean"), F.round(S.variance_of("v"), 4).alias("variance"), F.round(S.log_sum_exp("v"), 6).alias("lse"),
+        F.round(S.log_normal(S.mean_of("v"), F.lit(100.0), F.lit(30.0)), 6).alias("density"),
+    )
+
+
+@_query("F16_hull", " SELECT q_id, min(t_start) AS first, max(t_end) AS second FROM intervals GROUP BY q_id", "intervals")
+def _(spark, d):
+    g = view(spark, d, "intervals").groupBy("q_id").agg(F.collect_list(F.struct(F.col("t_start").alias("first"), F.col("t_end").alias("second"))).alias("v"))  # a query's alignments
+    return g.select("q_id", S.hull("v").alias("h")).select("q_id", "h.*")
+
+
+@_query("F22_places", """SELECT p_partkey, CAST(p_size AS BIGINT) - 1 AS v_first, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS BIGINT) + 9 ELSE CAST(p_size AS BIGINT) - 1 + length(p_brand) END AS v_last, CAST(p_size AS BIGINT) - 1 AS s_first, CAST(p_size AS BIGINT) - 1 + CASE WHEN p_size % 3 = 0 THEN 1 ELSE p_size + 12 END AS s_last FROM part""")
+def _(spark, d):
+    t = table(spark, d, "part").withColumns({"info": F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("X=1;END="), (F.col("p_size") + 9).cast("string"))).otherwise("END2=5"), "cigar": F.when(F.col("p_size") % 3 == 0, "*").otherwise(F.concat(F.lit("3S"), F.col("p_size").cast("string"), F.lit("M2I5D7N1H")))})
+    return t.select("p_partkey", S.vcf_interval("p_size", "p_brand", "info").alias("v"), S.sam_interval("p_size", "cigar").alias("s")).select("p_partkey", F.col("v.first").alias("v_first"), F.col("v.last").alias("v_last"), F.col("s.first").alias("s_first"), F.col("s.last").alias("s_last"))
+
+
+@_query("P09_predicates", """, v AS (SELECT 't' || CAST(t_id % 3 AS VARCHAR) AS t_id, q_id, t_start, t_end, q_start, strand, row_number() OVER (PARTITION BY q_id ORDER BY q_start, t_id, line_no) AS i FROM intervals)
+SELECT a.q_id, a.i, a.t_id = c.t_id AND a.strand = c.strand AS simul, a.t_id = c.t_id AND a.strand = c.strand AND NOT (b.t_id = a.t_id AND b.t_start <= greatest(a.t_end, c.t_end) AND b.t_end >= least(a.t_start, c.t_start)) AS trans,
+a.t_id = c.t_id AND a.strand = c.strand AND b.t_id = a.t_id AND b.strand <> a.strand AND b.t_start BETWEEN least(a.t_start, c.t_start) AND greatest(a.t_end, c.t_end) AS inv
+FROM v a JOIN v b ON a.q_id = b.q_id AND b.i = a.i + 1 JOIN v c ON a.q_id = c.q_id AND c.i = a.i + 2""", "intervals")
+def _(spark, d):
+    v = view(spark, d, "intervals")
+    w = Window.partitionBy("q_id").orderBy("q_start", "t_id", "line_no")
+    one = F.struct(F.concat(F.lit("t"), (F.col("t_id") % 3).cast("string")).alias("t_id"), "t_start", "t_end", "strand")
+    rows = v.select("q_id", "q_start", "t_id", "line_no", one.alias("a")).select("q_id", F.row_number().over(w).cast("long").alias("i"), "a", F.lead("a", 1).over(w).alias("b"), F.lead("a", 2).over(w).alias("c")).where("c is not null")
+    a, b, c = (F.col(x) for x in "abc")
+    return rows.select("q_id", "i", variants.simultaneous(a, c).alias("simul"), variants.translocated(a, b, c).alias("trans"), variants.inverted(a, b, c).alias("inv"))
+
+
+@_query("W09_sorted", "SELECT count(*) AS n FROM orders")
+def _(spark, d):
+    rows = table(spark, d, "orders").select(F.lit(1).alias("k"), F.col("o_orderkey").alias("line_no"), (F.col("o_orderkey") * 3).alias("at"))
+    return intervals.assert_sorted(rows, ["k"], "line_no", ["at"]).agg(F.count(F.lit(1)).alias("n"))

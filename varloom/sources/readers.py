@@ -137,6 +137,16 @@ def read_sam(spark: SparkSession, paths: Paths) -> DataFrame:
     )
 
 
+def read_sam_header(spark: SparkSession, paths: Paths) -> DataFrame:
+    """Header lines of SAM text (kind, value), those of several files merged: each line once, in the order in which they
+    are first met; of @HD the first one only."""
+    lines = _numbered(spark.read.text(paths)).where("value rlike '^@[A-Z][A-Z](\t|$)'").select("line_no", "value", F.substring("value", 2, 2).alias("kind"))
+    key = F.when(F.col("kind") == "HD", F.lit("")).otherwise(F.col("value"))
+    rank = F.array_position(F.array(*map(F.lit, ("HD", "SQ", "RG", "PG", "CO"))), F.col("kind"))
+    first = lines.groupBy("kind", key.alias("_k")).agg(F.min(F.struct("line_no", "value")).alias("f"))
+    return first.select("kind", F.col("f.value").alias("value"), rank.alias("rank"), F.col("f.line_no").alias("line_no")).orderBy("rank", "line_no").select("kind", "value")
+
+
 def read_lengths(spark: SparkSession, list_path: str) -> DataFrame:
     """A list of sample and file, each file with id and length; further columns don't count. The list is a few lines."""
     files = [r.value.split() for r in spark.read.text(list_path).where("trim(value) != ''").collect()]
