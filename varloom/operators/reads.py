@@ -233,3 +233,20 @@ def yaml_lines(df: DataFrame) -> DataFrame:
     """A YAML document per read."""
     rows = [F.concat(F.lit(f"{k}: "), F.col(c).cast("string")) for k, c in (("Name", "name"), ("AlignmentFlag", "flag"), ("Reference", "ref"), ("Position", "pos"), ("MapQuality", "mapq"), ("QueryBases", "seq"), ("Qualities", "qual"))]
     return df.select(F.concat_ws("\n", F.lit("---"), *rows, F.concat(F.lit("Cigar: "), cigar_text(F.col("cigar")))).alias("value"))
+
+
+def in_region(df: DataFrame, region: str, order: list[str]) -> DataFrame:
+    """Reads that begin in chr, chr:pos (on to its end), chr:a..b, chr:a-b or chrA:a..chrB:b; order: the sequences."""
+    found = re.fullmatch(r"([^:]+)(?::([\d,]+)(?:(?:\.\.|-)(?:([^:]+):)?([\d,]+))?)?", region)
+    if not found or found[1] not in order or (found[3] or found[1]) not in order:
+        raise ValueError(f"not a region: {region}")
+    number = lambda x, default: int(x.replace(",", "")) if x else default
+    first, last = order.index(found[1]) + 1, order.index(found[3] or found[1]) + 1
+    lo, hi = number(found[2], 0), number(found[4], 2**62)
+    at = F.array_position(F.array(*map(F.lit, order)), F.col("ref"))
+    return df.where(at.between(first, last) & ((at > first) | (F.col("pos") >= lo)) & ((at < last) | (F.col("pos") <= hi)))
+
+
+def count_reads(df: DataFrame) -> DataFrame:
+    """A33."""
+    return df.agg(F.count(F.lit(1)).alias("n"))

@@ -67,6 +67,12 @@ def candidates(reads: DataFrame, names: DataFrame) -> DataFrame:
     return reads.join(names, ["rg", "name"], "left_semi")
 
 
+def marked(df: DataFrame, sites: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Whether a row's keys are among the sites (which may repeat)."""
+    there = sites.select(*keys).distinct().withColumn(name, F.lit(True))
+    return df.join(there, keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def full_merge(tables: list[DataFrame]) -> DataFrame:
     """Sites of all samples: one row per site with its samples' genotypes in order; an aggregation instead of a
     chain of outer joins."""

@@ -203,6 +203,17 @@ def without_no_solution(variants: DataFrame, no_solution: DataFrame, compat: boo
     return interval_join(variants, no_solution, "q_id", ("q_start", "q_end"), ("q_start", "q_end"), how="left_anti")
 
 
+def union_families(parts: dict[str, DataFrame]) -> DataFrame:
+    """The families of calls as one table, with their rank in the order in which they come."""
+    out = None
+    for rank, kind in enumerate(k for k in FAMILIES if k in parts):
+        part = parts[kind].withColumns({"family": F.lit(kind), "rank": F.lit(FAMILIES.index(kind))})
+        out = part if rank == 0 else out.unionByName(part)
+    if out is None:
+        raise ValueError(f"no family of {FAMILIES}")
+    return out
+
+
 def first_arrivals(df: DataFrame, keys: list[str], arrival: list[str]) -> DataFrame:
     """The first row of each key in arrival order. An aggregation, so frequent keys combine early."""
     rest = [c for c in df.columns if c not in keys]

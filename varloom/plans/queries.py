@@ -332,8 +332,8 @@ def _(spark, d):
 
 @_query("J08_training_flag", "SELECT o_orderkey, o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AS training FROM orders")
 def _(spark, d):
-    good = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("t"))
-    return table(spark, d, "orders").join(good, "o_custkey", "left").select("o_orderkey", F.coalesce("t", F.lit(False)).alias("training"))
+    good = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return support.marked(table(spark, d, "orders"), good, ["o_custkey"], "training").select("o_orderkey", "training")
 
 
 @_query("J15_merge_best", """WITH f AS (SELECT o_custkey AS chrom, o_orderkey AS pos, 0 AS file_no, o_totalprice AS qual, o_orderstatus AS info FROM orders UNION ALL SELECT o_custkey, o_orderkey, 1, o_totalprice + (o_orderkey % 3 - 1) * 10, o_orderpriority FROM orders),
@@ -559,10 +559,7 @@ def _(spark, d):
 @_query("U01_union_families", "SELECT type, count(*) AS n, min(rank) AS rank FROM (SELECT type, CASE type WHEN 'INS' THEN 0 WHEN 'DEL' THEN 1 ELSE 6 END AS rank FROM intervals) GROUP BY type", "intervals")
 def _(spark, d):
     v = view(spark, d, "intervals")
-    out = None
-    for rank, kind in enumerate(variants.FAMILIES):
-        part = v.where(F.col("type") == kind).select("type", F.lit(rank).alias("rank"))
-        out = part if out is None else out.unionByName(part)
+    out = variants.union_families({kind: v.where(F.col("type") == kind) for kind in variants.FAMILIES})
     return out.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("rank"))
 
 
@@ -746,7 +743,14 @@ def _(spark, d):
 
 @_query("A33_count_region", f"WITH r AS ({_READS}) SELECT count(*) AS n FROM r WHERE ref = '3' AND pos BETWEEN 100 AND 2000")
 def _(spark, d):
-    return _reads(spark, d).where("ref = '3' and pos between 100 and 2000").agg(F.count(F.lit(1)).alias("n"))
+    return reads.count_reads(reads.in_region(_reads(spark, d), "3:100..2,000", [str(i) for i in range(20)]))
+
+
+@_query("P50_regions", f"WITH r AS ({_READS}) SELECT 'across' AS region, count(*) AS n FROM r WHERE ref = '3' AND pos >= 4000 OR ref = '4' OR ref = '5' AND pos <= 70 UNION ALL SELECT 'on', count(*) FROM r WHERE ref = '7' AND pos >= 900 UNION ALL SELECT 'whole', count(*) FROM r WHERE ref = '19'")
+def _(spark, d):
+    r, order = _reads(spark, d), [str(i) for i in range(20)]
+    parts = [reads.count_reads(reads.in_region(r, text, order)).select(F.lit(name).alias("region"), "n") for name, text in (("across", "3:4000..5:70"), ("on", "7:900"), ("whole", "19"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @_query("K11_histogram", "SELECT CAST(least(19, floor((vq - 0) * 20 / 100.0)) AS INT) AS bin, count(*) AS n FROM sites WHERE vq BETWEEN 0 AND 100 GROUP BY 1", "sites")
@@ -761,11 +765,12 @@ def _(spark, d):
     return in_order_of(table(spark, d, "region").select("r_regionkey", "r_name"), "r_name", ["EUROPE", "ASIA", "AFRICA"])
 
 
-@_query("S21_full_merge", "SELECT user_id AS chrom, min(CAST(event_id AS BIGINT)) AS low, count(*) AS n FROM events GROUP BY user_id")
+@_query("S21_full_merge", "SELECT user_id AS chrom, string_agg(event_id || '=' || CASE WHEN value < 50 THEN '0/1' ELSE '1/1' END || ':' || event_type, ',' ORDER BY event_id) AS samples FROM events GROUP BY user_id")
 def _(spark, d):
-    t = table(spark, d, "events").select(F.col("user_id").alias("chrom"), F.lit(1).alias("pos"), F.lit("A").alias("ref"), F.col("event_id").alias("sample_ord"), F.lit("0/1").alias("gt"), F.lit("C").alias("alt"))
+    t = table(spark, d, "events").select(F.col("user_id").alias("chrom"), F.lit(1).alias("pos"), F.lit("A").alias("ref"), F.col("event_id").alias("sample_ord"), F.when(F.col("value") < 50, "0/1").otherwise("1/1").alias("gt"), F.col("event_type").alias("alt"))
     parts = [t.where(F.col("sample_ord") % 3 == k) for k in range(3)]
-    return support.full_merge(parts).select("chrom", F.get("samples", 0)["sample_ord"].alias("low"), F.size("samples").cast("long").alias("n"))
+    cell = lambda x: F.concat(x["sample_ord"].cast("string"), F.lit("="), x["gt"], F.lit(":"), x["alt"])
+    return support.full_merge(parts).select("chrom", F.array_join(F.transform("samples", cell), ",").alias("samples"))
 
 
 @_query("K13_bed_lines", f"""WITH r AS ({_READS}) SELECT ref || chr(9) || CAST(pos - 1 AS VARCHAR) || chr(9) || CAST(pos + 9 AS VARCHAR) || chr(9) || CAST(name_no AS VARCHAR) || chr(9) || CAST(mapq AS VARCHAR) || chr(9) || CASE WHEN {_BIT(16)} THEN '-' ELSE '+' END AS value FROM r""")
