@@ -388,6 +388,39 @@ def test_count_vector_tree(n):
         assert len(tree.levels) == 3 and len(near) < len(tree.levels[0][1]) ** 2 / 2
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_finer_vectors_rule_out_no_link(percent):
+    import numpy as np
+
+    from varloom.llm.ngram_join import may_be_linked, packed, unpacked
+
+    rng = np.random.default_rng(percent)
+    for _ in range(40):
+        base = np.unique(rng.integers(0, 2**63, int(rng.integers(4, 3000))).astype(np.uint64))
+        sets = []
+        for _ in range(int(rng.integers(2, 50))):
+            x = base[rng.random(len(base)) > rng.choice([0, 0.05, 0.1, 0.2])]
+            more = rng.integers(0, 2**63, int(rng.integers(0, 1 + len(base) // 6))).astype(np.uint64)
+            sets.append(np.unique(np.concatenate([x if len(x) else base, more])))
+        size = np.array([len(x) for x in sets])
+        vectors = [unpacked(packed(x, percent), len(x), percent) for x in sets]
+        assert all(v.sum() == n for v, n in zip(vectors, size, strict=True))
+        dims = min(map(len, vectors))
+        point = np.stack([v.reshape(dims, -1).sum(1) for v in vectors])
+        up = list(range(len(sets)))
+
+        def find(i, up=up):
+            return i if up[i] == i else find(up[i])
+
+        for i, j in may_be_linked(point, size, percent, 100):
+            up[find(i)] = find(j)
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= percent * (size[i] + size[j] - both):
+                    assert find(i) == find(j)
+
+
 def test_ngram_join_of_neighbouring_sizes(spark):
     from varloom.llm.ngram_join import ngram_jaccard_join
 

@@ -44,9 +44,14 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more:
     return docs.select(d.alias("_d"), F.shiftright(F.xxhash64(text), 32).alias("_h"), text.alias("text"), *(more or []))
 
 
+def row_of(names: list[str]):
+    """A struct of columns of any name."""
+    return F.struct(*[F.col("`" + n.replace("`", "``") + "`") for n in names])
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the documents (rows of one id and text) whose keys are in gone (_d, _h); columns of any name stay as they are."""
-    rows = keyed(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")), more=["_row"])
+    rows = keyed(docs.select("doc_id", "text", row_of(docs.columns).alias("_row")), more=["_row"])
     return rows.join(gone.select("_d", "_h").distinct(), ["_d", "_h"], "left_anti").select("_row.*")
 
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm._common import keyed, with_id, written
+from varloom.llm._common import keyed, row_of, with_id, written
 from varloom.llm.quality_rules import let
 
 #: Hashes of candidate lines that may be sent to all tasks (16 bytes each).
@@ -164,7 +164,7 @@ def line_dedup(docs: DataFrame, edits: int = 2, least: int = 24, id_col: str = "
     judged = first.join(gone.withColumn("gone", F.lit(True)), ["x", "y"], "left").where("uses > 1 or gone").select("x", "y", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     out = ids.select("x", "y", "_d", "_h", "i").join(judged, ["x", "y"]).where(F.col("gone") | (F.struct("_d", "_h", "i") != F.col("first")))
     removed = out.groupBy("_d", "_h").agg(F.array_sort(F.collect_set("i")).alias("removed"))
-    rows = keyed(docs.withColumn("_carried", F.struct(*carry)), id_col, text_col, ["_carried"]).withColumnRenamed("_carried", "carried") if carry else t
+    rows = keyed(docs.select(id_col, text_col, row_of(carry).alias("_carried")), id_col, text_col, ["_carried"]).withColumnRenamed("_carried", "carried") if carry else t
     full = rows.join(removed, ["_d", "_h"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     at = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("removed"))
     kept = let(F.split("text", "\n"), lambda x: F.array_join(F.transform(at(x), lambda i: F.get(x, i)), "\n"))

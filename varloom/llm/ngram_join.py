@@ -10,8 +10,9 @@ on the sets. Links inside what is already joined need no verification, as only c
 Where to look: by the same grouping. Two sets linked at threshold t differ in at most d shingles,
 so of d + 1 groups at least one has equal contents. Each set emits a key per group (groups are as
 many as its size class needs; a set has keys for the class of every larger size it can link with;
-small sets with many empty groups emit prefixes too). Sets that share a key are put into one cell by their components; cells hold
-near copies, as a whole group must agree. Every
+small sets with many empty groups emit prefixes too). The sets of a key are bounded against each other by an R-tree over finer
+count vectors (a group per two or three shingles), so that what only shares a passage goes its own way; components of what may
+be linked are cells, which hold near copies. Every
 cell is joined by an R-tree of its own. Cells of more than MOST_SETS or MOST_SHINGLES are cut into blocks, and each
 pair of blocks is one group: exact, whatever the size. Nothing is sampled or dropped.
 
@@ -80,7 +81,7 @@ def class_groups(c: int, t: float) -> tuple[int, int]:
     this class, one more, and one for each of `spare` groups that may be empty."""
     top = np.ceil(t ** (-SPAN * (c + 1.0))) + 1
     least = int((1 - t) / (1 + t) * 2 * top) + 1
-    spare = 2 + least // 20
+    spare = 4 + least // 5
     return least + spare, spare
 
 
@@ -112,7 +113,29 @@ def prefix_keys(x: np.ndarray, t: float) -> np.ndarray:
 
 
 def points(sets: list[np.ndarray]) -> np.ndarray:
-    return np.array([np.bincount((x >> np.uint64(59)).astype(np.int64), minlength=DIMS) for x in sets], np.int32).reshape(-1, DIMS)
+    return np.array([counts(x, DIMS) for x in sets], np.int32).reshape(-1, DIMS)
+
+
+def counts(x: np.ndarray, dims: int) -> np.ndarray:
+    """How many hashes fall into each of so many groups (a power of two), by their first bits."""
+    return np.bincount((x >> np.uint64(65 - dims.bit_length())).astype(np.int64), minlength=dims).astype(np.int32)
+
+
+def fine_dims(n: int, percent: int) -> int:
+    """Groups of the count vectors that a set of n shingles is bounded with, as many for all that it can be linked with or a
+    power of two fewer: two or three shingles each."""
+    top = (percent / 100) ** -(key_classes(n, percent)[-1] + 1)
+    return 1 << int(np.clip(np.ceil(np.log2(max(top, 1) / 3)), 5, 14))
+
+
+def packed(x: np.ndarray, percent: int) -> bytes:
+    """The finer count vector of a set, in as few bytes as its largest count needs."""
+    v = counts(x, fine_dims(len(x), percent))
+    return v.astype(np.uint8 if v.max() < 256 else np.uint16 if v.max() < 65536 else np.int32).tobytes()
+
+
+def unpacked(v: bytes, n: int, percent: int) -> np.ndarray:
+    return np.frombuffer(v, {1: np.uint8, 2: np.uint16, 4: np.int32}[len(v) // fine_dims(n, percent)]).astype(np.int32)
 
 
 class CountTree:
@@ -179,14 +202,36 @@ def rtree_links(sets: list[np.ndarray], t_num: int, t_den: int) -> list[tuple[in
     return out
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(_d, _h, n, x, y): size and digest of each set."""
+def may_be_linked(point: np.ndarray, size: np.ndarray, t_num: int, t_den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that their count vectors don't rule out."""
+    if len(size) == 2:
+        return [(0, 1)] if np.minimum(point[0], point[1]).sum() * (t_den + t_num) >= t_num * size.sum() else []
+    tree, joined, out = CountTree(point, size), np.arange(len(size)), []
+    for a, b in tree.near_leaves(t_num, t_den).tolist():
+        p, q = tree.leaf(a), tree.leaf(b)
+        for i in range(len(p)):
+            j = q[i + 1 :] if a == b else q
+            j = j[joined[j] != joined[p[i]]]
+            if not len(j):
+                continue
+            bound = np.minimum(point[p[i]], point[j]).sum(1)
+            for y in j[bound * (t_den + t_num) >= t_num * (size[p[i]] + size[j])]:
+                if joined[p[i]] != joined[y]:
+                    lo, hi = sorted((joined[p[i]], joined[y]))
+                    joined[joined == hi] = lo
+                    out.append((int(p[i]), int(y)))
+    return out
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(_d, _h, n, x, y, v): size, digest and count vector of each set."""
     for b in batches:
-        rows = []
+        rows, vectors = [], []
         for s in shingle_sets(b.column(2), n):
             rows.append((len(s), *digest(s)))
+            vectors.append(packed(s, percent) if len(s) else b"")
         k, x, y = (np.array(c, np.uint64) for c in zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(k.astype(np.int64)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["_d", "_h", "n", "x", "y"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(k.astype(np.int64)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(vectors, pa.binary())], ["_d", "_h", "n", "x", "y", "v"])
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -216,23 +261,26 @@ FREQUENT = 64
 
 
 def _met(batches: Iterator[pa.RecordBatch], frequent: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key and document. (k, a, b): k null: a with the first document b of a key; else a row of a
-    frequent key, b its mark."""
+    """Rows come sorted by key and document. (k, a, b): b null: document a of the bucket k, a name for the documents that a key
+    has, so that buckets of the same documents are one; else a row of a frequent key, b its mark."""
     held = [np.zeros(0, np.int64)] * 3
     going = False  # whether the key that is held has given rows as a frequent one
 
     def rows(k, d, m, going):
+        once = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
+        k, d, m = k[once], d[once], m[once]
         new = np.concatenate([[True], k[1:] != k[:-1]])
+        first = np.flatnonzero(new)
         group = np.cumsum(new) - 1
         size = np.bincount(group)
         often = size[group] >= frequent
         if going:
             often |= group == 0
-        hub = d[np.flatnonzero(new)][group]
-        near = ~often & (d != hub)
-        pairs = np.unique(np.stack([d[near], hub[near]], 1), axis=0)
-        ks = pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(k[often])])
-        return pa.RecordBatch.from_arrays([ks, pa.array(np.concatenate([pairs[:, 0], d[often]])), pa.array(np.concatenate([pairs[:, 1], m[often]]))], ["k", "a", "b"])
+        near = ~often & (size[group] > 1)
+        name = mix(np.add.reduceat(mix(d.view(np.uint64)), first) + size.astype(np.uint64)).view(np.int64)[group]
+        both = np.unique(np.stack([name[near], d[near]], 1), axis=0)
+        marks = pa.concat_arrays([pa.nulls(len(both), pa.int64()), pa.array(m[often])])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([both[:, 0], k[often]])), pa.array(np.concatenate([both[:, 1], d[often]])), marks], ["k", "a", "b"])
 
     for b in batches:
         if not b.num_rows:
@@ -252,19 +300,44 @@ def _met(batches: Iterator[pa.RecordBatch], frequent: int) -> Iterator[pa.Record
         yield rows(*held, going)
 
 
-def candidate_links(t: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): sets that share a key, as stars around the first one. Keys of FREQUENT or more sets (what a passage in
+def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket: (k, a, n, v). (a, b): documents of a bucket that may be linked, as a forest."""
+    def rows() -> Iterator[tuple]:
+        for b in batches:
+            yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+    out: list[tuple[int, int]] = []
+    for _, group in groupby(rows(), key=itemgetter(0)):
+        _, a, n, v = zip(*group, strict=True)
+        if len(a) < 2:
+            continue
+        vectors = [unpacked(x, k, percent) for x, k in zip(v, n, strict=True)]
+        dims = min(map(len, vectors))
+        point = np.stack([x.reshape(dims, -1).sum(1) for x in vectors])
+        out += [(a[i], a[j]) for i, j in may_be_linked(point, np.array(n), percent, 100) if a[i] != a[j]]
+        if len(out) > 20_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*set(out), strict=True)], ["a", "b"])
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*set(out), strict=True)], ["a", "b"])
+
+
+def candidate_links(t: DataFrame, sketch: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): sets that share a key and may be linked, as forests. Keys of FREQUENT or more sets (what a passage in
     many documents leaves alone in a group) are left out for sets that can do without: linked sets agree in one group
     more than are spare, so if for either the empty and frequent groups are no more than the spare ones, the two
-    share another key."""
+    share another key. Those that can't do without are joined to the first one of the key."""
     keys = t.mapInArrow(lambda it: _keys(it, n, percent), "k long, _d long, mark int")
     met = written(keys.repartition("k").sortWithinPartitions("k", "_d").mapInArrow(lambda it, often=FREQUENT: _met(it, often), "k long, a long, b long"), "met")
-    often = met.where("k is not null").distinct()
+    buckets = met.where("b is null").select("k", "a").distinct()
+    bounds = buckets.join(sketch.select(F.col("_d").alias("a"), "n", "v").hint("merge"), "a").select("k", "a", "n", "v")
+    near = bounds.repartition("k").sortWithinPartitions("k").mapInArrow(lambda it: _bounded(it, percent), "a long, b long")
+    often = met.where("b is not null").distinct()
     need = often.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("b < 0 or n > pmod(b, 256)").select("a", "b")
     kept = often.join(need, ["a", "b"]).select("k", "a")
     hubs = kept.groupBy("k").agg(F.min("a").alias("hub"))
     more = kept.join(hubs, "k").where("a != hub").select("a", F.col("hub").alias("b")).distinct()
-    return met.where("k is null").select("a", "b").union(more)
+    return near.union(more)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -306,11 +379,11 @@ def _join(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.
 def ngram_components(docs: DataFrame, shingle: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_d, _h, n_shingles and component (the smallest _d reachable over links) of every row."""
     t = keyed(docs, id_col, text_col)
-    sketch = written(t.mapInArrow(lambda it: _sketch(it, shingle), "_d long, _h long, n long, x long, y long"), "sketch")
+    sketch = written(t.mapInArrow(lambda it: _sketch(it, shingle, percent), "_d long, _h long, n long, x long, y long, v binary"), "sketch")
     # one node per document id and set; ids are unique unless a table repeats an id with another text
     same = sketch.where("n > 0").groupBy("n", "x", "y").agg(F.min("_d").alias("node"))
     copies = sketch.where("n > 0").join(same, ["n", "x", "y"]).where("_d != node").select(F.col("_d").alias("a"), F.col("node").alias("b"))
-    near = candidate_links(t, shingle, percent)
+    near = candidate_links(t, sketch, shingle, percent)
     cells = components(near)
     cells = cells.select(F.col("node").alias("_d"), F.col("component").alias("cell"))
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / MOST_SETS, F.sum("n") / MOST_SHINGLES)).cast("int")
@@ -318,7 +391,7 @@ def ngram_components(docs: DataFrame, shingle: int = 4, percent: int = 85, id_co
     held = t.join(cells.hint("merge"), "_d").mapInArrow(lambda it: _sets(it, shingle), "cell long, part int, side int, _d long, s binary")
     links = held.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(lambda it: _join(it, percent, 100), "a long, b long")
     found = components(links.union(copies))
-    out = sketch.join(found, sketch["_d"] == found["node"], "left")
+    out = sketch.drop("v").join(found, sketch["_d"] == found["node"], "left")
     return out.select("_d", "_h", F.col("n").alias("n_shingles"), F.coalesce("component", "_d").alias("component"))
 
 
