@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm._common import without, written
+from varloom.llm._common import row_of, without, written
 from varloom.llm.bpe import bpe_encode
 from varloom.llm.decontaminate import contamination
 from varloom.llm.line_dedup import line_dedup
@@ -32,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = measured(docs.select("doc_id", "lang", "text")).withColumns(keys)
     rows = written(rows.select("doc_id", "lang", *keys, "base_failed", *GRID), "measures")
     gone = quality_rules(docs, labels, features=rows).where(~F.col("kept")).select(*keys).distinct()
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), *[v.alias(k) for k, v in keys.items()])
+    whole = docs.select(row_of(docs.columns).alias("_row"), *[v.alias(k) for k, v in keys.items()])
     return whole.join(gone, list(keys), "left_anti").select("_row.*")
 
 
