@@ -216,3 +216,23 @@ def test_boosted_trees_match_plain_loops():
             m += forest.value[t, at - (2**depth - 1)]
         walked.append(m)
     assert np.allclose(forest.margin(x), walked)
+
+
+@pytest.mark.parametrize("hubs", [10_000, 3])
+def test_components(spark, monkeypatch, hubs):
+    from varloom.llm import components as op
+
+    monkeypatch.setattr(op, "MOST_HUBS", hubs)
+    rng = random.Random(hubs)
+    links = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(7, 7), (500, 100)]
+    up = {x: x for pair in links for x in pair}
+
+    def find(x):
+        return x if up[x] == x else find(up[x])
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        up[y] = x
+    alone = {a for a, b in links if a == b} - {x for a, b in links if a != b for x in (a, b)}
+    got = {r.node: r.component for r in op.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in up if x not in alone}

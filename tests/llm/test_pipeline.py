@@ -130,3 +130,37 @@ def test_stages_with_odd_rows(spark, tmp_path):
             assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(((i, text(t)) for i, t in kept), key=key), name
             assert all(len({r[n] for n in names}) == 1 for r in got)  # nothing of the stage's own came out under their names
         assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def test_quality_stage_with_certified_cutoffs(spark, tmp_path):
+    """Enough labels for a cutoff: what is over it goes too, by exact binomial tails of the labelled good documents."""
+    import random
+    from math import comb
+
+    import corpus_pipeline as pipeline
+    from varloom.llm.quality_rules import GRID
+
+    rng = random.Random(31)
+    rows, labels = [], []
+    for i in range(3000):
+        good = i % 3 > 0
+        w = [f"w{rng.randrange(10_000)}" for _ in range(30)]
+        for _ in range(rng.choice([0, 0, 1]) if good else rng.randrange(0, 60)):
+            w[rng.randrange(30)] += "#"
+        rows.append((i, " ".join(w), "en", "s", 0))
+        labels.append((i, int(good), 0))
+    rows.append((5000, " ".join(f"x{i}##" for i in range(30)), "de", "s", 0))  # no labels in its language
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {r.doc_id for r in pipeline.quality(spark, docs, str(tmp_path)).collect()}
+    rate = {i: t.count("#") / len(t.replace(" ", "")) for i, t, *_ in rows}
+    tests, share = sum(map(len, GRID.values())), 0.02 / len(GRID)  # one stratum has labelled good documents
+    good = [rate[i] for i, y, _ in labels if y]
+    cut = None
+    for c in reversed(GRID["symbol_rate"]):
+        k, n = sum(x > c for x in good), len(good)
+        if k < n * share and sum(comb(n, j) * share**j * (1 - share) ** (n - j) for j in range(k + 1)) <= 0.05 / tests:
+            cut = c
+    assert cut is not None
+    want = {i for i, *_ in rows if i == 5000 or rate[i] <= cut}
+    assert kept == want and 50 < len(rows) - len(kept) < 1000

@@ -11,8 +11,8 @@ either side. Equal keys are candidates if letter counts allow for it, and a band
 2 * edits + 1 bits slides along the diagonal) verifies them. Keys are hashed; what they hold is only
 the hash of the line, so a frequent line costs one row per key after the distinct.
 
-Equal lines go by an aggregation with map-side combine over a 128-bit key, so a line in a third of
-all documents meets no single task. The texts of candidates are looked up by a broadcast of their
+Equal lines go by an aggregation with map-side combine over a 128-bit key, and verdicts go back to the lines by a join that
+deals a frequent line over many tasks, so a line in a third of all documents meets no single task. The texts of candidates are looked up by a broadcast of their
 hashes where these are few (MOST_SENT, checked), by a shuffle otherwise.
 
 Null and empty texts have no lines of that length and stay as they are (null as empty). A null id
@@ -29,6 +29,8 @@ from varloom.llm.quality_rules import let
 
 #: Hashes of candidate lines that may be sent to all tasks (16 bytes each).
 MOST_SENT = 500_000
+#: Hot lines are fewer than this, and dealt over so many tasks each.
+MOST_HOT, SALTS = 10_000, 64
 
 
 def key_rows(lines: DataFrame, edits: int) -> DataFrame:
@@ -161,8 +163,14 @@ def line_dedup(docs: DataFrame, edits: int = 2, least: int = 24, id_col: str = "
     later = F.col("first1") > F.col("first2")
     gone = near.select(F.when(later, F.col("x1")).otherwise(F.col("x2")).alias("x"), F.when(later, F.col("y1")).otherwise(F.col("y2")).alias("y")).distinct()
 
-    judged = first.join(gone.withColumn("gone", F.lit(True)), ["x", "y"], "left").where("uses > 1 or gone").select("x", "y", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    out = ids.select("x", "y", "_d", "_h", "i").join(judged, ["x", "y"]).where(F.col("gone") | (F.struct("_d", "_h", "i") != F.col("first")))
+    judged = first.join(gone.withColumn("gone", F.lit(True)), ["x", "y"], "left").where("uses > 1 or gone").select("x", "y", "first", "uses", F.coalesce("gone", F.lit(False)).alias("gone"))
+    judged = written(judged, "judged")
+    # a line with more than one in MOST_HOT of the uses is dealt over SALTS tasks; there are fewer than MOST_HOT of them
+    hot = F.col("uses") * MOST_HOT > (judged.agg(F.sum("uses")).first()[0] or 0)
+    named = judged.where(hot).select("x", "y", F.lit(True).alias("hot"))
+    salted = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(hot, SALTS - 1).otherwise(0)))).drop("uses")
+    uses = ids.select("x", "y", "_d", "_h", "i").join(F.broadcast(named), ["x", "y"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("_d", "i"), F.lit(SALTS))).otherwise(0).cast("int"))
+    out = uses.drop("hot").join(salted, ["x", "y", "salt"]).where(F.col("gone") | (F.struct("_d", "_h", "i") != F.col("first")))
     removed = out.groupBy("_d", "_h").agg(F.array_sort(F.collect_set("i")).alias("removed"))
     rows = keyed(docs.select(id_col, text_col, row_of(carry).alias("_carried")), id_col, text_col, ["_carried"]).withColumnRenamed("_carried", "carried") if carry else t
     full = rows.join(removed, ["_d", "_h"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
