@@ -50,9 +50,11 @@ def row_of(names: list[str]):
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the documents (rows of one id and text) whose keys are in gone (_d, _h); columns of any name stay as they are."""
+    """docs without the documents (rows of one id and text) whose keys are in gone (_d, _h); columns of any name stay as they are.
+    The keys are written first, so that Spark knows their size and sends them to the documents where they are few."""
+    gone = written(gone.select("_d", "_h").distinct(), "gone")
     rows = keyed(docs.select("doc_id", "text", row_of(docs.columns).alias("_row")), more=["_row"])
-    return rows.join(gone.select("_d", "_h").distinct(), ["_d", "_h"], "left_anti").select("_row.*")
+    return rows.join(gone, ["_d", "_h"], "left_anti").select("_row.*")
 
 
 def with_id(df: DataFrame) -> DataFrame:
