@@ -105,7 +105,7 @@ def test_texts_longer_than_a_chunk(spark):
     assert {r.doc_id: (r.n_hit, r.item_ids) for r in decontaminate(d, bench).collect()} == {1: (30, ["b"]), 2: (60, ["b"]), 3: (60, ["b"]), 4: (0, [])}
     assert {r.doc_id: r.n_words for r in measured(d).collect()} == {i: len(t.split()) for i, t in rows}
     assert bpe_decode(bpe_encode(d)).where("size(ids) < 100").count() == 0
-    assert Machine({"idiot": 5.0}).channels(long + " idiot")[-1] == 5.0
+    assert Machine({"idiot": 5.0}).channels(long.replace("dice", "dire") + " idiot")[-1] == 5.0  # dice would report it
 
 
 def plain_channels(tokens: list[str], weight: dict[str, float], reach: int = 3) -> list[float]:
