@@ -856,14 +856,14 @@ def _(spark, d):
 _FLOATS = "WITH g AS (SELECT o_custkey AS k, list(o_totalprice / 1000 ORDER BY o_orderkey) AS v FROM orders GROUP BY o_custkey)"
 
 
-@_query("F13_14_20_array_functions", _FLOATS + """ SELECT k, array_to_string(list_transform(v, lambda x: CAST(CAST(floor(x) AS BIGINT) AS VARCHAR)), ';') AS joined, round(list_avg(v), 6) AS mean, round(list_var_pop(v), 4) AS variance,
+@_query("F13_14_20_array_functions", _FLOATS + """ SELECT k, array_to_string(list_transform(v, lambda x: CAST(CAST(floor(x) AS BIGINT) AS VARCHAR)), ';') AS joined, round(list_avg(v), 10) AS mean, round(list_var_pop(v), 4) AS variance,
 round(list_max(v) + ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v))))), 6) AS lse, round(-0.5 * power((list_avg(v) - 100) / 30, 2) - ln(30) - 0.5 * ln(2 * pi()), 6) AS density FROM g""")
 def _(spark, d):
     g = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", (F.col("o_totalprice") / 1000).alias("x")))).alias("v"))  # a customer's orders
     g = g.withColumn("v", F.transform("v", lambda x: x["x"]))
     whole = F.transform("v", lambda x: F.floor(x).cast("string"))
     return g.select(
-        "k", S.joined(whole, ";").alias("joined"), F.round(S.mean_of("v"), 6).alias("mean"), F.round(S.variance_of("v"), 4).alias("variance"), F.round(S.log_sum_exp("v"), 6).alias("lse"),
+        "k", S.joined(whole, ";").alias("joined"), F.round(S.mean_of("v"), 10).alias("mean"), F.round(S.variance_of("v"), 4).alias("variance"), F.round(S.log_sum_exp("v"), 6).alias("lse"),
         F.round(S.log_normal(S.mean_of("v"), F.lit(100.0), F.lit(30.0)), 6).alias("density"),
     )
 
