@@ -90,6 +90,58 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """Every tenth document by crc32 of its id has its words from some word on replaced by repeats of the first of them."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, n = F.expr("h div 10"), F.size("w").cast("long")
+    d = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, words))
+    a = g % n
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    a, n = a.cast("int"), n.cast("int")
+    period = F.flatten(F.array_repeat(F.slice("w", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    new = F.array_join(F.slice(F.concat(F.slice("w", F.lit(1), a), period), F.lit(1), n), " ")
+    return d.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.size("w") > 0), new).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varloom.llm.periodic_runs import periodic_runs
+
+    d = periodic_runs(planted_periods(_table(spark, sf_dir, "documents")))
+    # of runs by start and period the first one of the greatest length / period, without rounding
+    better = lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best)
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    best = F.when(F.size("runs") > 0, F.aggregate("runs", F.col("runs")[0], better)).otherwise(none)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return d.withColumn("b", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "b.start", "b.length", "b.period", F.expr("b.length * 1000 div b.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varloom.llm.best_fit_packing import best_fit_packing, pieces
+
+    return best_fit_packing(pieces(_table(spark, sf_dir, "documents")))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Turns dropped, emptied, cut, repeated or given to the user, by crc32 of their place; `there` is false where one is dropped."""
+    from varloom.llm.conversation_repair import or_space
+
+    way = F.crc32(F.concat(or_space("conv_id"), F.lit(":"), or_space("turn"))) % 20
+    text = F.when(way == 1, "").when(way == 2, F.regexp_replace(or_space("text"), "[.!?]", "")).otherwise(or_space("text"))
+    role = F.when(way == 4, "user").otherwise(or_space("role"))
+    d = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), (way != 0).alias("there"), F.when(way == 3, 2).otherwise(1).alias("times"))
+    return d.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).drop("times")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varloom.llm.conversation_repair import conversation_repair
+
+    return conversation_repair(damaged(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
