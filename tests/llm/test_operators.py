@@ -513,3 +513,46 @@ def test_empty_tables(spark, docs):
     for out in (suffix_dedup(none), substring_dedup(none), line_dedup(none), ngram_jaccard_join(none), decontaminate(none, bench), quality_rules(none, labels), secret_scan(none), quality_classifier(none, labels), toxicity(none, labels)):
         assert out.count() == 0
     assert decontaminate(docs, bench).count() == quality_rules(docs, labels).count() == toxicity(docs, labels).count() == quality_classifier(docs, labels).count() == docs.count()
+
+
+def thue_morse(n: int, a: str = "a", b: str = "b") -> str:
+    """A text of n letters on which polynomials modulo powers of two agree with its mirror image."""
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_that_polynomials_take_for_one(spark):
+    """Two different words of 1024 letters have nothing in common, alone or inside a text."""
+    from varloom.llm.ngram_join import ngram_jaccard_join
+    from varloom.llm.substring_dedup import substring_dedup
+    from varloom.llm.suffix_dedup import suffix_dedup
+
+    one, two = thue_morse(1024), thue_morse(1024, "b", "a")
+    d = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in ngram_jaccard_join(d).collect()) == [(1, 1), (2, 2)]
+    words = [f"w{i % 7}" for i in range(299)] + [one] + [f"w{i % 7}" for i in range(19)] + [two]
+    text = " ".join(words)
+    corpus = [(5, text)]
+    d = spark.createDataFrame(corpus, "doc_id long, text string")
+    (r,) = substring_dedup(d).collect()
+    n_removed = removed_by_windows(corpus, 20, True)[5]
+    assert (r.n_words, r.n_removed) == (n_removed[0], n_removed[1])
+    for t in (thue_morse(6000), "x" * 50 + one + "y" * 60 + two + one):
+        (r,) = suffix_dedup(spark.createDataFrame([(5, t)], "doc_id long, text string")).collect()
+        assert (r.n_bytes, r.n_removed) == removed_by_windows([(5, t)], 100, False)[5][:2]
+
+
+@pytest.mark.parametrize("k", [3, 20])
+def test_first_windows_whatever_the_hash(k):
+    """firsts() is right though most windows share a hash."""
+    import numpy as np
+
+    from varloom.llm.repeats import firsts
+
+    rng = np.random.default_rng(k)
+    symbols = np.concatenate([rng.integers(0, 3, 300), np.tile(rng.integers(0, 3, 9), 60)])
+    n = len(symbols) - k + 1
+    own = [symbols[i : i + k].tobytes() for i in range(n)]
+    want = [own.index(x) == i for i, x in enumerate(own)]
+    for bits in (1, 4, 64):
+        x = np.array([hash(w) % 2**bits for w in own], np.uint64)
+        assert firsts(np.zeros(n, np.uint64), lambda x=x: x, symbols, k).tolist() == want

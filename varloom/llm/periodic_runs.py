@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm._common import chunks, mix, text_buffers
+from varloom.llm._common import chunks, mix, split_words, text_buffers
 
 PRIME = np.uint64(2**31 - 1)
 #: Base of the polynomial hash.
@@ -139,12 +139,7 @@ def _periods(batches: Iterator[pa.RecordBatch], times: int, least: int) -> Itera
     for b in batches:
         texts = pc.fill_null(b.column(1), "")
         for i, j in chunks(text_buffers(texts)[0]):
-            split = pc.ascii_split_whitespace(texts.slice(i, j - i))
-            flat = split.flatten()
-            full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)  # white space at either end leaves empty strings
-            size = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
-            first = np.concatenate([[0], np.cumsum(full)])[size]
-            flat = flat.filter(pa.array(full))
+            flat, first = split_words(texts.slice(i, j - i))
             numbers = flat.dictionary_encode().indices.to_numpy().astype(np.int64)
             found = runs_of(Words(numbers), first, times, least) if len(flat) else [[]] * (j - i)
             kept = np.ones(len(flat), bool)

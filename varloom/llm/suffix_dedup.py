@@ -5,7 +5,8 @@ sorted by a mergesort (Python's sort is one) whose comparison finds the common e
 suffixes by binary search over prefix polynomial hashes, so it takes a logarithmic number of steps.
 Neighbours in the order give the common extensions of all suffixes: those of a group agree on so many bytes or more
 between two places where the extension falls below that. Extensions to the left are compared by the prefix hashes
-of the reversed bytes. Every match that counts is verified on the bytes.
+of the reversed bytes. Every match found by a hash is verified on the bytes; only
+copies of whole texts (SHA-256) and windows over very frequent anchors (128-bit xxh3) are told by their digests alone.
 
 Nulls and empty texts: nothing to remove. Ties and repeated rows: rows with the same id and text
 are one document and get the same result; a null id counts as the smallest. Extra columns are ignored.
