@@ -4,8 +4,8 @@ Method: best-fit decreasing with a segment tree over remaining capacities. Docum
 tightest open sequence that has room, which the tree finds in logarithmic time. Lengths are whole numbers up to the capacity, so documents of
 one length are alike and a count per length is all that the packing depends on: equal documents go one after the other to equal sequences, and a
 range of them is placed by one step of the tree. The plan of all steps, at most a few per pair of lengths however many documents there are
-(`plan`), is made once; the documents then get their places as tasks: a document's rank among those of its length, from counts per block of the
-written table, says which step placed it and where. So the packing of the whole corpus is one, not one per partition.
+(`plan`), is made once; the documents then get their places as tasks: a document's rank among those of its length, from counts per
+block of rows, says which step placed it and where. So the packing of the whole corpus is one, not one per partition.
 
 Longer documents are cut into pieces of the capacity, of which the first may be shorter. Nulls are empty texts, which are a piece of the
 end token alone; repeated rows and ties are packed row by row; a null id stays null; extra columns are ignored. Very long texts need memory in
@@ -30,8 +30,8 @@ from varloom.llm.bpe import byte_alphabet, vocabulary
 
 #: The pattern by which byte-level BPE splits a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Rows of the written table that are ranked together.
-BLOCK = 1 << 16
+#: Rows of the written table that are ranked together, on average.
+BLOCK = 1 << 17
 #: Documents of one length are told apart by a rank below this.
 MOST_RANK = 1 << 40
 
@@ -196,14 +196,14 @@ def best_fit_packing(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     """The rows of `cut`, whose column length (long) is at most the capacity, with the sequence and the place there of each. The rows are written
     first, as ranks are counted over them; what goes to the driver is a count per length."""
     rows = written(cut, "pieces").select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    rows = rows.withColumn("_block", F.expr(f"_row div {BLOCK}"))
-    key = ["length", "_file", "_block"]
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_file", "_row"), F.lit(rows.count() // BLOCK + 1)))
+    key = ["length", "_block"]
     blocks = written(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "blocks")
     counts = {r["length"]: r["n"] for r in blocks.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     steps = np.array(sorted(plan(counts, capacity)) or np.zeros((0, 5)), np.int64)
-    earlier = Window.partitionBy("length").orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     before = blocks.select(*key, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
-    rank = F.col("_before") + F.row_number().over(Window.partitionBy(*key).orderBy("_row")) - 1
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy(*key).orderBy("_file", "_row")) - 1
     ranked = rows.join(before, key).select(*cut.columns, rank.alias("_rank"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
     return ranked.mapInArrow(lambda it: _place(it, steps), f"{kinds}, sequence_id long, offset long")
