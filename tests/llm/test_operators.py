@@ -555,4 +555,19 @@ def test_first_windows_whatever_the_hash(k):
     want = [own.index(x) == i for i, x in enumerate(own)]
     for bits in (1, 4, 64):
         x = np.array([hash(w) % 2**bits for w in own], np.uint64)
-        assert firsts(np.zeros(n, np.uint64), lambda x=x: x, symbols, k).tolist() == want
+        assert firsts(np.zeros(n, np.uint64), lambda x=x: x, lambda: symbols, k).tolist() == want
+
+
+def test_word_hashes_are_those_of_the_words():
+    import numpy as np
+
+    from varloom.llm._common import word_bounds, word_hashes
+
+    rng = random.Random(9)
+    words = [bytes(rng.choice(b"abc\x00\xc3") for _ in range(rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 300]))) for _ in range(3000)]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    starts, ends, _ = word_bounds(data, np.zeros(1, np.int64))
+    h = word_hashes(data, starts, ends).tolist()
+    seen: dict = {}
+    assert all(seen.setdefault(w, x) == x for w, x in zip(words, h, strict=True)) and len(set(h)) == len(set(words))
+    assert len({w: 1 for w in words}) < len(words)

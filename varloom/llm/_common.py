@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 #: Odd multiplier of the polynomial hashes, taken modulo 2**64.
 BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(BASE, -1, 1 << 64)
-#: Of the hashes of words.
-SEED = 0x5DEECE66D
+#: Of the hashes of words, and bytes beyond which a word is hashed by itself.
+SEED, LONG = 0x5DEECE66D, 64
 #: Bytes that numpy works on at a time.
 CHUNK = 1 << 20
 
@@ -127,11 +127,43 @@ def chunks(off: np.ndarray, most: int = CHUNK):
         i = j
 
 
-def numbered_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words [^\\x20\\x09-\\x0D]+ of an Arrow array of strings: the number of each among the array's different words (equal words, equal
-    numbers, and no others), a 64-bit hash of each word, and the first word of each text, with the number of words at the end."""
-    words, first = split_words(texts)
-    return *number_and_hash(words), first
+def is_space(b: np.ndarray) -> np.ndarray:
+    """The bytes of [\\x20\\x09-\\x0D]."""
+    return (b == 32) | ((b >= 9) & (b <= 13))
+
+
+def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word of [^\\x20\\x09-\\x0D]+ in data, and each document's first word
+    number (one more at the end). off: where documents start in data."""
+    n = len(data)
+    inside = np.zeros(n + 2, bool)
+    inside[1:-1] = ~is_space(data)
+    first = np.zeros(n + 1, bool)
+    first[off] = True
+    starts = np.flatnonzero(inside[1:] & (~inside[:-1] | first))
+    ends = np.flatnonzero(inside[:-1] & (~inside[1:] | first))
+    return starts, ends, np.searchsorted(starts, off)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: eight bytes at a time go through a mixing function, all words at once; long ones by xxhash64."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    n = ends - starts
+    h = mix(n.astype(np.uint64) + np.uint64(SEED))
+    for at in range(0, min(int(n.max(initial=0)), LONG), 8):
+        rows = np.flatnonzero(n > at) if at else slice(None)
+        left = n[rows] - at
+        block = eight[starts[rows] + at] & (np.uint64(2**64 - 1) >> (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64)))
+        h[rows] = mix(h[rows] ^ block) + block
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), SEED)
+    return h
+
+
+def word_numbers(words: list[bytes]) -> np.ndarray:
+    """The number of each word among the different ones: equal words have equal numbers, and no others."""
+    return pa.array(words, pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -141,12 +173,3 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)  # white space at either end leaves empty strings
     size = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
     return flat.filter(pa.array(full)), np.concatenate([[0], np.cumsum(full)])[size]
-
-
-def number_and_hash(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and hashes of words. Each different word is hashed by itself, by xxhash64 with a seed."""
-    coded = words.dictionary_encode()
-    seed = SEED
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    numbers = coded.indices.to_numpy().astype(np.int64)
-    return numbers, hashes[numbers] if len(hashes) else hashes

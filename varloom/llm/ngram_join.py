@@ -29,11 +29,10 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm._common import chunks, keyed, mix, numbered_words, text_buffers, with_id, written
+from varloom.llm._common import chunks, keyed, mix, text_buffers, with_id, word_bounds, word_hashes, written
 from varloom.llm.components import components
 
 #: Groups of a count vector, points of a leaf, nodes of an inner node; sets, and shingles of 8 bytes, in a block of a cell.
@@ -42,8 +41,12 @@ DIMS, LEAF, FAN, MOST_SETS, MOST_SHINGLES = 32, 32, 8, 5000, 2_000_000
 
 def shingle_sets(col, n: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text of an Arrow column."""
-    for i, j in chunks(text_buffers(col)[0]):
-        _, x, first = numbered_words(pc.ascii_lower(col.slice(i, j - i)))
+    off, data = text_buffers(col)
+    for i, j in chunks(off):
+        part = data[off[i] : off[j]]
+        part = np.where((part >= 65) & (part <= 90), part + 32, part).astype(np.uint8)
+        starts, ends, first = word_bounds(part, off[i : j + 1] - off[i])
+        x = word_hashes(part, starts, ends)
         for r in range(j - i):
             s, e = int(first[r]), int(first[r + 1])
             if s == e:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm._common import CHUNK, chunks, keyed, number_and_hash, numbered_words, powers, prefix_sums, slice_hash, sliding, text_buffers
+from varloom.llm._common import CHUNK, chunks, keyed, powers, prefix_sums, slice_hash, sliding, text_buffers, word_bounds, word_hashes, word_numbers
 
 #: Occurrences of an anchor that meet in one group; an exact way takes the anchors with more.
 MOST_ROWS = 20_000
@@ -50,7 +50,7 @@ def _anchors(g: np.ndarray, k: int, m: int, first: np.ndarray | None) -> np.ndar
     return np.flatnonzero(high == g)
 
 
-def firsts(g: np.ndarray, windows: Callable[[], np.ndarray], symbols: np.ndarray, k: int) -> np.ndarray | None:
+def firsts(g: np.ndarray, windows: Callable[[], np.ndarray], symbols: Callable[[], np.ndarray], k: int) -> np.ndarray | None:
     """Which windows of k symbols start first in their text; None where a sample of its m-grams hardly repeats. A window whose hash
     came before is verified on the symbols (bytes, or exact numbers of words) of the first window with that hash."""
     if len(g) < 256:
@@ -58,7 +58,7 @@ def firsts(g: np.ndarray, windows: Callable[[], np.ndarray], symbols: np.ndarray
     sample = g[(g & np.uint64(31)) == 0]
     if len(sample) * 128 >= len(g) and len(np.unique(sample)) >= 0.8 * len(sample):
         return None
-    x = windows()
+    x, symbols = windows(), symbols()
     _, at, which = np.unique(x, return_index=True, return_inverse=True)
     first = at[which]
     again = np.flatnonzero(first != np.arange(len(x)))
@@ -94,22 +94,22 @@ def word_grams(x: np.ndarray, m: int) -> np.ndarray:
 
 def local_spans(text: bytes, k: int, m: int, words: bool) -> list[tuple[int, int]]:
     """Windows that also start earlier in the text, where firsts() leaves them out of the index."""
+    data = np.frombuffer(text, np.uint8)
     out: list[tuple[int, int]] = []
     if words:
-        w = split_words(text)
-        if len(w) < max(k, 255 + m):  # firsts() looks at 256 m-grams or more
+        starts, ends, _ = word_bounds(data, np.zeros(1, np.int64))
+        if len(starts) < max(k, 255 + m):  # firsts() looks at 256 m-grams or more
             return out
-        numbers, x = number_and_hash(pa.array(w, pa.binary()))
-        parts = [(0, word_grams(x, m), lambda: word_grams(x, k), numbers)]
+        x = word_hashes(data, starts, ends)
+        parts = [(0, word_grams(x, m), lambda: word_grams(x, k), lambda: word_numbers(split_words(text)))]
     else:
         parts = []
-        data = np.frombuffer(text, np.uint8)
         for lo in range(0, len(data), CHUNK):
             part = data[lo : lo + CHUNK + k - 1]
             if len(part) >= max(k, 256 + m - 1):
                 c = prefix_sums(part)
                 at = np.arange(len(part) - m + 1)
-                parts.append((lo, slice_hash(c, at, at + m), lambda c=c, n=len(part) - k + 1: slice_hash(c, np.arange(n), np.arange(n) + k), part))
+                parts.append((lo, slice_hash(c, at, at + m), lambda c=c, n=len(part) - k + 1: slice_hash(c, np.arange(n), np.arange(n) + k), lambda part=part: part))
     for lo, g, windows, symbols in parts:
         if (first := firsts(g, windows, symbols, k)) is not None:
             gone = np.flatnonzero(np.diff(np.concatenate([[0], (~first).astype(np.int8), [0]])))
@@ -135,7 +135,7 @@ def byte_anchors(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[
                     s, e = max(int(off[r]), lo) - lo, min(int(off[r + 1]), hi) - lo
                     if e - s >= k:
                         w = np.arange(s, e - k + 1)
-                        p = _anchors(g[s : e - m + 1], k, m, firsts(g[s : e - m + 1], lambda c=c, w=w: slice_hash(c, w, w + k), data[lo + s : lo + e], k)) + s
+                        p = _anchors(g[s : e - m + 1], k, m, firsts(g[s : e - m + 1], lambda c=c, w=w: slice_hash(c, w, w + k), lambda s=lo + s, e=lo + e: data[s:e], k)) + s
                         out.append((g[p], np.full(len(p), r), p + lo - off[r]))
                         held += len(p)
             if held > 100_000 or j == len(off) - 1:
@@ -147,17 +147,20 @@ def byte_anchors(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[
 
 def word_anchors(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        off, data = text_buffers(b.column(2))
         d, h = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-        for i, j in chunks(text_buffers(b.column(2))[0]):
-            numbers, x, first = numbered_words(b.column(2).slice(i, j - i))
-            if not len(x):
+        for i, j in chunks(off):
+            part = data[off[i] : off[j]]
+            starts, ends, first = word_bounds(part, off[i : j + 1] - off[i])
+            if not len(starts):
                 continue
+            x = word_hashes(part, starts, ends)
             g = word_grams(x, m)
             out = []
             for r in range(i, j):
                 s, e = int(first[r - i]), int(first[r - i + 1])
                 if e - s >= k:
-                    p = _anchors(g[s : e - m + 1], k, m, firsts(g[s : e - m + 1], lambda s=s, e=e: word_grams(x[s:e], k), numbers[s:e], k))
+                    p = _anchors(g[s : e - m + 1], k, m, firsts(g[s : e - m + 1], lambda s=s, e=e: word_grams(x[s:e], k), lambda r=r: word_numbers(split_words(data[off[r] : off[r + 1]].tobytes())), k))
                     out.append((g[p + s], np.full(len(p), r), p))
             if out:
                 a, r, p = (np.concatenate(v) for v in zip(*out, strict=True))
