@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -190,6 +191,63 @@ def property_filter(rules: dict[str, str], any_of: bool = False) -> Column:
     return F.lit(True) if out is None else out
 
 
+def compound_filter(filters: dict[str, dict[str, str]], rule: str | None = None) -> Column:
+    """Named sets of predicates, put together by a rule of names, !, &, | and brackets (! binds before &, & before |; double quotes
+    around it don't count). Without a rule a read passes if any of the sets does."""
+    sets = {name: property_filter(f) for name, f in filters.items()}
+    text = (rule or " | ".join(sets)).strip().strip('"')
+    tokens = re.findall(r"[!&|()]|[^\s!&|()]+", text)
+    at = 0
+
+    def peek() -> str:
+        return tokens[at] if at < len(tokens) else ""
+
+    def take() -> str:
+        nonlocal at
+        at += 1
+        return tokens[at - 1] if at <= len(tokens) else ""
+
+    def operand() -> Column:
+        t = take()
+        if t == "!":
+            return ~operand()
+        if t == "(":
+            inner = either()
+            if take() != ")":
+                raise ValueError(f"brackets don't match: {rule}")
+            return inner
+        if t not in sets:
+            raise ValueError(f"no filter of that name: {t or 'end of rule'}")
+        return sets[t]
+
+    def both() -> Column:
+        c = operand()
+        while peek() == "&":
+            take()
+            c = c & operand()
+        return c
+
+    def either() -> Column:
+        c = both()
+        while peek() == "|":
+            take()
+            c = c | both()
+        return c
+
+    out = either()
+    if at != len(tokens):
+        raise ValueError(f"not a rule: {rule}")
+    return out
+
+
+def filter_script(text: str) -> Column:
+    """The filter of a JSON script: {"filters": [{"id": name, property: value, ...}, ...], "rule": ...}, or one set of predicates."""
+    script = json.loads(text)
+    if "filters" not in script:
+        return property_filter(script)
+    return compound_filter({str(f.get("id", i)): {k: v for k, v in f.items() if k != "id"} for i, f in enumerate(script["filters"])}, script.get("rule"))
+
+
 def bed_line(df: DataFrame) -> DataFrame:
     """BED text (0-based, half open)."""
     return df.select(F.concat_ws("\t", "ref", F.col("pos") - 1, alignment_end(F.col("pos"), F.col("cigar")), "name", "mapq", F.when(flag("reverse"), "-").otherwise("+")).alias("value"))

@@ -11,7 +11,7 @@ from varloom.functions import scalars as S
 from varloom.operators import align, genotype, intervals, qc, reads, realign, recalibrate, support, variants
 from varloom.plans import files
 from varloom.plans.views import BASES, LETTERS, lengths, sql, table, view
-from varloom.sources import readers, writers
+from varloom.sources import places, readers, writers
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -852,6 +852,53 @@ def _(spark, d):
     return r.select("name", "flag", "ref", "pos", "mapq", "mate_ref", "mate_pos", "insert_size", F.col("tags")["RG"].alias("rg"), F.col("tags")["AS"].alias("score"), reads.alignment_end(F.col("pos"), F.col("cigar")).cast("long").alias("last"))
 
 
+_SEQUENCES = """s AS (SELECT doc_id, translate(regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z]', 'N', 'g'), 'BDEFHIJKLMOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTA') AS seq FROM documents WHERE length(text) > 0)"""
+
+
+@_query("S24_fetch", f"""WITH {_SEQUENCES}, r AS (SELECT s.*, 1 + (doc_id * 37 + 11 * k) % length(seq) AS a, CASE k WHEN 0 THEN 1 WHEN 1 THEN 90 ELSE 1500 END AS n FROM s, (VALUES (0), (1), (2)) v(k))
+SELECT 'd' || doc_id AS id, CAST(a AS BIGINT) AS start, CAST(a + n - 1 AS BIGINT) AS "end", substr(seq, CAST(a AS BIGINT), n) AS seq FROM r""")
+def _(spark, d):
+    """Three regions of each record of a FASTA file, one of them longer than a piece."""
+    docs = table(spark, d, "documents")
+    path = files.as_file(files.fasta_of(docs), "fasta")
+    sizes = F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in enumerate((1, 90, 1500))]))
+    regions = docs.where("length(text) > 0").select("doc_id", F.length("text").alias("len"), sizes).select(F.concat(F.lit("d"), "doc_id").alias("id"), (1 + (F.col("doc_id") * 37 + 11 * F.col("k")) % F.col("len")).alias("start"), "n")
+    regions = regions.select("id", "start", (F.col("start") + F.col("n") - 1).alias("end"))
+    return readers.fetch(regions, places.fasta_pieces(spark, path, 1000, 100), 1000, 100)
+
+
+@_query("S05_fasta_lengths", f"WITH {_SEQUENCES} SELECT 'd' || doc_id AS id, CAST(length(seq) AS BIGINT) AS len, CAST(length(regexp_replace(seq, '[^Nn]', '', 'g')) AS BIGINT) AS n_len FROM s")
+def _(spark, d):
+    return places.fasta_lengths(spark, files.as_file(files.fasta_of(table(spark, d, "documents")), "fasta")).drop("fa")
+
+
+@_query("S22_merged", f"""WITH r AS ({_READS}), f AS (SELECT *, CAST(name_no % 3 AS INT) AS file_no FROM r)
+SELECT 'r' || name_no AS name, flag, ref, pos, mapq, rg, row_number() OVER (ORDER BY CAST(ref AS INT), pos, file_no, name_no, flag, mapq, insert_size, mate_ref, mate_pos, rg) - 1 AS merged_no FROM f""")
+def _(spark, d):
+    """Three sorted files of reads as one, in the order of a merge."""
+    r = _reads(spark, d)
+    order = [F.col("ref").cast("int"), *map(F.col, ("pos", "name_no", "flag", "mapq", "insert_size", "mate_ref", "mate_pos", "rg"))]
+    parts = [files.as_file(files.sam_of(r.where(F.col("name_no") % 3 == n).orderBy(*order)), "sam") for n in range(3)]
+    rows = readers.read_sam(spark, parts).withColumn("ref_no", F.col("ref").cast("int"))
+    out = places.merged_order(rows, ["ref_no", "pos", "line_no"])
+    return out.select("name", "flag", "ref", "pos", "mapq", F.col("tags")["RG"].alias("rg"), "merged_no")
+
+
+@_query("J11_line_numbers", """WITH a AS (SELECT 'r' || event_id AS v, event_id FROM events WHERE event_id % 5 = 0), b AS (SELECT 'o' || o_orderkey AS v, o_orderkey FROM orders)
+SELECT row_number() OVER (ORDER BY event_id) AS line_no, v AS value FROM a UNION ALL SELECT (SELECT count(*) FROM a) + row_number() OVER (ORDER BY o_orderkey), v FROM b""")
+def _(spark, d):
+    a = table(spark, d, "events").where("event_id % 5 = 0").orderBy("event_id").select(F.concat(F.lit("r"), "event_id").alias("value"))
+    b = table(spark, d, "orders").orderBy("o_orderkey").select(F.concat(F.lit("o"), "o_orderkey").alias("value"))
+    return places.numbered(spark, [files.as_file(a, "lines"), files.as_file(b, "lines")])
+
+
+@_query("P49_compound_filter", f"""WITH r AS ({_READS}) SELECT ref, count(*) AS n FROM r WHERE NOT (mapq >= 30 AND {_BIT(1)} OR NOT (ref = '7' AND NOT {_BIT(1024)})) OR insert_size < -50 AND NOT mapq < 20 GROUP BY ref""")
+def _(spark, d):
+    script = """{"filters": [{"id": "good", "mapQuality": ">=30"}, {"id": "pair", "isPaired": "true"}, {"id": "seven", "reference": "7"}, {"id": "dup", "isDuplicate": "true"},
+      {"id": "short", "insertSize": "<-50"}, {"id": "low", "mapQuality": "<20"}], "rule": "!(good & pair | !(seven & !dup)) | short & !low"}"""
+    return _reads(spark, d).where(reads.filter_script(script)).groupBy("ref").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Scalar functions over arrays, predicates of three alignments, validation of order.
 _FLOATS = "WITH g AS (SELECT o_custkey AS k, list(o_totalprice / 1000 ORDER BY o_orderkey) AS v FROM orders GROUP BY o_custkey)"
 

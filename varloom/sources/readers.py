@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions.scalars import flip
 from varloom.operators.reads import parse_cigar
+from varloom.sources.places import numbered
 
 Paths = str | list[str]
 
@@ -58,10 +59,14 @@ def missing_ids(df: DataFrame, sequences: DataFrame, key: str) -> DataFrame:
 
 
 def sequence_chunks(sequences: DataFrame, size: int = 10_000, overlap: int = 600) -> DataFrame:
-    """Long sequences as overlapping pieces (id, chunk, start, seq), so that a fetch joins pieces, not whole chromosomes."""
-    parts = F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / size).cast("int"))
-    rows = sequences.where("length(seq) > 0").select("id", "seq", F.explode(parts).alias("chunk"))
-    return rows.select("id", "chunk", (F.col("chunk") * size + 1).alias("start"), F.substring("seq", F.col("chunk") * size + 1, F.lit(size + overlap)).alias("seq"))
+    """Sequences of a table as overlapping pieces (id, chunk, start, seq), so that a fetch joins pieces, not whole sequences; those of a
+    file are read as pieces by places.fasta_pieces."""
+    # cut by bytes, which are bound to x once; characters would be counted from the start for each piece
+    chunks = F.sequence(F.lit(0), F.floor((F.octet_length("seq") - 1) / size).cast("int"))
+    piece = lambda x, k: F.substring(x, k * size + 1, F.lit(size + overlap)).cast("string")
+    cut = F.flatten(F.transform(F.array(F.col("seq").cast("binary")), lambda x: F.transform(chunks, lambda k: F.struct(k.alias("chunk"), (k * size + 1).alias("start"), piece(x, k).alias("seq")))))
+    rows = _valid(sequences.where("seq != ''"), F.octet_length("seq") == F.length("seq"), "a sequence has letters outside ASCII")
+    return rows.select("id", F.inline(cut))
 
 
 def fetch(regions: DataFrame, chunks: DataFrame, size: int = 10_000, overlap: int = 600) -> DataFrame:
@@ -83,15 +88,10 @@ def fetch(regions: DataFrame, chunks: DataFrame, size: int = 10_000, overlap: in
     return short.select(*regions.columns, "seq").where("seq != ''").unionByName(long.select(*regions.columns, "seq").where("seq != ''"))
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """Line numbers that follow the order of the file: files are read whole blocks at a time, ids rise with them."""
-    return df.withColumn("line_no", F.monotonically_increasing_id())
-
-
 def read_vcf(spark: SparkSession, paths: Paths, chrom: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(sites, genotypes). Samples come from the #CHROM line, one row that goes to the driver; fields that a
     sample leaves out at the end are missing keys. chrom: one sequence only."""
-    text = _numbered(spark.read.text(paths))
+    text = numbered(spark, paths)
     names = text.where("value like '#CHROM%'").limit(1).collect()
     samples = names[0].value.split("\t")[9:] if names else []
     rows = text.where("value not like '#%' and value != ''").select("line_no", F.split("value", "[\t ]+").alias("c"))
@@ -127,7 +127,7 @@ def format_vcf(sites: DataFrame, genotypes: DataFrame, samples: list[str]) -> Da
 
 def read_sam(spark: SparkSession, paths: Paths) -> DataFrame:
     """Reads of SAM text; several files are one table."""
-    rows = _numbered(spark.read.text(paths)).where("value not like '@%' and value != ''").select("line_no", F.split("value", "\t").alias("c"))
+    rows = numbered(spark, paths).where("value not like '@%' and value != ''").select("line_no", F.split("value", "\t").alias("c"))
     at = lambda i: F.get("c", i)
     tags = F.map_from_entries(F.transform(F.slice("c", F.lit(12), F.greatest(F.lit(0), F.size("c") - 11)), lambda x: F.struct(F.substring(x, 1, 2).alias("key"), F.substring(x, 6, 1 << 30).alias("value"))))
     return rows.select(
@@ -140,7 +140,7 @@ def read_sam(spark: SparkSession, paths: Paths) -> DataFrame:
 def read_sam_header(spark: SparkSession, paths: Paths) -> DataFrame:
     """Header lines of SAM text (kind, value), those of several files merged: each line once, in the order in which they
     are first met; of @HD the first one only."""
-    lines = _numbered(spark.read.text(paths)).where("value rlike '^@[A-Z][A-Z](\t|$)'").select("line_no", "value", F.substring("value", 2, 2).alias("kind"))
+    lines = numbered(spark, paths).where("value rlike '^@[A-Z][A-Z](\t|$)'").select("line_no", "value", F.substring("value", 2, 2).alias("kind"))
     key = F.when(F.col("kind") == "HD", F.lit("")).otherwise(F.col("value"))
     rank = F.array_position(F.array(*map(F.lit, ("HD", "SQ", "RG", "PG", "CO"))), F.col("kind"))
     first = lines.groupBy("kind", key.alias("_k")).agg(F.min(F.struct("line_no", "value")).alias("f"))
