@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varloom.functions import scalars as S
-from varloom.operators import align, genotype, intervals, qc, reads, realign, recalibrate, support, variants
+from varloom.operators import align, genotype, intervals, pileup, qc, reads, realign, recalibrate, support, variants
 from varloom.plans import files
 from varloom.plans.views import BASES, LETTERS, lengths, sql, table, view
 from varloom.sources import places, readers, writers
@@ -899,6 +899,41 @@ def _(spark, d):
     return _reads(spark, d).where(reads.filter_script(script)).groupBy("ref").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Reads of 12 bases over the documents' records: four match, one inserted, two match, two deleted, three match and two clipped.
+_PILE_READS = f"""{_SEQUENCES}, n AS (SELECT *, length(seq) AS len FROM s WHERE length(seq) >= 60),
+r AS (SELECT doc_id, seq, len, k, 1 + (doc_id * 31 + 7 * k) % (len - 20) AS pos, (doc_id + k) % 3 = 0 AS rev, CAST(20 + (doc_id + k) % 40 AS INT) AS mapq FROM n, range(8) t(k))"""
+
+
+def _pile_reads(spark, d):
+    """The reads and the pieces of their sequences."""
+    docs = table(spark, d, "documents")
+    path = files.as_file(files.fasta_of(docs), "fasta")
+    n = docs.where("length(text) >= 60").select("doc_id", F.length("text").alias("len"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    rev = (F.col("doc_id") + F.col("k")) % 3 == 0
+    rows = n.select(
+        (F.col("doc_id") * 8 + F.col("k")).alias("line_no"), F.concat(F.lit("d"), "doc_id").alias("ref"), (1 + (F.col("doc_id") * 31 + 7 * F.col("k")) % (F.col("len") - 20)).cast("long").alias("pos"),
+        F.when(rev, 16).otherwise(0).alias("flag"), (20 + (F.col("doc_id") + F.col("k")) % 40).cast("int").alias("mapq"), reads.parse_cigar(F.lit("4M1I2M2D3M2S")).alias("cigar"),
+        F.lit("ACGTTACGTACG").alias("seq"), F.lit("ABCDEFGHIJKL").alias("qual"),
+    )
+    return rows, places.fasta_pieces(spark, path, 1000, 100)
+
+
+@_query("K13_pileup", f"""WITH {_PILE_READS}, o(i, b, q, kind) AS (VALUES (0, 'A', 'A', 'begin'), (1, 'C', 'B', ''), (2, 'G', 'C', ''), (3, 'T', 'D', 'ins'), (4, 'A', 'F', ''), (5, 'C', 'G', 'del'), (6, '', 'H', 'gone'), (7, '', 'I', 'gone'), (8, 'G', 'H', ''), (9, 'T', 'I', ''), (10, 'A', 'J', 'end')),
+p AS (SELECT doc_id, k, pos + i AS pos, q, rev, mapq, kind, upper(substr(seq, CAST(pos + i AS BIGINT), 1)) AS base, upper(substr(seq, CAST(pos + i + 1 AS BIGINT), 2)) AS gone,
+CASE WHEN kind = 'gone' THEN '*' WHEN b = upper(substr(seq, CAST(pos + i AS BIGINT), 1)) THEN CASE WHEN rev THEN ',' ELSE '.' END WHEN rev THEN lower(b) ELSE b END AS own FROM r, o),
+t AS (SELECT *, CASE WHEN kind = 'begin' THEN '^' || chr(mapq + 33) ELSE '' END || own || CASE kind WHEN 'ins' THEN '+1' || CASE WHEN rev THEN 't' ELSE 'T' END WHEN 'del' THEN '-2' || CASE WHEN rev THEN lower(gone) ELSE gone END WHEN 'end' THEN '$' ELSE '' END AS txt, row_number() OVER (PARTITION BY doc_id ORDER BY r0, k) AS ord
+FROM (SELECT p.*, p.pos - o.i AS r0 FROM p JOIN o ON o.q = p.q AND o.kind = p.kind))
+SELECT 'd' || doc_id || chr(9) || pos || chr(9) || min(base) || chr(9) || count(*) || chr(9) || string_agg(txt, '' ORDER BY r0, k) || chr(9) || string_agg(q, '' ORDER BY r0, k) || chr(9) || string_agg(chr(mapq + 33), '' ORDER BY r0, k) AS value FROM t GROUP BY doc_id, pos""")
+def _(spark, d):
+    rows, pieces = _pile_reads(spark, d)
+    return pileup.pileup_lines(pileup.pileup(rows, pieces, 1000, 100), mapqs=True).select("value")
+
+
+@_query("A34_pileup_depth", f"""WITH {_PILE_READS}, p AS (SELECT 'd' || doc_id AS ref, unnest(range(CAST(pos AS BIGINT), CAST(pos + 11 AS BIGINT))) AS pos FROM r) SELECT ref, pos, count(*) AS depth FROM p GROUP BY ref, pos""")
+def _(spark, d):
+    return pileup.pileup(_pile_reads(spark, d)[0]).select("ref", "pos", "depth")
+
+
 # Scalar functions over arrays, predicates of three alignments, validation of order.
 _FLOATS = "WITH g AS (SELECT o_custkey AS k, list(o_totalprice / 1000 ORDER BY o_orderkey) AS v FROM orders GROUP BY o_custkey)"
 
