@@ -50,7 +50,7 @@ def _stretches(cigar: list[dict]) -> Iterator[tuple[str, int, int, int, bool, bo
         begins = op in BREAKS
 
 
-def expand(read: dict, lo: int, hi: int) -> tuple[int, list[str], str] | list:
+def expand(read: dict, lo: int, hi: int) -> list[tuple[int, list[str], str]]:
     """[(first position, texts, qualities)] of a read's stretches between two positions. read: pos, cigar, seq, qual, mapq, reverse and ref_seq, the
     bases of the reference from pos on (or less)."""
     seq, qual, against, out = read["seq"] or "", read["qual"] or "", (read["ref_seq"] or "").upper(), []
@@ -107,7 +107,7 @@ class _Open:
         cut = len(pos) if upto is None else int(np.searchsorted(pos[order], upto))
         edges = np.flatnonzero(np.diff(pos[order[:cut]], prepend=-1)).tolist()
         own = order.tolist()
-        for s, e in zip(edges, [*edges[1:], cut], strict=True):
+        for s, e in zip(edges, [*edges[1:], cut][: len(edges)], strict=True):
             i = own[s:e]
             yield ref, int(pos[i[0]]), self.base[i[0]], e - s, "".join([self.text[k] for k in i]), "".join([self.qual[k] for k in i]), "".join([self.mapq[k] for k in i])
         rest = np.sort(order[cut:])  # as they came

@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.plans.views import LETTERS
 from varloom.sources import readers
+from varloom.sources.shared import new_path
 
 
 def as_file(df: DataFrame, name: str) -> str:
-    """A text file of the rows' value, in spark.checkpoint.dir; in a local session without one in a folder of its own."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not re.match(r"local(\[[^\]-]*\])?$", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="varloom-", dir="/tmp")
-    path = f"{shared}/{name}-{uuid.uuid4().hex}"
+    """A text file of the rows' value, in the shared folder."""
+    path = new_path(df.sparkSession, name)
     df.select("value").write.text(path)
     return path
 

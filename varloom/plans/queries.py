@@ -11,7 +11,8 @@ from varloom.functions import scalars as S
 from varloom.operators import align, genotype, intervals, pileup, qc, reads, realign, recalibrate, support, variants
 from varloom.plans import files
 from varloom.plans.views import BASES, LETTERS, lengths, sql, table, view
-from varloom.sources import places, readers, writers
+from varloom.sources import bam, places, readers, regions, writers
+from varloom.sources.shared import new_path
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -899,6 +900,38 @@ def _(spark, d):
     return _reads(spark, d).where(reads.filter_script(script)).groupBy("ref").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_query("S16_bam_read_back", f"""WITH r AS ({_READS}) SELECT 'r' || name_no AS name, flag, ref, pos, mapq, mate_ref, mate_pos, insert_size, rg, CAST(mapq AS VARCHAR) AS score, pos + 8 AS last FROM r""")
+def _(spark, d):
+    """The reads as BAM files, written by tasks and read in splits."""
+    r = _reads(spark, d)
+    rows = r.select(
+        F.concat(F.lit("r"), "name_no").alias("name"), "flag", "ref", "pos", "mapq", reads.parse_cigar(F.lit("4M1I5M")).alias("cigar"), "mate_ref", "mate_pos", "insert_size", F.lit("ACGTACGTAC").alias("seq"),
+        F.lit("IIIIIIIIII").alias("qual"), F.create_map(F.lit("RG"), "rg", F.lit("AS"), F.col("mapq").cast("string")).alias("tags"),
+    )
+    path = new_path(spark, "bam")
+    bam.write_bam(rows, path, [(str(i), 10_000) for i in range(20)], block_bytes=16_384)
+    b = bam.read_bam(spark, path, 1 << 15)
+    return b.select("name", "flag", "ref", "pos", "mapq", "mate_ref", "mate_pos", "insert_size", F.col("tags")["RG"].alias("rg"), F.col("tags")["AS"].alias("score"), reads.alignment_end(F.col("pos"), F.col("cigar")).cast("long").alias("last"))
+
+
+@_query("S23_indexed_regions", """, w AS (SELECT t_id, t_start * 997 AS s, t_end * 997 + CASE WHEN line_no = 1 THEN 9000000 ELSE 0 END AS e, q_id, line_no FROM intervals)
+SELECT * FROM w WHERE (t_id = 3 AND s <= 8600000 AND e >= 8500000) OR (t_id = 7 AND s <= 17000000 AND e >= 16777000) OR t_id = 5""", "intervals")
+def _(spark, d):
+    """Three regions of a table that is clustered by bins; of the others no file is opened."""
+    v = view(spark, d, "intervals").select("t_id", (F.col("t_start") * 997).alias("s"), (F.col("t_end") * 997 + F.when(F.col("line_no") == 1, 9_000_000).otherwise(0)).alias("e"), "q_id", "line_no")
+    path = new_path(spark, "regions")
+    regions.write_regions(v, path, "t_id", "s", "e")
+    return regions.read_regions(spark, path, ["3:8,500,000-8,600,000", "7:16,777,000-17,000,000", "5"], "t_id", "s", "e").select("t_id", "s", "e", "q_id", "line_no")
+
+
+@_query("A33_indexed_count", """, w AS (SELECT t_id, t_start * 997 AS s, t_end * 997 + CASE WHEN line_no = 1 THEN 9000000 ELSE 0 END AS e FROM intervals) SELECT count(*) AS n FROM w WHERE t_id = 3 AND s <= 10000000 AND e >= 8500000""", "intervals")
+def _(spark, d):
+    v = view(spark, d, "intervals").select("t_id", (F.col("t_start") * 997).alias("s"), (F.col("t_end") * 997 + F.when(F.col("line_no") == 1, 9_000_000).otherwise(0)).alias("e"))
+    path = new_path(spark, "regions")
+    regions.write_regions(v, path, "t_id", "s", "e")
+    return regions.count_region(spark, path, "3:8,500,000-10,000,000", "t_id", "s", "e")
+
+
 # Reads of 12 bases over the documents' records: four match, one inserted, two match, two deleted, three match and two clipped.
 _PILE_READS = f"""{_SEQUENCES}, n AS (SELECT *, length(seq) AS len FROM s WHERE length(seq) >= 60),
 r AS (SELECT doc_id, seq, len, k, 1 + (doc_id * 31 + 7 * k) % (len - 20) AS pos, (doc_id + k) % 3 = 0 AS rev, CAST(20 + (doc_id + k) % 40 AS INT) AS mapq FROM n, range(8) t(k))"""
