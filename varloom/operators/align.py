@@ -46,51 +46,50 @@ def codes(strings: list[str]) -> np.ndarray:
     return _CODE[np.frombuffer("".join(strings).encode("ascii", "replace"), np.uint8)].reshape(len(strings), -1)
 
 
-def matrices(x: np.ndarray, y: np.ndarray, sc: Scores) -> tuple[np.ndarray, np.ndarray]:
-    """Per pair (rows of codes) the local alignment scores F[i, j] of what ends at a[:i], b[:j], and the way
-    back (0 stop, 1 diagonal, 2 up, 3 left). By row; gaps along the row by a running maximum."""
+def tables(x: np.ndarray, y: np.ndarray, sc: Scores) -> np.ndarray:
+    """Per pair (rows of codes) the local alignment scores F[i, j] of what ends at a[:i], b[:j]. A row of all tables at a
+    time; gaps along the row by a running maximum. The way back is read off the scores."""
     (pairs, n), m = x.shape, y.shape[1]
     score = np.zeros((pairs, n + 1, m + 1), np.int32)
-    back = np.zeros((pairs, n + 1, m + 1), np.int8)
+    against = np.stack([np.where((c > 0) & (y > 0), np.where(y == c, sc.match, sc.mismatch), 0) for c in range(5)]).astype(np.int32)
+    number, steps = np.arange(pairs), np.arange(m, dtype=np.int32) * sc.extend
     up = np.full((pairs, m + 1), -(10**8), np.int32)
-    steps = np.arange(m + 1, dtype=np.int32) * sc.extend
-    best = np.zeros((pairs, m + 1), np.int32)
-    left = np.full((pairs, m + 1), -(10**8), np.int32)
+    best, opened, left = np.zeros_like(up), np.empty_like(up), np.empty((pairs, m), np.int32)
     for i in range(1, n + 1):
-        c = x[:, i - 1, None]
-        diag = score[:, i - 1, :-1] + np.where((c > 0) & (y > 0), np.where(y == c, sc.match, sc.mismatch), 0)
-        up = np.maximum(up + sc.extend, score[:, i - 1] + sc.gap)
-        best[:, 1:] = np.maximum(np.maximum(diag, up[:, 1:]), 0)
-        left[:, 1:] = np.maximum.accumulate(best[:, :-1] - steps[:-1], 1) + steps[:-1] + sc.gap
-        full = np.maximum(best, left)
-        full[:, 0] = 0
-        score[:, i] = full
-        way = np.where(up == full, 2, 3)
-        way[:, 1:][diag == full[:, 1:]] = 1
-        way[full <= 0] = 0
-        back[:, i] = way
-    return score, back
-
-
-def matrix(a: str, b: str, sc: Scores) -> tuple[np.ndarray, np.ndarray]:
-    """matrices() of one pair."""
-    score, back = matrices(codes([a]), codes([b]), sc)
-    return score[0], back[0]
-
-
-def trace(score: np.ndarray, back: np.ndarray, i: int, j: int, sc: Scores) -> list[tuple[int, int]]:
-    """Aligned columns (1-based positions, 0 for a gap) that end at i, j, from left to right."""
+        before = score[:, i - 1]
+        up += sc.extend
+        np.add(before, sc.gap, out=opened)
+        np.maximum(up, opened, out=up)
+        np.add(before[:, :-1], against[x[:, i - 1], number], out=best[:, 1:])
+        np.maximum(best, up, out=best)
+        np.maximum(best, 0, out=best)
+        best[:, 0] = 0
+        np.subtract(best[:, :-1], steps, out=left)
+        np.maximum.accumulate(left, 1, out=left)
+        left += steps
+        left += sc.gap
+        np.maximum(best[:, 1:], left, out=score[:, i, 1:])
+    return score
+
+
+def trace(score: np.ndarray, x: np.ndarray, y: np.ndarray, i: int, j: int, sc: Scores) -> list[tuple[int, int]]:
+    """Aligned columns (1-based positions, 0 for a gap) that end at i, j, from left to right; a column before a gap up (in b),
+    that before one to the left. x, y: the pair's codes."""
     out = []
-    while i and j and score[i, j] > 0:
-        if back[i, j] == 1:
+    a, b = x.tolist(), y.tolist()
+    while i and j and (here := int(score[i, j])) > 0:
+        c, d = a[i - 1], b[j - 1]
+        if score[i - 1, j - 1] + ((sc.match if c == d else sc.mismatch) if c and d else 0) == here:
             out.append((i, j))
             i, j = i - 1, j - 1
-        elif back[i, j] == 2:
-            k = next(k for k in range(1, i + 1) if score[i - k, j] + sc.gap + (k - 1) * sc.extend == score[i, j])
+            continue
+        ups = np.flatnonzero(score[:i, j][::-1] + (sc.gap + np.arange(i) * sc.extend) == here)
+        if len(ups):
+            k = int(ups[0]) + 1
             out += [(i - q, 0) for q in range(k)]
             i -= k
         else:
-            k = next(k for k in range(1, j + 1) if score[i, j - k] + sc.gap + (k - 1) * sc.extend == score[i, j])
+            k = int(np.flatnonzero(score[i, :j][::-1] + (sc.gap + np.arange(j) * sc.extend) == here)[0]) + 1
             out += [(0, j - q) for q in range(k)]
             j -= k
     return out[::-1]
@@ -98,7 +97,47 @@ def trace(score: np.ndarray, back: np.ndarray, i: int, j: int, sc: Scores) -> li
 
 def _best_prefix(f: np.ndarray) -> np.ndarray:
     """The best score at or before each cell, per pair."""
-    return np.maximum.accumulate(np.maximum.accumulate(f, 1), 2)
+    out = np.maximum.accumulate(f, 1)
+    return np.maximum.accumulate(out, 2, out=out)
+
+
+#: Breakpoints looked for from either side.
+MOST_BREAKPOINTS = 50
+
+
+def alternatives(f: np.ndarray, r: np.ndarray, most: int = MOST_BREAKPOINTS) -> list[tuple[int, int, int, int]]:
+    """The joins of the best score, as the left fragment's last places and the right one's first, of a and b: up to so many by left ends
+    from the start on, then as many by right starts from the end on. A join whose two sides are as far apart as those of an earlier one is
+    that one moved along a homology, and dropped. r: scores of the sequences read backwards."""
+    n, m = f.shape[0] - 1, f.shape[1] - 1
+    out: list[tuple[int, int, int, int]] = []
+    moves: set[tuple[int, int]] = set()
+
+    def search(one: np.ndarray, other: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Where `one` ends, and how many last places of a and b the part of `other` takes; ends are cells that raise the best score so far."""
+        top = _best_prefix(one[None])[0]
+        total = top + _best_prefix(other[None])[0][::-1, ::-1]
+        if total.max() > 0:
+            ends = (total == total.max()) & (one == top)
+            ends[1:] &= one[1:] > top[:-1]
+            ends[:, 1:] &= one[:, 1:] > top[:, :-1]
+            for j, i in np.argwhere(ends.T).tolist():  # along a, then b
+                yield i, j, *_where(other, n - i, m - j)
+
+    def add(joins: Iterator[tuple[int, int, int, int]]) -> None:
+        added = 0
+        for i, j, k, q in joins:
+            i, j = (0, 0) if 0 in (i, j) else (i, j)
+            k, q = (n + 1, m + 1) if k == n + 1 or q == m + 1 else (k, q)
+            if (move := (k - i, q - j)) not in moves:
+                moves.add(move)
+                out.append((i, j, k, q))
+                if (added := added + 1) == most:
+                    return
+
+    add((i, j, n + 1 - k, m + 1 - q) for i, j, k, q in search(f, r))
+    add((k, q, n + 1 - i, m + 1 - j) for i, j, k, q in search(r, f))
+    return out
 
 
 def _where(f: np.ndarray, i: int, j: int) -> tuple[int, int]:
@@ -172,39 +211,46 @@ def excise(a: str, b: str, sc: Scores) -> dict | None:
     return excised([a], [b], sc)[0]
 
 
-def excised(a: list[str], b: list[str], sc: Scores, both: bool = False) -> list[dict | None]:
+def excised(a: list[str], b: list[str], sc: Scores, both: bool = False, joins: bool = False) -> list[dict | None]:
     """G03 to G09, indel mode, of pairs that all have the same two lengths: the two fragments around one excised region, or
-    None without a common base. both: on both strands of b the better one, the given strand on ties."""
+    None without a common base. both: on both strands of b the better one, the given strand on ties. joins: with all breakpoints of
+    the best score (alternatives)."""
     if not a[0] or not b[0]:
         return [None] * len(a)
     n, m = len(a[0]), len(b[0])
     x = codes(a)
     found: list[tuple | None] = [None] * len(a)
-    for strand in "+-"[: 1 + both]:
-        own = b if strand == "+" else [turned(s) for s in b]
-        y = codes(own)
-        f, fb = matrices(x, y, sc)
-        r, rb = matrices(x[:, ::-1], y[:, ::-1], sc)
-        total = (_best_prefix(f) + _best_prefix(r)[:, ::-1, ::-1]).reshape(len(a), -1)  # prefixes up to (i, j), suffixes after them
-        at = total.argmax(1)
-        best = total[np.arange(len(a)), at]
+    given = {"+": b, "-": [turned(s) for s in b]} if both else {"+": b}
+    y = {strand: codes(own) for strand, own in given.items()}
+    # the tables of both directions and strands go through the recurrence together
+    stacked = tables(np.concatenate([v for _ in y for v in (x, x[:, ::-1])]), np.concatenate([v for z in y.values() for v in (z, z[:, ::-1])]), sc)
+    for at, strand in enumerate(given):
+        f, r = (stacked[(2 * at + k) * len(a) : (2 * at + k + 1) * len(a)] for k in (0, 1))
+        total = _best_prefix(f)
+        total += _best_prefix(r)[:, ::-1, ::-1]  # prefixes up to (i, j), suffixes after them
+        total = total.reshape(len(a), -1)
+        top = total.argmax(1)
+        best = total[np.arange(len(a)), top]
         for k in np.flatnonzero(best):
             if found[k] is None or best[k] > found[k][0]:
-                found[k] = int(best[k]), strand, int(at[k]), own[k], f[k], fb[k], r[k], rb[k]
+                found[k] = int(best[k]), strand, int(top[k]), given[strand][k], f[k], r[k], y[strand][k]
     out: list[dict | None] = []
     for k, one in enumerate(found):
         if one is None:
             out.append(None)
             continue
-        best, strand, at, s, f, fb, r, rb = one
+        best, strand, at, s, f, r, z = one
         i, j = divmod(at, m + 1)
-        left = trace(f, fb, *_where(f, i, j), sc)
-        right = [(n + 1 - p if p else 0, m + 1 - q if q else 0) for p, q in reversed(trace(r, rb, *_where(r, n - i, m - j), sc))]
+        left = trace(f, x[k], z, *_where(f, i, j), sc)
+        right = [(n + 1 - p if p else 0, m + 1 - q if q else 0) for p, q in reversed(trace(r, x[k, ::-1], z[::-1], *_where(r, n - i, m - j), sc))]
         got = report(left, right, a[k], s, best) | {"strand": strand}
         if strand == "-":
             for e in ("left_b_start", "left_b_end", "right_b_start", "right_b_end", "b_start_lo", "b_start_hi", "b_end_lo", "b_end_hi"):
                 if got[e]:
                     got[e] = m + 1 - got[e]
+        if joins:
+            turn = (lambda p: m + 1 - p if 0 < p <= m else p) if strand == "-" else (lambda p: p)
+            got["joins"] = [(i, turn(j), k, turn(q)) for i, j, k, q in alternatives(f, r)]
         out.append(got)
     return out
 
@@ -231,15 +277,15 @@ def excise_turned(a: str, b: str, sc: Scores, mode: str) -> dict | None:
         return None
     found = []
     for first, second in {"tdup": [(a, a)], "inv": [(a, turned(a)), (turned(a), a)], "invl": [(a, turned(a))], "invr": [(turned(a), a)]}[mode]:
-        f, fb = matrix(first, b, sc)
-        r, rb = matrix(second[::-1], b[::-1], sc)
+        x, z, y = (codes([v])[0] for v in (first, second, b))
+        f, r = tables(np.stack([x, z[::-1]]), np.stack([y, y[::-1]]), sc)
         f_best, r_best = np.maximum.accumulate(f.max(0)), np.maximum.accumulate(r.max(0))[::-1]
         total = f_best + r_best
         j = int(total.argmax())
         fj = int(np.flatnonzero(f.max(0)[: j + 1] == f_best[j])[-1])
         rj = int(np.flatnonzero(r.max(0)[: len(b) - j + 1] == r_best[j])[-1])
-        left = trace(f, fb, int(f[:, fj].argmax()), fj, sc)
-        right = [(len(a) + 1 - p if p else 0, len(b) + 1 - q if q else 0) for p, q in reversed(trace(r, rb, int(r[:, rj].argmax()), rj, sc))]
+        left = trace(f, x, y, int(f[:, fj].argmax()), fj, sc)
+        right = [(len(a) + 1 - p if p else 0, len(b) + 1 - q if q else 0) for p, q in reversed(trace(r, z[::-1], y[::-1], int(r[:, rj].argmax()), rj, sc))]
         one = report(left, right, first, b, int(total[j]), False)
         ln, ls, _ = identity(left, first, b)
         rn, rs, _ = identity(right, second, b)
@@ -294,7 +340,7 @@ def _dealt(pairs: DataFrame, most_gb: float, tasks: int | None) -> DataFrame:
 
 
 def gap_excision(pairs: DataFrame, sc: Scores | None = None, mode: str = "indel", both: bool = False, tasks: int | None = None, most_gb: float = 10.0) -> DataFrame:
-    """G01 to G11, of G03 and G04 the first best breakpoint only: pairs (pair_id, a, b) with the fragments found, in indel mode
+    """G01 to G11, with the first best breakpoint (gap_breakpoints has all): pairs (pair_id, a, b) with the fragments found, in indel mode
     also homology and hulls of the breakpoints on either sequence; pairs over the memory guard (P12) have none."""
     sc = sc or Scores()
     kind = dict(pairs.dtypes)["pair_id"]
@@ -315,6 +361,25 @@ def gap_excision(pairs: DataFrame, sc: Scores | None = None, mode: str = "indel"
     return _dealt(pairs, most_gb, tasks).mapInPandas(run, f"pair_id {kind}, {RESULT}")
 
 
+def gap_breakpoints(pairs: DataFrame, sc: Scores | None = None, both: bool = False, tasks: int | None = None, most_gb: float = 10.0) -> DataFrame:
+    """G03, indel mode: all breakpoints of the best score, a row each (n from 0, alternatives() says which): the left fragment's last places
+    in either sequence and the right one's first, on the strand that was given; 0 and one beyond the end where there is no fragment."""
+    sc = sc or Scores()
+    kind = dict(pairs.dtypes)["pair_id"]
+    names = ["left_a", "left_b", "right_a", "right_b"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            a, b = ([x or "" for x in t[c]] for c in "ab")
+            rows = []
+            for own in by_lengths(a, b):
+                for i, r in zip(own, excised([a[i] for i in own], [b[i] for i in own], sc, both, True), strict=True):
+                    rows += [(t["pair_id"].iloc[i], r["strand"], r["score"], n, *join) for n, join in enumerate(r["joins"])] if r else []
+            yield pd.DataFrame(rows, columns=["pair_id", "strand", "score", "n", *names])
+
+    return _dealt(pairs, most_gb, tasks).mapInPandas(run, f"pair_id {kind}, strand string, score int, n int, {', '.join(f'{n} int' for n in names)}")
+
+
 def local_alignment(a: str, b: str, sc: Scores) -> dict:
     """local_alignments() of one pair."""
     return local_alignments([a], [b], sc)[0]
@@ -324,11 +389,11 @@ def local_alignments(a: list[str], b: list[str], sc: Scores) -> list[dict]:
     """G13 of pairs that all have the same two lengths: score, second best elsewhere, begin, end and CIGAR of the best local
     alignment."""
     n, m = len(a[0]), len(b[0])
-    score, back = matrices(codes(a), codes(b), sc)
+    x, y = codes(a), codes(b)
     out = []
-    for f, way in zip(score, back, strict=True):
+    for f, p, q in zip(tables(x, y, sc), x, y, strict=True):
         i, j = divmod(int(f.argmax()), m + 1)
-        cols = trace(f, way, i, j, sc)
+        cols = trace(f, p, q, i, j, sc)
         ops = "".join("M" if p and q else "D" if p else "I" for p, q in cols)
         cigar = "".join(f"{len(list(g))}{o}" for o, g in groupby(ops))
         away = np.abs(np.arange(n + 1) - i) > max(1, m // 2)
