@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,25 +26,68 @@ def drop_double_gaps(df: DataFrame) -> DataFrame:
     return df.withColumns({"t_seq": F.array_join(F.transform("_p", lambda x: x["t"]), ""), "q_seq": F.array_join(F.transform("_p", lambda x: x["q"]), "")}).drop("_p")
 
 
-def walk(df: DataFrame) -> DataFrame:
-    """A row per alignment column: t_pos, q_pos (of the base, or of the base before a gap), t_base, q_base.
-    Positions are counted inside the row's own task: one step per run of bases or of gaps, then a count within the run."""
-    def places(seq: str, start: str) -> Column:
-        runs = F.aggregate(
-            F.regexp_extract_all(F.col(seq), F.lit("-+|[^-]+"), F.lit(0)),
-            F.struct((F.col(start) - 1).cast("long").alias("at"), F.array().cast("array<struct<s:string,at:bigint>>").alias("out")),
-            lambda a, x: F.struct(
-                (a["at"] + F.when(x.startswith("-"), 0).otherwise(F.length(x))).cast("long").alias("at"),
-                F.concat(a["out"], F.array(F.struct(x.alias("s"), a["at"].alias("at")))).alias("out"),
-            ),
-            lambda a: a["out"],
-        )
-        within = lambda r: F.transform(F.split(r["s"], ""), lambda b, i: F.struct(b.alias("b"), (r["at"] + F.when(b == "-", 0).otherwise(i + 1)).cast("long").alias("p")))
-        return F.flatten(F.transform(runs, within))
+#: What columns walk() can be asked for.
+KINDS = ("all", "snps", "same", "n")
 
-    both = F.arrays_zip(places("t_seq", "t_start").alias("t"), places("q_seq", "q_start").alias("q"))
-    keep = [c for c in df.columns if c not in ("t_seq", "q_seq")]
-    return df.select(*keep, F.posexplode(both).alias("col", "x")).select(*keep, "col", F.col("x.t.p").alias("t_pos"), F.col("x.q.p").alias("q_pos"), F.col("x.t.b").alias("t_base"), F.col("x.q.b").alias("q_base"))
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of an Arrow column of strings."""
+    large = pa.types.is_large_string(column.type)
+    off = np.frombuffer(column.buffers()[1], np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return off - off[:1], data[off[0] : off[-1]]
+
+
+def _placed(b: pa.RecordBatch, seq: str, start: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(each row's first column, and the number of columns; bases; the place of each column's base, or of the one before a gap)."""
+    off, data = _bytes(b.column(seq))
+    count = np.concatenate([[0], np.cumsum(data != GAP)])
+    row = np.repeat(np.arange(b.num_rows), np.diff(off))
+    return off, data, b.column(start).to_numpy(zero_copy_only=False).astype(np.int64)[row] - 1 + count[1:] - count[off[:-1]][row]
+
+
+GAP, UNKNOWN, CASE = ord("-"), ord("N"), 0xDF
+
+
+def _letters(data: np.ndarray) -> pa.Array:
+    return pa.StringArray.from_buffers(len(data), pa.py_buffer(np.arange(len(data) + 1, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def _walk(batches: Iterator[pa.RecordBatch], keep: list[str], kind: str) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2000):
+            b = whole.slice(at, 2000)
+            off, t, t_pos = _placed(b, "t_seq", "t_start")
+            q_off, q, q_pos = _placed(b, "q_seq", "q_start")
+            if not np.array_equal(off, q_off):
+                raise ValueError("aligned rows of unequal length")
+            up, uq = t & CASE if kind != "all" else t, q & CASE if kind != "all" else q
+            bases = (t != GAP) & (q != GAP)
+            if kind == "snps":
+                hit = np.flatnonzero(bases & (up != uq) & (up != UNKNOWN) & (uq != UNKNOWN))
+            elif kind == "same":
+                hit = np.flatnonzero(bases & (up == uq) & (up != UNKNOWN))
+            elif kind == "n":
+                hit = np.flatnonzero(bases & ((up == UNKNOWN) | (uq == UNKNOWN)))
+            else:
+                hit = np.arange(len(t))
+            row = np.searchsorted(off, hit, side="right") - 1
+            cols = [b.column(c).take(pa.array(row)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array((hit - off[row]).astype(np.int32)), pa.array(t_pos[hit]), pa.array(q_pos[hit]), _letters(t[hit]), _letters(q[hit])], [*keep, "col", "t_pos", "q_pos", "t_base", "q_base"])
+
+
+def _kept(df: DataFrame, drop: tuple[str, ...]) -> tuple[list[str], str]:
+    keep = [f for f in df.schema.fields if f.name not in drop]
+    return [f.name for f in keep], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
+
+
+def walk(df: DataFrame, kind: str = "all") -> DataFrame:
+    """A row per alignment column: t_pos, q_pos (of the base, or of the base before a gap), t_base, q_base. Places are counted
+    over a batch of alignments at once. kind: all columns, or those of snps(), reference_calls() ('same') or n_calls() ('n') only."""
+    if kind not in KINDS:
+        raise ValueError(f"no kind of columns: {kind}")
+    keep, schema = _kept(df, ("t_seq", "q_seq"))
+    return df.mapInArrow(lambda it: _walk(it, keep, kind), f"{schema}, col int, t_pos long, q_pos long, t_base string, q_base string")
 
 
 def snps(columns: DataFrame) -> DataFrame:
@@ -53,7 +97,23 @@ def snps(columns: DataFrame) -> DataFrame:
 
 
 def _runs(rows: DataFrame) -> DataFrame:
-    return merge_pairs(rows.select("t_id", "q_id", F.col("t_pos").alias("t_start"), F.col("t_pos").alias("t_end"), F.col("q_pos").alias("q_start"), F.col("q_pos").alias("q_end")))
+    """Runs of columns that go on on both sides. Neighbours of one alignment are put together first, on the map side."""
+    at = rows.select("t_id", "q_id", "t_pos", "q_pos")
+    return merge_pairs(at.mapInArrow(_joined, f"t_id {dict(at.dtypes)['t_id']}, q_id {dict(at.dtypes)['q_id']}, t_start long, t_end long, q_start long, q_end long"))
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        t, q = (b.column(c).to_numpy() for c in ("t_pos", "q_pos"))
+        on = np.zeros(len(t), bool)
+        on[1:] = (np.diff(t) == 1) & (np.diff(q) == 1)
+        for c in ("t_id", "q_id"):
+            ids = b.column(c).dictionary_encode().indices.to_numpy()
+            on[1:] &= ids[1:] == ids[:-1]
+        s = np.flatnonzero(~on)
+        e = np.concatenate([s[1:], [len(t)]])[: len(s)] - 1
+        first = pa.array(s)
+        yield pa.RecordBatch.from_arrays([b.column("t_id").take(first), b.column("q_id").take(first), pa.array(t[s]), pa.array(t[e]), pa.array(q[s]), pa.array(q[e])], ["t_id", "q_id", "t_start", "t_end", "q_start", "q_end"])
 
 
 def reference_calls(columns: DataFrame) -> DataFrame:
@@ -70,28 +130,28 @@ def gap_runs(df: DataFrame, gapped: str = "t_seq", other: str = "q_seq", gapped_
     """Maximal runs of - in one row: anchor (the base before, on the gapped side; 0 at its start as the
     scan counts from start - 1), and the first and last position on the other side. Insertions as
     called; deletions with the two sides exchanged (P02). Runs stay inside the task."""
-    pieces = F.regexp_extract_all(F.col(gapped), F.lit("-+|[^-]+"), F.lit(0))
-    struct = "array<struct<anchor:bigint,first:bigint,last:bigint>>"
-    found = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("col"), (F.col(gapped_start) - 1).cast("long").alias("g"), (F.col(other_start) - 1).cast("long").alias("o"), F.array().cast(struct).alias("out")),
-        lambda a, x: _step(a, x, other),
-        lambda a: a["out"],
-    )
-    keep = [c for c in df.columns if c not in (gapped, other)]
-    return df.select(*keep, F.inline(found))
-
-
-def _step(a: Column, x: Column, other: str) -> Column:
-    bases = F.length(F.translate(F.substr(F.col(other), a["col"] + 1, F.length(x)), "-", ""))
-    gap = x.startswith("-")
-    row = F.struct(a["g"].alias("anchor"), (a["o"] + 1).alias("first"), (a["o"] + bases).alias("last"))
-    return F.struct(
-        (a["col"] + F.length(x)).alias("col"),
-        (a["g"] + F.when(gap, 0).otherwise(F.length(x))).cast("long").alias("g"),
-        (a["o"] + bases).cast("long").alias("o"),
-        F.when(gap & (bases > 0), F.concat(a["out"], F.array(row))).otherwise(a["out"]).alias("out"),
-    )
+    keep, schema = _kept(df, (gapped, other))
+    return df.mapInArrow(lambda it: _gap_runs(it, keep, gapped, other, gapped_start, other_start), f"{schema}, anchor long, first long, last long")
+
+
+def _gap_runs(batches: Iterator[pa.RecordBatch], keep: list[str], gapped: str, other: str, gapped_start: str, other_start: str) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        off, g, g_pos = _placed(b, gapped, gapped_start)
+        o_off, o, o_pos = _placed(b, other, other_start)
+        if not np.array_equal(off, o_off):
+            raise ValueError("aligned rows of unequal length")
+        gap = g == GAP
+        new, last = gap.copy(), gap.copy()
+        edge = np.zeros(len(g) + 1, bool)
+        edge[off] = True  # a run ends with its row
+        new[1:] &= ~gap[:-1] | edge[1:-1]
+        last[:-1] &= ~gap[1:] | edge[1:-1]
+        s, e = np.flatnonzero(new), np.flatnonzero(last)
+        before = o_pos[s] - (o[s] != GAP)
+        hit = o_pos[e] > before
+        s, e, before = s[hit], e[hit], before[hit]
+        row = np.searchsorted(off, s, side="right") - 1
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(row)) for c in keep), pa.array(g_pos[s]), pa.array(before + 1), pa.array(o_pos[e])], [*keep, "anchor", "first", "last"])
 
 
 def swap(df: DataFrame) -> DataFrame:

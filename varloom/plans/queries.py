@@ -371,7 +371,7 @@ def _(spark, d):
 
 @_query("P05_snps", _COLS + " SELECT q_id, t_pos, q_pos, t_base, q_base FROM w WHERE t_base NOT IN ('-', 'N') AND q_base NOT IN ('-', 'N') AND t_base <> q_base", "aligned")
 def _(spark, d):
-    return variants.snps(variants.walk(view(spark, d, "aligned"))).select("q_id", "t_pos", "q_pos", "t_base", "q_base")
+    return variants.snps(variants.walk(view(spark, d, "aligned"), "snps")).select("q_id", "t_pos", "q_pos", "t_base", "q_base")
 
 
 def _pair_runs(cond: str) -> str:
@@ -382,12 +382,12 @@ SELECT t_id, q_id, min(t_pos) AS t_start, max(t_pos) AS t_end, min(q_pos) AS q_s
 
 @_query("P06_n_calls", _pair_runs("(t_base = 'N' OR q_base = 'N') AND t_base <> '-' AND q_base <> '-'"), "aligned")
 def _(spark, d):
-    return variants.n_calls(variants.walk(view(spark, d, "aligned")))
+    return variants.n_calls(variants.walk(view(spark, d, "aligned"), "n"))
 
 
 @_query("P07_reference_calls", _pair_runs("t_base = q_base AND t_base NOT IN ('-', 'N')"), "aligned")
 def _(spark, d):
-    return variants.reference_calls(variants.walk(view(spark, d, "aligned")))
+    return variants.reference_calls(variants.walk(view(spark, d, "aligned"), "same"))
 
 
 @_query("P08_insertions", _COLS + """, g AS (SELECT *, col - row_number() OVER (PARTITION BY q_id ORDER BY col) AS run FROM w WHERE t_base = '-')
