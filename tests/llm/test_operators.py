@@ -98,7 +98,7 @@ def test_substring_dedup(docs, corpus, most_rows, monkeypatch):
 @pytest.mark.parametrize("n", [2, 5, 16, 17, 90])
 def test_resolvers_find_every_repeated_window(n):
     from varloom.llm.substring_dedup import factor_spans
-    from varloom.llm.suffix_dedup import suffix_spans
+    from varloom.llm.suffix_dedup import group_spans
 
     rng, k = random.Random(n), 8
 
@@ -114,7 +114,7 @@ def test_resolvers_find_every_repeated_window(n):
             want |= {(i, p) for d, _ in own & seen for p in range(-d, k - d)}
             seen |= own
         lefts, rights = zip(*pairs, strict=True)
-        assert covered(suffix_spans(list(lefts), list(rights), k)) == want
+        assert covered(group_spans([([b"x"], [b"y"]), (list(lefts), list(rights))], k)[1]) == want
         words = lambda xs: [[bytes([c]) for c in x] for x in xs]
         assert covered(factor_spans(words(lefts), words(rights), k)) == want
 

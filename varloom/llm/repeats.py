@@ -33,9 +33,11 @@ from varloom.llm._common import CHUNK, chunks, keyed, powers, prefix_sums, slice
 #: Occurrences of an anchor that meet in one group; an exact way takes the anchors with more.
 MOST_ROWS = 20_000
 
-#: Of contexts left and right of an anchor, in corpus order, and the window's length: for each occurrence, how far left and
-#: right of the anchor each span reaches that earlier ones cover.
-Resolver = Callable[[list, list, int], list[list[tuple[int, int]]]]
+#: Of groups, each the contexts left and right of an anchor in corpus order, and the window's length: for each occurrence of each group,
+#: how far left and right of the anchor each span reaches that earlier ones cover.
+Resolver = Callable[[list[tuple[list, list]], int], list[list[list[tuple[int, int]]]]]
+#: Contexts that are resolved at once, or one group's.
+MOST_CONTEXTS = 4000
 
 
 def _anchors(g: np.ndarray, k: int, m: int, first: np.ndarray | None) -> np.ndarray:
@@ -231,6 +233,16 @@ def _resolve(batches: Iterator[pa.RecordBatch], k: int, words: bool, resolver: R
             yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
     out: list[tuple] = []
+    waiting: list[list[tuple]] = []
+
+    def resolve() -> None:
+        groups = [([x[3] for x in own], [x[4] for x in own]) for own in waiting]
+        for own, found in zip(waiting, resolver(groups, k), strict=True):
+            for (d, h, p, _, _), spans in zip(own, found, strict=True):
+                out.extend((d, h, p - x, p + y) for x, y in spans)
+        waiting.clear()
+
+    held = 0
     for _, group in groupby(rows(), key=itemgetter(0)):
         seen: dict[tuple[bytes, bytes], int] = {}
         own: list[tuple] = []
@@ -244,12 +256,15 @@ def _resolve(batches: Iterator[pa.RecordBatch], k: int, words: bool, resolver: R
                 continue
             own.append((d, h, p, left, right))
         if len(own) > 1:
-            found = resolver([x[3] for x in own], [x[4] for x in own], k)
-            for (d, h, p, _, _), spans in zip(own, found, strict=True):
-                out += [(d, h, p - x, p + y) for x, y in spans]
+            waiting.append(own)
+            held += len(own)
+        if held > MOST_CONTEXTS:
+            resolve()
+            held = 0
         if len(out) > 20_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-            out = []
+            out.clear()
+    resolve()
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 

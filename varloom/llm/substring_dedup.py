@@ -26,6 +26,10 @@ from varloom.llm._common import with_id
 from varloom.llm.repeats import local_spans, merged, repeated_spans, split_words
 
 
+def group_factors(groups: list[tuple[list, list]], k: int) -> list[list[list[tuple[int, int]]]]:
+    return [factor_spans(lefts, rights, k) for lefts, rights in groups]
+
+
 def factor_spans(lefts: list[list[bytes]], rights: list[list[bytes]], k: int) -> list[list[tuple[int, int]]]:
     """Parses each block (the words left and right of an anchor), in corpus order, against those before it: its
     factors of k or more words, as words left and right of the anchor's start."""
@@ -72,6 +76,6 @@ def _finish(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.Re
 def substring_dedup(docs: DataFrame, min_words: int = 20, anchor_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the removed word spans of every row."""
     k, m = min_words, min(anchor_words, min_words)
-    found = repeated_spans(docs, k, m, True, factor_spans, id_col, text_col)
+    found = repeated_spans(docs, k, m, True, group_factors, id_col, text_col)
     spans = "array<struct<start:int,end:int>>"
     return with_id(found.mapInArrow(lambda it: _finish(it, k, m), f"_d long, _h long, n_words long, n_removed long, kept_sha256 string, spans {spans}"))

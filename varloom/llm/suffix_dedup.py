@@ -18,24 +18,26 @@ import hashlib
 from collections.abc import Iterator
 from functools import cmp_to_key
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from varloom.llm._common import BASE, with_id
+from varloom.llm._common import powers, prefix_sums, with_id
 from varloom.llm.repeats import local_spans, merged, repeated_spans
 
-_MASK = (1 << 64) - 1
 
-
-def prefix_hashes(x: bytes) -> list[int]:
-    out, h = [0], 0
-    for c in x:
-        h = (h * BASE + c + 1) & _MASK
-        out.append(h)
-    return out
+def prefix_hashes(parts: list[bytes]) -> list[memoryview]:
+    """The polynomial hashes of all prefixes of each string, the empty one first; of all strings at once."""
+    n = np.fromiter(map(len, parts), np.int64, len(parts))
+    c = prefix_sums(np.frombuffer(b"".join(parts), np.uint8))
+    own = np.repeat(np.arange(len(parts)), n + 1)
+    at = np.arange(len(own)) - own  # where each prefix ends
+    out = memoryview(powers(len(c))[0][at] * (c[at] - c[np.cumsum(n) - n][own]))  # most are never looked at
+    ends = np.cumsum(n + 1).tolist()
+    return [out[e - k - 1 : e] for e, k in zip(ends, n.tolist(), strict=True)]
 
 
-def common_extension(x: bytes, y: bytes, hx: list[int], hy: list[int]) -> int:
+def common_extension(x: bytes, y: bytes, hx: memoryview, hy: memoryview) -> int:
     """Length of the longest common prefix, by binary search over prefix hashes; verified on the bytes."""
     lo, hi = 0, min(len(x), len(y))
     while lo < hi:
@@ -53,12 +55,22 @@ def common_extension(x: bytes, y: bytes, hx: list[int], hy: list[int]) -> int:
 FEW = 16
 
 
-def suffix_spans(lefts: list[bytes], rights: list[bytes], k: int) -> list[list[tuple[int, int]]]:
+def group_spans(groups: list[tuple[list[bytes], list[bytes]]], k: int) -> list[list[list[tuple[int, int]]]]:
+    """suffix_spans() of each group; the prefix hashes of all groups are taken at once."""
+    lefts = [x[::-1] for own, _ in groups for x in own]
+    hashes = prefix_hashes([*lefts, *(x for _, own in groups for x in own)])
+    out, at = [], 0
+    for _, rights in groups:
+        n = len(rights)
+        out.append(suffix_spans(lefts[at : at + n], rights, hashes[at : at + n], hashes[len(lefts) + at : len(lefts) + at + n], k))
+        at += n
+    return out
+
+
+def suffix_spans(back: list[bytes], rights: list[bytes], hl: list[memoryview], hr: list[memoryview], k: int) -> list[list[tuple[int, int]]]:
     """For each occurrence of an anchor, in corpus order: how far left and right of it matches of k
-    or more bytes with earlier occurrences reach."""
+    or more bytes with earlier occurrences reach. back: the bytes to the left, turned round; hl, hr: prefix hashes."""
     n = len(rights)
-    back = [x[::-1] for x in lefts]
-    hr, hl = [prefix_hashes(x) for x in rights], [prefix_hashes(x) for x in back]
 
     def compare(i: int, j: int) -> int:
         e = common_extension(rights[i], rights[j], hr[i], hr[j])
@@ -82,7 +94,7 @@ def suffix_spans(lefts: list[bytes], rights: list[bytes], k: int) -> list[list[t
     return [sorted(x) for x in found]
 
 
-def _runs(order: list[int], lcp: list[int], back: list[bytes], rights: list[bytes], hl: list[list[int]], k: int) -> list[list[tuple[int, int]]]:
+def _runs(order: list[int], lcp: list[int], back: list[bytes], rights: list[bytes], hl: list[memoryview], k: int) -> list[list[tuple[int, int]]]:
     """The same spans for many suffixes, in time linear in them: for each number of bytes to the left, those of a run that agree
     on the rest of the window, told apart by the hash of the bytes to the left."""
     n = len(order)
@@ -128,6 +140,6 @@ def _finish(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.Re
 def suffix_dedup(docs: DataFrame, min_bytes: int = 100, anchor_bytes: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte spans of every row."""
     k, m = min_bytes, min(anchor_bytes, min_bytes)
-    found = repeated_spans(docs, k, m, False, suffix_spans, id_col, text_col)
+    found = repeated_spans(docs, k, m, False, group_spans, id_col, text_col)
     spans = "array<struct<start:int,end:int>>"
     return with_id(found.mapInArrow(lambda it: _finish(it, k, m), f"_d long, _h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {spans}"))
