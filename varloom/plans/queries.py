@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varloom.functions import scalars as S
+from varloom.functions import tables
 from varloom.operators import align, genotype, intervals, pileup, qc, reads, realign, recalibrate, support, variants
 from varloom.plans import files
 from varloom.plans.views import BASES, LETTERS, lengths, sql, table, view
@@ -615,6 +616,39 @@ def _(spark, d):
     return genotype.genotype(view(spark, d, "genotypes"))
 
 
+@_query("M01_genotype_sql")
+def _(spark, d):
+    """As M01_genotype, by the table function."""
+    tables.register(spark)
+    return spark.sql("SELECT * FROM site_genotype(TABLE(SELECT site, sample, rr, aa FROM {g}) PARTITION BY site ORDER BY sample)", g=view(spark, d, "genotypes"))
+
+
+def _read_pairs(spark, d):
+    """Each text of the conversations as bases, in pieces of 1000, against the piece without what stands in its middle fifth."""
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.translate(F.regexp_replace(F.upper("text"), "[^A-Z]", "E"), LETTERS, BASES.replace("-", "A")).alias("s"))
+    pieces = F.posexplode(F.regexp_extract_all("s", F.lit(".{1,1000}"), F.lit(0))).alias("i", "a")
+    t = t.select("conv_id", "turn", pieces).where("length(a) >= 20")
+    n = F.expr("length(a) div 5")
+    return t.select((F.col("conv_id") * 10_000_000 + F.col("turn") * 100_000 + F.col("i")).alias("pair_id"), "a", F.concat(F.left("a", n * 2), F.substr("a", n * 3 + 1)).alias("b"))
+
+
+@_query("G01_reads_of_1000")
+def _(spark, d):
+    return align.gap_excision(_read_pairs(spark, d), align.Scores())
+
+
+@_query("G01_realign_sql")
+def _(spark, d):
+    """As G01_reads_of_1000, by the table function."""
+    tables.register(spark)
+    return spark.sql("SELECT * FROM realign(TABLE(SELECT pair_id, a, b FROM {p}) PARTITION BY pmod(hash(pair_id), 64) ORDER BY (length(a), length(b)))", p=_read_pairs(spark, d))
+
+
+@_query("G03_breakpoints")
+def _(spark, d):
+    return align.gap_breakpoints(_read_pairs(spark, d), align.Scores())
+
+
 @_query("M13_recalibrate")
 def _(spark, d):
     v = view(spark, d, "sites").select(F.col("line_no").alias("site"), (F.col("filter") == "PASS").alias("training"), F.col("size").cast("double").alias("size"), F.col("vq").cast("double").alias("vq"), "nr")
