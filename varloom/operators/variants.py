@@ -402,9 +402,13 @@ def by_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple]:
 Alignment = namedtuple("Alignment", "q_id t_id t_start t_end q_start q_end strand")
 
 
-def structural_calls(alignments: DataFrame, compat: bool = False) -> DataFrame:
-    """Runs query by query over partitions sorted by query; a query's alignments (one assembled
-    sequence's) are held one query at a time."""
+#: Alignments beyond which a query is taken apart over several tasks.
+LONG_QUERY = 100_000
+
+
+def structural_calls(alignments: DataFrame, compat: bool = False, long_query: int = LONG_QUERY) -> DataFrame:
+    """Runs query by query over partitions sorted by query, where a query's alignments (one assembled
+    sequence's) are held one query at a time; queries of more than long_query alignments go by joins and scans (long_queries), unless compat."""
     rows = alignments.select(F.col("q_id").cast("string"), F.col("t_id").cast("string"), *[F.col(c).cast("long") for c in Alignment._fields[2:6]], "strand")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,7 +423,16 @@ def structural_calls(alignments: DataFrame, compat: bool = False) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], CALL_COLUMNS)
 
-    return rows.repartition("q_id").sortWithinPartitions("q_id", "q_start", "t_id", "t_start").mapInArrow(fold, CALLS)
+    folded = lambda df: df.repartition("q_id").sortWithinPartitions("q_id", "q_start", "t_id", "t_start").mapInArrow(fold, CALLS)
+    if compat:
+        return folded(rows)
+    from varloom.operators import long_queries
+
+    sizes = rows.groupBy("q_id").agg(F.count(F.lit(1)).alias("n"))
+    if not sizes.where(F.col("n") > long_query).limit(1).count():
+        return folded(rows)
+    long = sizes.where(F.col("n") > long_query).select("q_id")
+    return folded(rows.join(long, "q_id", "left_anti")).unionByName(long_queries.calls(rows.join(long, "q_id", "left_semi")))
 
 
 def summary(df: DataFrame, key: str, length: str) -> DataFrame:
