@@ -10,6 +10,9 @@ the same offset. Only anchors met twice or more are looked at again:
 * more (a passage in a third of all documents): each window over the anchor is keyed by a 128-bit
   digest and an aggregation with map-side combine finds its first start; no group meets in a task.
 
+What is counted per text, anchor and window (with map-side combine) is written before it is joined with the rows, so both sides of these joins are plain
+shuffles and Spark splits the partitions of hot texts, passages and windows (adaptive skew joins); few counts are broadcast below Spark's size limit.
+
 Both ways are exact, whatever the group's size, the second as far as 128-bit digests (xxh3) of different windows differ. Later copies of a whole text are settled up front
 by one aggregation over digests. Windows that repeat within their own document (periodic text has an
 anchor per period) are settled by the document's task, and only its first ones are indexed. Work
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm._common import CHUNK, chunks, keyed, powers, prefix_sums, slice_hash, sliding, text_buffers, word_bounds, word_hashes, word_numbers
+from varloom.llm._common import CHUNK, chunks, keyed, powers, prefix_sums, slice_hash, sliding, text_buffers, word_bounds, word_hashes, word_numbers, written
 
 #: Occurrences of an anchor that meet in one group; an exact way takes the anchors with more.
 MOST_ROWS = 20_000
@@ -285,14 +288,15 @@ def repeated_spans(docs: DataFrame, k: int, m: int, words: bool, resolver: Resol
     start earlier cover. copy: the whole text has an earlier copy."""
     t = keyed(docs, id_col, text_col)
     digests = t.select("_d", "_h", F.sha2("text", 256).alias("x"))
-    firsts = digests.groupBy("x").agg(F.min(F.struct("_d", "_h")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("x", "f._d", "f._h").toDF("x", "fd", "fh")
+    firsts = digests.groupBy("x").agg(F.min(F.struct("_d", "_h")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("x", F.col("f._d").alias("fd"), F.col("f._h").alias("fh"))
+    firsts = written(firsts, "firsts")
     copies = digests.join(firsts, "x").where("_d > fd or (_d = fd and _h > fh)").select("_d", "_h").distinct().withColumn("copy", F.lit(True))
     own = t.join(copies, ["_d", "_h"], "left_anti")
 
     rows = "a long, _d long, _h long, p int"
     find = word_anchors if words else byte_anchors
     anchors = own.mapInArrow(lambda it: find(it, k, m), rows)
-    often = anchors.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = written(anchors.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
     again = anchors.join(often, "a")
 
     def at_docs(found: DataFrame) -> DataFrame:
@@ -303,6 +307,7 @@ def repeated_spans(docs: DataFrame, k: int, m: int, words: bool, resolver: Resol
     near = few.repartition("a").sortWithinPartitions("a", "_d", "_h", "p").mapInArrow(lambda it: _resolve(it, k, words, resolver), "_d long, _h long, s int, e int")
     many = at_docs(again.where(F.col("n") > MOST_ROWS)).mapInArrow(lambda it: _windows(it, k, m, words), "w binary, _d long, _h long, s int")
     first = many.groupBy("w").agg(F.min(F.struct("_d", "_h", "s")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "f")
+    first = written(first, "windows")
     far = many.join(first, "w").where(F.struct("_d", "_h", "s") != F.col("f")).select("_d", "_h", "s", (F.col("s") + k).alias("e"))
     spans = near.unionByName(far).groupBy("_d", "_h").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     return t.join(spans, ["_d", "_h"], "left").join(copies, ["_d", "_h"], "left")
