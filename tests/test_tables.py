@@ -75,3 +75,30 @@ def test_all_breakpoints_have_the_best_score():
     assert several > 3
     (r,) = align.excised(["GTACCCACTACT"], ["GTAACT"], sc, False, True)
     assert r["joins"] == [(3, 3, 7, 4), (3, 3, 10, 4)]  # the two published regions
+
+
+def test_bias_and_likelihoods_of_a_plain_twin():
+    """M02 and M05, a sample and a component at a time."""
+    import math
+
+    import numpy as np
+
+    from varloom.operators import genotype
+
+    assert math.isclose(genotype.bias_of(np.array([0.1, 0.4, 0.9]), np.array([0.001, 0.5, 1.0])), (0.1 - 0.001) + 0.1 + (1.0 - 0.9))
+    assert genotype.bias_of(np.array([0.0, 0.5, 1.1]), np.array([0.001, 0.5, 1.0])) < 0  # outer means that move outwards
+    assert math.isclose(genotype.bias_of(np.array([0.0, 0.7]), np.array([0.001, 0.5])), 0.201)
+    rng = random.Random(3)
+    for k in (1, 2, 3):
+        mean, var = [rng.random() for _ in range(k)], [rng.choice([1e-3, 0.002, 0.05]) for _ in range(k)]
+        xs = [rng.random() for _ in range(50)] + [0.0, 1.0]
+        got = genotype.phred_likelihoods(genotype._log_density(np.array(xs), np.array(mean), np.array(var)))
+        for x, row in zip(xs, got.tolist(), strict=True):
+            density = [math.exp(-0.5 * (math.log(2 * math.pi * v) + (x - m) ** 2 / v)) for m, v in zip(mean, var, strict=True)]
+            total = sum(d / k for d in density)
+            for d, p in zip(density, row, strict=True):
+                post = d / k / total if total else 0.0
+                if total > 1e-290 and 0 < post and d > 1e-290:
+                    assert abs(p - int(-10 * math.log10(total * post * k) + 0.5)) <= 1  # a rounding apart at most
+    # a posterior of zero counts as nearly one: the sample's likelihood over the weight
+    assert genotype.phred_likelihoods(np.array([[-800.0, -1.0]])).tolist() == [[int(10 / math.log(10) + 0.5)] * 2]

@@ -123,6 +123,30 @@ def _em(x: np.ndarray, mean: np.ndarray, rounds: int = 50, tol: float = 1e-3, fl
     return done, mean, var
 
 
+def bias_of(mean: np.ndarray, first: np.ndarray) -> float:
+    """How far the means moved. Of three components the outer ones count with their sign: moves away from the middle one are a gain."""
+    if len(mean) == 3:
+        return float((mean[0] - first[0]) + abs(mean[1] - first[1]) + (first[2] - mean[2]))
+    return float(np.abs(mean - first).sum())
+
+
+#: Stands for zero in likelihoods and caps a posterior, from below one (fixed value).
+NEARLY_ONE = 1 - 1e-10
+
+
+def phred_likelihoods(log: np.ndarray) -> np.ndarray:
+    """Phred-scaled likelihoods of the components, of equal weights, from their log densities (a row per sample): the sample's likelihood
+    times the posterior over the weight. A posterior or a likelihood of zero counts as nearly one; halves are cut towards zero."""
+    weight = 1 / log.shape[1]
+    top = log.max(1, keepdims=True)
+    total = top + np.log((weight * np.exp(log - top)).sum(1, keepdims=True))
+    post = np.exp(np.log(weight) + log - total)
+    post[post == 0] = NEARLY_ONE
+    likelihood = np.exp(total + np.log(post) - np.log(weight))
+    likelihood[likelihood == 0] = NEARLY_ONE
+    return (-10 * np.log10(likelihood) + 0.5).astype(int)
+
+
 def fit_site(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]] | None:
     """Three components, else pairs, else one; among converged restarts the one whose means moved
     least from where they began. Returns means, variances and the genotype of each component, or None."""
@@ -135,7 +159,7 @@ def fit_site(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]] | None:
                 label = [int(np.abs(start - m).argmin()) for m in mean]
                 if not ok or len(set(label)) < len(label):
                     continue
-                bias = float(np.abs(mean - first).sum())
+                bias = bias_of(mean, first)
                 if best is None or bias < best[0]:
                     best = bias, mean, var, label
         if best:
@@ -155,10 +179,9 @@ def call_site(x: np.ndarray, informative: np.ndarray) -> list[tuple[str, int, st
     log = _log_density(x, mean, var)  # the weights count as equal
     post = np.exp(log - log.max(1, keepdims=True))
     post /= post.sum(1, keepdims=True)
-    scores = np.full((len(x), 3), 65535)
+    scores, likelihoods = np.full((len(x), 3), 65535), phred_likelihoods(log)
     for j, g in enumerate(label):
-        log10 = np.log10(np.maximum(post[:, j], 1e-10))
-        scores[:, 2 - g] = (-10 * log10 + 0.5).astype(int)
+        scores[:, 2 - g] = likelihoods[:, j]
     return [(GENOTYPES[label[j]], genotype_quality(float(p)), ",".join(map(str, s)), True) for j, p, s in zip(post.argmax(1), post.max(1), scores, strict=True)]
 
 

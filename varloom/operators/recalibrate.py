@@ -24,6 +24,57 @@ def leg(q_start: Column, q_end: Column, length: Column) -> Column:
     return F.least(s, 100 - e)
 
 
+def sample_features(sites: DataFrame, genotypes: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Per site and sample the FEATURES, of genotyped VCF (read_vcf): whether the site has one alternative, InbCoeff to two digits, the shorter
+    unaligned end of the sample's scaffold (QR id-start-end, the last one of several), the share of N (NR) in per cent to one digit, and of the reads
+    (AA) those that fit the alternative only and neither. lengths: sample, scaffold, len.
+
+    Sites without InbCoeff or QR have none, nor samples that are missing, without a place or without four counts; a scaffold without a
+    length is an error where it is met."""
+    from varloom.operators.support import with_lengths
+
+    own = sites.where(F.col("info").getItem("InbCoeff").isNotNull()).select(
+        F.col("line_no").alias("site"), "chrom", "pos", (F.size("alts") == 1).cast("double").alias("biallelic"), F.round(F.col("info").getItem("InbCoeff").cast("double"), 2).alias("inb_coeff")
+    )
+    tag = lambda k: F.col("fmt").getItem(k)
+    counts = F.split(tag("AA"), ",")
+    there = (F.coalesce("gt", F.lit("./.")) != "./.") & (F.size(counts) == 4) & (F.coalesce(tag("QR"), F.lit(".")) != ".")
+    place = F.split(F.element_at(F.split(tag("QR"), ","), -1), "-")
+    scaffold = F.when(F.size("place") > 3, F.concat_ws("-", F.get("place", 0), F.get("place", 1))).otherwise(F.get("place", 0))
+    rows = genotypes.where(there).select(F.col("line_no").alias("site"), "sample", place.alias("place"), tag("NR").cast("double").alias("nr"), F.get(counts, 1).cast("double").alias("alt_perfect"), F.get(counts, 3).cast("double").alias("both_imperfect"))
+    rows = rows.select("site", "sample", scaffold.alias("scaffold"), F.element_at("place", -2).cast("long").alias("q_start"), F.element_at("place", -1).cast("long").alias("q_end"), "nr", "alt_perfect", "both_imperfect")
+    rows = with_lengths(rows, lengths).withColumn("leg", leg(F.col("q_start"), F.col("q_end"), F.col("len")).cast("double")).withColumn("n_ratio", F.floor(1000 * F.col("nr") + 0.5) / 10)
+    return own.join(rows, "site").select("site", "chrom", "pos", "sample", *FEATURES)
+
+
+def site_features(sites: DataFrame, genotypes: DataFrame, lengths: DataFrame, training: DataFrame) -> DataFrame:
+    """What recalibrate() takes: per site the medians of its samples' features, and whether the site is among the training sites
+    (chrom, pos). A site none of whose samples has features is left out."""
+    from varloom.operators.support import marked
+
+    rows = sample_features(sites, genotypes, lengths)
+    medians = rows.groupBy("site", "chrom", "pos").agg(*[F.median(c).alias(c) for c in FEATURES])
+    return marked(medians, training, ["chrom", "pos"], "training")
+
+
+def scored_vcf(sites: DataFrame, scores: DataFrame) -> DataFrame:
+    """Sites (read_vcf) with their scores: VQ (the log odds to two digits) and CU (the culprit) in INFO, POSITIVE_TRAIN_SITE and
+    NEGATIVE_TRAIN_SITE where they are, and VQ, but nothing below 0, as QUAL. scores: site (the line number), lod, culprit, positive, negative."""
+    lod = F.round("lod", 2)
+    more = F.map_from_arrays(F.array(F.lit("VQ"), F.lit("CU")), F.array(lod.cast("string"), F.col("culprit")))
+    flag = lambda c, name: F.when(F.col(c), F.create_map(F.lit(name), F.lit(None).cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    new = ["VQ", "CU", "POSITIVE_TRAIN_SITE", "NEGATIVE_TRAIN_SITE"]
+    rows = sites.join(scores.withColumnRenamed("site", "line_no"), "line_no")
+    kept = F.map_filter(F.coalesce("info", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin(*new))
+    info = F.map_concat(kept, more, flag("positive", new[2]), flag("negative", new[3]))
+    return rows.withColumns({"info": info, "qual": F.greatest(lod, F.lit(0.0))}).select(*sites.columns)
+
+
+def info_text(info: Column) -> Column:
+    """INFO by key; keys without a value stand alone."""
+    return F.array_join(F.array_sort(F.transform(F.map_entries(info), lambda e: F.when(e["value"].isNull(), e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"])))), ";")
+
+
 def site_medians(df: DataFrame, features: list[str]) -> DataFrame:
     """A16."""
     return df.groupBy("site").agg(*[F.median(c).alias(c) for c in features])

@@ -138,6 +138,33 @@ def support_per_read(reads: DataFrame, sites: DataFrame, clip: str = "clip") ->
     return rest.select("site", bad("ref_seq").alias("ref_bad"), bad("alt_seq").alias("alt_bad"))
 
 
+def supported_vcf(sites: DataFrame, genotypes: DataFrame, counts: DataFrame, sample: str, chrom: str = "ALL") -> DataFrame:
+    """Lines of one sample with the support of its alleles: (line_no, chrom, pos, id, ref, alt, format, cell). counts: line_no, ref, alt, both and neither
+    (A12) of the sites that reads could tell.
+
+    Sites without an alternative go; the alternative is the one that the sample's genotype names. Sites other than SNPs have the counts as AA
+    (zeros where no read tells); SNPs that the sample lacks go. A missing sample has VT and VS of the first one with a variant (else with a
+    genotype). Alleles over 1 become 1; FORMAT has GT first, then the others by key."""
+    from varloom.functions.scalars import collapse_gt
+
+    rows = on_chromosome(sites, chrom, "chrom").where("alts[0] != '.'")
+    own = genotypes.where(F.col("sample") == sample).select("line_no", F.col("gt").alias("_gt"), F.col("fmt").alias("_fmt"))
+    lent = borrowed(genotypes.select(F.col("line_no").alias("site"), "sample_ord", F.coalesce("gt", F.lit(MISSING)).alias("gt"), F.col("fmt").getItem("VT").alias("vt"), F.col("fmt").getItem("VS").alias("vs")), ["vt", "vs"])
+    rows = rows.join(own, "line_no", "left").join(lent.withColumnRenamed("site", "line_no"), "line_no", "left")
+    missing = F.coalesce("_gt", F.lit(MISSING)) == MISSING
+    rows = rows.withColumns({"_gt": F.coalesce("_gt", F.lit(MISSING)), "_missing": missing, "alt": alt_allele(F.col("alts"), F.coalesce("_gt", F.lit(MISSING)))})
+    rows = rows.withColumn("_snp", is_snp(F.col("ref"), F.array("alt"))).where("not (_snp and _missing)")
+    n = counts.select("line_no", F.concat_ws(",", *[F.col(c).cast("string") for c in ("ref", "alt", "both", "neither")]).alias("_aa"))
+    rows = rows.join(n, "line_no", "left").withColumn("_aa", F.coalesce("_aa", F.lit("0,0,0,0")))
+    none = F.create_map().cast("map<string,string>")
+    base = F.when(F.col("_missing"), F.create_map(F.lit("VT"), F.col("vt"), F.lit("VS"), F.col("vs"))).otherwise(F.map_filter("_fmt", lambda k, _: ~k.isin("GT", "AA")))
+    fields = F.map_concat(base, F.when(~F.col("_snp"), F.create_map(F.lit("AA"), F.col("_aa"))).otherwise(none))
+    entries = F.array_sort(F.map_entries(fields))
+    cell = F.concat_ws(":", F.array(collapse_gt(F.col("_gt"))), F.transform(entries, lambda e: e["value"]))
+    names = F.concat_ws(":", F.array(F.lit("GT")), F.transform(entries, lambda e: e["key"]))
+    return rows.select("line_no", "chrom", "pos", "id", "ref", "alt", names.alias("format"), cell.alias("cell"))
+
+
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
     """The table that a histogram shows."""
     b = F.least(F.lit(bins - 1), F.floor((F.col(value) - low) * bins / (high - low)))

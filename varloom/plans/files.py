@@ -39,6 +39,19 @@ def vcf_of(sites: DataFrame) -> DataFrame:
     return head.unionByName(sites.select(line.alias("value")))
 
 
+def genotyped_vcf_of(sites: DataFrame) -> DataFrame:
+    """Two samples with the fields that recalibration and support need: s1 always, s2 missing on a quarter of the lines and without a place on some."""
+    s = lambda c: F.col(c).cast("string")
+    info = F.when(F.col("size") % 7 == 0, "AC=1").otherwise(F.concat(F.lit("InbCoeff="), s("inb"), F.lit(";AC=1;NEG")))
+    alt = F.when(F.col("size") % 3 == 0, "AC,G").when(F.col("size") % 3 == 1, "AC").otherwise("T")
+    one = F.concat_ws(":", F.when(F.col("size") % 3 == 0, "0/2").otherwise("0/1"), F.concat_ws(",", s("size"), s("vq"), F.lit("0"), (F.col("line_no") % 5).cast("string")), s("nr"), F.concat(F.lit("sc"), s("chrom"), F.lit("-"), s("start"), F.lit("-"), s("end")), s("size"), F.lit("INS"))
+    place = F.when(F.col("size") % 5 == 0, ".").otherwise(F.concat(F.lit("y-"), (F.col("chrom") % 3).cast("string"), F.lit("-"), s("size"), F.lit("-"), (F.col("size") + 100).cast("string")))
+    two = F.when(F.col("size") % 4 == 0, "./.").otherwise(F.concat_ws(":", F.lit("1/1"), F.lit("1,2,3,4"), F.lit("0.25"), place, F.lit("7"), F.lit("DEL")))
+    line = F.concat_ws("\t", s("chrom"), s("start"), F.concat(F.lit("r"), "line_no"), F.lit("A"), alt, s("vq"), "filter", info, F.lit("GT:AA:NR:QR:VS:VT"), one, two)
+    head = sites.sparkSession.createDataFrame([("##fileformat=VCFv4.1",), ("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2",)], "value string").coalesce(1)
+    return head.unionByName(sites.select(line.alias("value")))
+
+
 def sam_of(reads: DataFrame) -> DataFrame:
     mate = F.when(F.col("mate_ref") == F.col("ref"), "=").otherwise(F.col("mate_ref"))
     line = F.concat_ws("\t", F.concat(F.lit("r"), "name_no"), F.col("flag").cast("string"), "ref", F.col("pos").cast("string"), F.col("mapq").cast("string"), F.lit("4M1I5M"), mate, F.col("mate_pos").cast("string"), F.col("insert_size").cast("string"), F.lit("ACGTACGTAC"), F.lit("IIIIIIIIII"), F.concat(F.lit("RG:Z:"), "rg"), F.concat(F.lit("AS:i:"), F.col("mapq").cast("string")))

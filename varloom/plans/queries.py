@@ -649,6 +649,67 @@ def _(spark, d):
     return align.gap_breakpoints(_read_pairs(spark, d), align.Scores())
 
 
+_ONCE = ", once AS (SELECT line_no, " + ", ".join(f'min("{c}") AS "{c}"' for c in ("site", "chrom", "start", "end", "size", "vq", "nr", "filter", "inb")) + " FROM sites GROUP BY line_no)"
+_GENOTYPED = _ONCE + """, g AS (SELECT *, size % 7 <> 0 AS scored, size % 4 <> 0 AND size % 5 <> 0 AS two FROM once),
+f AS (SELECT line_no, CAST(size % 3 <> 0 AS DOUBLE) AS biallelic, round(inb, 2) AS inb_coeff, CAST(least(least(100, start * 100 // 20000), 100 - least(100, "end" * 100 // 20000)) AS DOUBLE) AS leg, floor(1000 * nr + 0.5) / 10 AS n_ratio, CAST(vq AS DOUBLE) AS alt_perfect, CAST(line_no % 5 AS DOUBLE) AS both_imperfect, start, chrom FROM g WHERE scored
+UNION ALL SELECT line_no, CAST(size % 3 <> 0 AS DOUBLE), round(inb, 2), CAST(least(size * 100 // 300, 100 - (size + 100) * 100 // 300) AS DOUBLE), 25.0, 2.0, 4.0, start, chrom FROM g WHERE scored AND two)"""
+
+
+def _once(spark, d):
+    """A site per line number."""
+    return view(spark, d, "sites").groupBy("line_no").agg(*[F.min(c).alias(c) for c in ("site", "chrom", "start", "end", "size", "vq", "nr", "filter", "inb")])
+
+
+def _genotyped(spark, d):
+    """Sites and genotypes of VCF text with two samples, and the lengths of their scaffolds."""
+    v = _once(spark, d)
+    sites, calls = files.read_back(spark, "vcf", files.genotyped_vcf_of(v))
+    one = v.select(F.lit("s1").alias("sample"), F.concat(F.lit("sc"), "chrom").alias("scaffold"), F.lit(20_000).alias("len")).distinct()
+    two = spark.range(3).select(F.lit("s2").alias("sample"), F.concat(F.lit("y-"), "id").alias("scaffold"), F.lit(300).alias("len"))
+    return sites, calls, one.unionByName(two)
+
+
+@_query("P28_site_features", _GENOTYPED + """ SELECT line_no, median(biallelic) AS biallelic, median(inb_coeff) AS inb_coeff, median(leg) AS leg, round(median(n_ratio), 6) AS n_ratio, median(alt_perfect) AS alt_perfect, median(both_imperfect) AS both_imperfect, chrom % 2 = 0 AS training FROM f GROUP BY line_no, chrom""", "sites")
+def _(spark, d):
+    sites, calls, lengths = _genotyped(spark, d)
+    training = _once(spark, d).where("chrom % 2 = 0").select(F.col("chrom").cast("string").alias("chrom"), F.col("start").alias("pos"))
+    out = recalibrate.site_features(sites, calls, lengths, training)
+    ids = sites.select(F.col("line_no").alias("site"), F.substring("id", 2, 20).cast("long").alias("line_no"))
+    return out.join(ids, "site").select("line_no", *recalibrate.FEATURES, "training").withColumn("n_ratio", F.round("n_ratio", 6))
+
+
+@_query("M13_recalibrate_vcf")
+def _(spark, d):
+    """From VCF text to scores: features of samples, medians of sites, mixtures, log odds and culprits."""
+    sites, calls, lengths = _genotyped(spark, d)
+    training = _once(spark, d).where("chrom % 2 = 0").select(F.col("chrom").cast("string").alias("chrom"), F.col("start").alias("pos"))
+    return recalibrate.recalibrate(recalibrate.site_features(sites, calls, lengths, training).drop("chrom", "pos"), recalibrate.FEATURES)
+
+
+@_query("K08_scored_vcf", _ONCE + """, s AS (SELECT *, round(vq / 7.0 - 3, 2) AS lod FROM once)
+SELECT 'r' || line_no AS id, greatest(lod, 0) AS qual, CASE WHEN size % 7 = 0 THEN 'AC=1;CU=leg' ELSE 'AC=1;CU=leg;InbCoeff=' || inb || ';NEG' END || CASE WHEN size % 2 = 0 THEN ';NEGATIVE_TRAIN_SITE' ELSE '' END || CASE WHEN size % 3 = 0 THEN ';POSITIVE_TRAIN_SITE' ELSE '' END || ';VQ=' || lod AS info FROM s""", "sites")
+def _(spark, d):
+    sites, _, _ = _genotyped(spark, d)
+    v = _once(spark, d).select(F.concat(F.lit("r"), "line_no").alias("id"), (F.col("vq") / 7.0 - 3).alias("lod"), F.lit("leg").alias("culprit"), (F.col("size") % 3 == 0).alias("positive"), (F.col("size") % 2 == 0).alias("negative"))
+    scores = sites.select(F.col("line_no").alias("site"), "id").join(v, "id").drop("id")
+    return recalibrate.scored_vcf(sites, scores).select("id", "qual", recalibrate.info_text(F.col("info")).alias("info"))
+
+
+@_query("K06_supported_vcf", _ONCE + """, s AS (SELECT *, CASE size % 3 WHEN 0 THEN 'G' WHEN 1 THEN 'AC' ELSE 'T' END AS alt FROM once),
+c AS (SELECT site, size % 3 AS r, vq % 3 AS a FROM once), n AS (SELECT site, count(*) FILTER (r = 0 AND a <> 0) || ',' || count(*) FILTER (r <> 0 AND a = 0) || ',' || count(*) FILTER (r = 0 AND a = 0) || ',' || count(*) FILTER (r <> 0 AND a <> 0) AS aa FROM c GROUP BY site),
+w AS (SELECT s.*, CASE WHEN line_no % 2 = 0 THEN coalesce(n.aa, '0,0,0,0') ELSE '0,0,0,0' END AS aa, length(alt) = 1 AS snp, size % 3 = 0 AS both FROM s LEFT JOIN n ON n.site = s.site),
+x AS (SELECT *, CASE WHEN size % 3 = 0 THEN 'AC' ELSE alt END AS alt2, size % 4 = 0 AS missing, CASE WHEN size % 5 = 0 THEN '.' ELSE 'y-' || (chrom % 3) || '-' || size || '-' || (size + 100) END AS place FROM w)
+SELECT 'r' || line_no AS id, alt2 AS alt, CASE WHEN missing THEN 'GT:AA:VS:VT' WHEN length(alt2) = 1 THEN 'GT:NR:QR:VS:VT' ELSE 'GT:AA:NR:QR:VS:VT' END AS format,
+CASE WHEN missing THEN './.:' || aa || ':' || size || ':INS' WHEN length(alt2) = 1 THEN '1/1:0.25:' || place || ':7:DEL' ELSE '1/1:' || aa || ':0.25:' || place || ':7:DEL' END AS cell FROM x WHERE NOT (missing AND length(alt2) = 1)""", "sites")
+def _(spark, d):
+    """The second sample, with the support of its alleles on every other line."""
+    sites, calls, _ = _genotyped(spark, d)
+    v = _once(spark, d)
+    n = reads.allele_support(v.select("site", (F.col("size") % 3).alias("ref_bad"), (F.col("vq") % 3).alias("alt_bad")))
+    n = v.where("line_no % 2 = 0").select("site", F.concat(F.lit("r"), "line_no").alias("id")).join(n, "site").join(sites.select("line_no", "id"), "id").drop("site", "id")
+    return support.supported_vcf(sites, calls, n, "s2").select("id", "alt", "format", "cell")
+
+
 @_query("M13_recalibrate")
 def _(spark, d):
     v = view(spark, d, "sites").select(F.col("line_no").alias("site"), (F.col("filter") == "PASS").alias("training"), F.col("size").cast("double").alias("size"), F.col("vq").cast("double").alias("vq"), "nr")
