@@ -69,3 +69,29 @@ def test_late_reads_fail_the_stream(spark, tmp_path):
     q = stream_base_depth(stream).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     with pytest.raises(Exception, match="late read"):
         q.awaitTermination(120)
+
+
+def test_alignments_to_variants(spark):
+    """What is found, put into the target, gives the query; and each variant is the planted one."""
+    from varloom.operators import realign
+    from varloom.sources.readers import sequence_chunks
+
+    rng, targets, queries, blocks, planted = random.Random(8), {}, {}, [], {}
+    for i in range(12):
+        s = "".join(rng.choices("ACGT", k=400))
+        at, gone, new = 150 + 5 * i, 20 * (i % 2), "" if i % 2 else "".join(rng.choices("ACGT", k=13))
+        q = s[:at] + new + s[at + gone :]
+        targets[f"t{i}"], queries[f"q{i}"] = s, q
+        planted[f"t{i}"] = ("DEL", gone) if gone else ("INS", len(new))
+        right = s[at + gone :]
+        blocks += [(f"t{i}", 1, at, f"q{i}", 1, at, "+", 500, 1e-5, s[:at], s[:at]), (f"t{i}", at + gone + 1, 400, f"q{i}", at + len(new) + 1, len(q), "+", 400, 1e-4, right, right)]
+    maf = spark.createDataFrame(blocks, "t_id string, t_start long, t_end long, q_id string, q_start long, q_end long, strand string, score long, mismap double, t_seq string, q_seq string")
+    table = lambda x: spark.createDataFrame(list(x.items()), "id string, seq string")
+    size = lambda x: table(x).select("id", F.length("seq").cast("long").alias("len"))
+    rows = realign.from_alignments(maf, sequence_chunks(table(targets), 200, 250), sequence_chunks(table(queries), 200, 250), size(targets), size(queries), flank_size=100, size=200, overlap=250).collect()
+    assert len(rows) == 12
+    for r in rows:
+        s = targets[r.t_id]
+        assert s[: r.t_start - 1] + r.alt + s[r.t_start - 1 + len(r.ref) :] == queries[r.q_id]
+        kind, n = planted[r.t_id]
+        assert (r.type, abs(len(r.alt) - len(r.ref)), r.score, r.gt, r.filter) == (kind, n, 400, "1/1", ".")

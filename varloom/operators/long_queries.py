@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.operators.intervals import before
-from varloom.operators.variants import CALL_COLUMNS, inverted, simultaneous, translocated
+from varloom.operators.variants import CALL_COLUMNS, EVIDENCE, inverted, simultaneous, translocated
 
 #: Fields of an alignment, besides its query.
-FIELDS = ["t_id", "t_start", "t_end", "q_start", "q_end", "strand"]
+FIELDS = ["t_id", "t_start", "t_end", "q_start", "q_end", "strand", "score", "mismap"]
 BITS = 14
 
 
@@ -34,17 +34,28 @@ def _near(x: Column, y: Column) -> Column:
     return F.abs(x["ord"] - y["ord"]) == 1
 
 
-def _call(kind: Column, x: Column) -> Column:
-    return F.struct(kind.alias("kind"), *[x[c].alias(c) for c in CALL_COLUMNS[2:]])
+def _record(kind: Column, t_id: Column, places: list[Column], score: Column, mismap: Column, expected: list[Column] | None = None) -> Column:
+    expected = expected or [F.lit(None).cast(k) for k in ("string", "long", "long")]
+    own = [t_id, *places, score, mismap, *expected]
+    return F.struct(kind.alias("kind"), *[v.alias(c) for v, c in zip(own, [*CALL_COLUMNS[2:], *EVIDENCE], strict=True)])
+
+
+def _call(kind: Column, x: Column, expected: list[Column] | None = None) -> Column:
+    return _record(kind, x["t_id"], [x[c] for c in CALL_COLUMNS[3:]], x["score"], x["mismap"], expected)
+
+
+def _between(x: Column, y: Column) -> list[Column]:
+    """First and last place of the target between two alignments."""
+    first, second = F.when(x["t_start"] <= y["t_start"], x["t_end"]).otherwise(y["t_end"]), F.greatest(x["t_start"], y["t_start"])
+    return [F.least(first, second), F.greatest(first, second)]
 
 
 def _gap(x: Column, y: Column) -> Column:
     """P10: the gap between two alignments and its kind."""
-    first, second = F.when(x["t_start"] <= y["t_start"], x["t_end"]).otherwise(y["t_end"]), F.greatest(x["t_start"], y["t_start"])
     over = lambda s: F.least(x[f"{s}_end"], y[f"{s}_end"]) >= F.greatest(x[f"{s}_start"], y[f"{s}_start"])
     kind = F.when(over("t") & over("q"), "gap-X1").when(over("q"), "gap-X2").when(over("t"), "gap-1").otherwise("gap-2")
-    ends = [F.least(first, second), F.greatest(first, second), F.least(x["q_end"], y["q_start"]), F.greatest(x["q_end"], y["q_start"])]
-    return F.struct(kind.alias("kind"), x["t_id"].alias("t_id"), *[e.alias(c) for e, c in zip(ends, CALL_COLUMNS[3:], strict=True)])
+    ends = [*_between(x, y), F.least(x["q_end"], y["q_start"]), F.greatest(x["q_end"], y["q_start"])]
+    return _record(kind, x["t_id"], ends, F.least(x["score"], y["score"]), F.least(x["mismap"], y["mismap"]))
 
 
 def calls(alignments: DataFrame) -> DataFrame:
@@ -77,11 +88,12 @@ def calls(alignments: DataFrame) -> DataFrame:
     act = F.col("act")
     moved = F.concat(F.lit("TRANS-"), F.when(b["t_id"] == a["t_id"], "INTRA").otherwise("INTER"), F.when(b["strand"] == a["strand"], "1").otherwise("2"))
     own = (
-        F.when(act == "gap", F.array(_gap(b, c))).when(act == "trans", F.array(_call(moved, b))).when(act == "inv", F.array(_call(F.lit("INV"), b)))
+        F.when(act == "gap", F.array(_gap(b, c))).when(act == "trans", F.array(_call(moved, b, [a["t_id"], *_between(a, c)]))).when(act == "inv", F.array(_call(F.lit("INV"), b)))
         .when(act == "just", F.array(_call(F.lit("Nos-JustNo"), a))).when(act == "complex", F.array(_call(F.lit("Nos-Complex"), a)))
     )
     left = F.when(b["t_id"] == c["t_id"], "Nos-Strand").otherwise("Nos-Complex")
     held = (F.col("i") == F.col("n")) & (F.col("end") == 2)
     rest = F.when(held & simultaneous(b, c), F.array(_gap(b, c))).when(held, F.array(_call(left, b), _call(left, c)))
-    none = F.array().cast(f"array<struct<kind:string,t_id:string,{','.join(f'{x}:bigint' for x in CALL_COLUMNS[3:])}>>")
-    return rows.select("q_id", F.inline(F.concat(F.coalesce(own, none), F.coalesce(rest, none)))).select(*CALL_COLUMNS)
+    kinds = ["kind:string", "t_id:string", *(f"{x}:bigint" for x in CALL_COLUMNS[3:]), *(f"{x}:{k}" for x, k in EVIDENCE.items())]
+    none = F.array().cast(f"array<struct<{','.join(kinds)}>>".replace(":long", ":bigint"))
+    return rows.select("q_id", F.inline(F.concat(F.coalesce(own, none), F.coalesce(rest, none)))).select(*CALL_COLUMNS, *EVIDENCE)

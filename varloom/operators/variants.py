@@ -320,6 +320,8 @@ def inverted(a: Column, b: Column, c: Column) -> Column:
 # The adjacency machine (V01 to V05, V08): a fold over one query's alignments, two of which it remembers.
 CALLS = "q_id string, kind string, t_id string, t_start long, t_end long, q_start long, q_end long"
 CALL_COLUMNS = ["q_id", "kind", "t_id", "t_start", "t_end", "q_start", "q_end"]
+#: What a call carries on to realignment, besides.
+EVIDENCE = {"score": "long", "mismap": "double", "expected_id": "string", "expected_start": "long", "expected_end": "long"}
 
 
 def _spans_gap(a, c) -> tuple[int, int]:
@@ -334,7 +336,7 @@ def _gap_kind(a, c) -> str:
 
 
 def call_query(rows: list, compat: bool = False) -> list[tuple]:
-    """Calls of one query. rows: its alignments, any order."""
+    """Calls of one query, with score, mismap and, for a translocation, where it was expected. rows: its alignments, any order."""
     by_query = sorted(rows, key=lambda r: (r.q_start, r.t_id, r.t_start, r.t_end, r.q_end, r.strand))
     ranks: dict[int, int] = {}
     for i, r in enumerate(sorted(rows, key=lambda r: (r.t_id, r.t_start, r.q_start, r.t_end, r.q_end, r.strand))):
@@ -342,11 +344,15 @@ def call_query(rows: list, compat: bool = False) -> list[tuple]:
     near = lambda x, y: abs(ranks[x.q_start] - ranks[y.q_start]) == 1
     out: list[tuple] = []
 
+    def emit(kind: str, x, t: tuple[int, int], q: tuple[int, int], score: int | None, mismap: float | None, expected: tuple = (None, None, None)) -> None:
+        out.append((x.q_id, kind, x.t_id, *t, *q, score, mismap, *expected))
+
     def simultaneous(a, c) -> bool:
         if a.t_id != c.t_id or a.strand != c.strand:
             return False
         lo, hi = _spans_gap(a, c)
-        out.append((a.q_id, _gap_kind(a, c), a.t_id, lo, hi, min(a.q_end, c.q_start), max(a.q_end, c.q_start)))
+        scored = a.score is not None
+        emit(_gap_kind(a, c), a, (lo, hi), (min(a.q_end, c.q_start), max(a.q_end, c.q_start)), min(a.score, c.score) if scored else None, min(a.mismap, c.mismap) if scored else None)
         return True
 
     def outer(a, c) -> tuple[int, int]:
@@ -359,18 +365,18 @@ def call_query(rows: list, compat: bool = False) -> list[tuple]:
         if b.t_id == a.t_id and b.t_start <= hi and b.t_end >= lo:
             return False
         kind = f"TRANS-{'INTRA' if b.t_id == a.t_id else 'INTER'}{1 if b.strand == a.strand else 2}"
-        out.append((b.q_id, kind, b.t_id, b.t_start, b.t_end, b.q_start, b.q_end))
+        emit(kind, b, (b.t_start, b.t_end), (b.q_start, b.q_end), b.score, b.mismap, (a.t_id, *_spans_gap(a, c)))
         return True
 
     def inverted(a, b, c) -> bool:
         lo, hi = outer(a, c)
         if not (a.t_id == b.t_id == c.t_id and a.strand == c.strand != b.strand and lo <= b.t_start <= hi):
             return False
-        out.append((b.q_id, "INV", b.t_id, b.t_start, b.t_end, b.q_start, b.q_end))
+        emit("INV", b, (b.t_start, b.t_end), (b.q_start, b.q_end), b.score, b.mismap)
         return True
 
     def unsolved(a, kind: str) -> None:
-        out.append((a.q_id, kind, a.t_id, a.t_start, a.t_end, a.q_start, a.q_end))
+        emit(kind, a, (a.t_start, a.t_end), (a.q_start, a.q_end), a.score, a.mismap)
 
     held: list = []
     for c in by_query:
@@ -399,17 +405,21 @@ def by_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple]:
     return groupby(rows, key=itemgetter(*range(keys)))
 
 
-Alignment = namedtuple("Alignment", "q_id t_id t_start t_end q_start q_end strand")
+Alignment = namedtuple("Alignment", "q_id t_id t_start t_end q_start q_end strand score mismap", defaults=(None, None))
 
 
 #: Alignments beyond which a query is taken apart over several tasks.
 LONG_QUERY = 100_000
 
 
-def structural_calls(alignments: DataFrame, compat: bool = False, long_query: int = LONG_QUERY) -> DataFrame:
+def structural_calls(alignments: DataFrame, compat: bool = False, long_query: int = LONG_QUERY, evidence: bool = False) -> DataFrame:
     """Runs query by query over partitions sorted by query, where a query's alignments (one assembled
-    sequence's) are held one query at a time; queries of more than long_query alignments go by joins and scans (long_queries), unless compat."""
-    rows = alignments.select(F.col("q_id").cast("string"), F.col("t_id").cast("string"), *[F.col(c).cast("long") for c in Alignment._fields[2:6]], "strand")
+    sequence's) are held one query at a time; queries of more than long_query alignments go by joins and scans (long_queries), unless compat.
+    evidence: with the columns EVIDENCE; alignments have score and mismap then."""
+    more = [F.col("score").cast("long"), F.col("mismap").cast("double")] if evidence else [F.lit(None).cast("long").alias("score"), F.lit(None).cast("double").alias("mismap")]
+    rows = alignments.select(F.col("q_id").cast("string"), F.col("t_id").cast("string"), *[F.col(c).cast("long") for c in Alignment._fields[2:6]], "strand", *more)
+    names = [*CALL_COLUMNS, *EVIDENCE]
+    kinds = [pa.string()] * 3 + [pa.int64()] * 5 + [pa.float64(), pa.string(), pa.int64(), pa.int64()]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -418,12 +428,12 @@ def structural_calls(alignments: DataFrame, compat: bool = False, long_query: in
             if len(own) > 1:
                 out += call_query(own, compat)
             if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], CALL_COLUMNS)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], CALL_COLUMNS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    folded = lambda df: df.repartition("q_id").sortWithinPartitions("q_id", "q_start", "t_id", "t_start").mapInArrow(fold, CALLS)
+    folded = lambda df: df.repartition("q_id").sortWithinPartitions("q_id", "q_start", "t_id", "t_start").mapInArrow(fold, CALLS + "".join(f", {n} {k}" for n, k in EVIDENCE.items())).select(*(names if evidence else CALL_COLUMNS))
     if compat:
         return folded(rows)
     from varloom.operators import long_queries
@@ -432,7 +442,7 @@ def structural_calls(alignments: DataFrame, compat: bool = False, long_query: in
     if not sizes.where(F.col("n") > long_query).limit(1).count():
         return folded(rows)
     long = sizes.where(F.col("n") > long_query).select("q_id")
-    return folded(rows.join(long, "q_id", "left_anti")).unionByName(long_queries.calls(rows.join(long, "q_id", "left_semi")))
+    return folded(rows.join(long, "q_id", "left_anti")).unionByName(long_queries.calls(rows.join(long, "q_id", "left_semi")).select(*(names if evidence else CALL_COLUMNS)))
 
 
 def summary(df: DataFrame, key: str, length: str) -> DataFrame:

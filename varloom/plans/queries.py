@@ -741,6 +741,26 @@ def _(spark, d):
     return out.select("call_id", "type", "t_id", "t_start", "t_end", "q_start", "q_end", "strand", "ref", "alt", "is_good_realign", "gt", "filter")
 
 
+@_query("V08_detect")
+def _(spark, d):
+    """Alignment blocks and sequences as files, to variants: each text as a target; as a query without 20 bases of its middle, or with 13 others there."""
+    t = table(spark, d, "documents").where("length(text) >= 60").select("doc_id", F.translate(F.regexp_replace(F.upper("text"), "[^A-Z]", "E"), LETTERS, BASES.replace("-", "A")).alias("s")).withColumn("at", F.expr("length(s) div 2"))
+    gone = F.col("doc_id") % 2 == 0
+    left, rest = F.expr("left(s, at)"), F.when(gone, F.expr("substr(s, at + 21)")).otherwise(F.expr("substr(s, at + 1)"))
+    t = t.select("doc_id", "s", "at", left.alias("left"), rest.alias("rest"), F.when(gone, F.lit("")).otherwise(F.lit("ACCAGTTGCATTG")).alias("new"))
+    t = t.withColumn("q", F.concat("left", "new", "rest"))
+    record = lambda kind, seq: t.select(F.concat(F.lit(f">{kind}"), "doc_id", F.lit("\n"), F.regexp_replace(seq, "(.{60})", "$1\n")).alias("value"))
+    fa, fq = files.as_file(record("t", "s"), "fasta"), files.as_file(record("q", "q"), "fasta")
+    row = lambda kind, start, seq, whole: F.concat_ws(" ", F.lit("s"), F.concat(F.lit(kind), "doc_id"), start.cast("string"), F.length(seq).cast("string"), F.lit("+"), F.length(whole).cast("string"), seq)
+    block = lambda t_at, q_at, seq: F.concat_ws("\n", F.lit("a score=500 mismap=1e-05"), row("t", t_at, F.col(seq), "s"), row("q", q_at, F.col(seq), "q"), F.lit(""))
+    zero, end = F.lit(0), F.length("left") + F.length("new")
+    blocks = t.select(F.explode(F.array(block(zero, zero, "left"), block(F.length("s") - F.length("rest"), end, "rest"))).alias("value"))
+    maf = readers.read_maf(spark, files.as_file(blocks, "maf"))
+    size = lambda path: places.fasta_lengths(spark, path).select("id", "len")
+    out = realign.from_alignments(maf, places.fasta_pieces(spark, fa), places.fasta_pieces(spark, fq), size(fa), size(fq), flank_size=100)
+    return out.select("type", "t_id", "t_start", "t_end", "q_id", "q_start", "q_end", "strand", "ref", "alt", "is_good_realign", "gt", "filter")
+
+
 @_query("G13_smith_waterman")
 def _(spark, d):
     v = view(spark, d, "aligned").select(F.col("q_id").alias("pair_id"), F.regexp_replace("t_seq", "-", "").alias("a"), F.regexp_replace("q_seq", "-", "").alias("b"))
