@@ -571,3 +571,9 @@ def test_word_hashes_are_those_of_the_words():
     seen: dict = {}
     assert all(seen.setdefault(w, x) == x for w, x in zip(words, h, strict=True)) and len(set(h)) == len(set(words))
     assert len({w: 1 for w in words}) < len(words)
+
+
+def test_bpe_in_one_pass(docs):
+    from varloom.llm.bpe import bpe_decode, bpe_encode, bpe_round_trip
+
+    assert sorted(map(str, bpe_round_trip(docs).collect())) == sorted(map(str, bpe_decode(bpe_encode(docs)).collect()))

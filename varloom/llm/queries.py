@@ -84,9 +84,9 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from varloom.llm.bpe import bpe_decode, bpe_encode
+    from varloom.llm.bpe import bpe_round_trip
 
-    d = bpe_decode(bpe_encode(_table(spark, sf_dir, "documents")))
+    d = bpe_round_trip(_table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
