@@ -316,12 +316,12 @@ def test_conversations_with_odd_rows(spark, monkeypatch, block):
     roles = ["system", "user", "assistant", "user", "assistant", "tool", "", "s", None]
     texts = ["Yes.", "No!", "why", "", " \n", "A longer one? ", None, "é。", "Yes.\x1f"]
     rows = [(rng.choice([None, *range(40)]), rng.choice([None, *range(12)]), rng.choice(roles), rng.choice(texts)) for _ in range(500)]
-    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"there_": F.lit(1), "n": F.lit(2)}).repartition(3)
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"there": F.lit("x"), "n": F.lit(2), "audit": F.lit(0)}).repartition(3)
     dam = damaged(d)
     # the task's copy of the module has its own BLOCK, so the fold is called here
     if block != 512:
         k = 5
-        own = [r for r in C._own(dam).where("conv_id = 5").sort(*C.ORDER).collect()]
+        own = [r for r in C._own(dam, "there").where("conv_id = 5").sort(*C.ORDER).collect()]
         counts, ways = C.Counts(), {C.START: C.Way(0, "", hashlib.sha256(), True)}
         for turns, last in C._blocks((tuple(r) for r in own), counts):
             ways = C.forward(ways, turns, C.ACCEPTING if last else None)
@@ -329,14 +329,14 @@ def test_conversations_with_odd_rows(spark, monkeypatch, block):
         turns = damage(rows)[k]
         assert (way.cost, way.audit, way.text.hexdigest()) == (lambda x: (x[0], x[1], sha(x[2])))(plain_repair(turns, faults(turns)[1]))
         return
-    found = C.conversation_repair(dam)
+    found = C.conversation_repair(dam, "there")
     check_repairs(found.collect(), rows)
-    turns = C.repaired_turns(dam, found).collect()
+    turns = C.repaired_turns(dam, found, "there").collect()
     own: dict = {}
     for r in sorted(turns, key=lambda r: (str(r.conv_id), r.position)):
         own.setdefault(r.conv_id, []).append(f"{r.role}:{r.text}")
     assert all(sha("\n".join(own.get(r.conv_id, []))) == r.repaired_sha256 for r in found.collect())
-    assert C.conversation_repair(dam.where("false")).count() == 0
+    assert C.conversation_repair(dam.where("false"), "there").count() == 0
     assert C.conversation_repair(d).count() == found.count()
 
 

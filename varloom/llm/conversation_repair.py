@@ -219,9 +219,9 @@ def or_space(c: str | Column) -> Column:
     return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(" "))
 
 
-def _own(rows: DataFrame) -> DataFrame:
-    there = F.col("there") if "there" in rows.columns else F.lit(True)
-    return rows.select("conv_id", there.alias("there"), F.col("turn").cast("long").alias("turn"), or_space("role").alias("role"), or_space("text").alias("text"))
+def _own(rows: DataFrame, there: str | None) -> DataFrame:
+    here = F.coalesce(F.col(there), F.lit(False)) if there else F.lit(True)
+    return rows.select("conv_id", here.alias("there"), F.col("turn").cast("long").alias("turn"), or_space("role").alias("role"), or_space("text").alias("text"))
 
 
 def _arrow(df: DataFrame) -> pa.DataType:
@@ -233,19 +233,19 @@ def _arrow(df: DataFrame) -> pa.DataType:
 ORDER = ["conv_id", "there", "turn", "role", "text"]
 
 
-def conversation_repair(rows: DataFrame) -> DataFrame:
+def conversation_repair(rows: DataFrame, there: str | None = None) -> DataFrame:
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit and repaired_sha256 of every conversation of rows (conv_id, turn, role, text).
 
-    A column `there` (boolean), if rows have it, is false on rows that only say that the conversation exists."""
-    own = _own(rows)
+    there: a boolean column that is false on rows which only say that the conversation exists."""
+    own = _own(rows, there)
     kind, arrow = own.schema["conv_id"].dataType.simpleString(), _arrow(own)
     schema = f"conv_id {kind}, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
     return own.repartition("conv_id").sortWithinPartitions(*ORDER).mapInArrow(lambda it: _repair(it, arrow), schema)
 
 
-def repaired_turns(rows: DataFrame, repairs: DataFrame) -> DataFrame:
+def repaired_turns(rows: DataFrame, repairs: DataFrame, there: str | None = None) -> DataFrame:
     """conv_id, position (from 0), edit, role and text of the turns of repaired conversations. repairs: conversation_repair() of the rows, written."""
-    own = _own(rows).where("there").withColumn("there", F.lit(True))
+    own = _own(rows, there).where("there").withColumn("there", F.lit(True))
     audits = repairs.select("conv_id", F.lit(False).alias("there"), F.lit(None).cast("long").alias("turn"), F.lit("").alias("role"), F.col("audit").alias("text"))
     kind, arrow = own.schema["conv_id"].dataType.simpleString(), _arrow(own)
     schema = f"conv_id {kind}, position long, edit string, role string, text string"

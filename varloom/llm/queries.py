@@ -139,7 +139,7 @@ def damaged(conversations: DataFrame) -> DataFrame:
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varloom.llm.conversation_repair import conversation_repair
 
-    return conversation_repair(damaged(_table(spark, sf_dir, "conversations")))
+    return conversation_repair(damaged(_table(spark, sf_dir, "conversations")), "there")
 
 
 def queries() -> dict:
