@@ -243,6 +243,13 @@ def recalibrate(sites: DataFrame, features: list[str], seed: int = 1, starts: in
     return out.join(first.select("site", ((F.col("lod") < cut) & ~F.col("failing")).alias("negative")), "site").select("site", "training", "negative", "failing", "lod", "culprit")
 
 
+def culprit_points(df: DataFrame, score: str, features: list[str]) -> DataFrame:
+    """The points of each culprit's scatter plot: score and the culprit's own value, of training sites and others. df: culprit, training,
+    line_no, the score and the features."""
+    value = F.coalesce(*[F.when(F.col("culprit") == c, F.col(c).cast("double")) for c in features])
+    return df.where(F.col("culprit").isin(*features)).select("culprit", "training", "line_no", F.col(score).cast("double").alias("score"), value.alias("value"))
+
+
 def culprits(df: DataFrame) -> DataFrame:
     """How often each feature is the culprit, and the sites over each threshold."""
     return df.groupBy("culprit").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("lod") >= t).alias(f"lod{t}") for t in range(5)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # GT of a missing sample, and the chromosome order of the two builds.
@@ -112,15 +112,15 @@ def random_reads(points: DataFrame, reads: DataFrame) -> DataFrame:
 
 def random_points(spark, lengths: DataFrame, n: int, seed: int) -> DataFrame:
     """N seeded places, sequences by their length."""
-    total = lengths.orderBy("ref").select("ref", "len").collect()  # the sequence dictionary
-    size = sum(r.len for r in total)
-    at = F.floor(F.rand(seed) * size)
-    place, low = None, 0
-    for r in total:
-        row = F.struct(F.lit(r.ref).alias("ref"), (F.col("u") - low + 1).cast("long").alias("pos"))
-        place = F.when(F.col("u") < low + r.len, row) if place is None else place.when(F.col("u") < low + r.len, row)
-        low += r.len
-    return spark.range(n).select(at.alias("u")).select(place.alias("x")).select("x.*")
+    from varloom.operators.intervals import first_at_or_after
+
+    # the sequences end to end, a row each; a drawn place belongs to the first that ends at or after it
+    ends = lengths.where("len > 0").select("ref", "len", F.sum("len").over(Window.orderBy("ref").rowsBetween(Window.unboundedPreceding, 0)).alias("hit"))
+    size = lengths.agg(F.sum("len")).first()[0]
+    drawn = spark.range(n).select("id", (F.floor(F.rand(seed) * size) + 1).alias("pos"))
+    which = first_at_or_after(drawn.select(F.lit(0).alias("k"), "pos").distinct(), ends.select(F.lit(0).alias("k"), "hit", F.col("hit").alias("v")), "k", "pos", "hit", "v")
+    rows = drawn.join(which.select("pos", "hit"), "pos").join(ends, "hit")
+    return rows.select("ref", (F.col("pos") - F.col("hit") + F.col("len")).cast("long").alias("pos"))
 
 
 def support_per_read(reads: DataFrame, sites: DataFrame, clip: str = "clip") -> DataFrame:

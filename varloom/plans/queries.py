@@ -710,6 +710,100 @@ def _(spark, d):
     return support.supported_vcf(sites, calls, n, "s2").select("id", "alt", "format", "cell")
 
 
+def _tabbed(df: DataFrame, *cols: str) -> DataFrame:
+    return df.select(F.concat_ws("\t", *[F.expr(c).cast("string") for c in cols]).alias("value"))
+
+
+def _with_comment(lines: DataFrame) -> DataFrame:
+    return lines.sparkSession.createDataFrame([("# a comment",), ("",)], "value string").unionByName(lines)
+
+
+@_query("S12_training_sites", "SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS chrom, CAST(o_orderkey % 500 AS BIGINT) AS pos FROM orders")
+def _(spark, d):
+    lines = _tabbed(table(spark, d, "orders"), "o_custkey", "o_orderkey % 500", "'more'")
+    return readers.read_training(spark, files.as_file(_with_comment(lines), "sites"))
+
+
+@_query("S13_lengths", """SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS sample, 's' || s_suppkey AS scaffold, CAST(s_nationkey * 1000 AS BIGINT) AS len FROM supplier""")
+def _(spark, d):
+    t = table(spark, d, "supplier")
+    part = lambda n: files.as_file(_tabbed(t.where(F.col("s_suppkey") % 2 == n), "concat('s', s_suppkey)", "s_nationkey * 1000", "'x'", "0"), "lengths")
+    listed = spark.createDataFrame([(f"even\t{part(0)}",), (f"odd\t{part(1)}",)], "value string").coalesce(1)
+    return readers.read_lengths(spark, files.as_file(listed, "list"))
+
+
+@_query("S14_pedigree", "SELECT 'f' || c_nationkey AS family, 'c' || c_custkey AS child, 'a' || (c_custkey + 1) AS father, 'm' || (c_custkey + 2) AS mother, CAST(c_custkey % 2 AS VARCHAR) AS sex, '0' AS pheno FROM customer")
+def _(spark, d):
+    lines = _tabbed(table(spark, d, "customer"), "concat('f', c_nationkey)", "concat('c', c_custkey)", "concat('a', c_custkey + 1)", "concat('m', c_custkey + 2)", "c_custkey % 2", "0")
+    return readers.read_pedigree(spark, files.as_file(lines, "ped"))
+
+
+@_query("S17_gap_regions", 'SELECT CAST(t_id AS VARCHAR) AS name, t_start AS start, t_end AS "end" FROM intervals', "intervals")
+def _(spark, d):
+    return readers.read_regions(spark, files.as_file(_with_comment(_tabbed(view(spark, d, "intervals"), "t_id", "t_start", "t_end")), "gaps"))
+
+
+@_query("S19_variant_regions", "SELECT 't' || t_id AS t_id, t_start, t_end, 'q' || q_id AS q_id, q_start, q_end, type AS info FROM intervals", "intervals")
+def _(spark, d):
+    lines = _tabbed(view(spark, d, "intervals"), "concat('t', t_id)", "t_start", "t_end", "concat('q', q_id)", "q_start", "q_end", "type")
+    return readers.read_variant_regions(spark, files.as_file(_with_comment(lines), "regions"))
+
+
+@_query("P53_merged_header", """SELECT 'HD' AS kind, '@HD' || chr(9) || 'VN:1.0' AS value UNION ALL SELECT 'SQ', '@SQ' || chr(9) || 'SN:n' || n_nationkey || chr(9) || 'LN:' || (n_nationkey * 100 + 1) FROM nation UNION ALL SELECT 'RG', '@RG' || chr(9) || 'ID:r' || r_regionkey FROM region""")
+def _(spark, d):
+    """Headers of two files of reads that share most of their lines."""
+    hd = spark.createDataFrame([("@HD\tVN:1.0",)], "value string")
+    sq = table(spark, d, "nation").select(F.concat(F.lit("@SQ\tSN:n"), "n_nationkey", F.lit("\tLN:"), F.col("n_nationkey") * 100 + 1).alias("value"), "n_nationkey")
+    rg = table(spark, d, "region").select(F.concat(F.lit("@RG\tID:r"), "r_regionkey").alias("value"))
+    reads_ = files.sam_of(_reads(spark, d))
+    one = hd.unionByName(sq.where("n_nationkey < 20").select("value")).unionByName(rg).unionByName(reads_)
+    two = hd.unionByName(sq.where("n_nationkey > 5").select("value")).unionByName(rg)
+    return readers.read_sam_header(spark, [files.as_file(one, "sam"), files.as_file(two, "sam")])
+
+
+@_query("F18_log_bins", """, s AS (SELECT DISTINCT size * size * size AS n FROM sites WHERE size > 0), b AS (SELECT n, 10 AS base FROM s UNION ALL SELECT n, 2 FROM s),
+p AS (SELECT n, base, CAST(CASE WHEN n <= base THEN 0 ELSE (SELECT max(i) FROM range(1, 40) t(i) WHERE CAST(base AS DOUBLE) ** i < n) END AS INT) AS k FROM b)
+SELECT n, base, CASE WHEN k = 0 THEN '2' ELSE CAST(CAST(base AS DOUBLE) ** k AS BIGINT) + 1 || '' END || '-' || CAST(CAST(base AS DOUBLE) ** (k + 1) AS BIGINT) AS bin FROM p WHERE n > 1""", "sites")
+def _(spark, d):
+    n = view(spark, d, "sites").where("size > 0").select((F.col("size") * F.col("size") * F.col("size")).alias("n")).distinct().where("n > 1")
+    return n.select("n", F.lit(10).alias("base"), S.size_bin_log("n", 10).alias("bin")).unionByName(n.select("n", F.lit(2).alias("base"), S.size_bin_log("n", 2).alias("bin")))
+
+
+@_query("K07_split_output", """SELECT CASE WHEN filter = 'PASS' THEN 'kept' ELSE 'false' END AS part, chrom || chr(9) || start || chr(9) || line_no AS value FROM sites""", "sites")
+def _(spark, d):
+    lines = view(spark, d, "sites").select("filter", "chrom", "start", F.concat_ws("\t", F.col("chrom").cast("string"), F.col("start").cast("string"), F.col("line_no").cast("string")).alias("value"))
+    path = new_path(spark, "split")
+    writers.write_parts(lines, F.col("filter") == "PASS", path, "chrom", "start")
+    return spark.read.text(f"{path}/kept/lines").withColumn("part", F.lit("kept")).unionByName(spark.read.text(f"{path}/false/lines").withColumn("part", F.lit("false")))
+
+
+@_query("K10_qc_vcf", _ONCE + """, d AS (SELECT *, CASE WHEN nr * 6 > 0.5 OR inb <= -0.7 OR inb >= 0.7 THEN -1 WHEN size % 5 = 0 THEN -2 ELSE 1 END AS mark FROM once),
+f AS (SELECT *, CASE WHEN mark = -1 THEN 'FALSE' WHEN mark = -2 AND vq >= 30 THEN CASE WHEN filter IN ('.', 'PASS') THEN 'DUPLIC' ELSE 'DUPLIC;' || filter END WHEN vq >= 30 THEN 'PASS' ELSE 'q30' END AS decided FROM d)
+SELECT chrom || chr(9) || start || chr(9) || 'r' || line_no || chr(9) || 'A' || chr(9) || CASE size % 3 WHEN 0 THEN 'AC,G' WHEN 1 THEN 'AC' ELSE 'T' END || chr(9) || vq || chr(9) || decided || chr(9) || CASE WHEN size % 7 = 0 THEN 'AC=1' ELSE 'InbCoeff=' || inb || ';AC=1;NEG' END || ';SPN=' || (1 + size % 4) AS value FROM f""", "sites")
+def _(spark, d):
+    """Lines of a VCF file with the filter and the number of assemblies that QC gives them, joined by line number; without the samples' columns."""
+    v = _once(spark, d)
+    lines = places.numbered(spark, files.as_file(files.genotyped_vcf_of(v), "vcf"))
+    mark = qc.bad_mark(F.col("nr") * 6, F.col("inb"))
+    v = v.select(F.concat(F.lit("r"), "line_no").alias("id"), F.when((mark == 1) & (F.col("size") % 5 == 0), -2).otherwise(mark).alias("mark"), "vq", F.col("filter").alias("old"), (1 + F.col("size") % 4).alias("samples"))
+    own = lines.where("value not like '#%'").select("line_no", F.get(F.split("value", "\t"), F.lit(2)).alias("id"))
+    decided = own.join(v, "id").select("line_no", qc.filter_decision(F.col("mark"), F.col("vq"), 30, F.col("old")).alias("filter"), "samples")
+    return writers.qc_lines(lines, decided).select(F.array_join(F.slice(F.split("value", "\t"), 1, 8), "\t").alias("value"))
+
+
+@_query("A40_culprit_points", """, t AS (SELECT line_no, vq, size, nr, filter = 'PASS' AS training, CASE WHEN size % 2 = 0 THEN 'size' ELSE 'nr' END AS culprit FROM sites) SELECT culprit, training, line_no, CAST(vq AS DOUBLE) AS score, CAST(CASE culprit WHEN 'size' THEN size ELSE nr END AS DOUBLE) AS value FROM t""", "sites")
+def _(spark, d):
+    v = view(spark, d, "sites").select("line_no", "vq", "size", "nr", (F.col("filter") == "PASS").alias("training"), F.when(F.col("size") % 2 == 0, "size").otherwise("nr").alias("culprit"))
+    return recalibrate.culprit_points(v, "vq", ["size", "nr"])
+
+
+@_query("P48_converted_types", """, c AS (SELECT line_no, q_id, t_start % 3 AS t, q_start % 3 AS q, score % 2 = 0 AS simul FROM intervals)
+SELECT line_no, q_id, CASE WHEN t > 0 AND q = 0 THEN CASE WHEN simul THEN 'SDEL' ELSE 'DEL' END WHEN t = 0 AND q > 0 THEN CASE WHEN simul THEN 'SINS' ELSE 'INS' END WHEN t = 1 AND q = 1 THEN 'SNP' WHEN t = q THEN 'BSubstitution' ELSE 'SimulGap' END AS type FROM c""", "intervals")
+def _(spark, d):
+    v = view(spark, d, "intervals").select("line_no", "q_id", (F.col("t_start") % 3).alias("t_gap"), (F.col("q_start") % 3).alias("q_gap"), (F.col("score") % 2 == 0).alias("simul"))
+    return v.select("line_no", "q_id", support.converted_type(v).alias("type"))
+
+
 @_query("M13_recalibrate")
 def _(spark, d):
     v = view(spark, d, "sites").select(F.col("line_no").alias("site"), (F.col("filter") == "PASS").alias("training"), F.col("size").cast("double").alias("size"), F.col("vq").cast("double").alias("vq"), "nr")
