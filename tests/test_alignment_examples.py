@@ -56,3 +56,124 @@ def test_places_of_unique_breakpoints():
     assert [first(4)[e] for e in ends] == [1, 11, 23, 53, 1, 11, 13, 42]
     turned = first(8)
     assert turned["strand"] == "-" and [turned[e] for e in ends] == [1, 8, 15, 40, 45, 38, 27, 1]
+
+
+# The published texts of examples 2, 3 and 8, from the score on.
+TEXTS = {
+    2: """Score:          27
+Aligned:        32        nucs
+Identic:        30 ( 94%) nucs =>         7 (100%)        23 ( 92%)
+Gaps:            2 (  6%) nucs
+
+Alignment:
+ first  seq =>  [1,7] EXCISED REGION [14,38]
+ second seq =>  [1,7] EXCISED REGION [14,36]
+
+EXCISED REGION(S):
+ first  seq =>         6 nucs [8,13]
+ second seq =>         6 nucs [8,13]
+
+Identity at breakpoints: 
+ first  seq =>         0 nucs
+ second seq =>         0 nucs
+Identity outside breakpoints: 
+ first  seq =>         1 nucs [7,7] to [14,14]
+ second seq =>         1 nucs [7,7] to [14,14]
+Identity inside breakpoints: 
+ first  seq =>         3 nucs [8,10] to [11,13]
+ second seq =>         3 nucs [8,10] to [11,13]
+
+        1 AGCCGGA 7
+          |||||||
+        1 AGCCGGA 7
+
+EXCISED REGION
+
+       14 ACACTCAGCCCCGTTTTACCCCTCC 38
+          ||||||||||||||||  |||||||
+       14 ACACTCAGCCCCGTTT--CCCCTCC 36
+""",
+    3: """Score:          46
+Aligned:        49        nucs
+Identic:        48 ( 98%) nucs =>        14 (100%)        34 ( 97%)
+Gaps:            1 (  2%) nucs
+
+Alignment:
+ first  seq =>  [1,14] EXCISED REGION [28,62]
+ second seq =>  [1,14] EXCISED REGION [17,50]
+
+EXCISED REGION(S):
+ first  seq =>        13 nucs [15,27]
+ second seq =>         2 nucs [15,16]
+
+Identity at breakpoints: 
+ first  seq =>         2 nucs [15,16] to [28,29]
+ second seq =>         0 nucs
+Identity outside breakpoints: 
+ first  seq =>         0 nucs
+ second seq =>         0 nucs
+Identity inside breakpoints: 
+ first  seq =>         0 nucs
+ second seq =>         1 nucs [15,15] to [16,16]
+
+        1 TCTCTCTCAGCCGG 14
+          ||||||||||||||
+        1 TCTCTCTCAGCCGG 14
+
+EXCISED REGION
+
+       28 AGCCCCGTTTTACCCCTCCACTGGACCAAAAAAAA 62
+          |||||||||||| ||||||||||||||||||||||
+       17 AGCCCCGTTTTA-CCCTCCACTGGACCAAAAAAAA 50
+""",
+    8: """Score:          32
+Aligned:        35        nucs
+Identic:        34 ( 97%) nucs =>         8 (100%)        26 ( 96%)
+Gaps:            1 (  3%) nucs
+
+Alignment:
+ first  seq =>  [ 1, 8] EXCISED REGION [15,40]
+ second seq =>  [45,38] EXCISED REGION [27, 1]
+
+EXCISED REGION(S):
+ first  seq =>         6 nucs [9,14]
+ second seq =>        10 nucs [37,28]
+
+Identity at breakpoints: 
+ first  seq =>         0 nucs
+ second seq =>         4 nucs [39,36] to [29,26]
+Identity outside breakpoints: 
+ first  seq =>         2 nucs [7,8] to [15,16]
+ second seq =>         2 nucs [39,38] to [27,26]
+Identity inside breakpoints: 
+ first  seq =>         3 nucs [9,11] to [12,14]
+ second seq =>         5 nucs [37,33] to [32,28]
+
+        1 AGCCGGAG 8
+          ||||||||
+       45 AGCCGGAG 38
+
+EXCISED REGION
+
+       15 AGACACTCAGCCCC-TTTTACCCCTCC 40
+          |||||||||||||| ||||||||||||
+       27 AGACACTCAGCCCCGTTTTACCCCTCC 1
+""",
+}
+
+
+@pytest.mark.parametrize("n", TEXTS)
+def test_published_text(n):
+    from varloom.operators.align_text import text_of
+
+    a, b = EXAMPLES[n - 2][3:]
+    (r,) = align.excised([a], [b], align.Scores(1, -2, -2, -1), n == 8, True, True)
+    assert text_of(a, r) == TEXTS[n]
+
+
+def test_texts_of_a_table(spark):
+    from varloom.operators.align_text import alignment_text
+
+    rows = [("x", *EXAMPLES[1][3:]), ("none", "", "ACGT"), ("long", "ACGT" * 40, "ACGT" * 40)]
+    got = {r.pair_id: r.value for r in alignment_text(spark.createDataFrame(rows, "pair_id string, a string, b string"), align.Scores(1, -2, -2, -1)).collect()}
+    assert got["x"] == TEXTS[3] and got["none"] is None and max(map(len, got["long"].splitlines())) <= 75

@@ -72,14 +72,15 @@ def tables(x: np.ndarray, y: np.ndarray, sc: Scores) -> np.ndarray:
     return score
 
 
-def trace(score: np.ndarray, x: np.ndarray, y: np.ndarray, i: int, j: int, sc: Scores) -> list[tuple[int, int]]:
+def trace(score: np.ndarray, x: np.ndarray, y: np.ndarray, i: int, j: int, sc: Scores, gaps_first: bool = False) -> list[tuple[int, int]]:
     """Aligned columns (1-based positions, 0 for a gap) that end at i, j, from left to right; a column before a gap up (in b),
-    that before one to the left. x, y: the pair's codes."""
+    that before one to the left; gaps_first: the column last of them, so gaps stand as near to i, j as they can. x, y: the pair's codes."""
     out = []
     a, b = x.tolist(), y.tolist()
     while i and j and (here := int(score[i, j])) > 0:
         c, d = a[i - 1], b[j - 1]
-        if score[i - 1, j - 1] + ((sc.match if c == d else sc.mismatch) if c and d else 0) == here:
+        column = score[i - 1, j - 1] + ((sc.match if c == d else sc.mismatch) if c and d else 0) == here
+        if column and not gaps_first:
             out.append((i, j))
             i, j = i - 1, j - 1
             continue
@@ -88,10 +89,15 @@ def trace(score: np.ndarray, x: np.ndarray, y: np.ndarray, i: int, j: int, sc: S
             k = int(ups[0]) + 1
             out += [(i - q, 0) for q in range(k)]
             i -= k
-        else:
-            k = int(np.flatnonzero(score[i, :j][::-1] + (sc.gap + np.arange(j) * sc.extend) == here)[0]) + 1
+            continue
+        lefts = np.flatnonzero(score[i, :j][::-1] + (sc.gap + np.arange(j) * sc.extend) == here)
+        if len(lefts):
+            k = int(lefts[0]) + 1
             out += [(0, j - q) for q in range(k)]
             j -= k
+        else:
+            out.append((i, j))
+            i, j = i - 1, j - 1
     return out[::-1]
 
 
@@ -184,25 +190,29 @@ def excised_range(left_end: int, right_start: int, mode: str = "indel") -> tuple
 def breakpoints(a: str, left_end: int, right_start: int) -> dict:
     """G07, G08, indel mode: homology at, outside and inside the breakpoints of one sequence, and the hulls of where its
     first and its last excised place may lie (0, 0 without homology)."""
+    found = homologies(a, left_end, right_start)
+    out = {k: found[k][0] for k in found} | {"start_lo": 0, "start_hi": 0, "end_lo": 0, "end_hi": 0}
+    spans = [v[1:] for v in found.values() if v[0]]
+    if spans:
+        lo1, hi1, lo2, hi2 = zip(*spans, strict=True)
+        out |= {"start_lo": min(lo1), "start_hi": max(hi1), "end_lo": min(lo2), "end_hi": max(hi2)}
+    return out
+
+
+def homologies(a: str, left_end: int, right_start: int) -> dict[str, tuple[int, ...]]:
+    """At, outside and inside the breakpoints: how many bases agree, and the first and last place of either run of them."""
     s, e = excised_range(left_end, right_start)
-    out = {"at": 0, "outside": 0, "inside": 0, "start_lo": 0, "start_hi": 0, "end_lo": 0, "end_hi": 0}
-    spans = []
+    out: dict[str, tuple[int, ...]] = {"at": (0,), "outside": (0,), "inside": (0,)}
     if s - 1 < right_start - 1:
         back, ahead = homology_at(a, s - 1, right_start - 1)
-        out["at"] = back + ahead
         if back + ahead:
-            spans.append((s - back, s + ahead - 1, right_start - back, right_start + ahead - 1))
+            out["at"] = back + ahead, s - back, s + ahead - 1, right_start - back, right_start + ahead - 1
     if left_end < right_start and (n := homology_of(a[:left_end], a[right_start - 1 :])):
-        out["outside"] = n
-        spans.append((left_end - n + 1, left_end, right_start, right_start + n - 1))
+        out["outside"] = n, left_end - n + 1, left_end, right_start, right_start + n - 1
     if s < e:
         half = (e - s + 1) // 2
         if n := homology_of(a[e - half : e], a[s - 1 : s - 1 + half]):
-            out["inside"] = n
-            spans.append((s, s + n - 1, e - n + 1, e))
-    if spans:
-        lo1, hi1, lo2, hi2 = zip(*spans, strict=True)
-        out |= {"start_lo": min(lo1), "start_hi": max(hi1), "end_lo": min(lo2), "end_hi": max(hi2)}
+            out["inside"] = n, s, s + n - 1, e - n + 1, e
     return out
 
 
@@ -211,10 +221,10 @@ def excise(a: str, b: str, sc: Scores) -> dict | None:
     return excised([a], [b], sc)[0]
 
 
-def excised(a: list[str], b: list[str], sc: Scores, both: bool = False, joins: bool = False) -> list[dict | None]:
+def excised(a: list[str], b: list[str], sc: Scores, both: bool = False, joins: bool = False, columns: bool = False) -> list[dict | None]:
     """G03 to G09, indel mode, of pairs that all have the same two lengths: the two fragments around one excised region, or
     None without a common base. both: on both strands of b the better one, the given strand on ties. joins: with all breakpoints of
-    the best score (alternatives)."""
+    the best score (alternatives). columns: with the fragments' columns and b as it was aligned."""
     if not a[0] or not b[0]:
         return [None] * len(a)
     n, m = len(a[0]), len(b[0])
@@ -241,9 +251,11 @@ def excised(a: list[str], b: list[str], sc: Scores, both: bool = False, joins: b
             continue
         best, strand, at, s, f, r, z = one
         i, j = divmod(at, m + 1)
-        left = trace(f, x[k], z, *_where(f, i, j), sc)
-        right = [(n + 1 - p if p else 0, m + 1 - q if q else 0) for p, q in reversed(trace(r, x[k, ::-1], z[::-1], *_where(r, n - i, m - j), sc))]
+        left = trace(f, x[k], z, *_where(f, i, j), sc, columns)
+        right = [(n + 1 - p if p else 0, m + 1 - q if q else 0) for p, q in reversed(trace(r, x[k, ::-1], z[::-1], *_where(r, n - i, m - j), sc, columns))]
         got = report(left, right, a[k], s, best) | {"strand": strand}
+        if columns:
+            got["columns"], got["b"] = (left, right), s
         if strand == "-":
             for e in ("left_b_start", "left_b_end", "right_b_start", "right_b_end", "b_start_lo", "b_start_hi", "b_end_lo", "b_end_hi"):
                 if got[e]:

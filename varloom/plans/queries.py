@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions import scalars as S
 from varloom.functions import tables
-from varloom.operators import align, genotype, intervals, pileup, qc, reads, realign, recalibrate, support, variants
+from varloom.operators import align, align_text, genotype, intervals, pileup, qc, reads, realign, recalibrate, support, variants
 from varloom.plans import files
 from varloom.plans.views import BASES, LETTERS, lengths, sql, table, view
 from varloom.sources import bam, places, readers, regions, writers
@@ -644,6 +644,11 @@ def _(spark, d):
     return spark.sql("SELECT * FROM realign(TABLE(SELECT pair_id, a, b FROM {p}) PARTITION BY pmod(hash(pair_id), 64) ORDER BY (length(a), length(b)))", p=_read_pairs(spark, d))
 
 
+@_query("K05_alignment_text")
+def _(spark, d):
+    return align_text.alignment_text(_read_pairs(spark, d), align.Scores())
+
+
 @_query("G03_breakpoints")
 def _(spark, d):
     return align.gap_breakpoints(_read_pairs(spark, d), align.Scores())
