@@ -219,3 +219,21 @@ def test_region_queries_read_fewer_files(spark, tmp_path):
         assert sorted(r.i for r in both.collect()) == sorted(i for ref, s, e, i in rows if (ref == "c1" and s <= 2_000_000) or (ref == "c2" and e >= 40_000_000))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_letters_of_no_nucleotide_fail_on_demand(spark, tmp_path):
+    from varloom.sources import places
+
+    (tmp_path / "x.fa").write_text(">a\nACGTN\nRYK\n>b\nAC*T\n")
+    assert places.fasta_pieces(spark, str(tmp_path / "x.fa"), only=["a"], check=True).collect()[0].seq == "ACGTNRYK"
+    with pytest.raises(Exception, match="not nucleotides in b"):
+        places.fasta_pieces(spark, str(tmp_path / "x.fa"), check=True).collect()
+
+
+def test_alignment_blocks_of_several_files(spark, tmp_path):
+    from varloom.sources.readers import read_maf
+
+    block = "a score=5 mismap=0.5\ns t 0 4 + 9 ACGT\ns q 1 4 - 9 ACGA\n\n"
+    (tmp_path / "a.maf").write_text(block)
+    (tmp_path / "b.maf").write_text(block * 2)
+    assert read_maf(spark, [str(tmp_path / "a.maf"), str(tmp_path / "b.maf")]).count() == 3

@@ -809,6 +809,38 @@ def _(spark, d):
     return v.select("line_no", "q_id", support.converted_type(v).alias("type"))
 
 
+@_query("P30_length_type", """SELECT p_partkey, CASE WHEN length(p_name) > length(p_brand) THEN '1.INS' WHEN length(p_name) < length(p_brand) THEN '2.DEL' WHEN length(p_brand) = 1 THEN '4.SNP' ELSE '3.MNP' END AS type,
+CAST(CASE WHEN length(p_name) = length(p_brand) THEN length(p_brand) ELSE abs(length(p_name) - length(p_brand)) END AS INT) AS size FROM part""")
+def _(spark, d):
+    kind, size = variants.length_type(F.col("p_brand"), F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", kind.alias("type"), size.alias("size"))
+
+
+@_query("J03_without_no_solution", """SELECT line_no, q_id, q_start, q_end FROM intervals a WHERE type <> 'DEL' AND NOT EXISTS (SELECT 1 FROM intervals b WHERE b.type = 'DEL' AND b.q_id = a.q_id AND a.q_start <= b.q_end AND a.q_end >= b.q_start)""", "intervals")
+def _(spark, d):
+    v = view(spark, d, "intervals").select("line_no", "q_id", "q_start", "q_end", "type")
+    return variants.without_no_solution(v.where("type != 'DEL'"), v.where("type = 'DEL'")).select("line_no", "q_id", "q_start", "q_end")
+
+
+@_query("J10_scored_lines", _ONCE + """ SELECT CAST(chrom AS VARCHAR) AS chrom, start AS pos, 'r' || line_no AS id, vq / 4.0 AS lod FROM once""", "sites")
+def _(spark, d):
+    """Scores back onto the lines of a VCF file, by chromosome, position and line number."""
+    lines, _, _ = _genotyped(spark, d)
+    scores = lines.select("chrom", "pos", "line_no", (F.col("qual") / 4.0).alias("lod"))
+    return support.scored_lines(lines.select("line_no", "chrom", "pos", "id"), scores).select("chrom", "pos", "id", "lod")
+
+
+@_query("O04_05_listed_order", "SELECT line_no, type, CAST(CASE type WHEN '4.SNP' THEN 1 ELSE 2 END AS INT) AS place FROM sites WHERE type IN ('4.SNP', '1.INS')", "sites")
+def _(spark, d):
+    out = readers.in_order_of(view(spark, d, "sites"), "type", ["4.SNP", "1.INS"], "line_no")
+    return out.select("line_no", "type", F.array_position(F.array(F.lit("4.SNP"), F.lit("1.INS")), F.col("type")).cast("int").alias("place"))
+
+
+@_query("O06_restored_order", "SELECT line_no, chrom, start FROM sites", "sites")
+def _(spark, d):
+    return qc.restore_order(readers.ordered(view(spark, d, "sites"), "chrom", "start")).select("line_no", "chrom", "start")
+
+
 @_query("M13_recalibrate")
 def _(spark, d):
     v = view(spark, d, "sites").select(F.col("line_no").alias("site"), (F.col("filter") == "PASS").alias("training"), F.col("size").cast("double").alias("size"), F.col("vq").cast("double").alias("vq"), "nr")

@@ -86,11 +86,15 @@ def fasta_lengths(spark: SparkSession, paths: Paths) -> DataFrame:
     return out.select(F.col("file").alias("fa"), "id", "len", "n_len")
 
 
-def fasta_pieces(spark: SparkSession, paths: Paths, size: int = 10_000, overlap: int = 600, only: list[str] | None = None) -> DataFrame:
+def fasta_pieces(spark: SparkSession, paths: Paths, size: int = 10_000, overlap: int = 600, only: list[str] | None = None, check: bool = False) -> DataFrame:
     """(id, chunk, start, seq): records as overlapping pieces, put together from their lines, so that no row holds more than a piece
-    or a line. only: these ids (S06). A line of a whole sequence is cut by bytes."""
+    or a line. only: these ids (S06). check: letters that stand for no nucleotide are an error (S08). A line of a whole sequence is cut by bytes."""
     rows = _scanned(spark, paths).where("n > 0")
     rows = rows if only is None else rows.where(F.col("id").isin(*only))
+    if check:
+        from varloom.functions.scalars import is_nucleotides
+
+        rows = rows.where(F.when(is_nucleotides("bases"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not nucleotides in "), "id")).cast("boolean")))
     first = F.greatest(F.lit(0), F.floor((F.col("at") - overlap) / size))
     chunks = F.sequence(first.cast("long"), F.floor((F.col("at") + F.col("n") - 1) / size).cast("long"))
     lo = lambda k: F.greatest(F.col("at"), k * size)
