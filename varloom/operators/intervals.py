@@ -58,6 +58,11 @@ def buckets(df: DataFrame, value: str, most: int = 256) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(value))) if cuts else F.lit(0)
 
 
+def hulls(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """F16: first start and last end of each key's intervals."""
+    return df.groupBy(*keys).agg(F.min(start).alias("first"), F.max(end).alias("second"))
+
+
 def covered_length(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Length of the union of the intervals of each key."""
     rows = before(df, keys, start, [start, end], {"_reach": ("max", F.col(end))})

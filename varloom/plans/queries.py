@@ -1231,8 +1231,7 @@ def _(spark, d):
 
 @_query("F16_hull", " SELECT q_id, min(t_start) AS first, max(t_end) AS second FROM intervals GROUP BY q_id", "intervals")
 def _(spark, d):
-    g = view(spark, d, "intervals").groupBy("q_id").agg(F.collect_list(F.struct(F.col("t_start").alias("first"), F.col("t_end").alias("second"))).alias("v"))  # a query's alignments
-    return g.select("q_id", S.hull("v").alias("h")).select("q_id", "h.*")
+    return intervals.hulls(view(spark, d, "intervals"), ["q_id"], "t_start", "t_end")
 
 
 @_query("F22_places", """SELECT p_partkey, CAST(p_size AS BIGINT) - 1 AS v_first, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS BIGINT) + 9 ELSE CAST(p_size AS BIGINT) - 1 + length(p_brand) END AS v_last, CAST(p_size AS BIGINT) - 1 AS s_first, CAST(p_size AS BIGINT) - 1 + CASE WHEN p_size % 3 = 0 THEN 1 ELSE p_size + 12 END AS s_last FROM part""")

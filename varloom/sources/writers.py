@@ -120,6 +120,7 @@ def coverage_lines(spans: DataFrame, total: DataFrame) -> DataFrame:
 
 def qc_header(lines: DataFrame, threshold: float) -> DataFrame:
     """Header lines (line_no, value) with the filters after ##fileformat and SPN before #CHROM."""
+    # The texts of these header lines.
     more = [("DUPLIC", "Duplication variants. Don't need to keep them!"), ("FALSE", "unconfident variant"), (f"q{threshold:g}", f"Variant quality below {threshold:g}")]
     after = F.when(F.col("value").startswith("##fileformat"), F.array(F.col("value"), *[F.lit(f'##FILTER=<ID={k},Description="{d}">') for k, d in more]))
     spn = F.lit('##INFO=<ID=SPN,Number=1,Type=Integer,Description="The count of assambly which support this variant region">')
