@@ -11,7 +11,7 @@ duckdb = pytest.importorskip("duckdb")
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no driver tables")
-@pytest.mark.parametrize("name", ["op1_decontaminate", "op4_quality_rules", "op5_secret_scan", "op8_substring_dedup"])
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op4_quality_rules", "op5_secret_scan", "op8_substring_dedup", "op13_conversation_repair"])
 def test_matches_sql(spark, name):
     from varloom.llm import queries
 

@@ -74,4 +74,30 @@ a AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live FROM documents LEFT JOIN a USING (doc_id)"""
 
 
-SQL = {"op1_decontaminate": OP1, "op4_quality_rules": quality_sql(), "op5_secret_scan": secrets_sql(), "op8_substring_dedup": OP8}
+#: The edit lattice turn by turn: for each state the least (cost, audit), with the repaired lines. crc32 bit by bit, over keys of ASCII.
+OP13 = r"""
+WITH RECURSIVE s AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(substr(key, i, 1)) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda k: CAST(0 AS BIGINT))), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END)), CAST(4294967295 AS BIGINT)) % 20 AS way FROM s),
+d AS (SELECT conv_id, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role, CASE way WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM h, range(2) t(copy) WHERE way <> 0 AND (copy = 0 OR way = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS words FROM d),
+f AS (SELECT *, CASE WHEN words = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(words, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS kind,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+c AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (kind = 'blank') AS blank, count(*) FILTER (kind = 'duplicate') AS duplicate, count(*) FILTER (kind = 'truncated') AS truncated,
+  count(*) FILTER (i > 1 AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+a AS (SELECT DISTINCT conv_id FROM conversations),
+g(state, role, after) AS (VALUES (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)),
+n0 AS (SELECT state, state AS to_state, '' AS edits, 0 AS cost, CAST([] AS VARCHAR[]) AS lines FROM g UNION ALL SELECT state, after, 'I', 2, [role || ':'] FROM g UNION ALL SELECT x.state, y.after, 'II', 4, [x.role || ':', y.role || ':'] FROM g x JOIN g y ON y.state = x.after),
+w AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, {'cost': 0, 'audit': '', 'lines': CAST([] AS VARCHAR[])} AS best FROM a
+UNION ALL SELECT conv_id, i, state, min(best) FROM (
+  SELECT w.conv_id, f.i, e.edit, CASE WHEN e.edit = 'D' THEN n0.to_state WHEN e.edit = 'K' AND left(f.role, 1) = 's' THEN 1 ELSE g.after END AS state,
+    {'cost': w.best.cost + n0.cost + CASE e.edit WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN e.edit <> 'D' AND f.kind = 'truncated' THEN 1 ELSE 0 END, 'audit': w.best.audit || n0.edits || e.edit,
+     'lines': list_concat(list_concat(w.best.lines, n0.lines), CASE e.edit WHEN 'D' THEN CAST([] AS VARCHAR[]) WHEN 'K' THEN [f.role || ':' || f.text] ELSE [g.role || ':' || f.text] END)} AS best
+  FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 JOIN n0 ON n0.state = w.state JOIN g ON g.state = n0.to_state, (VALUES ('D'), ('K'), ('R')) e(edit)
+  WHERE e.edit = 'D' OR f.kind NOT IN ('blank', 'duplicate') AND (e.edit = 'R' OR left(f.role, 1) = left(g.role, 1) OR left(f.role, 1) = 's' AND n0.to_state = 0)) GROUP BY conv_id, i, state),
+z AS (SELECT w.conv_id, min({'cost': w.best.cost + n0.cost, 'audit': w.best.audit || n0.edits, 'lines': list_concat(w.best.lines, n0.lines)}) AS best FROM w LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM w.conv_id JOIN n0 ON n0.state = w.state
+  WHERE w.i = coalesce(c.n, 0) AND n0.to_state IN (0, 3) GROUP BY w.conv_id)
+SELECT z.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+CAST(z.best.cost AS BIGINT) AS cost, z.best.audit AS audit, sha256(array_to_string(z.best.lines, chr(10))) AS repaired_sha256 FROM z LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM z.conv_id"""
+
+SQL = {"op1_decontaminate": OP1, "op4_quality_rules": quality_sql(), "op5_secret_scan": secrets_sql(), "op8_substring_dedup": OP8, "op13_conversation_repair": OP13}
