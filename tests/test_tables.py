@@ -102,3 +102,20 @@ def test_bias_and_likelihoods_of_a_plain_twin():
                     assert abs(p - int(-10 * math.log10(total * post * k) + 0.5)) <= 1  # a rounding apart at most
     # a posterior of zero counts as nearly one: the sample's likelihood over the weight
     assert genotype.phred_likelihoods(np.array([[-800.0, -1.0]])).tolist() == [[int(10 / math.log(10) + 0.5)] * 2]
+
+
+def test_pairs_of_similar_lengths_are_aligned_together():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ACGTNa") for _ in range(rng.randint(0, 40))) for _ in range(240)]
+    a, b = texts[:120], [x[: len(x) // 3] + y[: len(y) // 4] + x[len(x) // 2 :] for x, y in zip(texts[:120], texts[120:], strict=True)]
+    b = [align.turned(s) if k % 3 == 0 else s for k, s in enumerate(b)]
+    groups = list(align.similar(a, b))
+    assert sorted(k for g in groups for k in g) == list(range(120)) and len(groups) < 60
+    assert len(list(align.similar(["A" * (50 + k % 9) for k in range(900)], ["A" * (49 + k % 11) for k in range(900)]))) < 20
+    for sc in (align.Scores(1, -2, -2, -1), align.Scores()):
+        fields, there, strand = align.excised_table(a, b, sc, both=True)
+        for k, (x, y) in enumerate(zip(a, b, strict=True)):
+            one = align.excised([x], [y], sc, both=True, columns=True)[0]  # traced and reported by itself
+            assert there[k] == (one is not None)
+            if one:
+                assert {f: int(fields[f][k]) for f in align.FIELDS} == {f: one[f] for f in align.FIELDS} and strand[k] == one["strand"]

@@ -3,8 +3,8 @@
     SELECT * FROM site_genotype(TABLE(SELECT site, sample, rr, aa FROM evidence) PARTITION BY site ORDER BY sample)
     SELECT * FROM realign(TABLE(SELECT pair_id, a, b FROM pairs) PARTITION BY pmod(hash(pair_id), 64) ORDER BY (length(a), length(b)))
 
-A site is a partition, as its samples are genotyped together; pairs may be dealt in any way, those of equal lengths that come one after the other
-are aligned together.
+A site is a partition, as its samples are genotyped together; pairs may be dealt in any way, some thousands that come one after the other are
+sorted by lengths and aligned together.
 """
 
 from __future__ import annotations
@@ -55,6 +55,10 @@ class SiteGenotype:
                 yield (site, r[1], gt, gq, pl, converged, True) if ok else (site, r[1], "./.", 0, ".", converged, False)  # P27
 
 
+#: Pairs, and their bases, that are held to be aligned together.
+MOST_HELD, MOST_BASES = 4_096, 4_000_000
+
+
 class Realign:
     """G01 to G09 for SQL: gap excision of pairs (pair_id, a, b), as gap_excision gives it. options: a JSON text with match, mismatch, gap, extend
     and both."""
@@ -69,15 +73,15 @@ class Realign:
 
     def __init__(self) -> None:
         self.held: list[tuple] = []
+        self.bases = 0
         self.options = "{}"
 
     def eval(self, row: Row, options: str = "{}") -> Iterator[tuple]:
         self.options = options or "{}"
-        a, b = row["a"] or "", row["b"] or ""
-        full = self.held and ((len(self.held[0][1]), len(self.held[0][2])) != (len(a), len(b)) or (len(self.held) + 1) * (len(a) + 1) * (len(b) + 1) > align.MOST_CELLS)
-        if full:
+        self.held.append((row["pair_id"], row["a"] or "", row["b"] or ""))
+        self.bases += len(self.held[-1][1]) + len(self.held[-1][2])
+        if len(self.held) == MOST_HELD or self.bases > MOST_BASES:
             yield from self._out()
-        self.held.append((row["pair_id"], a, b))
 
     def terminate(self) -> Iterator[tuple]:
         if self.held:
@@ -86,10 +90,11 @@ class Realign:
     def _out(self) -> Iterator[tuple]:
         own = json.loads(self.options)
         both = bool(own.pop("both", False))
-        found = align.excised([r[1] for r in self.held], [r[2] for r in self.held], align.Scores(**own), both)
-        for (pair_id, _, _), r in zip(self.held, found, strict=True):
-            yield (pair_id, *((int(r[f]) for f in align.FIELDS) if r else [None] * len(align.FIELDS)), r["strand"] if r else None)
-        self.held = []
+        fields, there, strand = align.excised_table([r[1] for r in self.held], [r[2] for r in self.held], align.Scores(**own), both)
+        none = [None] * len(align.FIELDS)
+        for (pair_id, _, _), on, side, *row in zip(self.held, there.tolist(), strand, *(fields[f].tolist() for f in align.FIELDS), strict=True):
+            yield (pair_id, *(row if on else none), side)
+        self.held, self.bases = [], 0
 
 
 def register(spark: SparkSession) -> None:
