@@ -237,3 +237,15 @@ def test_alignment_blocks_of_several_files(spark, tmp_path):
     (tmp_path / "a.maf").write_text(block)
     (tmp_path / "b.maf").write_text(block * 2)
     assert read_maf(spark, [str(tmp_path / "a.maf"), str(tmp_path / "b.maf")]).count() == 3
+
+
+def test_region_tables_of_many_sequences_are_few_files(spark, tmp_path):
+    """A folder per sequence and bin, dealt by start, was tens of thousands of files for 600,000 rows of 1000 sequences."""
+    from varloom.sources import regions
+
+    df = spark.range(6000).selectExpr("concat('c', id % 1000) as ref", "id * 1500 + 1 as start", "id * 1500 + 40 as end", "id as i")
+    path = str(tmp_path / "t")
+    regions.write_regions(df, path)
+    assert len(list((tmp_path / "t" / "rows").rglob("*.parquet"))) <= regions.LEAST_FILES
+    assert [r.i for r in regions.read_regions(spark, path, ["c7:1-3000000"]).collect()] == [7, 1007] and regions.count_region(spark, path, "c7:1-3000000").first().n == 2
+    assert regions.read_regions(spark, path, ["nowhere"]).count() == 0 == regions.count_region(spark, path, "nowhere").first().n
