@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from varloom.operators.align import Scores, gap_excision
 from varloom.operators.variants import alignable, excised_type, final_type, flank, good_alignment, vcf_call
 from varloom.sources.readers import fetch
+from varloom.sources.shared import stored
 
 #: Columns of a call; expected_* is where a translocated piece would stand (null for other calls).
 CALL = ["call_id", "type", "t_id", "t_start", "t_end", "q_id", "q_start", "q_end", "score", "mismap"]
@@ -99,7 +100,8 @@ def from_alignments(alignments: DataFrame, targets: DataFrame, queries: DataFram
 
     calls = structural_calls(alignments, evidence=True).where("kind not like 'Nos-%'").distinct()
     places = ["q_id", "kind", "t_id", "t_start", "t_end", "q_start", "q_end"]
-    calls = calls.select(F.concat_ws("|", *[F.col(c).cast("string") for c in places]).alias("call_id"), F.col("kind").alias("type"), *CALL[2:], *EXPECTED)
+    calls = stored(calls.select(F.concat_ws("|", *[F.col(c).cast("string") for c in places]).alias("call_id"), F.col("kind").alias("type"), *CALL[2:], *EXPECTED), "calls")
+    targets, queries = stored(targets, "targets"), stored(queries, "queries")
     same = reference_calls(walk(alignments.select("t_id", "t_start", "q_id", "q_start", "t_seq", "q_seq"), "same")).select("t_id", "t_start", "t_end", "q_id")
     return detected(calls, targets, queries, t_lengths, q_lengths, same, sc, flank_size, size, overlap)
 
@@ -109,7 +111,8 @@ def detected(calls: DataFrame, targets: DataFrame, queries: DataFrame, t_lengths
     (t_id, t_start, t_end, q_id), filter and genotype."""
     from varloom.operators.variants import first_arrivals, heterozygous
 
-    rows = realign(calls, targets, queries, t_lengths, q_lengths, sc, flank_size, size=size, overlap=overlap).where("status = 'variant'")
+    # each call is aligned once; the rows are used for the first arrivals, either allele and the calls themselves
+    rows = stored(realign(calls, targets, queries, t_lengths, q_lengths, sc, flank_size, size=size, overlap=overlap).where("status = 'variant'"), "realigned")
     once = first_arrivals(rows.drop("identity", "cipos", "ciend"), ["t_id", "t_start", "t_end", "q_id", "q_start", "q_end", "type"], ["call_id"])
     rows = rows.join(once.select("call_id"), "call_id", "left_semi")
     return vcf_call(heterozygous(with_alleles(rows, targets, queries, size, overlap), references))
