@@ -49,7 +49,9 @@ def call_lines(calls: DataFrame, t_lengths: DataFrame, q_lengths: DataFrame) ->
     its expected place and the type's name with -E. calls: family, t_id, t_start, t_end, q_id, q_start, q_end, strand, score,
     mismap, type, realigned, expected_id, expected_start, expected_end. lengths: id, len."""
     rows = calls.join(t_lengths.select(F.col("id").alias("t_id"), F.col("len").alias("_tl")), "t_id").join(q_lengths.select(F.col("id").alias("q_id"), F.col("len").alias("_ql")), "q_id")
-    rows = rows.join(t_lengths.select(F.col("id").alias("expected_id"), F.col("len").alias("_el")), "expected_id", "left")
+    # most calls expect no other place: joined by their own target, as rows without a key would meet in one task
+    place = F.coalesce(F.col("expected_id"), F.col("t_id"))
+    rows = rows.join(t_lengths.select(F.col("id").alias("_eid"), F.col("len").alias("_el")), place == F.col("_eid"), "left")
     size = lambda s: F.col(f"{s}_end") - F.col(f"{s}_start") + 1
     query = ["q_id", "q_start", "q_end", size("q"), "_ql", "strand", "score", six_digits("mismap")]
     line = tabbed("t_id", "t_start", "t_end", size("t"), "_tl", *query, "type", F.when(F.col("realigned"), "CanAGE").otherwise("CanotAGE"))
