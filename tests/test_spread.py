@@ -29,3 +29,23 @@ def test_calls_that_expect_no_other_place_are_not_one_task(spark, plain_shuffles
     assert rows.where("part = 1").count() == 2000 and rows.where("part = 2").count() == 20
     assert max(r["count"] for r in rows.groupBy("task").count().collect()) < 1500
     assert {r.value.split("\t")[4] for r in rows.where("part = 2").collect()} == {"101"}
+
+
+def test_fasta_lines_stream_through_their_task(spark, tmp_path):
+    import random
+    import re
+
+    from varloom.sources import places
+
+    rng = random.Random(3)
+    records = {f"r{i}": "".join(rng.choices("ACGTNé", k=rng.choice([0, 3, 70, 900]))) for i in range(40)}
+    (tmp_path / "x.fa").write_text("".join(f">{k} x\n" + "".join(q[j : j + 11] + " \n" for j in range(0, len(q), 11)) for k, q in records.items()))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    out = places.fasta_lengths(spark, str(tmp_path / "x.fa"))
+    try:
+        assert {r.id: (r.len, r.n_len) for r in out.collect()} == {k: (len(q), q.count("N")) for k, q in records.items()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    plan = re.sub(r"#\d+L?", "", out._jdf.queryExecution().optimizedPlan().toString())
+    assert "windowspecdefinition(file_no, file, split ASC" in plan and "windowspecdefinition(file_no, file, split, " not in plan

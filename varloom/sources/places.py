@@ -6,11 +6,16 @@ it. Scans along a file are two-level: each split by itself, and one row per spli
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from varloom.operators.variants import _bytes
+
 Paths = str | list[str]
 
 
@@ -54,26 +59,70 @@ def merged_order(df: DataFrame, order: list[str], pos: str = "pos", bits: int =
     return joined.select(*df.columns, (F.col("_before") + F.col("_r")).cast("long").alias("merged_no"))
 
 
+#: Bytes of lines that go on as one stretch, before the last line.
+STRETCH = 1 << 16
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], slim: bool) -> Iterator[pa.RecordBatch]:
+    """Lines in order (file_no, file, split, row, id of a header, bases) as stretches of a record's lines within a split: (file_no, file, split,
+    row, head: the header's row, id, at: the bases since the header or, without one, since the split began, n, bases). slim: without the bases."""
+    key, head, name, since = None, None, None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        off, data = _bytes(b.column("bases"))
+        upto = off
+        if len(data) and data.max() > 127:  # characters, not bytes
+            upto = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[off]
+        number, split, row = (b.column(c).to_numpy() for c in ("file_no", "split", "row"))
+        file, ids = b.column("file"), b.column("id")
+        at = np.arange(len(row))
+        new, header = np.zeros(len(row), bool), ids.is_valid().to_numpy(zero_copy_only=False)
+        new[0] = key != (number[0], file[0].as_py(), split[0])
+        named = file.dictionary_encode().indices.to_numpy()
+        new[1:] = (np.diff(number) != 0) | (np.diff(split) != 0) | (np.diff(named) != 0)
+        if new[0]:
+            head, name, since = None, None, 0
+        begins = new | header
+        begins[0] = True
+        begins[1:] |= np.diff(off[:-1] // STRETCH) > 0
+        s = np.flatnonzero(begins)
+        last = lambda flags: np.maximum.accumulate(np.where(flags, at, -1))
+        own, began = last(header), last(new | header)
+        carried, known = began < 0, (own >= 0) & (own == began)
+        begun = np.where(carried, -since, upto[np.maximum(began, 0)])
+        places = [head if c else int(row[k]) if h else None for c, h, k in zip(carried[s].tolist(), known[s].tolist(), own[s].tolist(), strict=True)]
+        names = [name if c else ids[k].as_py() if h else None for c, h, k in zip(carried[s].tolist(), known[s].tolist(), own[s].tolist(), strict=True)]
+        ends = np.append(s[1:], len(row))
+        out = [b.column(c).take(pa.array(s)) for c in ("file_no", "file", "split", "row")]
+        out += [pa.array(places, pa.int64()), pa.array(names, pa.string()), pa.array(upto[s] - begun[s], pa.int64()), pa.array(upto[ends] - upto[s], pa.int64())]
+        if not slim:
+            out.append(pa.StringArray.from_buffers(len(s), pa.py_buffer(np.append(off[s], off[-1]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))))
+        yield pa.RecordBatch.from_arrays(out, ["file_no", "file", "split", "row", "head", "id", "at", "n", *([] if slim else ["bases"])])
+        key, head, name, since = (number[-1], file[-1].as_py(), split[-1]), places[-1], names[-1], int(upto[-1] - begun[-1])
+
+
 def _scanned(spark: SparkSession, paths: Paths) -> DataFrame:
-    """(file, head, id, at, n, bases) of every line: the record's header line (its place), its id, and the bases before and in the line.
-    A line belongs to the last header before it, in its split or an earlier one."""
+    """(file, head, id, at, n, bases) of stretches of lines: the record's header line (its place), its id, and the bases before and in the stretch.
+    A line belongs to the last header before it, in its split or an earlier one. Lines of a split stream in order through its task, and a row
+    per split tells what it carries over; lines are not dealt out."""
     is_head = F.col("value").startswith(">")
-    lines = placed(spark, paths).withColumns({"head": is_head, "bases": F.when(is_head, "").otherwise(F.regexp_replace("value", r"\s+", ""))}).withColumn("n", F.length("bases").cast("long"))
-    own = Window.partitionBy(*SPLIT).orderBy("row")
-    so_far = F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    name = F.regexp_extract("value", r"^>\s*(\S+)", 1)
-    header = lambda at: F.when(F.col("head"), F.struct("split", "row", name.alias("id"), at.alias("at")))
-    # one row per split: its bases and its last header
-    slim = lines.select(*SPLIT, "row", "head", F.when(F.col("head"), F.col("value")).alias("value"), "n").withColumn("h", header(so_far))
-    splits = slim.groupBy(*SPLIT).agg(F.sum("n").alias("_n"), F.max("h").alias("h"))
+    lines = placed(spark, paths).select(*SPLIT, "row", F.when(is_head, F.regexp_extract("value", r"^>\s*(\S+)", 1)).alias("id"), F.when(is_head, "").otherwise(F.regexp_replace("value", r"\s+", "")).alias("bases"))
+    schema = "file_no int, file string, split long, row long, head long, id string, at long, n long"
+    rows = lines.mapInArrow(lambda it: _stretches(it, False), f"{schema}, bases string")
+    # one row per split: its last header, and the bases since that or, without one, all of them
+    slim = lines.mapInArrow(lambda it: _stretches(it, True), schema)
+    splits = slim.groupBy(*SPLIT).agg(F.max(F.struct("row", "head", "id", (F.col("at") + F.col("n")).alias("upto"))).alias("e")).select(*SPLIT, "e.head", "e.id", "e.upto")
     over = Window.partitionBy("file_no", "file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(over), F.lit(0)))
-    splits = splits.withColumn("h", F.col("h").withField("at", F.col("h.at") + F.col("_before")))
-    splits = splits.select(*SPLIT, "_before", F.max("h").over(over).alias("_carried"))
-    rows = lines.join(splits, SPLIT).withColumn("at", F.col("_before") + so_far)
-    rows = rows.withColumn("h", F.coalesce(F.max(header(F.col("at"))).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.col("_carried")))
-    rows = rows.where(F.when((F.col("n") > 0) & F.col("h").isNull(), F.raise_error(F.lit("bases before a header")).cast("boolean")).otherwise(F.col("h").isNotNull()))
-    return rows.select("file_no", "file", F.struct("h.split", "h.row").alias("place"), F.col("h.id").alias("id"), (F.col("at") - F.col("h.at")).alias("at"), "n", "bases")
+    splits = splits.withColumn("_sum", F.coalesce(F.sum("upto").over(over), F.lit(0)))
+    last = F.when(F.col("head").isNotNull(), F.struct("split", F.col("head").alias("row"), "id", F.col("_sum").alias("sum")))
+    splits = splits.select(*SPLIT, F.max(last).over(over).alias("_h"), "_sum")
+    rows = rows.join(F.broadcast(splits), SPLIT)
+    here = F.col("head").isNotNull()
+    rows = rows.where(F.when((F.col("n") > 0) & ~here & F.col("_h").isNull(), F.raise_error(F.lit("bases before a header")).cast("boolean")).otherwise(here | F.col("_h").isNotNull()))
+    place = F.struct(F.when(here, F.col("split")).otherwise(F.col("_h.split")).alias("split"), F.when(here, F.col("head")).otherwise(F.col("_h.row")).alias("row"))
+    at = F.when(here, F.col("at")).otherwise(F.col("at") + F.col("_sum") - F.col("_h.sum"))
+    return rows.select("file_no", "file", place.alias("place"), F.when(here, F.col("id")).otherwise(F.col("_h.id")).alias("id"), at.alias("at"), "n", "bases")
 
 
 RECORD = ["file_no", "file", "place", "id"]
