@@ -49,3 +49,42 @@ def test_fasta_lines_stream_through_their_task(spark, tmp_path):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     plan = re.sub(r"#\d+L?", "", out._jdf.queryExecution().optimizedPlan().toString())
     assert "windowspecdefinition(file_no, file, split ASC" in plan and "windowspecdefinition(file_no, file, split, " not in plan
+
+
+@pytest.mark.parametrize("kind", ["same", "n"])
+def test_runs_of_alignments_are_those_of_their_columns(spark, kind):
+    import random
+
+    from varloom.operators import intervals, variants
+
+    rng, rows = random.Random(9), []
+    for n in range(300):
+        size = rng.randint(1, 60)
+        t, q = ("".join(rng.choices("AaCNn-", k=size)) for _ in range(2))
+        # one target is long, of several windows; on the others alignments of a pair touch and overlap
+        rows.append((n % 3, n % 7, rng.randint(1, 60_000) if n % 3 == 0 else rng.randint(1, 90), rng.randint(1, 90), t, q))
+    v = spark.createDataFrame(rows, "t_id long, q_id long, t_start long, q_start long, t_seq string, q_seq string").repartition(5)
+    schema = "t_id long, q_id long, t_start long, t_end long, q_start long, q_end long"
+    want = intervals.merge_pairs(v.mapInArrow(lambda it: variants._kind_runs(it, kind), schema))
+    apart = v.withColumn("q_id", F.monotonically_increasing_id())
+    columns = (variants.reference_calls if kind == "same" else variants.n_calls)(variants.walk(apart, kind))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        for rows, same in ((v, want), (apart, columns)):
+            got = variants.called_runs(rows, kind)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, same.select(*got.columns).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_clear_alleles_are_told_apart_in_the_task(spark):
+    from varloom.functions import scalars as S
+    from varloom.operators import variants
+
+    t = "".join(a * 28 for a in "ACGTNWSKMYRVDBHacgtnwskmyrvdbh-")
+    q = ("ACGTNWSKMYRVDBHacgtnwskmyrvd-") [:28] * 31
+    v = spark.createDataFrame([(1, 1, 1, 1, t, q)], "t_id long, q_id long, t_start long, q_start long, t_seq string, q_seq string")
+    alleles = [S.iupac_alt(F.upper(c)) for c in ("t_base", "q_base")]
+    want = variants.walk(v).where(alleles[0] != alleles[1])
+    assert variants.walk(v, "clear").collect() == want.collect()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.functions.scalars import iupac, n_count, revcomp
-from varloom.operators.intervals import interval_join, merge_pairs
+from varloom.operators.intervals import interval_join, merge_pairs, window_of
 
 #: Order in which the families of calls come (A37, U01). Fixed.
 FAMILIES = ["INS", "DEL", "SIMUL", "NOSOL", "TRANS", "INV", "SNP", "REFCALL", "N", "INTERGAP"]
@@ -27,7 +27,7 @@ def drop_double_gaps(df: DataFrame) -> DataFrame:
 
 
 #: What columns walk() can be asked for.
-KINDS = ("all", "snps", "same", "n")
+KINDS = ("all", "snps", "same", "n", "clear")
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +53,15 @@ def _letters(data: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(data), pa.py_buffer(np.arange(len(data) + 1, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
 
 
-def _walk(batches: Iterator[pa.RecordBatch], keep: list[str], kind: str) -> Iterator[pa.RecordBatch]:
+#: The plain letter of each byte: ambiguous bases as the alternative allele has them.
+CLEAR = np.arange(256, dtype=np.uint8)
+CLEAR[ord("a") : ord("z") + 1] &= CASE
+CLEAR[list(b"WSKMYRVDBH")] = list(b"ACTACAAATA")
+CLEAR[list(b"wskmyrvdbh")] = list(b"ACTACAAATA")
+
+
+def _columns(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple]:
+    """Batches of alignments with their columns: (batch, first column of each row, bases and places of target and query, columns of the kind, their rows)."""
     for whole in batches:
         for at in range(0, whole.num_rows, 2000):
             b = whole.slice(at, 2000)
@@ -61,19 +69,26 @@ def _walk(batches: Iterator[pa.RecordBatch], keep: list[str], kind: str) -> Iter
             q_off, q, q_pos = _placed(b, "q_seq", "q_start")
             if not np.array_equal(off, q_off):
                 raise ValueError("aligned rows of unequal length")
-            up, uq = t & CASE if kind != "all" else t, q & CASE if kind != "all" else q
-            bases = (t != GAP) & (q != GAP)
-            if kind == "snps":
-                hit = np.flatnonzero(bases & (up != uq) & (up != UNKNOWN) & (uq != UNKNOWN))
-            elif kind == "same":
-                hit = np.flatnonzero(bases & (up == uq) & (up != UNKNOWN))
-            elif kind == "n":
-                hit = np.flatnonzero(bases & ((up == UNKNOWN) | (uq == UNKNOWN)))
-            else:
+            if kind == "clear":
+                hit = np.flatnonzero(CLEAR[t] != CLEAR[q])
+            elif kind == "all":
                 hit = np.arange(len(t))
-            row = np.searchsorted(off, hit, side="right") - 1
-            cols = [b.column(c).take(pa.array(row)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array((hit - off[row]).astype(np.int32)), pa.array(t_pos[hit]), pa.array(q_pos[hit]), _letters(t[hit]), _letters(q[hit])], [*keep, "col", "t_pos", "q_pos", "t_base", "q_base"])
+            else:
+                up, uq = t & CASE, q & CASE
+                bases = (t != GAP) & (q != GAP)
+                if kind == "snps":
+                    hit = np.flatnonzero(bases & (up != uq) & (up != UNKNOWN) & (uq != UNKNOWN))
+                elif kind == "same":
+                    hit = np.flatnonzero(bases & (up == uq) & (up != UNKNOWN))
+                else:
+                    hit = np.flatnonzero(bases & ((up == UNKNOWN) | (uq == UNKNOWN)))
+            yield b, off, t, t_pos, q, q_pos, hit, np.repeat(np.arange(b.num_rows), np.diff(off))[hit]
+
+
+def _walk(batches: Iterator[pa.RecordBatch], keep: list[str], kind: str) -> Iterator[pa.RecordBatch]:
+    for b, off, t, t_pos, q, q_pos, hit, row in _columns(batches, kind):
+        cols = [b.column(c).take(pa.array(row)) for c in keep]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array((hit - off[row]).astype(np.int32)), pa.array(t_pos[hit]), pa.array(q_pos[hit]), _letters(t[hit]), _letters(q[hit])], [*keep, "col", "t_pos", "q_pos", "t_base", "q_base"])
 
 
 def _kept(df: DataFrame, drop: tuple[str, ...]) -> tuple[list[str], str]:
@@ -83,7 +98,7 @@ def _kept(df: DataFrame, drop: tuple[str, ...]) -> tuple[list[str], str]:
 
 def walk(df: DataFrame, kind: str = "all") -> DataFrame:
     """A row per alignment column: t_pos, q_pos (of the base, or of the base before a gap), t_base, q_base. Places are counted
-    over a batch of alignments at once. kind: all columns, or those of snps(), reference_calls() ('same') or n_calls() ('n') only."""
+    over a batch of alignments at once. kind: all columns, or those of snps(), reference_calls() ('same') or n_calls() ('n') only, or those whose clear alleles differ ('clear')."""
     if kind not in KINDS:
         raise ValueError(f"no kind of columns: {kind}")
     keep, schema = _kept(df, ("t_seq", "q_seq"))
@@ -116,6 +131,74 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("t_id").take(first), b.column("q_id").take(first), pa.array(t[s]), pa.array(t[e]), pa.array(q[s]), pa.array(q[e])], ["t_id", "q_id", "t_start", "t_end", "q_start", "q_end"])
 
 
+RUN = ["t_id", "q_id", "t_start", "t_end", "q_start", "q_end"]
+
+
+def _kind_runs(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """The runs of each alignment by itself."""
+    for b, _, _, t_pos, _, q_pos, hit, row in _columns(batches, kind):
+        t, q = t_pos[hit], q_pos[hit]
+        on = np.zeros(len(t), bool)
+        on[1:] = (np.diff(t) == 1) & (np.diff(q) == 1) & (np.diff(row) == 0)
+        s = np.flatnonzero(~on)
+        e = np.append(s[1:], len(t))[: len(s)] - 1
+        first = pa.array(row[s])
+        yield pa.RecordBatch.from_arrays([b.column("t_id").take(first), b.column("q_id").take(first), pa.array(t[s]), pa.array(t[e]), pa.array(q[s]), pa.array(q[e])], RUN)
+
+
+def _merged(b: pa.Table, pair: np.ndarray) -> pa.RecordBatch:
+    """merge_pairs() of whole pairs. pair: a rising number for each run's pair."""
+    t, t_end, q, q_end = (b.column(c).to_numpy() for c in RUN[2:])
+    order = np.lexsort((q_end, q, t_end, t, pair))
+    pair, t, t_end, q, q_end = (v[order] for v in (pair, t, t_end, q, q_end))
+    on = np.zeros(len(t), bool)
+    on[1:] = pair[1:] == pair[:-1]
+    for start, end in ((t, t_end), (q, q_end)):
+        lift = pair * (int(end.max()) - int(end.min()) + 1)  # ends of a later pair are all higher
+        reach = np.maximum.accumulate(end + lift)[:-1] - lift[:-1]
+        on[1:] &= start[1:] <= reach + 1
+    s = np.flatnonzero(~on)
+    first = pa.array(order[s])
+    ids = [b.column(c).combine_chunks().take(first) for c in RUN[:2]]
+    return pa.RecordBatch.from_arrays([*ids, *map(pa.array, (t[s], np.maximum.reduceat(t_end, s), np.minimum.reduceat(q, s), np.maximum.reduceat(q_end, s)))], RUN)
+
+
+def _merged_runs(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """Runs of alignments that come pair by pair; the last pair of a batch waits for the next one."""
+    held: list[pa.RecordBatch] = []
+    for runs in _kind_runs(batches, kind):
+        if not runs.num_rows:
+            continue
+        held.append(runs)
+        rows = pa.Table.from_batches(held)
+        number = [rows.column(c).combine_chunks().dictionary_encode() for c in RUN[:2]]
+        number = [(x.chunk(0) if isinstance(x, pa.ChunkedArray) else x).indices.fill_null(-1).to_numpy(zero_copy_only=False) for x in number]
+        change = np.flatnonzero((np.diff(number[0]) != 0) | (np.diff(number[1]) != 0)) + 1
+        if len(change):
+            pair = np.zeros(rows.num_rows, np.int64)
+            pair[change] = 1
+            last = int(change[-1])
+            yield _merged(rows.slice(0, last), np.cumsum(pair)[:last])
+            held = rows.slice(last).to_batches()
+    if held:
+        rows = pa.Table.from_batches(held)
+        yield _merged(rows, np.zeros(rows.num_rows, np.int64))
+
+
+def called_runs(df: DataFrame, kind: str) -> DataFrame:
+    """P06 ('n'), P07 ('same') from alignments: as n_calls() and reference_calls() of their columns, but only runs leave a task. Pairs whose
+    alignments begin in one window of the target go to a task each, those of longer ones through merge_pairs()."""
+    if kind not in ("same", "n"):
+        raise ValueError(f"no kind of runs: {kind}")
+    keys, w = ["t_id", "q_id"], window_of("t_start")
+    at = df.select(*keys, "t_start", "q_start", "t_seq", "q_seq")
+    schema = f"t_id {dict(at.dtypes)['t_id']}, q_id {dict(at.dtypes)['q_id']}, t_start long, t_end long, q_start long, q_end long"
+    long = at.groupBy(*keys).agg(F.min(w).alias("_lo"), F.max(w).alias("_hi")).where("_lo < _hi").select(*keys)
+    short = at.join(long, keys, "left_anti").repartition(*keys).sortWithinPartitions(*keys)
+    whole = short.mapInArrow(lambda it: _merged_runs(it, kind), schema)
+    return whole.unionByName(merge_pairs(at.join(long, keys, "left_semi").mapInArrow(lambda it: _kind_runs(it, kind), schema)))
+
+
 def reference_calls(columns: DataFrame) -> DataFrame:
     """Runs of equal bases that aren't N."""
     return _runs(columns.where((F.upper("t_base") == F.upper("q_base")) & ~F.upper("t_base").isin("N", "-")))
