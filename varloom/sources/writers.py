@@ -3,7 +3,7 @@ expressions where its row is; only headers, which are constant, and orders are a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.operators.variants import FAMILIES, variant_size
@@ -112,12 +112,20 @@ COVERAGE_HEADER = "\t".join(["#CHROM", "POS", "TOTAL_COV", *(name for name, _ in
 def coverage_lines(spans: DataFrame, total: DataFrame) -> DataFrame:
     """A line per covered base with its depth in all and by class. spans: ref, class, start, end (reads.depth_spans);
     total: ref, start, end of all reads."""
-    from varloom.operators.intervals import depth_runs, per_base
-
-    every = total.select("ref", F.lit("all").alias("class"), "start", "end")
-    deep = per_base(depth_runs(spans.unionByName(every), ["ref", "class"], "start", "end"), ["ref", "class"])
-    wide = deep.groupBy("ref", "pos").agg(*[F.coalesce(F.sum(F.when(F.col("class") == c, F.col("depth"))), F.lit(0)).alias(c) for c in ("all", *(c for _, c in COVERAGE))])
-    return wide.select("ref", "pos", tabbed("ref", "pos", "all", *(c for _, c in COVERAGE)).alias("value"))
+    from varloom.operators.intervals import BITS, window_of
+
+    # spans are dealt out once, to the windows that they touch; what follows stays there: depths of all classes change together, a row per place
+    names = ["all", *(c for _, c in COVERAGE)]
+    every = spans.select("ref", "class", "start", "end").unionByName(total.select("ref", F.lit("all").alias("class"), "start", "end"))
+    coded = F.array_position(F.array(*map(F.lit, names)), F.col("class")).cast("byte")
+    rows = every.where("start <= end and ref is not null and class is not null").select("ref", coded.alias("k"), "start", "end", F.explode(F.sequence(window_of("start"), window_of("end"))).alias("_w")).repartition("ref", "_w")
+    lo, hi = F.shiftleft("_w", BITS), F.shiftleft(F.col("_w") + 1, BITS)
+    edges = F.array(F.struct(F.greatest(F.col("start"), lo).alias("pos"), F.lit(1).alias("d")), F.struct(F.least(F.col("end") + 1, hi).alias("pos"), F.lit(-1).alias("d")))
+    steps = rows.select("ref", "_w", "k", F.inline(edges)).groupBy("ref", "_w", "pos").agg(*[F.sum(F.when(F.col("k") == n, F.col("d")).otherwise(0)).alias(c) for n, c in enumerate(names, 1)], F.sum("d").alias("_any"))
+    own = Window.partitionBy("ref", "_w").orderBy("pos")
+    deep = steps.select("ref", "pos", F.lead("pos").over(own).alias("_next"), *[F.sum(c).over(own).alias(c) for c in (*names, "_any")])
+    deep = deep.where("_any > 0").select("ref", F.explode(F.sequence("pos", F.col("_next") - 1)).alias("pos"), *names)
+    return deep.select("ref", "pos", tabbed("ref", "pos", *names).alias("value"))
 
 
 def qc_header(lines: DataFrame, threshold: float) -> DataFrame:
