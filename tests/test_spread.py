@@ -88,3 +88,29 @@ def test_clear_alleles_are_told_apart_in_the_task(spark):
     alleles = [S.iupac_alt(F.upper(c)) for c in ("t_base", "q_base")]
     want = variants.walk(v).where(alleles[0] != alleles[1])
     assert variants.walk(v, "clear").collect() == want.collect()
+
+
+def test_coverage_lines_deal_spans_out_once(spark):
+    import random
+    from collections import Counter
+
+    from varloom.sources import writers
+
+    rng, kinds = random.Random(2), [k for _, k in writers.COVERAGE]
+    spans = [(rng.choice("xy"), rng.choice(kinds), s, s + rng.choice([0, 5, 40_000])) for s in (rng.randint(1, 60_000) for _ in range(25))]
+    spans.append(("z", "no such class", 16_380, 16_390))
+    v = spark.createDataFrame(spans, "ref string, class string, start long, end long")
+    out = writers.coverage_lines(v, v.where("ref != 'z'").select("ref", "start", "end"))
+    depth = Counter((r, p, k) for r, c, s, e in spans for p in range(s, e + 1) for k in ([c, "all"] if r != "z" else [c]))
+    want = {(r, p): "\t".join(map(str, [r, p, *(depth[r, p, k] for k in ("all", *kinds))])) for r, p, _ in depth}
+    assert {(r.ref, r.pos): r.value for r in out.collect()} == want
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate ") == 1
+
+
+def test_blocks_are_matched_once(spark, tmp_path):
+    from varloom.sources import readers
+
+    (tmp_path / "x.maf").write_text("a  score=-7 mismap=1e-05\ns t  4 5 + 99 AC-GTA\ns q 6 5  - 50 ACGGT-\np  p q\nq x\n\n")
+    rows = readers.read_maf(spark, str(tmp_path / "x.maf"))
+    assert [tuple(r) for r in rows.collect()] == [("t", 5, 9, "q", 40, 44, "-", -7, 1e-05, "AC-GTA", "ACGGT-")]
+    assert "regexp_extract" not in rows._jdf.queryExecution().optimizedPlan().toString()

@@ -23,8 +23,10 @@ def read_maf(spark: SparkSession, paths: Paths, bases: bool = True) -> DataFrame
     blocks = spark.read.text(paths, lineSep="\n\n").select(F.array_join(F.filter(F.split("value", "\n"), lambda x: ~x.startswith("#") & (F.trim(x) != "")), "\n").alias("b")).where("b != ''")
     row = r"s +(\S+) +(\d+) +(\d+) +([+-]) +(\d+) +(\S+)"
     pattern = rf"^a +score=(-?\d+) +mismap=(\S+)\n{row}\n{row}(?:\n[pq][^\n]*)*$"
-    get = lambda i: F.regexp_extract("b", pattern, i)
-    blocks = _valid(blocks, F.col("b").rlike(pattern), "not an alignment block")
+    # matched once; the parts of a sound block are what stands between blanks: a, score=, mismap=, and twice s and its five fields
+    blocks = _valid(blocks, F.col("b").rlike(pattern), "not an alignment block").select(F.split("b", "[ \n]+", 18).alias("p"))
+    after = {1: (1, "score="), 2: (2, "mismap=")}
+    get = lambda i: F.substring(F.get("p", F.lit(after[i][0])), len(after[i][1]) + 1, 1 << 30) if i in after else F.get("p", F.lit(i + 1 if i < 9 else i + 2))
     num = lambda i: get(i).cast("long")
     rows = blocks.select(
         num(1).alias("score"), get(2).cast("double").alias("mismap"), get(3).alias("t_id"), (num(4) + 1).alias("t_start"), (num(4) + num(5)).alias("t_end"), get(8).alias("t_seq"),
