@@ -114,3 +114,12 @@ def test_blocks_are_matched_once(spark, tmp_path):
     rows = readers.read_maf(spark, str(tmp_path / "x.maf"))
     assert [tuple(r) for r in rows.collect()] == [("t", 5, 9, "q", 40, 44, "-", -7, 1e-05, "AC-GTA", "ACGGT-")]
     assert "regexp_extract" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_insert_sizes_of_equal_line_numbers_have_an_order(spark):
+    from varloom.operators import reads
+
+    v = spark.range(40).select(F.lit("g").alias("rg"), (F.col("id") % 10 * 10 + 10).cast("int").alias("insert_size"), F.lit(1).alias("line_no"))
+    for up in (True, False):
+        rows = v.orderBy("insert_size" if up else F.desc("insert_size")).coalesce(1)
+        assert [tuple(r) for r in reads.insert_sizes(rows, 8).collect()] == [("g", 15, 5)]

@@ -108,8 +108,9 @@ def depth_spans(df: DataFrame, low: int, high: int, least_score: int = 90) -> Da
 
 
 def insert_sizes(df: DataFrame, n: int) -> DataFrame:
-    """Ceil of mean and of population deviation about it, of the first n pairs of each read group."""
-    rows = rank_window(df.where("insert_size > 0"), ["rg"], ["line_no"], n)
+    """Ceil of mean and of population deviation about it, of the first n pairs of each read group; of pairs of one line number the
+    smaller ones come first, so that the result doesn't hang on the order of the rows."""
+    rows = rank_window(df.where("insert_size > 0"), ["rg"], ["line_no", "insert_size"], n)
     mean = rows.groupBy("rg").agg(F.ceil(F.avg("insert_size")).alias("mean"))
     return rows.join(mean, "rg").groupBy("rg", "mean").agg(F.ceil(F.sqrt(F.avg((F.col("insert_size") - F.col("mean")) ** 2))).alias("sd"))
 
