@@ -105,6 +105,66 @@ def test_bam_in_splits(spark, tmp_path, block_bytes):
     assert not [p for p in (tmp_path / "y").iterdir() if p.name.startswith("_temporary")]
 
 
+def test_bam_splits_beyond_the_tasks_go_together(spark, tmp_path):
+    from varloom.sources import bam
+
+    path, rows = str(tmp_path / "x"), spark.range(30_000).select(
+        F.concat(F.lit("r"), "id").alias("name"), F.lit(0).alias("flag"), F.lit("c1").alias("ref"), (F.col("id") + 1).alias("pos"), F.lit(60).alias("mapq"), F.array(F.struct(F.lit("M").alias("op"), F.lit(4).alias("len"))).alias("cigar"), F.lit("*").alias("mate_ref"),
+        F.lit(0).cast("long").alias("mate_pos"), F.lit(0).alias("insert_size"), F.lit("ACGT").alias("seq"), F.lit("IIII").alias("qual"), F.create_map(F.lit("AS"), F.col("id").cast("string")).alias("tags"),
+    )
+    bam.write_bam(rows, path, [("c1", 100_000)], block_bytes=2000)
+    got = bam.read_bam(spark, path, 500)
+    files, tasks = len(list((tmp_path / "x").glob("*.bam"))), 4 * spark.sparkContext.defaultParallelism
+    assert got.rdd.getNumPartitions() <= 2 * tasks + files < len(bam.BamReader({"path": path, "splitbytes": 500}).partitions()) / 10
+    assert sorted((r.name, r.pos, r.tags["AS"]) for r in got.collect()) == sorted((f"r{i}", i + 1, str(i)) for i in range(30_000))
+
+
+def test_bam_records_in_columns_are_those_of_single_rows():
+    import numpy as np
+    import pyarrow as pa
+
+    from pyspark.sql import Row
+    from varloom.sources import bam
+
+    names, number = bam.ARROW.names[1:], {"c1": 0, "c2": 1}
+    rows = [dict(zip(names, r, strict=True)) for r in bam_rows(400)]
+    rows[3] |= {"cigar": None, "seq": None, "qual": None, "tags": None, "ref": None}
+    rows[4] |= {"name": "ré", "seq": "acgtx", "qual": "*", "tags": {"ZZ": "", "CO": "é x", "NM": "-3"}}
+    batch = pa.RecordBatch.from_pylist([r | {"tags": list((r["tags"] or {}).items())} for r in rows], pa.schema(list(bam.ARROW)[1:]))
+    single = [bam.encode(Row(**r), number) for r in rows]
+    assert bam.encode_batch(batch, number) == b"".join(single) and bam.encode_batch(batch.slice(3, 50), number) == b"".join(single[3:53])
+    odd = batch.slice(0, 1).set_column(names.index("tags"), "tags", pa.array([[("ABC", "1")]], bam.ARROW.field("tags").type))
+    assert bam.encode_batch(odd, number) == bam.encode(Row(**(rows[0] | {"tags": {"ABC": "1"}})), number)
+
+    more = b"XAAq" + b"Xcc\xff" + b"XII" + b"\xff" * 4 + b"XHHff\0"
+    for tail, value in ((more, {}), (more + b"Xff\0\0\xc0\x3f", {"Xf": "1.5"})):
+        records = [x[4:] + (tail if i == 4 else b"") for i, x in enumerate(single)]
+        ends = np.cumsum([len(x) for x in records])
+        got = bam.decode(b"".join(records), ends - [len(x) for x in records], ends, [("c1", 1000), ("c2", 1000)], np.arange(len(rows))).to_pylist()
+        assert dict(got[4]["tags"]) == {"CO": "é x", "NM": "-3", "ZZ": "", "XA": "q", "Xc": "-1", "XI": "4294967295", "XH": "ff"} | value
+        assert (got[4]["name"], got[4]["seq"], got[4]["qual"]) == ("ré", "ACGTN", "*")
+        assert (got[3]["seq"], got[3]["qual"], got[3]["ref"], got[3]["cigar"], got[3]["tags"]) == ("*", "*", "*", [], [])
+        assert all({k: dict(v) if k == "tags" else v for k, v in g.items() if k != "offset"} == r for i, (g, r) in enumerate(zip(got, rows, strict=True)) if i not in (3, 4))
+
+
+def test_bam_ranges_of_any_size_give_each_record_once(tmp_path):
+    import json
+
+    import pyarrow as pa
+
+    from varloom.sources import bam
+
+    rng, schema = random.Random(7), pa.schema(list(bam.ARROW)[1:])
+    rows = [{"name": f"r{i}", "flag": 0, "ref": "c1", "pos": 1, "mapq": 9, "mate_ref": "*", "mate_pos": 0, "insert_size": 0, "seq": "".join(rng.choices("ACGT", k=rng.choice([10, 3000, 9000]))), "qual": "*", "cigar": [], "tags": []} for i in range(900)]
+    writer = bam.BamWriter({"path": str(tmp_path), "references": json.dumps([("c1", 1000)])}, False)
+    writer.commit([writer.write(iter([pa.RecordBatch.from_pylist(rows, schema)]))])
+    (file,) = tmp_path.glob("*.bam")
+    size = file.stat().st_size
+    for step in (size, size // 3, size // 7, size // 20, size // 90):
+        got = [r for at in range(0, size, step) for b in bam.records(str(file), at, min(at + step, size)) for r in b.select(["name", "seq"]).to_pylist()]
+        assert got == [{"name": r["name"], "seq": r["seq"]} for r in rows]
+
+
 def test_bam_tags_of_all_kinds():
     import struct
 
