@@ -123,3 +123,29 @@ def test_insert_sizes_of_equal_line_numbers_have_an_order(spark):
     for up in (True, False):
         rows = v.orderBy("insert_size" if up else F.desc("insert_size")).coalesce(1)
         assert [tuple(r) for r in reads.insert_sizes(rows, 8).collect()] == [("g", 15, 5)]
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_anchors_are_found_once(spark, plain_shuffles, words):
+    import re
+
+    from varloom.llm import substring_dedup, suffix_dedup
+
+    t = " ".join(f"w{i * 7919 % 1009}" for i in range(400))
+    rows = [(1, t), (2, "x " + t[:900] + " y"), (3, "again and again " * 200), (4, None), (5, t), (6, "head " + "again and again " * 150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = (substring_dedup.substring_dedup if words else suffix_dedup.suffix_dedup)(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"MapInArrow .*text#\d+\)#\d+, \[a#", plan)) == 1
+    got = {r.doc_id: r for r in found.collect()}
+    symbols = {d: (x or "").split() if words else x or "" for d, x in rows}
+    seen, k = set(), 20 if words else 100
+    for d, x in sorted(symbols.items()):
+        gone = set()
+        for i in range(len(x) - k + 1):
+            w = tuple(x[i : i + k])
+            gone |= set(range(i, i + k)) if w in seen else set()
+            seen.add(w)
+        assert got[d].n_removed == len(gone), d
+        assert {i for s in got[d].spans for i in range(s.start, s.end)} == gone
+    assert got[3].n_removed > 0 and got[6].n_removed > 0

@@ -8,11 +8,12 @@ the same offset. Only anchors met twice or more are looked at again:
   side, and the operator's resolver (a suffix sort, a parse against the earlier ones) finds what repeats,
   whatever the group's size;
 * more (a passage in a third of all documents): each window over the anchor is keyed by a 128-bit
-  digest and an aggregation with map-side combine finds its first start; no group meets in a task.
+  digest and an aggregation with map-side combine finds its first start; no group meets in a task but the anchor's places,
+  without text, where they are counted (a window, which spills).
 
 Both ways are exact, whatever the group's size, the second as far as 128-bit digests (xxh3) of different windows differ. Later copies of a whole text are settled up front
 by one aggregation over digests. Windows that repeat within their own document (periodic text has an
-anchor per period) are settled by the document's task, and only its first ones are indexed. Work
+anchor per period) are settled by the task that looks for anchors, and only the first ones are indexed. Work
 per document is bounded by its own length.
 """
 
@@ -25,7 +26,7 @@ from operator import itemgetter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.llm._common import CHUNK, chunks, keyed, powers, prefix_sums, slice_hash, sliding, text_buffers, word_bounds, word_hashes, word_numbers
@@ -94,29 +95,11 @@ def word_grams(x: np.ndarray, m: int) -> np.ndarray:
     return slice_hash(c, at, at + m)
 
 
-def local_spans(text: bytes, k: int, m: int, words: bool) -> list[tuple[int, int]]:
-    """Windows that also start earlier in the text, where firsts() leaves them out of the index."""
-    data = np.frombuffer(text, np.uint8)
-    out: list[tuple[int, int]] = []
-    if words:
-        starts, ends, _ = word_bounds(data, np.zeros(1, np.int64))
-        if len(starts) < max(k, 255 + m):  # firsts() looks at 256 m-grams or more
-            return out
-        x = word_hashes(data, starts, ends)
-        parts = [(0, word_grams(x, m), lambda: word_grams(x, k), lambda: word_numbers(split_words(text)))]
-    else:
-        parts = []
-        for lo in range(0, len(data), CHUNK):
-            part = data[lo : lo + CHUNK + k - 1]
-            if len(part) >= max(k, 256 + m - 1):
-                c = prefix_sums(part)
-                at = np.arange(len(part) - m + 1)
-                parts.append((lo, slice_hash(c, at, at + m), lambda c=c, n=len(part) - k + 1: slice_hash(c, np.arange(n), np.arange(n) + k), lambda part=part: part))
-    for lo, g, windows, symbols in parts:
-        if (first := firsts(g, windows, symbols, k)) is not None:
-            gone = np.flatnonzero(np.diff(np.concatenate([[0], (~first).astype(np.int8), [0]])))
-            out += [(int(s) + lo, int(e) + lo + k - 1) for s, e in zip(gone[::2], gone[1::2], strict=True)]
-    return out
+def _repeats(first: np.ndarray | None, k: int, at: int, h: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (a, p) of the runs of windows that are not first in their text, which begins so many symbols before the windows do. A row
+    stands for symbols -1 - p up to the lower half of a; the upper half is the text's hash, so that rows are dealt out."""
+    gone = np.flatnonzero(np.diff(np.concatenate([[0], (~first).astype(np.int8), [0]]))) if first is not None else np.zeros(0, np.int64)
+    return np.uint64((h & 0xFFFFFFFF) << 32) | (gone[1::2] + at + k - 1).astype(np.uint64), -1 - (gone[::2] + at)
 
 
 def byte_anchors(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.RecordBatch]:
@@ -137,9 +120,11 @@ def byte_anchors(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[
                     s, e = max(int(off[r]), lo) - lo, min(int(off[r + 1]), hi) - lo
                     if e - s >= k:
                         w = np.arange(s, e - k + 1)
-                        p = _anchors(g[s : e - m + 1], k, m, firsts(g[s : e - m + 1], lambda c=c, w=w: slice_hash(c, w, w + k), lambda s=lo + s, e=lo + e: data[s:e], k)) + s
-                        out.append((g[p], np.full(len(p), r), p + lo - off[r]))
-                        held += len(p)
+                        first = firsts(g[s : e - m + 1], lambda c=c, w=w: slice_hash(c, w, w + k), lambda s=lo + s, e=lo + e: data[s:e], k)
+                        p = _anchors(g[s : e - m + 1], k, m, first) + s
+                        x, q = _repeats(first, k, s + lo - int(off[r]), int(h[r]))
+                        out.append((np.concatenate([g[p], x]), np.full(len(p) + len(q), r), np.concatenate([p + lo - off[r], q])))
+                        held += len(p) + len(q)
             if held > 100_000 or j == len(off) - 1:
                 if out:
                     a, r, p = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -162,8 +147,10 @@ def word_anchors(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[
             for r in range(i, j):
                 s, e = int(first[r - i]), int(first[r - i + 1])
                 if e - s >= k:
-                    p = _anchors(g[s : e - m + 1], k, m, firsts(g[s : e - m + 1], lambda s=s, e=e: word_grams(x[s:e], k), lambda r=r: word_numbers(split_words(data[off[r] : off[r + 1]].tobytes())), k))
-                    out.append((g[p + s], np.full(len(p), r), p))
+                    before = firsts(g[s : e - m + 1], lambda s=s, e=e: word_grams(x[s:e], k), lambda r=r: word_numbers(split_words(data[off[r] : off[r + 1]].tobytes())), k)
+                    p = _anchors(g[s : e - m + 1], k, m, before)
+                    a, q = _repeats(before, k, 0, int(h[r]))
+                    out.append((np.concatenate([g[p + s], a]), np.full(len(p) + len(q), r), np.concatenate([p, q])))
             if out:
                 a, r, p = (np.concatenate(v) for v in zip(*out, strict=True))
                 yield _rows(a, d[r], h[r], p)
@@ -291,18 +278,19 @@ def repeated_spans(docs: DataFrame, k: int, m: int, words: bool, resolver: Resol
 
     rows = "a long, _d long, _h long, p int"
     find = word_anchors if words else byte_anchors
-    anchors = own.mapInArrow(lambda it: find(it, k, m), rows)
-    often = anchors.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = anchors.join(often, "a")
+    # Anchors are found, dealt out and counted once: lists, by document, hold those met again (with their number) and the windows that
+    # repeat within the document, and all that follows reads them.
+    anchors = own.mapInArrow(lambda it: find(it, k, m), rows).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("a")))
+    lists = anchors.where("n > 1 or p < 0").groupBy("_d", "_h").agg(F.collect_list(F.struct("a", "p", "n")).alias("at"))
 
-    def at_docs(found: DataFrame) -> DataFrame:
-        lists = found.groupBy("_d", "_h").agg(F.collect_list(F.struct("a", "p")).alias("at"))
-        return t.join(lists, ["_d", "_h"])
+    def at_docs(which: Callable) -> DataFrame:
+        return t.join(lists.select("_d", "_h", F.filter("at", which).alias("at")).where(F.size("at") > 0), ["_d", "_h"])
 
-    few = at_docs(again.where(F.col("n") <= MOST_ROWS)).mapInArrow(lambda it: _contexts(it, k, m, words), rows + ", l binary, r binary")
+    few = at_docs(lambda x: (x["p"] >= 0) & (x["n"] <= MOST_ROWS)).mapInArrow(lambda it: _contexts(it, k, m, words), rows + ", l binary, r binary")
     near = few.repartition("a").sortWithinPartitions("a", "_d", "_h", "p").mapInArrow(lambda it: _resolve(it, k, words, resolver), "_d long, _h long, s int, e int")
-    many = at_docs(again.where(F.col("n") > MOST_ROWS)).mapInArrow(lambda it: _windows(it, k, m, words), "w binary, _d long, _h long, s int")
+    many = at_docs(lambda x: (x["p"] >= 0) & (x["n"] > MOST_ROWS)).mapInArrow(lambda it: _windows(it, k, m, words), "w binary, _d long, _h long, s int")
     first = many.groupBy("w").agg(F.min(F.struct("_d", "_h", "s")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "f")
     far = many.join(first, "w").where(F.struct("_d", "_h", "s") != F.col("f")).select("_d", "_h", "s", (F.col("s") + k).alias("e"))
-    spans = near.unionByName(far).groupBy("_d", "_h").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    within = lists.select("_d", "_h", F.explode(F.filter("at", lambda x: x["p"] < 0)).alias("x")).select("_d", "_h", (-1 - F.col("x.p")).alias("s"), F.col("x.a").bitwiseAND(0xFFFFFFFF).cast("int").alias("e"))
+    spans = near.unionByName(far).unionByName(within).groupBy("_d", "_h").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     return t.join(spans, ["_d", "_h"], "left").join(copies, ["_d", "_h"], "left")

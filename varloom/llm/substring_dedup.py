@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from varloom.llm._common import with_id
-from varloom.llm.repeats import local_spans, merged, repeated_spans, split_words
+from varloom.llm.repeats import merged, repeated_spans, split_words
 
 
 def group_factors(groups: list[tuple[list, list]], k: int) -> list[list[list[tuple[int, int]]]]:
@@ -55,13 +55,13 @@ def factor_spans(lefts: list[list[bytes]], rights: list[list[bytes]], k: int) ->
     return out
 
 
-def _finish(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.RecordBatch]:
+def _finish(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for d, h, t, spans, copy in zip(*(b.column(c).to_pylist() for c in ("_d", "_h", "text", "spans", "copy")), strict=True):
             t = t.encode()
             w = split_words(t)
-            runs = [(0, len(w))] if copy and len(w) >= k else merged([*((x["s"], x["e"]) for x in spans or ()), *local_spans(t, k, m, True)])
+            runs = [(0, len(w))] if copy and len(w) >= k else merged([(x["s"], x["e"]) for x in spans or ()])
             kept, at = [], 0
             for s, e in runs:
                 kept += w[at:s]
@@ -78,4 +78,4 @@ def substring_dedup(docs: DataFrame, min_words: int = 20, anchor_words: int = 8,
     k, m = min_words, min(anchor_words, min_words)
     found = repeated_spans(docs, k, m, True, group_factors, id_col, text_col)
     spans = "array<struct<start:int,end:int>>"
-    return with_id(found.mapInArrow(lambda it: _finish(it, k, m), f"_d long, _h long, n_words long, n_removed long, kept_sha256 string, spans {spans}"))
+    return with_id(found.mapInArrow(lambda it: _finish(it, k), f"_d long, _h long, n_words long, n_removed long, kept_sha256 string, spans {spans}"))

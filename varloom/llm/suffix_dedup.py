@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from varloom.llm._common import powers, prefix_sums, with_id
-from varloom.llm.repeats import local_spans, merged, repeated_spans
+from varloom.llm.repeats import merged, repeated_spans
 
 
 def prefix_hashes(parts: list[bytes]) -> list[memoryview]:
@@ -120,12 +120,12 @@ def _runs(order: list[int], lcp: list[int], back: list[bytes], rights: list[byte
     return found
 
 
-def _finish(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.RecordBatch]:
+def _finish(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for d, h, t, spans, copy in zip(*(b.column(c).to_pylist() for c in ("_d", "_h", "text", "spans", "copy")), strict=True):
             t = t.encode()
-            runs = [(0, len(t))] if copy and len(t) >= k else merged([*((x["s"], x["e"]) for x in spans or ()), *local_spans(t, k, m, False)])
+            runs = [(0, len(t))] if copy and len(t) >= k else merged([(x["s"], x["e"]) for x in spans or ()])
             kept, at = hashlib.sha256(), 0
             for s, e in runs:
                 kept.update(t[at:s])
@@ -142,4 +142,4 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 100, anchor_bytes: int = 32,
     k, m = min_bytes, min(anchor_bytes, min_bytes)
     found = repeated_spans(docs, k, m, False, group_spans, id_col, text_col)
     spans = "array<struct<start:int,end:int>>"
-    return with_id(found.mapInArrow(lambda it: _finish(it, k, m), f"_d long, _h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {spans}"))
+    return with_id(found.mapInArrow(lambda it: _finish(it, k), f"_d long, _h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {spans}"))
