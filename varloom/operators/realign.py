@@ -96,13 +96,13 @@ def with_alleles(variants: DataFrame, targets: DataFrame, queries: DataFrame, si
 def from_alignments(alignments: DataFrame, targets: DataFrame, queries: DataFrame, t_lengths: DataFrame, q_lengths: DataFrame, sc: Scores | None = None, flank_size: int = 500, size: int = 10_000, overlap: int = 600) -> DataFrame:
     """Detect from alignments (read_maf) to VCF fields, V01 to V08: structural calls of each query, the solved ones realigned, each place once, with
     alleles, filter and genotype; heterozygous where another query agrees with the target there (reference calls of the aligned rows)."""
-    from varloom.operators.variants import reference_calls, structural_calls, walk
+    from varloom.operators.variants import stored_runs, structural_calls
 
     calls = structural_calls(alignments, evidence=True).where("kind not like 'Nos-%'").distinct()
     places = ["q_id", "kind", "t_id", "t_start", "t_end", "q_start", "q_end"]
     calls = stored(calls.select(F.concat_ws("|", *[F.col(c).cast("string") for c in places]).alias("call_id"), F.col("kind").alias("type"), *CALL[2:], *EXPECTED), "calls")
     targets, queries = stored(targets, "targets"), stored(queries, "queries")
-    same = reference_calls(walk(alignments.select("t_id", "t_start", "q_id", "q_start", "t_seq", "q_seq"), "same")).select("t_id", "t_start", "t_end", "q_id")
+    same = stored_runs(alignments, "same").select("t_id", "t_start", "t_end", "q_id")
     return detected(calls, targets, queries, t_lengths, q_lengths, same, sc, flank_size, size, overlap)
 
 

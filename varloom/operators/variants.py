@@ -199,6 +199,15 @@ def called_runs(df: DataFrame, kind: str) -> DataFrame:
     return whole.unionByName(merge_pairs(at.join(long, keys, "left_semi").mapInArrow(lambda it: _kind_runs(it, kind), schema)))
 
 
+def stored_runs(df: DataFrame, kind: str) -> DataFrame:
+    """called_runs() of alignments of any length, few of a pair: the runs of each by itself are made in its task, once, and stored; those of a pair that meet are joined."""
+    from varloom.sources.shared import stored
+
+    at = df.select("t_id", "q_id", "t_start", "q_start", "t_seq", "q_seq")
+    schema = f"t_id {dict(at.dtypes)['t_id']}, q_id {dict(at.dtypes)['q_id']}, t_start long, t_end long, q_start long, q_end long"
+    return merge_pairs(stored(at.mapInArrow(lambda it: _kind_runs(it, kind), schema), "runs"))
+
+
 def reference_calls(columns: DataFrame) -> DataFrame:
     """Runs of equal bases that aren't N."""
     return _runs(columns.where((F.upper("t_base") == F.upper("q_base")) & ~F.upper("t_base").isin("N", "-")))
