@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 from varloom.operators import variants
@@ -23,3 +25,17 @@ def test_stored_runs_are_those_of_the_columns(spark):
     of = lambda df: sorted(map(tuple, df.select("t_id", "q_id", "t_start", "t_end", "q_start", "q_end").collect()))
     for kind, calls in (("same", variants.reference_calls), ("n", variants.n_calls)):
         assert of(variants.stored_runs(v, kind)) == of(calls(variants.walk(v, kind)))
+
+
+def test_alignments_that_are_the_only_one_of_their_pair_are_not_dealt_out(spark):
+    rows = [(n % 3, n if n < 90 else n % 2, 1 + n, 1, "ACGT", "ACNT") for n in range(100)] + [(None, None, 1, 1, "AC", "AC"), (None, None, 2, 2, "CA", "CA")]
+    v = spark.createDataFrame(rows, "t_id long, q_id long, t_start long, q_start long, t_seq string, q_seq string")
+    of = lambda df: Counter(map(tuple, df.collect()))
+    only = v.where("q_id between 2 and 89")
+    got = variants.called_runs(only, "same")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert of(got) == of(variants.reference_calls(variants.walk(only, "same")).select(*got.columns))
+    whole = of(variants.called_runs(v, "same"))
+    assert of(got) <= whole and whole[(None, None, 1, 3, 1, 3)] == 1
+    there = v.where("q_id is not null")
+    assert of(variants.called_runs(there, "same")) == of(variants.reference_calls(variants.walk(there, "same")).select(*got.columns))

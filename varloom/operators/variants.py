@@ -185,18 +185,28 @@ def _merged_runs(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.Re
         yield _merged(rows, np.zeros(rows.num_rows, np.int64))
 
 
-def called_runs(df: DataFrame, kind: str) -> DataFrame:
-    """P06 ('n'), P07 ('same') from alignments: as n_calls() and reference_calls() of their columns, but only runs leave a task. Pairs whose
-    alignments begin in one window of the target go to a task each, those of longer ones through merge_pairs()."""
+def called_runs(df: DataFrame, kind: str, pairs: DataFrame | None = None) -> DataFrame:
+    """P06 ('n'), P07 ('same') from alignments: as n_calls() and reference_calls() of their columns, but only runs leave a task. What has to meet
+    are alignments of one pair, so those that are the only one of their pair are not dealt out. Of the others, pairs whose alignments begin in one
+    window of the target go to a task each, those of longer ones through merge_pairs(). pairs: t_id and q_id of every alignment, where they are had for less than those of df."""
+    from varloom.sources.shared import stored
+
     if kind not in ("same", "n"):
         raise ValueError(f"no kind of runs: {kind}")
     keys, w = ["t_id", "q_id"], window_of("t_start")
     at = df.select(*keys, "t_start", "q_start", "t_seq", "q_seq")
     schema = f"t_id {dict(at.dtypes)['t_id']}, q_id {dict(at.dtypes)['q_id']}, t_start long, t_end long, q_start long, q_end long"
+    several = (df if pairs is None else pairs).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = stored(several.select(F.col("t_id").alias("_t"), F.col("q_id").alias("_q")), "pairs")
+    if several.isEmpty():
+        return at.mapInArrow(lambda it: _kind_runs(it, kind), schema)
+    met = F.col("t_id").eqNullSafe(F.col("_t")) & F.col("q_id").eqNullSafe(F.col("_q"))
+    alone = at.join(several, met, "left_anti").mapInArrow(lambda it: _kind_runs(it, kind), schema)
+    at = at.join(several, met, "left_semi")
     long = at.groupBy(*keys).agg(F.min(w).alias("_lo"), F.max(w).alias("_hi")).where("_lo < _hi").select(*keys)
     short = at.join(long, keys, "left_anti").repartition(*keys).sortWithinPartitions(*keys)
     whole = short.mapInArrow(lambda it: _merged_runs(it, kind), schema)
-    return whole.unionByName(merge_pairs(at.join(long, keys, "left_semi").mapInArrow(lambda it: _kind_runs(it, kind), schema)))
+    return alone.unionByName(whole).unionByName(merge_pairs(at.join(long, keys, "left_semi").mapInArrow(lambda it: _kind_runs(it, kind), schema)))
 
 
 def stored_runs(df: DataFrame, kind: str) -> DataFrame:
