@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections import Counter
+from pathlib import Path
 
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 from varloom.operators import variants
+from varloom.plans import files
+from varloom.sources import places
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +42,21 @@ def test_alignments_that_are_the_only_one_of_their_pair_are_not_dealt_out(spark)
     assert of(got) <= whole and whole[(None, None, 1, 3, 1, 3)] == 1
     there = v.where("q_id is not null")
     assert of(variants.called_runs(there, "same")) == of(variants.reference_calls(variants.walk(there, "same")).select(*got.columns))
+
+
+def test_lines_are_not_dealt_out_to_be_numbered(spark, tmp_path):
+    """The query's text is compressed, and its lines stay in the tasks that read them until they are joined by number."""
+    lines = spark.range(0, 1000, 1, 5).select(F.col("id").cast("string").alias("value"))
+    for compression in ("none", "gzip"):
+        path = f"{tmp_path}/{compression}"
+        lines.write.text(path, compression=compression)
+        got = places.numbered(spark, path)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == [(n + 1, str(n)) for n in range(1000)]
+
+
+def test_text_of_sites_is_stored_compressed(spark, monkeypatch):
+    seen, as_file = [], files.as_file
+    monkeypatch.setattr(files, "as_file", lambda *a: seen.append(as_file(*a)) or seen[-1])
+    assert entry.queries()["K06_supported_vcf"](spark, SF).count() > 0
+    assert seen and all(p.name.endswith(".gz") for path in seen for p in Path(path).glob("part-*"))

@@ -10,10 +10,10 @@ from varloom.sources import readers
 from varloom.sources.shared import new_path
 
 
-def as_file(df: DataFrame, name: str) -> str:
-    """A text file of the rows' value, in the shared folder."""
+def as_file(df: DataFrame, name: str, compression: str = "none") -> str:
+    """A text file of the rows' value, in the shared folder; a compressed one is read as one split for each task that wrote it."""
     path = new_path(df.sparkSession, name)
-    df.select("value").write.text(path)
+    df.select("value").write.text(path, compression=compression)
     return path
 
 
@@ -58,5 +58,5 @@ def sam_of(reads: DataFrame) -> DataFrame:
     return reads.select(line.alias("value"))
 
 
-def read_back(spark, name: str, lines: DataFrame) -> DataFrame | tuple[DataFrame, DataFrame]:
-    return getattr(readers, f"read_{name}")(spark, as_file(lines, name))
+def read_back(spark, name: str, lines: DataFrame, compression: str = "none") -> DataFrame | tuple[DataFrame, DataFrame]:
+    return getattr(readers, f"read_{name}")(spark, as_file(lines, name, compression))

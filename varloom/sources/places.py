@@ -40,7 +40,8 @@ def numbered(spark: SparkSession, paths: Paths) -> DataFrame:
     splits = lines.groupBy(*SPLIT).agg(F.count(F.lit(1)).alias("_n"), F.min("row").alias("_first"))
     earlier = Window.orderBy(*SPLIT).rowsBetween(Window.unboundedPreceding, -1)  # a row per split
     splits = splits.select(*SPLIT, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    return lines.join(splits, SPLIT).select((F.col("_before") + F.col("row") - F.col("_first") + 1).alias("line_no"), "value")
+    # told to every task, as lines that are dealt out by split meet in as few tasks as there are splits
+    return lines.join(F.broadcast(splits), SPLIT).select((F.col("_before") + F.col("row") - F.col("_first") + 1).alias("line_no"), "value")
 
 
 def merged_order(df: DataFrame, order: list[str], pos: str = "pos", bits: int = 14) -> DataFrame:
